@@ -184,8 +184,8 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     rules = fit(labelled_sample(docs, labels, id_col, text_col=text_col), **options)
     own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
     rows = statistics(docs.select(*[F.col(c).alias(a) for c, a in own.items()]), own[text_col])
-    # A filter moves below projections and would take copies of the nested array expressions along; not past this one.
-    rows = rows.withColumn("__ok", ~base_failed() & decision(rules).isNull()).withColumn("__fence", F.monotonically_increasing_id())
+    # A filter on a deterministic column moves below the projections and takes copies of the nested expressions along.
+    rows = rows.withColumn("__ok", ~base_failed() & decision(rules).isNull() & (F.monotonically_increasing_id() >= 0))
     return rows.where("__ok").select(*[F.col(a).alias(c) for c, a in own.items()])
 
 
