@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 NON_SPACE = r"[^\x20\x09-\x0D]"
 SHINGLE_WORDS = 5
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
+_SLICE = 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -61,3 +65,18 @@ def shingles(text: str | None, hashes: WordHashes, width: int = SHINGLE_WORDS) -
     for i in range(1, k):
         h = (h ^ (h >> np.uint64(31))) * _M1 + a[i : n - k + 1 + i]
     return np.unique(mix(h))
+
+
+def slices(batches: Iterable) -> Iterator[list[tuple]]:
+    """Rows of Arrow batches, a few hundred at a time: the Python copies of texts stay small."""
+    for b in batches:
+        for at in range(0, b.num_rows, _SLICE):
+            yield list(zip(*[c.to_pylist() for c in b.slice(at, _SLICE).columns], strict=True))
+
+
+def release() -> None:
+    """Gives freed memory back: workers stay for later tasks and hold what they once needed."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.llm.common import WordHashes, shingles
+from ripplework.llm.common import WordHashes, release, shingles, slices
 from ripplework.session import table
 
 K = 256
@@ -119,8 +119,8 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-        for b in batches:
-            for i, text, part, ctx in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for some in slices(batches):
+            for i, text, part, ctx in some:
                 text = text or ""
                 if before is not None and before[3] == part and not before[4]:
                     i0, text0, s0, *_ = before
@@ -136,6 +136,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     out = []
         if out:
             yield batch()
+        release()
 
     return dealt.mapInArrow(run, SCHEMA)
 

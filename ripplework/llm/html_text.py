@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplework.llm.common import release, slices
 from ripplework.session import table
 
 # Element names of the HTML standard.
@@ -207,10 +208,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """(id, text) of every page."""
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(x) for x in part.column(1).to_pylist()], pa.string())], [id_col, "text"])
+        for some in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([render(x) for _, x in some], pa.string())], [id_col, "text"])
+        release()
 
     rows = pages.select(F.col(id_col).cast("bigint").alias(id_col), F.col(html_col))
     return rows.mapInArrow(run, f"`{id_col}` bigint, text string")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ripplework.llm.common import WordHashes, mix, shingles, sql_words
+from ripplework.llm.common import WordHashes, mix, release, shingles, slices, sql_words
 from ripplework.llm.graph import components
 from ripplework.session import materialize, table
 
@@ -156,6 +156,18 @@ def _batches(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+def _gathered(parts, rows: int):
+    """Joins lists of rows up to about `rows` each."""
+    held = []
+    for p in parts:
+        held += p
+        if len(held) >= rows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, fp, bits) of every row; and rows (shingle, texts) of shingles that several texts of a task share."""
     names, types = ["doc_id", "n", "fp", "bits", "shingle", "texts"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
@@ -171,9 +183,9 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if len(h):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(h), t) for t in types[:4]] + [pa.array(h), pa.array(c.astype(np.int64))], names)
 
-        for b in batches:
+        for some in slices(batches):
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t in some:
                 s = shingles(t, hashes)
                 fp = fingerprint(s)
                 out.append((NO_ID if i is None else i, len(s), fp, parity(s), None, None))
@@ -182,10 +194,14 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     sets.append(s)
             if out:
                 yield _batches(out, names, types)
-            if sum(map(len, sets)) > 4_000_000:
+            if sum(map(len, sets)) > 2_000_000:
                 yield from frequent()
-                sets, seen = [], set()
+                sets.clear()
+                seen.clear()
         yield from frequent()
+        sets.clear()
+        hashes.clear()
+        release()
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, n bigint, fp bigint, bits binary, shingle bigint, texts bigint")
 
@@ -195,9 +211,9 @@ def _seeds(docs: DataFrame, frequent, buckets: int, id_col: str, text_col: str)
 
     def run(batches):
         hashes, hot = WordHashes(), frequent.value
-        for b in batches:
+        for some in _gathered(slices(batches), 2048):
             parts, crowd, seen = [], [], set()
-            for t in b.column(0).to_pylist():
+            for (t,) in some:
                 s = shingles(t, hashes)
                 fp = fingerprint(s)
                 if not len(s) or fp in seen:
@@ -226,6 +242,8 @@ def _seeds(docs: DataFrame, frequent, buckets: int, id_col: str, text_col: str)
                 rows.append((-1, np.array(crowd, "<i8").tobytes()))
             if rows:
                 yield _batches(rows, ["bucket", "entries"], [pa.int32(), pa.binary()])
+        hashes.clear()
+        release()
 
     return docs.select(F.col(text_col)).mapInArrow(run, "bucket int, entries binary")
 
@@ -301,6 +319,7 @@ def _possible_edges(members: DataFrame) -> DataFrame:
         out += solve(rows)
         if out:
             yield _batches(out, ["a", "b"], [pa.int64()] * 2)
+        release()
 
     return members.select("region", "fp", "n", "bits").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a bigint, b bigint")
 
@@ -324,6 +343,7 @@ def _join_blocks(points: DataFrame) -> DataFrame:
         out += solve(rows)
         if out:
             yield _batches(out, ["a", "b"], [pa.int64()] * 2)
+        release()
 
     return points.select("block", "fp", "shingles").repartition("block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint")
 
@@ -431,9 +451,9 @@ def _sets(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for b in batches:
+        for some in slices(batches):
             out = []
-            for block, fp, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for block, fp, text in some:
                 s = shingles(text, hashes)
                 if fingerprint(s) == fp:
                     out.append((block, fp, s.astype("<u8").tobytes()))

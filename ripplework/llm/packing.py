@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplework.llm.common import release, slices
 from ripplework.llm.tokens import encoder, public_path
 from ripplework.session import table
 
@@ -113,9 +114,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
 
         def rows():
-            for b in batches:
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    yield i, enc.encode(t) + end
+            for part in slices(batches):
+                for (i, _), ids in zip(part, enc.encode_all([t for _, t in part]), strict=True):
+                    yield i, ids + end
 
         types = [pa.int64()] * 7
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -127,6 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        release()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 

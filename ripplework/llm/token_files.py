@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ripplework.llm.common import release, slices
 from ripplework.llm.tokens import encoder, public_path
 from ripplework.session import materialize, table
 
@@ -95,7 +96,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         from pyspark import TaskContext
 
         enc, end, part, name = encoder(tokenizer), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
-        held, lengths, raw = [], [], []
+        held, lengths, raw, size = [], [], [], 0
 
         def flush():
             ids = np.frombuffer(b"".join(raw), "<u4")
@@ -103,17 +104,19 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], ["part", "name", "docs", "lengths", "payload"])
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw.append(enc.encode(t) + end)
+        for some in slices(batches):
+            for (i, _), ids in zip(some, enc.encode_all([t for _, t in some]), strict=True):
+                raw.append(ids + end)
                 held.append(i)
                 lengths.append(len(raw[-1]) // 4)
-                if sum(lengths[-1:]) >= file_ids or len(held) % 64 == 0 and sum(lengths) >= file_ids:
+                size += lengths[-1]
+                if size >= file_ids:
                     yield flush()
                     name += 1
-                    held, lengths, raw = [], [], []
+                    held, lengths, raw, size = [], [], [], 0
         if held:
             yield flush()
+        release()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))

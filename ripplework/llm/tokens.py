@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-_CACHE = 300_000
+_CACHE = 700_000
 _LONGEST = 48
 _RUN = re.compile(r" \s")
 _LOADED: dict = {}
 
 
-class Encoder(dict):
+class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Both vocabularies split a text before any space that no white space follows, so the ids of a text are those of its
@@ -26,26 +25,25 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        super().__init__()
-
-    def raw(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.raw(piece)
-        if len(piece) <= _LONGEST:
-            if len(self) >= _CACHE:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _RUN.search(text):
-            return self.raw(text)
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + x] for x in rest])
+        self.known: dict[str, bytes] = {}  # ids of a piece that follows a space
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        pieces = [None if t and _RUN.search(t) else (t or "").split(" ") for t in texts]
+        whole = iter(self.raw([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        firsts = iter(self.raw([p[0] for p in pieces if p is not None]))
+        known = self.known
+        if len(known) > _CACHE:
+            known.clear()
+        new = [x for x in set().union(*(p[1:] for p in pieces if p)) if x not in known]
+        known.update(zip(new, self.raw([" " + x for x in new]), strict=True))
+        out = [next(whole) if p is None else next(firsts) + b"".join(map(known.__getitem__, p[1:])) for p in pieces]
+        for x in new:
+            if len(x) > _LONGEST:
+                del known[x]
+        return out
 
 
 def encoder(path: str) -> Encoder:
