@@ -6,7 +6,8 @@ import os
 import re
 from array import array
 
-_CACHE = 700_000
+#: Pieces a worker remembers; about 210 bytes each.
+_CACHE = 2_000_000
 _LONGEST = 48
 _RUN = re.compile(r" \s")
 _LOADED: dict = {}
@@ -19,12 +20,13 @@ class Encoder:
     space-separated pieces in turn. A text in which white space follows a space is encoded in one go instead.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = _CACHE):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.cache = cache
         self.known: dict[str, bytes] = {}  # ids of a piece that follows a space
 
     def raw(self, texts: list[str]) -> list[bytes]:
@@ -35,7 +37,7 @@ class Encoder:
         whole = iter(self.raw([t for t, p in zip(texts, pieces, strict=True) if p is None]))
         firsts = iter(self.raw([p[0] for p in pieces if p is not None]))
         known = self.known
-        if len(known) > _CACHE:
+        if len(known) > self.cache:
             known.clear()
         new = [x for x in set().union(*(p[1:] for p in pieces if p)) if x not in known]
         known.update(zip(new, self.raw([" " + x for x in new]), strict=True))
@@ -46,10 +48,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker process."""
+def encoder(path: str, cache: int = _CACHE) -> Encoder:
+    """One encoder for each file and worker process, so that later tasks find the pieces of earlier ones."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        _LOADED[path] = Encoder(path, cache)
     return _LOADED[path]
 
 
