@@ -35,13 +35,13 @@ class Encoder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         pieces = [None if t and _RUN.search(t) else (t or "").split(" ") for t in texts]
         whole = iter(self.raw([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        firsts = iter(self.raw([p[0] for p in pieces if p is not None]))
+        firsts = iter(self.raw([p.pop(0) for p in pieces if p is not None]))
         known = self.known
         if len(known) > self.cache:
             known.clear()
-        new = [x for x in set().union(*(p[1:] for p in pieces if p)) if x not in known]
+        new = list(set().union(*filter(None, pieces)).difference(known))
         known.update(zip(new, self.raw([" " + x for x in new]), strict=True))
-        out = [next(whole) if p is None else next(firsts) + b"".join(map(known.__getitem__, p[1:])) for p in pieces]
+        out = [next(whole) if p is None else next(firsts) + b"".join(map(known.__getitem__, p)) for p in pieces]
         for x in new:
             if len(x) > _LONGEST:
                 del known[x]
