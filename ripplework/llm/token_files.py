@@ -27,7 +27,7 @@ from ripplework.llm.common import release, slices
 from ripplework.llm.tokens import encoder, public_path
 from ripplework.session import materialize, table
 
-BLOCK = 512
+BLOCK = 2048
 PERCENTILE = 0.95
 FILE_IDS = 200_000
 END_ID = 2
@@ -38,8 +38,8 @@ FILES = "part int, name int, docs array<bigint>, lengths array<bigint>, payload
 def _pack_bits(v: np.ndarray, width: int) -> bytes:
     if not width:
         return b""
-    bits = ((v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    bits = np.unpackbits(np.ascontiguousarray(v, "<u4").view(np.uint8), bitorder="little").reshape(-1, 32)
+    return np.packbits(bits[:, :width].ravel(), bitorder="little").tobytes()
 
 
 def _unpack_bits(raw: bytes, n: int, width: int) -> np.ndarray:
@@ -48,13 +48,14 @@ def _unpack_bits(raw: bytes, n: int, width: int) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width, bitorder="little").reshape(n, width)
     pad = np.zeros((n, 32), np.uint8)
     pad[:, :width] = bits
-    return np.packbits(pad, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint64)
+    return np.packbits(pad.ravel(), bitorder="little").view("<u4").ravel().astype(np.uint64)
 
 
 def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     low = int(ids.min())
     d = ids.astype(np.uint64) - np.uint64(low)
-    width = int(np.sort(d)[min(len(d) - 1, int(percentile * len(d)))]).bit_length()
+    k = min(len(d) - 1, int(percentile * len(d)))
+    width = int(np.partition(d, k)[k]).bit_length()
     odd = np.flatnonzero(d >> np.uint64(width))
     head = struct.pack("<IHBH", low, len(d), width, len(odd))
     return head + _pack_bits(d, width) + odd.astype("<u2").tobytes() + (d[odd] >> np.uint64(width)).astype("<u4").tobytes()
