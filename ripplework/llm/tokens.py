@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
+import string
 from array import array
 
 #: Pieces a worker remembers; about 210 bytes each.
 _CACHE = 2_000_000
 _LONGEST = 48
-_RUN = re.compile(r" \s")
 _LOADED: dict = {}
 
 
@@ -27,24 +26,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache = cache
+        self.folds = self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
+        self.stems: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # ids of a piece that follows a space
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces after a space. Letters with ASCII punctuation behind are the ids of both in turn, in either vocabulary."""
+        cut = []
+        for x in new:
+            stem = x.rstrip(string.punctuation)
+            tail = x[len(stem) :]
+            if not stem.isalpha():
+                stem, tail = x, ""
+            elif self.folds and stem.isascii():
+                stem = stem.lower()
+            cut.append((" " + stem, tail))
+        stems = self.stems
+        if len(stems) > self.cache // 2:
+            stems.clear()
+        need = list({y for c in cut for y in c}.difference(stems))
+        stems.update(zip(need, self.raw(need), strict=True))
+        return [stems[a] + stems[b] for a, b in cut]
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [None if t and _RUN.search(t) else (t or "").split(" ") for t in texts]
-        whole = iter(self.raw([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        firsts = iter(self.raw([p.pop(0) for p in pieces if p is not None]))
+        pieces = [(t or "").split(" ") for t in texts]
+        firsts = self.raw([p.pop(0) for p in pieces])
         known = self.known
         if len(known) > self.cache:
             known.clear()
-        new = list(set().union(*filter(None, pieces)).difference(known))
-        known.update(zip(new, self.raw([" " + x for x in new]), strict=True))
-        out = [next(whole) if p is None else next(firsts) + b"".join(map(known.__getitem__, p)) for p in pieces]
+        new = list(set().union(*pieces).difference(known))
+        odd = {x for x in new if not x or x[0].isspace()}  # never kept, so always among the new
+        known.update(zip(new, self._pieces(new), strict=True))
+        out = [f + b"".join(map(known.__getitem__, p)) for f, p in zip(firsts, pieces, strict=True)]
+        if odd:
+            again = [i for i, p in enumerate(pieces) if not odd.isdisjoint(p)]
+            for i, ids in zip(again, self.raw([texts[i] for i in again]), strict=True):
+                out[i] = ids
+            for x in odd:
+                del known[x]
         for x in new:
             if len(x) > _LONGEST:
-                del known[x]
+                known.pop(x, None)
         return out
 
 
