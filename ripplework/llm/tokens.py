@@ -10,6 +10,9 @@ from array import array
 _CACHE = 2_000_000
 _LONGEST = 48
 _LOADED: dict = {}
+#: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
+_ODD = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_BYTES = {b: 256 + i for i, b in enumerate(_ODD)}
 
 
 class Encoder:
@@ -27,29 +30,39 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.cache = cache
         self.folds = self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
-        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # ids of a piece that follows a space
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, new: list[str]) -> list[bytes]:
-        """Ids of pieces after a space. Letters with ASCII punctuation behind are the ids of both in turn, in either vocabulary."""
-        cut = []
+        """Ids of pieces after a space.
+
+        Where the tokenizer lower-cases and drops white space, a run of Latin letters and the ASCII punctuation behind it
+        are its ids in turn; the letters' go straight to the model, past the normalizers that would leave them alone.
+        """
+        if not self.folds:
+            return self.raw([" " + x for x in new])
+        out, rest, tails, model = {}, [], self.tails, self.tokenizer.model
         for x in new:
             stem = x.rstrip(string.punctuation)
-            tail = x[len(stem) :]
-            if not stem.isalpha():
-                stem, tail = x, ""
-            elif self.folds and stem.isascii():
-                stem = stem.lower()
-            cut.append((" " + stem, tail))
-        stems = self.stems
-        if len(stems) > self.cache // 2:
-            stems.clear()
-        need = list({y for c in cut for y in c}.difference(stems))
-        stems.update(zip(need, self.raw(need), strict=True))
-        return [stems[a] + stems[b] for a, b in cut]
+            if not stem.isalpha() or not stem.isascii() and max(stem) > "\u00ff":
+                rest.append(x)
+                continue
+            if not (tail := x[len(stem) :]):
+                end = b""
+            elif (end := tails.get(tail)) is None:
+                end = self.raw([tail])[0]
+                if len(tail) < _LONGEST:
+                    tails[tail] = end
+            low = stem.lower()
+            low = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES)
+            out[x] = array("I", [t.id for t in model.tokenize(low)]).tobytes() + end
+        out.update(zip(rest, self.raw([" " + x for x in rest]), strict=True))
+        if len(tails) > 50_000:
+            tails.clear()
+        return [out[x] for x in new]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         pieces = [(t or "").split(" ") for t in texts]
