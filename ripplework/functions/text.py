@@ -183,7 +183,7 @@ def name_value(c: Column) -> Column:
 
 
 def comma_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_supervision(c: Column, least: int = 1, keep: int = 16) -> Column:

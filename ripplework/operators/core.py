@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,8 +131,6 @@ def interpolate(df: DataFrame, series: str, x: str, y: str) -> DataFrame:
 
 def ema(df: DataFrame, series: str, x: str, y: str, alpha: float, out: str = "ema") -> DataFrame:
     """y0 = x0, yt = alpha xt + (1 - alpha) yt-1 (W07); a fold over each series, which must fit a task."""
-    import pandas as pd
-
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` double"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -203,7 +202,6 @@ def effective_rank(df: DataFrame, group: str, vector: str) -> DataFrame:
     group; its d^2 entries are what the last step sees.
     """
     import numpy as np
-    import pandas as pd
 
     v = df.select(group, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"), F.col(vector).cast("array<double>").alias("v"))
     rows = v.select(group, "i", F.posexplode(F.transform("v", lambda y: y)).alias("j", "y"), "x").groupBy(group, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
@@ -239,8 +237,6 @@ def cluster_bootstrap(matrix: DataFrame, row: str, col: str, value: str, draws:
 
 def t_test_p(df: DataFrame, r: str, n: str, out: str = "p_value") -> DataFrame:
     """Two-sided p of a correlation by the t distribution, by the continued fraction of the incomplete beta function."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(r_: pd.Series, n_: pd.Series) -> pd.Series:
         return pd.Series([_beta_p(a, b) for a, b in zip(r_, n_, strict=True)])

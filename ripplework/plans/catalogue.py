@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from ripplework.plans import relational, texts, vectors  # noqa: F401  they register their queries
+from ripplework.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
