@@ -251,6 +251,8 @@ def _beta_p(r: float, n: float) -> float | None:
         return None
     if abs(r) >= 1:
         return 0.0
+    if r == 0:
+        return 1.0
     a, b, x = (n - 2) / 2, 0.5, 1 - r * r
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
 

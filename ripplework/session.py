@@ -32,12 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or one of our own where that is unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not d:
-        d = os.path.join(tempfile.gettempdir(), f"ripplework-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+        d = os.path.join(tempfile.gettempdir(), f"ripplework-{os.getpid()}")  # one machine: tests
+    return d.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
