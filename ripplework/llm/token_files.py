@@ -96,7 +96,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         from pyspark import TaskContext
 
-        enc, end, part, name = encoder(tokenizer, 1_200_000), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+        enc, end, part, name = encoder(tokenizer, 1_700_000), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         held, lengths, raw, size = [], [], [], 0
 
         def flush():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 from array import array
@@ -12,6 +13,7 @@ _LONGEST = 48
 _LOADED: dict = {}
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
 _ODD = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_SPACED = chr(256 + _ODD.index(0x20))
 _BYTES = {b: 256 + i for i, b in enumerate(_ODD)}
 
 
@@ -39,11 +41,9 @@ class Encoder:
     def _pieces(self, new: list[str]) -> list[bytes]:
         """Ids of pieces after a space.
 
-        Where the tokenizer lower-cases and drops white space, a run of Latin letters and the ASCII punctuation behind it
-        are its ids in turn; the letters' go straight to the model, past the normalizers that would leave them alone.
+        Either vocabulary gives a run of Latin letters and the ASCII punctuation behind it their ids in turn. The letters
+        go straight to the model, past the normalizers and the splitter, which would leave them alone.
         """
-        if not self.folds:
-            return self.raw([" " + x for x in new])
         out, rest, tails, model = {}, [], self.tails, self.tokenizer.model
         for x in new:
             stem = x.rstrip(string.punctuation)
@@ -56,15 +56,22 @@ class Encoder:
                 end = self.raw([tail])[0]
                 if len(tail) < _LONGEST:
                     tails[tail] = end
-            low = stem.lower()
+            low = stem.lower() if self.folds else stem
             low = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES)
-            out[x] = array("I", [t.id for t in model.tokenize(low)]).tobytes() + end
+            out[x] = array("I", [t.id for t in model.tokenize(low if self.folds else _SPACED + low)]).tobytes() + end
         out.update(zip(rest, self.raw([" " + x for x in rest]), strict=True))
         if len(tails) > 50_000:
             tails.clear()
         return [out[x] for x in new]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        gc.disable()  # many small objects, none in cycles
+        try:
+            return self._encode_all(texts)
+        finally:
+            gc.enable()
+
+    def _encode_all(self, texts: list[str | None]) -> list[bytes]:
         pieces = [(t or "").split(" ") for t in texts]
         firsts = self.raw([p.pop(0) for p in pieces])
         known = self.known
