@@ -229,3 +229,42 @@ def fuzzy_filter(spark, d):
     """F02, F03."""
     canon = F.regexp_replace(F.lower("p_name"), "[^a-z0-9]", "")
     return table(spark, d, "part").select("p_partkey", ((canon.contains("1") & (F.col("p_size") > 10)) | F.col("p_brand").contains("2")).alias("hit"))
+
+
+@query("SELECT s, round(avg(value), 6) AS mean FROM (SELECT event_type AS s, value FROM events WHERE event_id < 800) GROUP BY 1")
+def csv_round_trip(spark, d):
+    """Written with a union of columns and read with coercion."""
+    import uuid
+
+    from ripplework.session import shared_dir
+    from ripplework.sources import io
+
+    e = table(spark, d, "events").where("event_id < 800")
+    path = f"{shared_dir(spark)}/ripplework/csv-{uuid.uuid4().hex}"
+    io.write_csv([e.where("event_id < 400").select("event_type", "value"), e.where("event_id >= 400").select("value", "event_type", "user_id")], path)
+    back = io.read_delimited(spark, path, ["event_type", "value"], numeric=("value",))
+    return back.groupBy(F.col("event_type").alias("s")).agg(F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT conv_id, count(*) AS n, md5(string_agg(text, '|' ORDER BY turn)) AS h FROM conversations GROUP BY 1")
+def jsonl_round_trip(spark, d):
+    """Every text survives."""
+    import uuid
+
+    from ripplework.session import shared_dir
+    from ripplework.sources import io
+
+    path = f"{shared_dir(spark)}/ripplework/jsonl-{uuid.uuid4().hex}"
+    io.write_jsonl(table(spark, d, "conversations"), path, sort_keys=True)
+    back = io.read_jsonl(spark, path, "conv_id long, turn long, role string, text string", strict=True)
+    return back.groupBy("conv_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), "|")).alias("h"))
+
+
+@query("SELECT series, x, round(sum(o.y * power(0.5, s.i - o.i)) / sum(power(0.5, s.i - o.i)), 6) AS history FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM " + _S + " WHERE x < 400) s JOIN (SELECT series, x AS ox, y, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM " + _S + " WHERE x < 400) o USING (series) WHERE o.i < s.i AND o.i >= s.i - 32 GROUP BY 1, 2")
+def decayed_history(spark, d):
+    """Weights halve with each step back; 32 steps back a weight is under the rounding."""
+    w = W.partitionBy("series").orderBy("x")
+    h = F.collect_list("y").over(w.rowsBetween(-32, -1))
+    x = series(spark, d).where("x < 400").withColumn("h", h)
+    top = F.aggregate("h", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, y: F.struct((a["s"] * 0.5 + y * 0.5).alias("s"), (a["w"] * 0.5 + 0.5).alias("w")))
+    return x.where(F.size("h") > 0).select("series", "x", F.round(top["s"] / top["w"], 6).alias("history"))

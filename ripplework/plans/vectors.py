@@ -173,3 +173,39 @@ def pair_subsample(spark, d):
     x = layers(spark, d).where("l = 0").select("i")
     p = O.record_pairs(x, "i").select((F.col("left_i") * 60 + F.col("right_i")).alias("pair"))
     return O.shuffle_take(p, "pair", 100, 5)
+
+
+@query(f"WITH t AS (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY s DESC, c DESC) AS a, row_number() OVER (PARTITION BY q ORDER BY cos DESC, c DESC) AS b FROM {_SCORES}) SELECT count(*) FILTER (a <= 4) AS compared, count(*) FILTER (a = 1 AND b = 1) AS same_top1, count(*) FILTER (a <= 4 AND a = b) AS same_rank FROM t")
+def qc_rank_agreement(spark, d):
+    """Two rankings of the same candidates."""
+    s = scores(spark, d)
+    a = O.top_k(s, "q", "s", "c", 4).select("q", "rank", F.col("c").alias("x"))
+    b = O.top_k(s, "q", "cos", "c", 4).select("q", "rank", F.col("c").alias("y"))
+    same = F.col("x") == F.col("y")
+    return a.join(b, ["q", "rank"]).agg(F.count("*").alias("compared"), F.count_if(same & (F.col("rank") == 1)).alias("same_top1"), F.count_if(same).alias("same_rank"))
+
+
+@query(f"SELECT a, b, round(max(dot) FILTER (l = 7) * max(dot) FILTER (l = 0) - max(dot) FILTER (l = 6) * max(dot) FILTER (l = 1), 6) AS change, round((max(dot) FILTER (l = 7) - max(dot) FILTER (l = 6)) * (max(dot) FILTER (l = 0) + max(dot) FILTER (l = 1)) / 2, 6) AS hidden, round((max(dot) FILTER (l = 0) - max(dot) FILTER (l = 1)) * (max(dot) FILTER (l = 7) + max(dot) FILTER (l = 6)) / 2, 6) AS error FROM {_PAIRS} GROUP BY 1, 2")
+def score_decomposition(spark, d):
+    """The change of a product as the sum of its factors' changes at the mean of the other."""
+    at = lambda k: F.max(F.when(F.col("l") == k, F.col("dot")))
+    p = layer_pairs(spark, d).groupBy(F.col("a_i").alias("a"), F.col("b_i").alias("b")).agg(at(6).alias("h0"), at(7).alias("h1"), at(1).alias("e0"), at(0).alias("e1"))
+    h0, h1, e0, e1 = map(F.col, ("h0", "h1", "e0", "e1"))
+    out = p.select("a", "b", (h1 * e1 - h0 * e0).alias("c"), ((h1 - h0) * (e1 + e0) / 2).alias("h"), ((e1 - e0) * (h1 + h0) / 2).alias("e"))
+    out = O.require(out, F.abs(F.col("c") - F.col("h") - F.col("e")) > 1e-5, "parts do not add up")
+    return out.select("a", "b", *[F.round(x, 6).alias(n) for x, n in (("c", "change"), ("h", "hidden"), ("e", "error"))])
+
+
+@query(f"WITH s AS (SELECT doc_id, tok, n FROM {_TOK} WHERE doc_id < 200), g AS (SELECT doc_id % 10 AS g, tok, sum(n) AS n FROM s GROUP BY 1, 2) SELECT a.g AS a, b.g AS b, sum(a.n * b.n)::BIGINT AS approx FROM g a JOIN g b USING (tok) WHERE a.g < b.g GROUP BY 1, 2")
+def approx_score(spark, d):
+    """Representations are summed by group before the product."""
+    t = table(spark, d, "documents").where("doc_id < 200").select((F.col("doc_id") % 10).alias("g"), F.explode(tokens()).alias("tok")).groupBy("g", "tok").agg(F.count("*").alias("n"))
+    j = O.prefixed(t, "l_", ("tok",)).join(O.prefixed(t, "r_", ("tok",)), "tok").where("l_g < r_g")
+    return j.groupBy(F.col("l_g").alias("a"), F.col("r_g").alias("b")).agg(F.sum(F.col("l_n") * F.col("r_n")).cast("bigint").alias("approx"))
+
+
+@query("SELECT vec_id, ('0x' || substr(md5('9:' || vec_id), 1, 8))::BIGINT % 50 AS candidate FROM embeddings")
+def random_candidate(spark, d):
+    """M06."""
+    h = F.conv(F.substring(O.hash_order(9, F.col("vec_id")), 1, 8), 16, 10).cast("bigint")
+    return table(spark, d, "embeddings").select("vec_id", (h % 50).alias("candidate"))
