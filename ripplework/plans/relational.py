@@ -268,3 +268,26 @@ def decayed_history(spark, d):
     x = series(spark, d).where("x < 400").withColumn("h", h)
     top = F.aggregate("h", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, y: F.struct((a["s"] * 0.5 + y * 0.5).alias("s"), (a["w"] * 0.5 + 0.5).alias("w")))
     return x.where(F.size("h") > 0).select("series", "x", F.round(top["s"] / top["w"], 6).alias("history"))
+
+
+@query(f"SELECT series, round(q1 - 0.05 * (q2 - q1), 6) AS lo, round(q2 + 0.05 * (q2 - q1), 6) AS hi FROM (SELECT series, quantile_cont(y, 0.01) AS q1, quantile_cont(y, 0.99) AS q2 FROM {_S} GROUP BY 1)")
+def robust_limits(spark, d):
+    """The 1st and 99th percentile, padded by a twentieth of their distance."""
+    q = F.percentile("y", F.array(F.lit(0.01), F.lit(0.99)))
+    g = series(spark, d).groupBy("series").agg(F.get(q, F.lit(0)).alias("a"), F.get(q, F.lit(1)).alias("b"))
+    pad = F.lit(0.05) * (F.col("b") - F.col("a"))
+    return g.select("series", F.round(F.col("a") - pad, 6).alias("lo"), F.round(F.col("b") + pad, 6).alias("hi"))
+
+
+@query("SELECT event_id FROM events WHERE value > 5 ORDER BY md5('13:' || event_id), event_id LIMIT 200")
+def scatter_subsample(spark, d):
+    """Finite rows, without replacement."""
+    v = F.col("value")
+    return O.shuffle_take(table(spark, d, "events").where(V.finite(v) & (v > 5)), "event_id", 200, 13).select("event_id")
+
+
+@query("SELECT event_type, sum(try_cast(json_extract_string(props, '$.k') AS INT))::BIGINT AS k, round(avg(try_cast(json_extract_string(props, '$.k') AS INT)), 6) AS mean FROM events GROUP BY 1")
+def json_components(spark, d):
+    """Means of a path in JSON."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).cast("bigint").alias("k"), F.round(F.avg(k), 6).alias("mean"))

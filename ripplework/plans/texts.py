@@ -329,3 +329,21 @@ def round_robin(spark, d):
 def json_props(spark, d):
     """C20, C21."""
     return table(spark, d, "events").select("event_id", T.json_object(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), "k int")["k"].alias("k"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place, round((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 0.5) / count(*) OVER (PARTITION BY lang), 9) AS key FROM documents")
+def shard_interleave(spark, d):
+    """A deterministic proportional order; sorting by key spreads every domain evenly over the run."""
+    x = table(spark, d, "documents").select("doc_id", "lang", F.lit(1).cast("bigint").alias("one"))
+    n = x.groupBy("lang").agg(F.count("*").alias("n"))
+    x = O.prefix_sum(x, "doc_id", "one", ("lang",)).join(n, "lang")
+    return x.select("doc_id", (F.col("before") + 1).alias("place"), F.round((F.col("before") + F.lit(0.5)) / F.col("n"), 9).alias("key"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'role,numbers' WHEN turn % 5 = 3 THEN 'numbers' ELSE '' END AS errors FROM conversations")
+def translated_records(spark, d):
+    """A passthrough translation and one with faults; roles and numbers must survive."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.lower("role").alias("role"), F.concat(F.lit("Take 1,200 and 3.50, turn "), "turn").alias("text"))
+    t = c.withColumn("new_text", F.when(F.col("turn") % 5 >= 3, F.regexp_replace("text", "3.50", "4")).otherwise(F.col("text"))).withColumn("new_role", F.when(F.col("turn") % 5 == 4, "other").otherwise(F.col("role")))
+    bad = F.array(F.when(F.col("role") != F.col("new_role"), "role"), F.when(T.numbers(F.col("text")) != T.numbers(F.col("new_text")), "numbers"))
+    return t.select("conv_id", "turn", F.concat_ws(",", F.array_compact(bad)).alias("errors"))
