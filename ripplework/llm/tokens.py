@@ -5,12 +5,19 @@ from __future__ import annotations
 import gc
 import os
 import string
+import sys
 from array import array
 
+import numpy as np
+
 #: Pieces a worker remembers; about 210 bytes each.
 _CACHE = 2_000_000
+#: Runs of letters a worker remembers besides, for pieces that differ in punctuation only.
+_STEMS = 500_000
 _LONGEST = 48
 _LOADED: dict = {}
+#: What str.split() splits at.
+_WHITE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()]
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
 _ODD = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 _SPACED = chr(256 + _ODD.index(0x20))
@@ -22,6 +29,9 @@ class Encoder:
 
     Both vocabularies split a text before any space that no white space follows, so the ids of a text are those of its
     space-separated pieces in turn. A text in which white space follows a space is encoded in one go instead.
+
+    A vocabulary that drops white space and case needs neither: its texts are split at all white space, and lower-cased
+    first where Latin-1 holds them (elsewhere, lower-casing before normalizing could give other letters).
     """
 
     def __init__(self, path: str, cache: int = _CACHE):
@@ -31,37 +41,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache = cache
-        self.folds = self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
+        one = self.tokenizer.encode("a").ids
+        self.folds = self.tokenizer.encode("A").ids == one and self.tokenizer.encode("a a").ids == one * 2
+        #: White space to Python that the vocabulary takes for something else.
+        self.odd = [c for c in _WHITE if self.tokenizer.encode(f"a{c}a").ids != one * 2]
+        if self.folds:  # the ids that end a word
+            self.last = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.tails: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # ids of a piece that follows a space
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stems(self, new: list[str]) -> list[bytes]:
+        """Ids of runs of Latin letters, each after a space."""
+        if self.folds:  # many in one text; every run ends at an id that ends a word
+            ids = np.frombuffer(b"".join(self.raw([" ".join(new[i : i + 256]) for i in range(0, len(new), 256)])), "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            return [raw[i:j] for i, j in zip([0, *ends][:-1], ends, strict=True)]
+        # straight to the model, past the normalizers and the splitter, which would leave them alone
+        low = (x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES) for x in new)
+        return [array("I", [t.id for t in self.tokenizer.model.tokenize(_SPACED + x)]).tobytes() for x in low]
+
     def _pieces(self, new: list[str]) -> list[bytes]:
         """Ids of pieces after a space.
 
-        Either vocabulary gives a run of Latin letters and the ASCII punctuation behind it their ids in turn. The letters
-        go straight to the model, past the normalizers and the splitter, which would leave them alone.
+        Either vocabulary gives a run of Latin letters and the ASCII punctuation behind it their ids in turn.
         """
-        out, rest, tails, model = {}, [], self.tails, self.tokenizer.model
+        parts, rest, tails, stems = [], [], self.tails, self.stems
         for x in new:
             stem = x.rstrip(string.punctuation)
-            if not stem.isalpha() or not stem.isascii() and max(stem) > "\u00ff":
+            if stem.isalpha() and (stem.isascii() or max(stem) <= "\u00ff"):
+                parts.append((x, stem, x[len(stem) :]))
+            else:
                 rest.append(x)
-                continue
-            if not (tail := x[len(stem) :]):
-                end = b""
-            elif (end := tails.get(tail)) is None:
-                end = self.raw([tail])[0]
-                if len(tail) < _LONGEST:
-                    tails[tail] = end
-            low = stem.lower() if self.folds else stem
-            low = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES)
-            out[x] = array("I", [t.id for t in model.tokenize(low if self.folds else _SPACED + low)]).tobytes() + end
-        out.update(zip(rest, self.raw([" " + x for x in rest]), strict=True))
+        if len(stems) > _STEMS:
+            stems.clear()
         if len(tails) > 50_000:
             tails.clear()
+        some = list({stem for _, stem, _ in parts}.difference(stems))
+        ends = list({tail for _, _, tail in parts}.difference(tails))
+        stems.update(zip(some, self._stems(some), strict=True))
+        tails.update(zip(ends, self.raw(ends), strict=True))
+        out = {x: stems[stem] + tails[tail] for x, stem, tail in parts}
+        out.update(zip(rest, self.raw([" " + x for x in rest]), strict=True))
+        for held, added in ((stems, some), (tails, ends)):
+            for x in added:
+                if len(x) > _LONGEST:
+                    del held[x]
         return [out[x] for x in new]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
@@ -72,27 +102,42 @@ class Encoder:
             gc.enable()
 
     def _encode_all(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").split(" ") for t in texts]
-        firsts = self.raw([p.pop(0) for p in pieces])
+        if self.folds:
+            pieces, again = [_folded(t or "").split() for t in texts], []
+            if self.odd:
+                again = [i for i, t in enumerate(texts) if t and any(c in t for c in self.odd)]
+            for i in again:
+                pieces[i] = []
+            firsts = [b""] * len(texts)
+        else:
+            pieces = [(t or "").split(" ") for t in texts]
+            firsts = self.raw([p.pop(0) for p in pieces])
         known = self.known
         if len(known) > self.cache:
             known.clear()
         new = list(set().union(*pieces).difference(known))
-        odd = {x for x in new if not x or x[0].isspace()}  # never kept, so always among the new
         known.update(zip(new, self._pieces(new), strict=True))
         out = [f + b"".join(map(known.__getitem__, p)) for f, p in zip(firsts, pieces, strict=True)]
-        if odd:
-            again = [i for i, p in enumerate(pieces) if not odd.isdisjoint(p)]
-            for i, ids in zip(again, self.raw([texts[i] for i in again]), strict=True):
-                out[i] = ids
+        if not self.folds:
+            odd = {x for x in new if not x or x[0].isspace()}  # never kept, so always among the new
+            again = [i for i, p in enumerate(pieces) if not odd.isdisjoint(p)] if odd else []
             for x in odd:
                 del known[x]
+        for i, ids in zip(again, self.raw([texts[i] for i in again]), strict=True):
+            out[i] = ids
         for x in new:
             if len(x) > _LONGEST:
                 known.pop(x, None)
         return out
 
 
+def _folded(text: str) -> str:
+    try:
+        return text.lower() if text.isascii() or text.encode("latin-1") else text
+    except UnicodeEncodeError:
+        return text
+
+
 def encoder(path: str, cache: int = _CACHE) -> Encoder:
     """One encoder for each file and worker process, so that later tasks find the pieces of earlier ones."""
     if path not in _LOADED:
