@@ -103,11 +103,11 @@ def interpolated(spark, d):
     return O.interpolate(x, "series", "x", "y").select("series", "x", F.round("y", 6).alias("y"))
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM {_S} WHERE x < 500), r(series, i, x, e) AS (SELECT series, i, x, y FROM s WHERE i = 1 UNION ALL SELECT s.series, s.i, s.x, 0.2 * s.y + 0.8 * r.e FROM r JOIN s ON s.series = r.series AND s.i = r.i + 1)
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM {_S}), r(series, i, x, e) AS (SELECT series, i, x, y FROM s WHERE i = 1 UNION ALL SELECT s.series, s.i, s.x, 0.2 * s.y + 0.8 * r.e FROM r JOIN s ON s.series = r.series AND s.i = r.i + 1)
 SELECT series, x, round(e, 6) AS ema FROM r""")
 def ema(spark, d):
     """W07."""
-    return O.ema(series(spark, d).where("x < 500"), "series", "x", "y", 0.2).select("series", "x", F.round("ema", 6).alias("ema"))
+    return O.ema(series(spark, d), "series", "x", "y", 0.2).select("series", "x", F.round("ema", 6).alias("ema"))
 
 
 @query(f"WITH c AS (SELECT *, sum(y) OVER (PARTITION BY series ORDER BY x ROWS UNBOUNDED PRECEDING) AS cum FROM {_S}) SELECT series, t.t::DOUBLE AS t, min_by(x, cum) AS x FROM c JOIN (SELECT unnest([100, 1000, 5000]) AS t) t ON t.t <= cum GROUP BY 1, 2")
@@ -180,10 +180,10 @@ def subject_correlation(spark, d):
     return nations(spark, d).agg(F.round(O.safe_corr(F.col("v"), F.col("m")), 6).alias("r"), F.round(F.regr_slope("m", "v") * 1e6, 4).alias("slope"), F.count("*").alias("n"))
 
 
-@query("SELECT event_id, 'plasticity/' || event_type || '/' || f AS key, CASE f WHEN 'value' THEN round(value, 6) ELSE user_id::DOUBLE END AS value FROM events, (SELECT unnest(['value', 'user']) AS f) WHERE event_id < 1000")
+@query("SELECT event_id, 'plasticity/' || event_type || '/' || f AS key, CASE f WHEN 'value' THEN round(value, 6) ELSE user_id::DOUBLE END AS value FROM events, (SELECT unnest(['value', 'user']) AS f)")
 def melt_history(spark, d):
     """P06, P11."""
-    x = table(spark, d, "events").where("event_id < 1000").select("event_id", "event_type", F.round("value", 6).alias("value"), F.col("user_id").cast("double").alias("user"))
+    x = table(spark, d, "events").select("event_id", "event_type", F.round("value", 6).alias("value"), F.col("user_id").cast("double").alias("user"))
     m = x.unpivot(["event_id", "event_type"], ["value", "user"], "f", "value")
     return m.select("event_id", F.concat_ws("/", F.lit("plasticity"), "event_type", "f").alias("key"), "value")
 
@@ -231,7 +231,7 @@ def fuzzy_filter(spark, d):
     return table(spark, d, "part").select("p_partkey", ((canon.contains("1") & (F.col("p_size") > 10)) | F.col("p_brand").contains("2")).alias("hit"))
 
 
-@query("SELECT s, round(avg(value), 6) AS mean FROM (SELECT event_type AS s, value FROM events WHERE event_id < 800) GROUP BY 1")
+@query("SELECT s, round(avg(value), 6) AS mean FROM (SELECT event_type AS s, value FROM events) GROUP BY 1")
 def csv_round_trip(spark, d):
     """Written with a union of columns and read with coercion."""
     import uuid
@@ -239,9 +239,9 @@ def csv_round_trip(spark, d):
     from ripplework.session import shared_dir
     from ripplework.sources import io
 
-    e = table(spark, d, "events").where("event_id < 800")
+    e = table(spark, d, "events")
     path = f"{shared_dir(spark)}/ripplework/csv-{uuid.uuid4().hex}"
-    io.write_csv([e.where("event_id < 400").select("event_type", "value"), e.where("event_id >= 400").select("value", "event_type", "user_id")], path)
+    io.write_csv([e.where("event_type = 'click'").select("event_type", "value"), e.where("not event_type <=> 'click'").select("value", "event_type", "user_id")], path)
     back = io.read_delimited(spark, path, ["event_type", "value"], numeric=("value",))
     return back.groupBy(F.col("event_type").alias("s")).agg(F.round(F.avg("value"), 6).alias("mean"))
 
@@ -260,12 +260,12 @@ def jsonl_round_trip(spark, d):
     return back.groupBy("conv_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), "|")).alias("h"))
 
 
-@query("SELECT series, x, round(sum(o.y * power(0.5, s.i - o.i)) / sum(power(0.5, s.i - o.i)), 6) AS history FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM " + _S + " WHERE x < 400) s JOIN (SELECT series, x AS ox, y, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM " + _S + " WHERE x < 400) o USING (series) WHERE o.i < s.i AND o.i >= s.i - 32 GROUP BY 1, 2")
+@query("SELECT series, x, round(sum(o.y * power(0.5, s.i - o.i)) / sum(power(0.5, s.i - o.i)), 6) AS history FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM " + _S + ") s JOIN (SELECT series, x AS ox, y, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM " + _S + ") o USING (series) WHERE o.i < s.i AND o.i >= s.i - 32 GROUP BY 1, 2")
 def decayed_history(spark, d):
     """Weights halve with each step back; 32 steps back a weight is under the rounding."""
     w = W.partitionBy("series").orderBy("x")
     h = F.collect_list("y").over(w.rowsBetween(-32, -1))
-    x = series(spark, d).where("x < 400").withColumn("h", h)
+    x = series(spark, d).withColumn("h", h)
     top = F.aggregate("h", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, y: F.struct((a["s"] * 0.5 + y * 0.5).alias("s"), (a["w"] * 0.5 + 0.5).alias("w")))
     return x.where(F.size("h") > 0).select("series", "x", F.round(top["s"] / top["w"], 6).alias("history"))
 

@@ -57,22 +57,30 @@ def same_source_histogram(spark, d):
     return spark.range(5).select(F.col("id").alias("same")).join(t, "same", "left").groupBy("same").agg(F.count("q").alias("queries"))
 
 
-_LAYERS = f"(SELECT vec_id AS i, label, l, e[l * 8 + 1 : l * 8 + 8] AS h FROM {_E}, (SELECT unnest(range(0, 8)) AS l) WHERE vec_id < 60)"
+_LAYERS = f"(SELECT vec_id AS i, label, l, e[l * 8 + 1 : l * 8 + 8] AS h FROM {_E}, (SELECT unnest(range(0, 8)) AS l))"
 
 
-def layers(spark, d, n=60):
+def layers(spark, d):
     """Eight slices of each vector as layers."""
-    e = table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("i"), "label", V.doubles(F.col("embedding")).alias("e"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), "label", V.doubles(F.col("embedding")).alias("e"))
     return e.select("i", "label", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("l"), "e").select("i", "label", F.col("l").cast("bigint").alias("l"), F.slice("e", F.col("l") * 8 + 1, 8).alias("h"))
 
 
-def layer_pairs(spark, d):
-    x = layers(spark, d)
-    a, b = O.prefixed(x, "a_", ("l",)), O.prefixed(x, "b_", ("l",))
-    return a.join(b, "l").where("a_i < b_i").withColumn("dot", V.dot_wide(F.col("a_h"), F.col("b_h"), 8)).withColumn("cos", V.cosine(F.col("a_h"), F.col("b_h")))
+def layer_pairs(spark, d, centre=None):
+    """A stated query set, the ids divisible by 20, against all rows: whole vectors meet, then each pair gives its layers.
 
+    So the work is dealt by rows; a join on the layer would have as many tasks as layers.
+    """
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), "label", V.doubles(F.col("embedding")).alias("e"))
+    if centre is not None:
+        x = x.crossJoin(centre).withColumn("e", V.minus(F.col("e"), F.col("m"))).drop("m")
+    p = O.cross_pairs(O.prefixed(x.where("i % 20 = 0"), "a_"), O.prefixed(x, "b_")).where("a_i <> b_i")
+    p = p.select("a_i", "b_i", "a_label", "b_label", "a_e", "b_e", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("l"))
+    p = p.select("a_i", "b_i", "a_label", "b_label", F.col("l").cast("bigint").alias("l"), *[F.slice(c + "_e", F.col("l") * 8 + 1, 8).alias(c + "_h") for c in "ab"])
+    return p.withColumn("dot", V.dot_wide(F.col("a_h"), F.col("b_h"), 8)).withColumn("cos", V.cosine(F.col("a_h"), F.col("b_h")))
 
-_PAIRS = f"(SELECT l, a.i AS a, b.i AS b, a.label AS la, b.label AS lb, list_dot_product(a.h, b.h) AS dot, list_dot_product(a.h, b.h) / (greatest(sqrt(list_dot_product(a.h, a.h)), 1e-12) * greatest(sqrt(list_dot_product(b.h, b.h)), 1e-12)) AS cos FROM {_LAYERS} a JOIN {_LAYERS} b USING (l) WHERE a.i < b.i)"
+
+_PAIRS = f"(SELECT l, a.i AS a, b.i AS b, a.label AS la, b.label AS lb, list_dot_product(a.h, b.h) AS dot, list_dot_product(a.h, b.h) / (greatest(sqrt(list_dot_product(a.h, a.h)), 1e-12) * greatest(sqrt(list_dot_product(b.h, b.h)), 1e-12)) AS cos FROM {_LAYERS} a JOIN {_LAYERS} b USING (l) WHERE a.i % 20 = 0 AND a.i <> b.i)"
 
 
 @query(f"SELECT l, count(*) AS n, round(avg(dot), 6) AS mean_dot, round(min(cos), 6) AS min_cos, round(max(cos), 6) AS max_cos, count(*) FILTER (dot < 0) AS negative, round(avg((dot >= 0)::INT), 6) AS positive_ratio, round(avg((cos >= 0.5)::INT), 6) AS over_half FROM {_PAIRS} GROUP BY l")
@@ -90,17 +98,15 @@ def pair_scope(spark, d):
 
 @query(f"""WITH m AS (SELECT l, list(m ORDER BY p) AS m FROM (SELECT l, p, avg(x) AS m FROM (SELECT l, unnest(h) AS x, generate_subscripts(h, 1) AS p FROM {_LAYERS}) GROUP BY l, p) GROUP BY l),
 c AS (SELECT i, l, list_transform(list_zip(h, m.m), lambda z: z[1] - z[2]) AS h FROM {_LAYERS} JOIN m USING (l))
-SELECT l, round(avg(list_dot_product(a.h, b.h) / (greatest(sqrt(list_dot_product(a.h, a.h)), 1e-12) * greatest(sqrt(list_dot_product(b.h, b.h)), 1e-12))), 6) AS mean FROM c a JOIN c b USING (l) WHERE a.i < b.i GROUP BY l""")
+SELECT l, round(avg(list_dot_product(a.h, b.h) / (greatest(sqrt(list_dot_product(a.h, a.h)), 1e-12) * greatest(sqrt(list_dot_product(b.h, b.h)), 1e-12))), 6) AS mean FROM c a JOIN c b USING (l) WHERE a.i % 20 = 0 AND a.i <> b.i GROUP BY l""")
 def hh_centered(spark, d):
     """V04, A26."""
-    x = layers(spark, d)
-    m = x.select("l", F.posexplode("h").alias("p", "v")).groupBy("l", "p").agg(F.avg("v").alias("m")).groupBy("l").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda r: r["m"]).alias("m"))
-    c = x.join(m, "l").select("i", "l", V.minus(F.col("h"), F.col("m")).alias("h"))
-    p = O.prefixed(c, "a_", ("l",)).join(O.prefixed(c, "b_", ("l",)), "l").where("a_i < b_i")
-    return p.groupBy("l").agg(F.round(F.avg(V.cosine(F.col("a_h"), F.col("b_h"))), 6).alias("mean"))
+    x = table(spark, d, "embeddings").select(F.posexplode(V.doubles(F.col("embedding"))).alias("p", "v"))
+    m = x.groupBy("p").agg(F.avg("v").alias("v")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda r: r["v"]).alias("m"))
+    return layer_pairs(spark, d, m).groupBy("l").agg(F.round(F.avg("cos"), 6).alias("mean"))
 
 
-@query(f"SELECT a.i AS a, b.i AS b, round(max(list_dot_product(a.h, b.h)) FILTER (l = 7) * max(list_dot_product(a.h, b.h)) FILTER (l = 0), 6) AS ch1, round(sum(list_dot_product(a.h, b.h)) FILTER (l > 0 AND l < 7) * max(list_dot_product(a.h, b.h)) FILTER (l = 0), 6) AS ch2 FROM {_LAYERS} a JOIN {_LAYERS} b USING (l) WHERE a.i < b.i GROUP BY 1, 2")
+@query(f"SELECT a.i AS a, b.i AS b, round(max(list_dot_product(a.h, b.h)) FILTER (l = 7) * max(list_dot_product(a.h, b.h)) FILTER (l = 0), 6) AS ch1, round(sum(list_dot_product(a.h, b.h)) FILTER (l > 0 AND l < 7) * max(list_dot_product(a.h, b.h)) FILTER (l = 0), 6) AS ch2 FROM {_LAYERS} a JOIN {_LAYERS} b USING (l) WHERE a.i % 20 = 0 AND a.i <> b.i GROUP BY 1, 2")
 def ch1_ch2_pairs(spark, d):
     """Layer 0 stands for the force, layer 7 for the last hidden state, the others for the streams between."""
     p = layer_pairs(spark, d).groupBy(F.col("a_i").alias("a"), F.col("b_i").alias("b"))
@@ -146,12 +152,11 @@ def norms(spark, d):
 _TOK = f"(SELECT doc_id, tok, count(*) AS n FROM (SELECT doc_id, unnest({DUCK_TOKENS}) AS tok FROM documents) GROUP BY 1, 2)"
 
 
-@query(f"SELECT a.doc_id AS q, b.doc_id AS c, sum(a.n * b.n)::BIGINT AS s FROM {_TOK} a JOIN {_TOK} b USING (tok) WHERE a.doc_id < 20 AND b.doc_id >= 20 AND b.doc_id < 200 GROUP BY 1, 2")
+@query(f"SELECT a.doc_id AS q, b.doc_id AS c, sum(a.n * b.n)::BIGINT AS s FROM {_TOK} a JOIN {_TOK} b USING (tok) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2")
 def sparse_aligned_score(spark, d):
-    """Counts stand for the sparse representation; a stated set of queries and candidates."""
-    t = table(spark, d, "documents").where("doc_id < 200").select("doc_id", F.explode(tokens()).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
-    q, c = t.where("doc_id < 20"), t.where("doc_id >= 20")
-    j = q.select(F.col("doc_id").alias("q"), "tok", F.col("n").alias("a")).join(c.select(F.col("doc_id").alias("c"), "tok", F.col("n").alias("b")), "tok")
+    """Counts stand for the sparse representation; the ids divisible by 20 against all."""
+    t = table(spark, d, "documents").select("doc_id", F.explode(tokens()).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
+    j = t.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), "tok", F.col("n").alias("a")).join(t.select(F.col("doc_id").alias("c"), "tok", F.col("n").alias("b")), "tok").where("q <> c")
     return j.groupBy("q", "c").agg(F.sum(F.col("a") * F.col("b")).cast("bigint").alias("s"))
 
 
@@ -196,10 +201,10 @@ def score_decomposition(spark, d):
     return out.select("a", "b", *[F.round(x, 6).alias(n) for x, n in (("c", "change"), ("h", "hidden"), ("e", "error"))])
 
 
-@query(f"WITH s AS (SELECT doc_id, tok, n FROM {_TOK} WHERE doc_id < 200), g AS (SELECT doc_id % 10 AS g, tok, sum(n) AS n FROM s GROUP BY 1, 2) SELECT a.g AS a, b.g AS b, sum(a.n * b.n)::BIGINT AS approx FROM g a JOIN g b USING (tok) WHERE a.g < b.g GROUP BY 1, 2")
+@query(f"WITH s AS (SELECT doc_id, tok, n FROM {_TOK}), g AS (SELECT doc_id % 10 AS g, tok, sum(n) AS n FROM s GROUP BY 1, 2) SELECT a.g AS a, b.g AS b, sum(a.n * b.n)::BIGINT AS approx FROM g a JOIN g b USING (tok) WHERE a.g < b.g GROUP BY 1, 2")
 def approx_score(spark, d):
     """Representations are summed by group before the product."""
-    t = table(spark, d, "documents").where("doc_id < 200").select((F.col("doc_id") % 10).alias("g"), F.explode(tokens()).alias("tok")).groupBy("g", "tok").agg(F.count("*").alias("n"))
+    t = table(spark, d, "documents").select((F.col("doc_id") % 10).alias("g"), F.explode(tokens()).alias("tok")).groupBy("g", "tok").agg(F.count("*").alias("n"))
     j = O.prefixed(t, "l_", ("tok",)).join(O.prefixed(t, "r_", ("tok",)), "tok").where("l_g < r_g")
     return j.groupBy(F.col("l_g").alias("a"), F.col("r_g").alias("b")).agg(F.sum(F.col("l_n") * F.col("r_n")).cast("bigint").alias("approx"))
 
