@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -235,6 +238,54 @@ def cluster_bootstrap(matrix: DataFrame, row: str, col: str, value: str, draws:
     return means.agg(F.avg("m").alias("mean"), F.get(q, F.lit(0)).alias("lo"), F.get(q, F.lit(1)).alias("hi"))
 
 
+def bootstrap_line(df: DataFrame, group: str, key: str, x: str, y: str, grid: list[float], log: bool = False, draws: int = 200, seed: int = 0) -> DataFrame:
+    """(group, x, fit, lo, hi): least-squares line of each group over a grid and its 95 % bootstrap band.
+
+    Row weights of a draw are Poisson(1) of a hash of draw and key, so a draw is a weighted sum: six sums for each draw,
+    taken in one pass with partial aggregation; rows never multiply beyond the draws. With `log`, both axes are logarithms
+    and rows that are not positive are left out. Nulls are left out; a draw without spread in x gives no line. The fit is
+    draw -1, every row once.
+    """
+    at = (lambda c: F.log(c)) if log else (lambda c: c)
+    rows = df.where(f"`{x}` is not null and `{y}` is not null" + (f" and `{x}` > 0 and `{y}` > 0" if log else ""))
+    rows = rows.select(group, F.col(key).alias("__k"), at(F.col(x)).alias("__x"), at(F.col(y)).alias("__y"))
+    rows = rows.withColumn("__b", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))))
+    u = F.pmod(F.xxhash64("__b", "__k", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    cuts, p, c = [], math.exp(-1), 0.0
+    for i in range(10):
+        c += p
+        cuts.append(c)
+        p /= i + 1
+    weight = F.when(F.col("__b") < 0, 1).otherwise(sum((F.when(u >= q, 1).otherwise(0) for q in cuts), F.lit(0)))
+    w = rows.withColumn("__w", weight.cast("double")).where("__w > 0").groupBy(group, "__b")
+    s = w.agg(*[F.sum(e).alias(n) for n, e in (("n", F.col("__w")), ("sx", F.expr("__w * __x")), ("sy", F.expr("__w * __y")), ("sxx", F.expr("__w * __x * __x")), ("sxy", F.expr("__w * __x * __y")))])
+    s = s.withColumn("slope", F.expr("(n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0D)")).withColumn("start", F.expr("(sy - slope * sx) / n")).where("slope is not null")
+    lines = s.select(group, "__b", "slope", "start", F.explode(F.array(*map(F.lit, grid))).alias("x"))
+    v = F.col("start") + F.col("slope") * at(F.col("x"))
+    lines = lines.withColumn("v", F.exp(v) if log else v)
+    q = F.percentile(F.when(F.col("__b") >= 0, F.col("v")), F.array(F.lit(0.025), F.lit(0.975)))
+    return lines.groupBy(group, "x").agg(F.max(F.when(F.col("__b") < 0, F.col("v"))).alias("fit"), F.get(q, F.lit(0)).alias("lo"), F.get(q, F.lit(1)).alias("hi"))
+
+
+def retokenise(docs: DataFrame, order: str, tokens: str, source: str, convert: Callable[[Column], Column], length: int, eos: str) -> DataFrame:
+    """(chunk_index, token_ids, label): segments of a packed stream in another vocabulary, packed anew.
+
+    A segment is what stands between two `eos`; `convert` gives its tokens in the other vocabulary. A chunk's label is its
+    source, or `mixed` if it holds several. Segments are the documents, so they are converted before the stream is laid
+    out: no running count of `eos` over the corpus is needed.
+    """
+    d = docs.select(order, source, F.concat(convert(F.col(tokens)), F.array(F.lit(eos))).alias("__tok"))
+    d = prefix_sum(d.withColumn("__n", F.size("__tok").cast("bigint")), order, "__n", out="__at")
+    first, last = F.floor(F.col("__at") / length), F.floor((F.col("__at") + F.col("__n") - 1) / length)
+    # a piece of each chunk a document reaches, not a row for each token
+    pieces = d.select(source, "__at", "__tok", F.explode(F.sequence(first, last)).alias("chunk_index"))
+    begin = F.greatest(F.col("chunk_index") * length, F.col("__at"))
+    take = F.slice("__tok", (begin - F.col("__at") + 1).cast("int"), ((F.col("chunk_index") + 1) * length - begin).cast("int"))
+    packed = pieces.select("chunk_index", source, begin.alias("__o"), take.alias("__t")).groupBy("chunk_index").agg(F.array_sort(F.collect_list(F.struct("__o", "__t"))).alias("__r"), F.min(source).alias("__lo"), F.max(source).alias("__hi"))
+    out = packed.select("chunk_index", F.flatten(F.transform("__r", lambda r: r["__t"])).alias("token_ids"), F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise("mixed").alias("label"))
+    return out.where(F.size("token_ids") == length)
+
+
 def t_test_p(df: DataFrame, r: str, n: str, out: str = "p_value") -> DataFrame:
     """Two-sided p of a correlation by the t distribution, by the continued fraction of the incomplete beta function."""
     @F.pandas_udf("double")

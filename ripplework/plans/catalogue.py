@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ripplework.plans import relational, texts, vectors  # noqa: F401  they register their queries
+from ripplework.plans import inventory, relational, texts, vectors  # noqa: F401  they register their queries
 from ripplework.plans.registry import QUERIES, SQL
 
 

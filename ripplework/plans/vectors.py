@@ -60,12 +60,6 @@ def same_source_histogram(spark, d):
 _LAYERS = f"(SELECT vec_id AS i, label, l, e[l * 8 + 1 : l * 8 + 8] AS h FROM {_E}, (SELECT unnest(range(0, 8)) AS l))"
 
 
-def layers(spark, d):
-    """Eight slices of each vector as layers."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), "label", V.doubles(F.col("embedding")).alias("e"))
-    return e.select("i", "label", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("l"), "e").select("i", "label", F.col("l").cast("bigint").alias("l"), F.slice("e", F.col("l") * 8 + 1, 8).alias("h"))
-
-
 def layer_pairs(spark, d, centre=None):
     """A stated query set, the ids divisible by 20, against all rows: whole vectors meet, then each pair gives its layers.
 
@@ -172,12 +166,12 @@ def cluster_bootstrap(spark, d):
     return O.cluster_bootstrap(scores(spark, d, 20), "q", "c", "cos")
 
 
-@query(f"SELECT a.i * 60 + b.i AS pair FROM (SELECT unnest(range(0, 60)) AS i) a JOIN (SELECT unnest(range(0, 60)) AS i) b ON a.i < b.i ORDER BY md5('5:' || (a.i * 60 + b.i)), 1 LIMIT 100")
+@query("SELECT a.vec_id || ':' || b.vec_id AS pair FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id ORDER BY md5('5:' || a.vec_id || ':' || b.vec_id), 1 LIMIT 100")
 def pair_subsample(spark, d):
-    """M03."""
-    x = layers(spark, d).where("l = 0").select("i")
-    p = O.record_pairs(x, "i").select((F.col("left_i") * 60 + F.col("right_i")).alias("pair"))
-    return O.shuffle_take(p, "pair", 100, 5)
+    """A sample of the pairs of a stated query set and all rows."""
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"))
+    p = O.cross_pairs(O.prefixed(x.where("i % 20 = 0"), "a_"), O.prefixed(x, "b_")).where("a_i <> b_i")
+    return O.shuffle_take(p.select(F.concat_ws(":", "a_i", "b_i").alias("pair")), "pair", 100, 5)
 
 
 @query(f"WITH t AS (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY s DESC, c DESC) AS a, row_number() OVER (PARTITION BY q ORDER BY cos DESC, c DESC) AS b FROM {_SCORES}) SELECT count(*) FILTER (a <= 4) AS compared, count(*) FILTER (a = 1 AND b = 1) AS same_top1, count(*) FILTER (a <= 4 AND a = b) AS same_rank FROM t")

@@ -101,3 +101,27 @@ def test_effective_rank(spark):
 def test_softmax_is_stable(spark):
     p = one(spark, V.softmax(F.array(F.lit(1000.0), F.lit(1000.0))))[0]
     assert p == [0.5, 0.5] and not any(map(math.isnan, p))
+
+
+def test_retokenise(spark):
+    docs = [(i, f"s{i % 2}", [f"w{i}"] * (i % 4)) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, tok array<string>")
+    out = O.retokenise(df, "doc_id", "tok", "source", lambda w: F.split(F.array_join(w, " "), ""), 7, "|").collect()
+    stream = [(c, s) for _, s, w in docs for c in [*(list(" ".join(w)) or [""]), "|"]]
+    want = [stream[i : i + 7] for i in range(0, len(stream) - 6, 7)]
+    got = {r["chunk_index"]: (r["token_ids"], r["label"]) for r in out}
+    assert len(got) == len(want)
+    for i, w in enumerate(want):
+        labels = {s for _, s in w}
+        assert got[i] == ([c for c, _ in w], labels.pop() if len(labels) == 1 else "mixed")
+
+
+def test_bootstrap_line(spark):
+    rows = [("g", i, float(i), 3.0 + 2.0 * i + (-1) ** i) for i in range(1, 200)] + [("flat", i, 1.0, 2.0) for i in range(9)] + [("g", -1, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k bigint, x double, y double")
+    (r,) = O.bootstrap_line(df, "g", "k", "x", "y", [10.0]).collect()  # no line without spread in x
+    slope, start = np.polyfit([x[2] for x in rows[:199]], [x[3] for x in rows[:199]], 1)
+    assert abs(r["fit"] - (start + slope * 10)) < 1e-9 and r["lo"] < r["fit"] < r["hi"] < r["lo"] + 1
+    power = spark.createDataFrame([("g", i, float(i), 5.0 * i**1.5) for i in range(1, 50)] + [("g", 0, 0.0, 0.0)], "g string, k bigint, x double, y double")
+    (r,) = O.bootstrap_line(power, "g", "k", "x", "y", [4.0], log=True).collect()
+    assert abs(r["fit"] - 40) < 1e-9 and abs(r["lo"] - 40) < 1e-9
