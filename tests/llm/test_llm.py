@@ -224,6 +224,10 @@ def test_encoder_equals_the_tokenizer(name):
     e = Encoder(public_path(name))
     texts = ["a  b", "x\n \ny", " lead", "tr ", "It's don't, 'S <|endoftext|> é́ ́x", "A  b", "", "\n\n a  ", "Ünder STRASSE ß İI ΑΣ ª²", "$$$ a$$$ b'' c's 12,3 4th", "日本 語, word.", None]
     assert e.encode_all(texts) == e.raw([t or "" for t in texts]) == e.encode_all(texts)
+    r = random.Random(1)  # white space of every kind, marks that compose, letters whose lower case depends on the place
+    parts = [*"aBéÉßKΣςİI ª µ ÿ 中!'9\x00", "T\u0308", "\u0307", "'s", "  ", *map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x2003, 0x200B, 0x3000, 0x212A, 0x1F600))]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(20_000)] + ["x" * 5000 + " y", "ab!" * 900]
+    assert [x for i in range(0, len(texts), 300) for x in e.encode_all(texts[i : i + 300])] == e.raw(texts)
 
 
 def test_token_files_round_trip(spark, texts):
