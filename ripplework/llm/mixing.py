@@ -53,14 +53,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
 
 
 def _running(docs: DataFrame, bucket_rows: int) -> DataFrame:
-    """Adds `before`: the sizes of the source's documents ahead of this one in hash order."""
+    """Adds `before`: the sizes of the source's documents ahead of this one in hash order; source, bucket and nth name a row."""
     n = docs.groupBy("source").agg(F.count("*").alias("rows"))
     cells = F.floor(F.col("rows") / F.lit(bucket_rows)) + 1
     docs = docs.join(n, docs["source"].eqNullSafe(n["source"])).select(docs["*"], F.floor(F.col("key") * cells / F.lit(1 << 32)).alias("bucket"))
     totals = docs.groupBy("source", "bucket").agg(F.sum("size").alias("total"))
     starts = totals.select("source", "bucket", (F.sum("total").over(W.partitionBy("source").orderBy("bucket")) - F.col("total")).alias("begin"))
     inside = W.partitionBy("source", "bucket").orderBy("key", "tie", "id", "size").rowsBetween(W.unboundedPreceding, 0)
-    local = docs.withColumn("local", F.sum("size").over(inside) - F.col("size"))
+    local = docs.withColumn("local", F.sum("size").over(inside) - F.col("size")).withColumn("nth", F.row_number().over(inside))
     hit = local["source"].eqNullSafe(starts["source"]) & (local["bucket"] == starts["bucket"])
     return local.join(starts, hit).select(local["*"], (F.col("local") + F.col("begin")).alias("before"))
 
@@ -82,7 +82,7 @@ def positions(offset: Column, target: Column, rank: Column, curves=CURVES) -> Co
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: float = REPEATS, curves=CURVES, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: float = REPEATS, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: id, source, size, source_size, target, rank, before, taken.
 
     Every pass over a source takes its documents in hash order; the last pass stops where the target is reached, so a
@@ -102,34 +102,53 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: float =
     return rows.withColumn("taken", (passes * F.col("size") + last).cast("long"))
 
 
+def copies(m: DataFrame, curves=CURVES) -> DataFrame:
+    """The rows of mix() with copy, position and words, one for each time a document is taken; untaken ones once, words 0.
+
+    Copy c of a document starts when its source has given c passes and what is ahead of the document in this pass.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"))
+    m = m.withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
+    offset = F.col("copy") * F.col("source_size") + F.col("before")
+    m = m.withColumn("position", positions(offset.cast("double"), F.col("target"), F.col("rank"), curves))
+    return m.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
+
+
+def _in_order(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    return rows.repartitionByRange("position", id_col, "copy").sortWithinPartitions("position", id_col, "copy")
+
+
 def schedule(docs: DataFrame, curves=CURVES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The training order: (id, copy, position, words), one row for each time a document is taken, range-sorted by position."""
-    m = mix(docs, curves=curves, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    size = F.greatest(F.col("size"), F.lit(1))
-    copies = m.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("taken") / size).cast("int") - 1)))).where("taken > 0")
-    offset = F.col("copy") * F.col("source_size") + F.col("before")
-    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    out = copies.select("id", "copy", positions(offset.cast("double"), F.col("target"), F.col("rank"), curves).alias("position"), words.alias("words"))
-    return out.repartitionByRange("position").sortWithinPartitions("position", "id", "copy")
+    m = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    return _in_order(copies(m, curves).where("taken > 0").select("id", "copy", "position", "words"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, curves=CURVES, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix as documents: each as often as it is taken, with all its columns; a last copy counts if half of it is taken.
 
-    Training order: the rows are range-partitioned by position, so files read in name order follow the curriculum.
-    A document without words is kept once: the mix is of words and has no say on it.
+    Training order: every copy has its own position, the rows are range-partitioned and sorted by it, so files read in
+    name order follow the curriculum. A document without words is kept once: the mix is of words and has no say on it.
     """
-    m = mix(docs, id_col=id_col, **options)
-    n = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"))
-    m = m.groupBy("id").agg(F.max(n).alias("__copies"), F.min(positions(F.col("before").cast("double"), F.col("target"), F.col("rank"))).alias("__position"))
-    keyed = docs.join(m, docs[id_col].eqNullSafe(m["id"])).where("__copies > 0")
-    out = keyed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.repartitionByRange(F.col("__position"), F.col("__copy")).select(*[docs[c] for c in docs.columns])
+    m = copies(mix(docs, id_col=id_col, **options), curves).where("2 * words >= size and (taken > 0 or size = 0)")
+    m = m.groupBy("id", "copy").agg(F.min("position").alias("position")).withColumnsRenamed({"id": "__id", "copy": "__copy", "position": "__position"})
+    out = docs.join(m, docs[id_col].eqNullSafe(m["__id"]))
+    order = ("__position", id_col, "__copy")
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[docs[c] for c in docs.columns])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    m = mix(table(spark, sf_dir, "documents"))
-    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    """What each document gives, summed over its copies in the training order, which is written out with all positions."""
+    key = ("source", "bucket", "nth")
+    m = copies(mix(table(spark, sf_dir, "documents")))
+    order = materialize(_in_order(m.select(*key, "id", "copy", "position", "words", "size", "source_size", "target")), "schedule")
+    rows = order.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("id", "size", "source_size", "target")], F.sum("words").alias("taken"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op7_training_order(spark, sf_dir: str) -> DataFrame:
+    """The training order itself: every copy with its position. It has no twin, a test holds it against brute force."""
+    return schedule(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 OP7_SQL = f"""

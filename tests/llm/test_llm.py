@@ -185,6 +185,46 @@ def test_mix(spark, texts):
     assert out.columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
 
 
+def brute_order(rows):
+    """(position, id, copy, words, size) of every copy: passes over each source in hash order, the curve's integral inverted by bisection."""
+    by, out = defaultdict(list), []
+    for r in rows:
+        by[r["source"]].append(r)
+    for s, docs in by.items():
+        curve = mixing.CURVES[sorted(by, key=lambda x: (x is None, x or "")).index(s) % len(mixing.CURVES)]
+        area = lambda t, c=curve: c[0][1] * t + (c[1][1] - c[0][1]) * t * t / 2
+        at, target = 0, docs[0]["target"]
+        for c in range(4):
+            for r in sorted(docs, key=lambda r: (hashlib.md5(str(r["id"]).encode()).hexdigest(), r["size"])):
+                words = min(r["size"], round(target) - at)
+                if words > 0 or r["size"] == 0 and c == 0:
+                    lo, hi = 0.0, 1.0
+                    for _ in range(60):
+                        mid = (lo + hi) / 2
+                        lo, hi = (mid, hi) if area(mid) * target < at * area(1) else (lo, mid)
+                    out.append((lo, r["id"], c, max(words, 0), r["size"]))
+                at += r["size"]
+    return sorted(out)
+
+
+def test_every_copy_has_its_place(spark, texts, tmp_path):
+    docs = make(spark, texts, ["b", "a", None, "c"])
+    true = brute_order(mixing.mix(docs).collect())
+    assert len({c for _, _, c, _, _ in true}) > 1
+    plan = [(r["id"], r["copy"], r["words"], r["position"]) for r in mixing.schedule(docs, bucket_rows=7).collect()]
+    assert sorted(x[:3] for x in plan) == sorted((i, c, w) for _, i, c, w, n in true if n)
+    place = {(i, c): t for t, i, c, _, _ in true}
+    assert all(t == pytest.approx(place[i, c], abs=1e-6) for i, c, _, t in plan)
+    out = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]
+    kept = [(t, i) for t, i, _, w, n in true if 2 * w >= n]
+    assert sorted(out) == sorted(i for _, i in kept)
+    words = [i for i in out if texts[i] and texts[i].strip()]
+    assert words == [i for t, i in kept if texts[i] and texts[i].strip()]
+    make(spark, [*texts, "", ""], "ab").union(make(spark, ["", "x y"], "ab")).write.parquet(f"{tmp_path}/documents.parquet")
+    order, sums = mixing.op7_training_order(spark, str(tmp_path)).collect(), mixing.op7_mixing(spark, str(tmp_path)).collect()
+    assert len(sums) == len(texts) + 4 and sum(r["words"] for r in order) == sum(r["taken"] for r in sums)
+
+
 def test_packing_round_trip(spark, texts):
     docs = make(spark, texts)
     path = public_path("byte_bpe_50k.json")
