@@ -4,7 +4,8 @@ A line is parsed at fixed depth: number of tokens, then its leading tokens; toke
 the start. In each leaf of that tree the line form that most documents have is the leader; forms that agree with it in
 `similar` of all places share its template, in which the places that differ are further variable fields. Other forms are
 templates of their own. A template that recurs in `min_docs` documents or more is dropped from all documents but the
-first that has it (least id); there its first line stays.
+first that has it (least id); there its first line stays. A line of `long_tokens` tokens or more, and in no such template,
+is dropped likewise if its very form (digits masked) recurs in `exact_docs` documents.
 
 Lines are counted by 64-bit hashes; a form's text is only read in leaves that enough documents reach. Hot lines shrink
 to one row a task before any shuffle by template; joins on a hot form are split by adaptive execution.
@@ -16,7 +17,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplework.llm.common import words
@@ -26,11 +27,14 @@ DEPTH = 2
 SIMILAR = 0.7
 MIN_DOCS = 8
 MIN_TOKENS = 3
+#: From so many tokens on a form counts as a passage, dropped when it recurs as it stands in so many documents.
+LONG_TOKENS = 10
+EXACT_DOCS = 2
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
-def _forms(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """(doc, key, pos, leaf, form, masked) of every line that counts."""
+def _forms(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, long_tokens: int = LONG_TOKENS) -> DataFrame:
+    """(doc, key, pos, leaf, form, long, masked) of every line that counts."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     line = F.col("line")
@@ -39,32 +43,45 @@ def _forms(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens:
     rows = rows.select("doc", "key", "pos", clean.alias("masked")).withColumn("tokens", F.split("masked", " "))
     rows = rows.where((F.size("tokens") >= min_tokens) & (F.col("masked") != ""))
     leaf = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(depth)])
-    return rows.select("doc", "key", "pos", leaf.alias("leaf"), F.xxhash64("masked").alias("form"), "masked")
+    return rows.select("doc", "key", "pos", leaf.alias("leaf"), F.xxhash64("masked").alias("form"), (F.size("tokens") >= long_tokens).alias("long"), "masked")
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(templates, drops): (template, pattern, docs) that recur, and (doc, key, dropped positions)."""
-    lines = materialize(_forms(docs, id_col, text_col, depth, min_tokens).drop("masked"), "lines")
-    per_form = lines.groupBy("leaf", "form", "doc").agg(F.lit(1).alias("one")).groupBy("leaf", "form").agg(F.count("*").alias("docs"))
-    busy = lines.groupBy("leaf", "doc").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    per_form = per_form.join(busy, "leaf", "left_semi")
+def _agree(a: Column, b: Column) -> Column:
+    """In how many places two lines of one leaf are the same."""
+    return F.size(F.filter(F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x == y), lambda x: x))
+
+
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS, exact_docs: int = EXACT_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(templates, drops): (leaf, template, pattern, docs) that recur, and (doc, key, dropped positions)."""
+    lines = materialize(_forms(docs, id_col, text_col, depth, min_tokens, long_tokens).drop("masked"), "lines")
+    per_form = lines.groupBy("leaf", "form", "long", "doc").agg(F.lit(1).alias("one")).groupBy("leaf", "form", "long").agg(F.count("*").alias("docs"))
+    busy = lines.groupBy("leaf", "doc").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", F.lit(True).alias("busy"))
+    per_form = per_form.join(busy, "leaf", "left").withColumn("exact", F.col("long") & (F.col("docs") >= exact_docs))
+    per_form = materialize(per_form.where("exact or busy").drop("long"), "counts")
     texts = _forms(docs, id_col, text_col, depth, min_tokens).select("leaf", "form", "masked")
-    texts = texts.join(busy, "leaf", "left_semi").groupBy("leaf", "form").agg(F.min("masked").alias("masked"))
-    forms = materialize(per_form.join(texts, ["leaf", "form"]), "forms")
+    text_of = lambda some: texts.join(some, "leaf", "left_semi").groupBy("leaf", "form").agg(F.min("masked").alias("masked"))
+    tree = per_form.where("busy")
+    forms = materialize(tree.select("leaf", "form", "docs").join(text_of(tree.select("leaf").distinct()), ["leaf", "form"]), "forms")
     leader = forms.groupBy("leaf").agg(F.max(F.struct("docs", "form", "masked")).alias("m")).select("leaf", F.col("m.form").alias("leader"), F.col("m.masked").alias("pattern"))
-    a, b = F.split("masked", " "), F.split("pattern", " ")
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
-    joined = forms.join(leader, "leaf").withColumn("like", same >= similar * F.size(b))
-    general = joined.select("leaf", "form", "docs", F.when(F.col("like"), F.col("leader")).otherwise(F.col("form")).alias("template"), F.when(F.col("like"), F.col("pattern")).otherwise(F.col("masked")).alias("pattern"), "masked")
+    joined = forms.join(leader, "leaf").withColumn("like", _agree(F.col("masked"), F.col("pattern")) >= similar * F.size(F.split("pattern", " ")))
+    general = joined.select("leaf", "form", F.when(F.col("like"), F.col("leader")).otherwise(F.col("form")).alias("template"), F.when(F.col("like"), F.col("pattern")).otherwise(F.col("masked")).alias("pattern"), "masked")
     general = materialize(general, "templates")
-    hit = lines.join(general.select("leaf", "form", "template"), ["leaf", "form"])
-    by_doc = hit.groupBy("leaf", "template", "doc").agg(F.min(F.struct("key", "pos")).alias("at"))
-    known = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "at")).alias("first")).where(F.col("n_docs") >= min_docs)
-    known = materialize(known, "recurring")
+    groups = per_form.join(general.select("leaf", "form", "template"), ["leaf", "form"], "left").select("leaf", "form", "exact", F.coalesce("template", "form").alias("template"))
+    hits = materialize(lines.drop("long").join(groups, ["leaf", "form"]), "hits")
+
+    def first(name: str, least: int, rows: DataFrame) -> DataFrame:
+        by_doc = rows.groupBy("leaf", name, "doc").agg(F.min(F.struct("key", "pos")).alias("at"))
+        return by_doc.groupBy("leaf", name).agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "at")).alias("first")).where(F.col("n_docs") >= least)
+
+    known = materialize(first("template", min_docs, hits), "recurring")
+    single = materialize(first("form", exact_docs, hits.where("exact").join(known, ["leaf", "template"], "left_anti")), "repeats")
     field = F.array_join(F.zip_with(F.split("pattern", " "), F.split("masked", " "), lambda x, y: F.when(x == y, x).otherwise(F.lit("<*>"))), " ")
     templates = general.join(known, ["leaf", "template"]).groupBy("leaf", "template").agg(F.min(field).alias("pattern"), F.max("n_docs").alias("docs"))
-    bad = general.join(known, ["leaf", "template"]).select("leaf", "form", "first")
-    gone = lines.join(bad, ["leaf", "form"]).where(~((F.col("doc") == F.col("first.doc")) & (F.col("key") == F.col("first.at.key")) & (F.col("pos") == F.col("first.at.pos"))))
+    named = texts.join(single, ["leaf", "form"], "left_semi").groupBy("leaf", "form").agg(F.min("masked").alias("pattern"))
+    templates = templates.union(single.join(named, ["leaf", "form"]).select("leaf", "form", "pattern", F.col("n_docs").alias("docs")))
+    bad = hits.join(known.select("leaf", "template", "first"), ["leaf", "template"]).select("doc", "key", "pos", "first")
+    bad = bad.union(hits.join(single.select("leaf", "form", "first"), ["leaf", "form"]).select("doc", "key", "pos", "first"))
+    gone = bad.where(~((F.col("doc") == F.col("first.doc")) & (F.col("key") == F.col("first.at.key")) & (F.col("pos") == F.col("first.at.pos"))))
     drops = gone.groupBy("doc", "key").agg(F.collect_set("pos").alias("dropped"))  # at most the lines of one document
     return templates, drops
 

@@ -349,6 +349,19 @@ def test_line_dedup(spark):
     assert lines.drop_recurring(docs.limit(0)).count() == 0 and lines.drop_recurring(docs, min_docs=13).where("__n_dropped > 0").count() == 0
 
 
+def test_long_repeats_go_from_two_documents_on(spark):
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage, line, short = own(60), own(10), own(9)
+    texts = [f"{own(12)}\n{passage} {i}\n{line if i < 2 else own(10)}\n{short}\n{own(12)}" for i in range(3)]
+    out = {r["doc_id"]: r["text"].split("\n") for r in lines.drop_recurring(make(spark, texts)).collect()}
+    cut = [t.split("\n") for t in texts]
+    assert [out[i] for i in range(3)] == [cut[0], [cut[1][0], *cut[1][3:]], [cut[2][0], *cut[2][2:]]]
+    templates, _ = lines.recurring(make(spark, texts))
+    assert sorted((r["pattern"], r["docs"]) for r in templates.collect()) == sorted([(f"{passage} <*>", 3), (line, 2)])
+    assert lines.drop_recurring(make(spark, texts), exact_docs=4).where("__n_dropped > 0").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
