@@ -1,11 +1,16 @@
 """Line dedup by a log-template tree. Native: DataFrame functions only.
 
 A line is parsed at fixed depth: number of tokens, then its leading tokens; tokens with digits are variable fields from
-the start. In each leaf of that tree the line form that most documents have is the leader; forms that agree with it in
-`similar` of all places share its template, in which the places that differ are further variable fields. Other forms are
-templates of their own. A template that recurs in `min_docs` documents or more is dropped from all documents but the
-first that has it (least id); there its first line stays. A line of `long_tokens` tokens or more, and in no such template,
-is dropped likewise if its very form (digits masked) recurs in `exact_docs` documents.
+the start. A leaf of that tree holds a list of groups, each with a leader: the form with the most documents in reach,
+then, in rounds, that of the forms no leader has taken, until none has `min_docs` documents in reach. A form joins the
+leader it agrees with most, in `similar` of all places at least; the places that differ are further variable fields. Other
+forms are templates of their own. A template that recurs in `min_docs` documents or more is dropped from all documents
+but the first that has it (least id); there its first line stays. A line of `long_tokens` tokens or more, and in no such
+template, is dropped likewise if its very form (digits masked) recurs in `exact_docs` documents.
+
+What is in reach is bounded without pairs: two forms that agree that far have one of `n_differ + 1` runs of places in
+common, so a form reaches no more documents than the groups that share a run with it hold. A round ends when every leaf
+has its next leader; forms that share no run with others need none.
 
 Lines are counted by 64-bit hashes; a form's text is only read in leaves that enough documents reach. Hot lines shrink
 to one row a task before any shuffle by template; joins on a hot form are split by adaptive execution.
@@ -17,6 +22,8 @@ empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +58,42 @@ def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x == y), lambda x: x))
 
 
+def _runs(masked: Column, depth: int, similar: float) -> Column:
+    """Hashes of the runs of places behind the leading ones: one more than places may differ, so alike forms share one."""
+
+    def of(tokens: Column) -> Column:
+        k = F.floor(F.size(tokens) * F.lit(1 - similar) + F.lit(1e-6)).cast("int") + 1
+        m = F.greatest(F.size(tokens) - depth, F.lit(0))
+        cut = lambda j: F.floor(j * m / k).cast("int")
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64(j, F.array_join(F.slice(tokens, cut(j) + depth + 1, cut(j + 1) - cut(j)), " ")))
+
+    return F.flatten(F.transform(F.array(F.split(masked, " ")), of))  # so that a line is split once, not for each run
+
+
+def leaders(forms: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame | None:
+    """(leaf, leader, pattern, round) from (leaf, form, docs, masked); None if no leaf has a group of several forms."""
+    several = forms.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
+    pool = forms.join(several, "leaf", "left_semi").withColumn("runs", _runs(F.col("masked"), depth, similar)).withColumn("lead", F.lit(True))
+    pool, found, n = materialize(pool, "runs"), [], 0
+    while True:
+        runs = pool.select("leaf", "form", "docs", F.explode("runs").alias("run"))
+        shared = runs.groupBy("leaf", "run").agg(F.sum("docs").alias("held"), F.count("*").alias("n")).where("n > 1").drop("n")
+        reach = runs.join(shared, ["leaf", "run"]).groupBy("leaf", "form").agg(F.sum(F.col("held") - F.col("docs")).alias("others"), F.max("held").alias("held"))
+        near = materialize(pool.join(reach, ["leaf", "form"]), "reach")  # forms without a run in common are out
+        able = near.where(F.col("lead") & (F.col("docs") + F.col("others") >= min_docs))
+        lead = able.groupBy("leaf").agg(F.max(F.struct("held", "docs", "form", "masked")).alias("m")).select("leaf", F.col("m.form").alias("leader"), F.col("m.masked").alias("pattern"))
+        like = _agree(F.col("masked"), F.col("pattern")) >= similar * F.size(F.split("pattern", " "))
+        met = materialize(near.drop("others", "held").join(lead, "leaf").withColumn("like", like), "met")
+        if not met.take(1):
+            break
+        held = met.where("like").groupBy("leaf", "leader").agg(F.sum("docs").alias("held"), F.max("pattern").alias("pattern")).where(F.col("held") >= min_docs)
+        found.append(held.select("leaf", "leader", "pattern", F.lit(n).alias("round")))
+        taken = held.select("leaf", F.lit(True).alias("taken"))
+        rest = met.join(taken, "leaf", "left").where("not (like and taken is not null)")
+        pool, n = rest.select("leaf", "form", "docs", "masked", "runs", (F.col("lead") & (F.col("form") != F.col("leader"))).alias("lead")), n + 1
+    return reduce(DataFrame.union, found) if found else None
+
+
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS, exact_docs: int = EXACT_DOCS) -> tuple[DataFrame, DataFrame]:
     """(templates, drops): (leaf, template, pattern, docs) that recur, and (doc, key, dropped positions)."""
     lines = materialize(_forms(docs, id_col, text_col, depth, min_tokens, long_tokens).drop("masked"), "lines")
@@ -62,9 +105,13 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     text_of = lambda some: texts.join(some, "leaf", "left_semi").groupBy("leaf", "form").agg(F.min("masked").alias("masked"))
     tree = per_form.where("busy")
     forms = materialize(tree.select("leaf", "form", "docs").join(text_of(tree.select("leaf").distinct()), ["leaf", "form"]), "forms")
-    leader = forms.groupBy("leaf").agg(F.max(F.struct("docs", "form", "masked")).alias("m")).select("leaf", F.col("m.form").alias("leader"), F.col("m.masked").alias("pattern"))
-    joined = forms.join(leader, "leaf").withColumn("like", _agree(F.col("masked"), F.col("pattern")) >= similar * F.size(F.split("pattern", " ")))
-    general = joined.select("leaf", "form", F.when(F.col("like"), F.col("leader")).otherwise(F.col("form")).alias("template"), F.when(F.col("like"), F.col("pattern")).otherwise(F.col("masked")).alias("pattern"), "masked")
+    lead = leaders(forms, depth, similar, min_docs)
+    general = forms.select("leaf", "form", "masked", F.col("form").alias("template"), F.col("masked").alias("pattern"))
+    if lead is not None:
+        same = _agree(F.col("masked"), F.col("pattern"))
+        joined = forms.join(lead, "leaf").where(same >= similar * F.size(F.split("pattern", " ")))
+        best = joined.groupBy("leaf", "form").agg(F.max(F.struct(same.alias("same"), -F.col("round"), "leader", "pattern")).alias("m"))
+        general = forms.join(best, ["leaf", "form"], "left").select("leaf", "form", "masked", F.coalesce("m.leader", "form").alias("template"), F.coalesce("m.pattern", "masked").alias("pattern"))
     general = materialize(general, "templates")
     groups = per_form.join(general.select("leaf", "form", "template"), ["leaf", "form"], "left").select("leaf", "form", "exact", F.coalesce("template", "form").alias("template"))
     hits = materialize(lines.drop("long").join(groups, ["leaf", "form"]), "hits")

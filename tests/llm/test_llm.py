@@ -362,6 +362,21 @@ def test_long_repeats_go_from_two_documents_on(spark):
     assert lines.drop_recurring(make(spark, texts), exact_docs=4).where("__n_dropped > 0").count() == 0
 
 
+def test_two_templates_in_one_leaf(spark):
+    """Digit-free templates of one token count and prefix, each variant in one document, among unrelated lines."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    one = [f"written by {word()} for the readers of our page" for _ in range(10)]
+    two = [f"written by {word()} on behalf of all good people" for _ in range(9)]
+    few = [f"written by {word()} and never once seen again here" for _ in range(7)]
+    noise = [" ".join(["written", "by", *(word() for _ in range(7))]) for _ in range(40)]
+    texts = [*one, *two, *few, *noise]
+    out = {r["doc_id"]: r["__n_dropped"] for r in lines.drop_recurring(make(spark, texts)).collect()}
+    assert sorted(i for i in out if out[i]) == [*range(1, 10), *range(11, 19)]
+    templates, _ = lines.recurring(make(spark, texts))
+    assert sorted(r["docs"] for r in templates.collect()) == [9, 10]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
