@@ -25,21 +25,47 @@ from ripplework.session import table
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes object svg math canvas audio video datalist select option".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes object canvas audio video datalist".split())
+#: Of these an svg or math element draws no text.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+#: What may stand in a head; any other start tag, or text, ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr form fieldset".split())
 BLOCK = MARGIN | frozenset("html body div section article aside nav header footer main address li dt dd tr caption thead tbody tfoot figcaption details summary legend center".split())
 CLOSES_P = BLOCK - frozenset("html body li dt dd tr caption thead tbody tfoot summary legend".split())
 #: An opening tag ends these open elements, up to the nearest of the others.
 IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "select": ({"select"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
 SCOPES = frozenset("table td th".split())
 TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*$)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|\baria-hidden\s*=\s*["']?true|\bstyle\s*=\s*(?:"[^"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
-START = re.compile(r"""\bstart\s*=\s*["']?(-?\d{1,9})""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.S)
+INTEGER = re.compile(r"\s*(-?\d{1,9})")
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def unseen(a: dict[str, str]) -> bool:
+    """Not rendered, by the hidden attribute or its own style, of which the last declaration counts. aria-hidden is rendered."""
+    if "hidden" in a:
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for x in a.get("style", "").split(";"):
+        name, _, value = x.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        plain = value.removesuffix("important").rstrip().removesuffix("!").rstrip() if value.endswith("important") else value
+        if plain != value or not style.get(name, (False,))[0]:
+            style[name] = (plain != value, plain)
+    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] in ("hidden", "collapse")
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -58,12 +84,18 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             while len(stack) > last:
                 yield "close", stack.pop(), ""
 
+    def text(raw: str) -> Iterator[tuple[str, str, str]]:
+        words = html.unescape(raw)
+        if stack and stack[-1] == "head" and words.strip(" \t\n\f\r"):
+            yield from close({"head"}, frozenset())
+        yield "text", words, ""
+
     while True:
         m = TAG.search(page, at)
         if m is None:
             break
         if m.start() > at:
-            yield "text", html.unescape(page[at : m.start()]), ""
+            yield from text(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -74,6 +106,10 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "open", "br", ""
                 yield "close", "br", ""
             continue
+        if tag == "head" and any(x != "html" for x in stack):
+            continue
+        if stack and stack[-1] == "head" and tag not in HEAD:
+            yield from close({"head"}, frozenset())
         if tag in CLOSES_P:
             yield from close({"p"}, BLOCK - {"p"})
         if tag in IMPLIED:
@@ -91,7 +127,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         else:
             stack.append(tag)
     if at < len(page):
-        yield "text", html.unescape(page[at:]), ""
+        yield from text(page[at:])
     while stack:
         yield "close", stack.pop(), ""
 
@@ -134,6 +170,7 @@ def render(page: str | None) -> str:
     """All visible text of a page."""
     flows, hidden, pre, lists, tables = [_Flow()], 0, 0, [], []
     marks: list[bool] = []
+    drawn, selects = 0, []
     for kind, what, attrs in events(page or ""):
         flow = flows[-1]
         if kind == "text":
@@ -141,7 +178,8 @@ def render(page: str | None) -> str:
                 flow.write(what, pre > 0)
             continue
         if kind == "open":
-            gone = what in UNSEEN or what == "input" or bool(attrs and HIDDEN.search(attrs))
+            named = attributes(attrs) if attrs else {}
+            gone = what in UNSEEN or what == "input" or drawn > 0 and what in UNDRAWN or unseen(named)
             marks.append(gone)
             if gone or hidden:
                 hidden += gone
@@ -153,7 +191,7 @@ def render(page: str | None) -> str:
             if what == "pre":
                 pre += 1
             elif what in ("ul", "ol", "menu"):
-                start = START.search(attrs)
+                start = INTEGER.match(named.get("start", ""))
                 lists.append([what, int(start[1]) if start else 1])
                 flow.indent = "  " * (len(lists) - 1)
             elif what == "li":
@@ -170,6 +208,17 @@ def render(page: str | None) -> str:
                 if not tables[-1]:
                     tables[-1].append([])
                 flows.append(_Flow())
+            elif what in ("svg", "math"):
+                drawn += 1
+            elif what == "text" and drawn:
+                flow.end(1)
+            elif what == "select":
+                rows = INTEGER.match(named.get("size", ""))
+                selects.append(("multiple" in named or bool(rows) and int(rows[1]) > 1, []))
+                flows.append(_Flow())
+            elif what == "option" and selects:
+                selects[-1][1].append([("disabled" in named), "selected" in named, ""])
+                flows.append(_Flow())
             elif what == "hr":
                 flow.now.append("---")
                 flow.end(2)
@@ -190,6 +239,23 @@ def render(page: str | None) -> str:
                     flow.now = ["  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(r, widths, strict=False))]
                     flow.end(1, True)
             flow.end(2)
+        elif what == "option" and selects:
+            selects[-1][1][-1][2] = flows.pop().text()
+        elif what == "select" and selects:
+            every, options = selects.pop()
+            flows.pop()
+            # a list box shows all options; else the last one selected shows, or the first that can be
+            shown = options if every else [x for x in options if x[1]][-1:] or [x for x in options if not x[0]][:1] or options[:1]
+            for x in shown:
+                if every:
+                    flows[-1].end(1)
+                flows[-1].write(x[2], False)
+            if every:
+                flows[-1].end(1)
+        elif what in ("svg", "math"):
+            drawn -= 1
+        elif what == "text" and drawn:
+            flow.end(1)
         elif what in BLOCK:
             flow.end(2 if what in MARGIN and not lists else 1)
         if what == "pre":

@@ -336,6 +336,17 @@ def test_html():
     assert r("<div>" * 5000 + "deep" + "</div>" * 4000) == "deep" and r("<p>a<script>x") == "a" and r("a < b </nope> c") == "a < b c"
 
 
+def test_html_loses_no_visible_text():
+    r = html_text.render
+    assert r("<head><title>T</title><p>text<p>more") == "text\n\nmore" and r("<html><head><meta charset=x>bare") == "bare"
+    assert r("<head><style>no</style><noscript><img></noscript>\n</head><body>yes") == "yes"
+    assert r('<p title="the hidden river">a<p class="card hidden large">b<p data-style="display:none">c<p aria-hidden=true>d') == "a\n\nb\n\nc\n\nd"
+    assert r("a<p hidden>no</p><p HIDDEN=''>no</p><p style='color:red; DISPLAY : none !important'>no</p><p style='display:none;display:block'>b") == "a\n\nb"
+    assert r("x <svg><defs><text>no</text></defs><title>no</title><text>A</text><path/><text>B</text></svg> <math><mi>a</mi><mo>+</mo></math>") == "x\nA\nB\na+"
+    assert r("pick <select><option>a<option selected>b</select> end <select><option disabled>c<option>d</select>") == "pick b end d"
+    assert r("<select multiple><option>a<option>b</select>c") == "a\nb\nc" and r("<ol data-start=7><li>q</ol>") == "1. q"
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     own = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12))
