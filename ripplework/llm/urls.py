@@ -6,7 +6,7 @@ A url that no rule fits takes the decision of its class: allow if a member is ex
 blocked, else allow.
 
 Defined results: a null url or one without `://` has empty host and path, fits no rule, has no aliases and is allowed;
-repeated urls get equal rows; null html has no links; an empty table gives an empty result.
+repeated urls get equal rows; all links of a page count, relative ones resolved against its url; null html has no links; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +21,26 @@ from ripplework.session import materialize, table
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Hosts that redirect to the host without them.
 MIRRORS = r"^(?:www|m)\."
-LINKS = (
-    r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""",
-    r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)""",
-)
+TAGS = r"""(?i)<(?:link|meta)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+CANONICAL = r"""(?i)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|'(?:[^']*\s)?canonical[\s']|canonical[\s/>])"""
+REFRESH = r"""(?i)[\s"'/]http-equiv\s*=\s*["']?\s*refresh[\s"'/>]"""
+REFRESH_URL = r"""(?is)[\s;,]\s*url\s*=\s*["']?\s*([^"'\s]+)"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, in any of its three spellings; empty if there is none."""
+    at = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+    return F.concat(*[F.regexp_extract(tag, at, i) for i in (1, 2, 3)])
+
+
+def resolve(target: Column, host: Column, path: Column) -> Column:
+    """A link of the page at host and path as an address with `://`; empty for schemes without an authority."""
+    cut = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)  # only the path is merged
+    merged = F.when(cut == "", path).when(cut.startswith("/"), cut).otherwise(F.concat(F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", "")), cut))
+    whole = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), cut).when(target.startswith("//"), F.concat(F.lit("link:"), cut)).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit("")).otherwise(F.concat(F.lit("link://"), host, merged))
+    parts = F.regexp_extract(whole, r"(?s)^[^/]*//[^/]*(.*)$", 1)
+    kept = F.aggregate(F.split(parts, "/"), F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.when(parts.contains("/."), F.concat(F.regexp_extract(whole, r"(?s)^([^/]*//[^/]*)", 1), F.array_join(kept, "/"))).otherwise(whole)
 
 
 def _rest(url: Column) -> Column:
@@ -60,8 +75,11 @@ def redirect_edges(pages: DataFrame, url_col: str = "url", html_col: str | None
     if html_col is None:
         return edges.distinct()
     html = F.coalesce(F.col(html_col), F.lit(""))
-    found = F.filter(F.array(*[F.regexp_extract(html, p, 1) for p in LINKS]), lambda x: x != "")
-    linked = own.where(html.rlike(r"(?i)canonical|http-equiv")).select(F.col("__to").alias("a"), F.explode(found).alias("__link"))
+    own = own.withColumns({"__from": F.col("__host"), "__at": F.col("__path"), "__html": html}).where(html.rlike(r"(?i)canonical|http-equiv"))
+    tags = own.select(F.col("__to").alias("a"), "__from", "__at", F.explode(F.regexp_extract_all("__html", F.lit(TAGS), F.lit(0))).alias("__tag"))
+    tag = F.col("__tag")
+    target = F.when(tag.rlike(r"(?i)^<link"), F.when(tag.rlike(CANONICAL), _attribute(tag, "href"))).when(tag.rlike(REFRESH), F.regexp_extract(F.concat(F.lit(" "), _attribute(tag, "content")), REFRESH_URL, 1))
+    linked = tags.withColumn("__target", F.trim(target)).where("__target <> ''").withColumn("__link", resolve(F.col("__target"), F.col("__from"), F.col("__at")))
     linked = parse(linked, "__link").where("__host <> ''")
     return edges.union(linked.select("a", _address(F.col("__host"), F.col("__path")).alias("b"))).distinct()
 

@@ -328,6 +328,41 @@ def test_urls(spark):
     assert len(four) == 2 and all(r["verdict"] == "block" and r["propagated"] and r["rule"] is None for r in four)
 
 
+def test_link_edges(spark):
+    """Every canonical link and refresh in either attribute order, against html.parser and urljoin."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin, urlsplit
+
+    class Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            a = {k: v or "" for k, v in attrs}
+            if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+                self.found.append(a.get("href", "").strip())
+            if tag == "meta" and a.get("http-equiv", "").strip().lower() == "refresh" and (m := re.search(r"""[;,\s]\s*url\s*=\s*["']?([^"'\s]+)""", " " + a.get("content", ""), re.I)):
+                self.found.append(m[1])
+
+    def address(url):
+        u = urlsplit(url)
+        return "//" + re.sub(r"^(?:www|m)\.", "", u.netloc.lower()) + re.sub(r"(?:/|\.html?)$", "", u.path)
+
+    rng = random.Random(8)
+    targets = ["/de/x", "//www.Host.net/de/x", "x.html", "../up/y/", "./z?q=1", "?p=2", "http://b.com/de/./k/../l", "HTTPS://c.org/es/#t", "/go?u=http://d.com/", "mailto:a@b.c", "../../../top", "sub/page"]
+    forms = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel='canonical'/>", "<link data-href=/no href={} rel=canonical >", '<meta http-equiv="refresh" content="0;url={}">', "<meta content='5; URL={}' http-equiv=Refresh>", '<link rel="next" href="{}">', '<meta name="url" content="0;url={}">', '<link title="a > b" rel="x canonical" href="{}">']
+    rows, true = [], set()
+    for i in range(150):
+        url = f"http://www.p{i}.org" + rng.choice(["", "/", "/a/b", "/a/b/", "/a/b.html?x#y"])
+        page = "<head>" + "\n".join(rng.choice(forms).format(rng.choice(targets)) for _ in range(rng.randint(0, 4)))
+        rows.append((url, page))
+        links = Links()
+        links.found = []
+        links.feed(page)
+        true |= {(url, address(url))} | {(address(url), address(urljoin(x, urlsplit(x).path))) for t in links.found if urlsplit(x := urljoin(url, t)).netloc}
+    got = {tuple(r) for r in urls.redirect_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == true
+    rows = [(0, "http://a.net/1", '<meta content="0;url=/x" http-equiv=refresh><link rel=canonical href="//b.net/y"><link rel=canonical href="//k.com/de/1">'), (1, "http://k.com/de/1", None)]
+    assert [r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("id").collect()] == ["block", "block"]
+
+
 def test_html():
     r = html_text.render
     assert r(None) == r("") == "" and r("a  b\n c") == "a b c"
