@@ -45,7 +45,7 @@ def retrieval_top4(spark, d):
 
 @query(f"SELECT q, c, rank, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cos DESC, c DESC) AS rank FROM {_SCORES}) WHERE rank <= 4")
 def native_cosine_top4(spark, d):
-    """V03, V07."""
+    """V03."""
     return O.top_k(scores(spark, d), "q", "cos", "c", 4).select("q", "c", "rank", F.round("cos", 6).alias("cos"))
 
 
