@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import string
 import sys
 from array import array
@@ -22,6 +23,8 @@ _WHITE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()]
 _ODD = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 _SPACED = chr(256 + _ODD.index(0x20))
 _BYTES = {b: 256 + i for i, b in enumerate(_ODD)}
+#: Texts of every kind a vocabulary is tried with before its pieces are trusted.
+_PROBES = ["It's a don't: (x), \"y\"! 12,3 4th", "Ünder STRASSE ß ª µ n\u0303 e\u0301", " lead  two\n\n tab\tend ", "$$$ a$$$ b'' c's re's", "日本 語, word. \U0001f600 a\u00a0b", "http://x.org/a?b=c&d=1#e", ""]
 
 
 class Encoder:
@@ -32,6 +35,9 @@ class Encoder:
 
     A vocabulary that drops white space and case needs neither: its texts are split at all white space, and lower-cased
     first where Latin-1 holds them (elsewhere, lower-casing before normalizing could give other letters).
+
+    A text that may hold an added token (`<|endoftext|>`) is encoded in one go, as is every text of a vocabulary that
+    does not give the pieces of the probe texts the ids of the whole.
     """
 
     def __init__(self, path: str, cache: int = _CACHE):
@@ -39,8 +45,9 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache = cache
+        #: What every text with an added token has in it, whatever its case.
+        self.marks = {re.match(r"[!-/:-@\[-`{-~]*", t.content)[0] or t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         one = self.tokenizer.encode("a").ids
         self.folds = self.tokenizer.encode("A").ids == one and self.tokenizer.encode("a a").ids == one * 2
         #: White space to Python that the vocabulary takes for something else.
@@ -51,6 +58,8 @@ class Encoder:
         self.tails: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # ids of a piece that follows a space
+        self.whole = False
+        self.whole = self.encode_all(_PROBES) != self.raw(_PROBES)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,6 +111,16 @@ class Encoder:
             gc.enable()
 
     def _encode_all(self, texts: list[str | None]) -> list[bytes]:
+        at_once = [i for i, t in enumerate(texts) if t and (self.whole or any(m in t for m in self.marks))]
+        if at_once:
+            out, rest = [b""] * len(texts), sorted(set(range(len(texts))).difference(at_once))
+            for some, ids in ((at_once, self.raw([texts[i] for i in at_once])), (rest, self._encode_pieces([texts[i] for i in rest]))):
+                for i, x in zip(some, ids, strict=True):
+                    out[i] = x
+            return out
+        return self._encode_pieces(texts)
+
+    def _encode_pieces(self, texts: list[str | None]) -> list[bytes]:
         if self.folds:
             pieces, again = [_folded(t or "").split() for t in texts], []
             if self.odd:

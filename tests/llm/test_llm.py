@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ripplework.llm import fingerprints, graph, html_text, jaccard, lines, mixing, packing, quality, secrets, token_files, urls
 from ripplework.llm.tokens import Encoder, public_path
@@ -226,9 +227,10 @@ def test_every_copy_has_its_place(spark, texts, tmp_path):
 
 
 def test_packing_round_trip(spark, texts):
+    texts = [*texts, *MARKED]
     docs = make(spark, texts)
     path = public_path("byte_bpe_50k.json")
-    enc = Encoder(path).tokenizer
+    enc = Tokenizer.from_file(path)  # never the encoder's own
     rows = packing.pack(docs, path, group=16).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -259,20 +261,41 @@ def test_differencing():
     assert len(w) <= -(-sum(sizes) // 1024) + 1
 
 
+#: Added tokens, glued and spaced, in either case, cut off and folded.
+MARKED = ["a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>", "<|ENDOFTEXT|> <|endoftext|", "<|startoftext|><|endoftext|>" * 3, "a <| b |> c <||endoftext|>", " <|endoftext|>  it's"]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(name):
-    e = Encoder(public_path(name))
-    texts = ["a  b", "x\n \ny", " lead", "tr ", "It's don't, 'S <|endoftext|> é́ ́x", "A  b", "", "\n\n a  ", "Ünder STRASSE ß İI ΑΣ ª²", "$$$ a$$$ b'' c's 12,3 4th", "日本 語, word.", None]
-    assert e.encode_all(texts) == e.raw([t or "" for t in texts]) == e.encode_all(texts)
+    e, fresh = Encoder(public_path(name)), Tokenizer.from_file(public_path(name))
+    assert not e.whole
+
+    def want(some):
+        return [np.array(x.ids, "<u4").tobytes() for x in fresh.encode_batch(some, add_special_tokens=False)]
+
+    texts = ["a  b", "x\n \ny", " lead", "tr ", "It's don't, 'S <|endoftext|> é́ ́x", "A  b", "", "\n\n a  ", "Ünder STRASSE ß İI ΑΣ ª²", "$$$ a$$$ b'' c's 12,3 4th", "日本 語, word.", *MARKED]
+    assert e.encode_all(texts) == want(texts) == e.encode_all(texts) and e.encode_all([None]) == [b""]
     r = random.Random(1)  # white space of every kind, marks that compose, letters whose lower case depends on the place
-    parts = [*"aBéÉßKΣςİI ª µ ÿ 中!'9\x00", "T\u0308", "\u0307", "'s", "  ", *map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x2003, 0x200B, 0x3000, 0x212A, 0x1F600))]
+    parts = [*"aBéÉßKΣςİI ª µ ÿ 中!'9\x00", "T\u0308", "\u0307", "'s", "  ", "<|endoftext|>", "<|", *map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x2003, 0x200B, 0x3000, 0x212A, 0x1F600))]
     texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(20_000)] + ["x" * 5000 + " y", "ab!" * 900]
-    assert [x for i in range(0, len(texts), 300) for x in e.encode_all(texts[i : i + 300])] == e.raw(texts)
+    assert [x for i in range(0, len(texts), 300) for x in e.encode_all(texts[i : i + 300])] == want(texts)
+
+
+def test_a_strange_vocabulary_is_encoded_whole(tmp_path):
+    import json
+
+    raw = json.load(open(public_path("byte_bpe_50k.json")))
+    raw["pre_tokenizer"]["add_prefix_space"] = True
+    raw["normalizer"] = {"type": "Replace", "pattern": {"String": " a"}, "content": "a"}
+    (tmp_path / "odd.json").write_text(json.dumps(raw))
+    e, fresh = Encoder(f"{tmp_path}/odd.json"), Tokenizer.from_file(f"{tmp_path}/odd.json")
+    texts = ["b a c", " a a", ""]
+    assert e.encode_all(texts) == [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def test_token_files_round_trip(spark, texts):
     path = public_path("word_bpe_49k.json")
-    enc = Encoder(path).tokenizer
+    texts, enc = [*texts, *MARKED], Tokenizer.from_file(path)
     rows = sorted(token_files.read(token_files.write(make(spark, texts), path, file_ids=500)).collect(), key=lambda r: r["doc_id"])
     at = 0
     for i, (t, r) in enumerate(zip(texts, rows, strict=True)):
