@@ -1,13 +1,16 @@
 """Packing documents into near-equal windows by Karmarkar-Karp multiway differencing.
 
 A document is cut into full windows and a remainder; remainders are cut into pieces of at most `piece` tokens. For each
-group of remainders the pieces are shared out over k windows: every piece starts as a partial partition, and the two
+group of remainders (closed by tokens held) the pieces are shared out over k windows: every piece starts as a partial partition, and the two
 partial partitions with the largest spread are merged so that the large sums of one meet the small sums of the other,
-until one partition is left. k starts at the least that could do and rises whenever a window exceeds the capacity.
+until one partition is left. k starts at the least that could do and rises whenever a window exceeds the capacity; where
+that leaves much padding, as with pieces of one size, the larger pieces are cut in two and shared out again.
 
 The work is done where the documents are read: no shuffle, and memory for one group. Hot sources or copies are like any
-other rows. Defined results: null text is an empty document (its end id alone); repeated rows are packed row by row;
-an empty table gives no pieces.
+other rows. Each group, and so each task, leaves less than a window or two of padding.
+
+Defined results: null text is an empty document (its end id alone); rows are packed one by one, so repeated rows and
+equal ids each get pieces of their own and a null id stays null; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -26,7 +29,11 @@ from ripplework.session import table
 
 CAPACITY = 1024
 PIECE = 256
-GROUP = 192
+#: Tokens of remainders that are shared out together, whatever number of documents they come from.
+GROUP = 64 * CAPACITY
+#: A group whose windows hold less than 1 / SPARE of what they could is cut finer, down to pieces of LEAST tokens.
+SPARE = 1.02
+LEAST = 16
 END_ID = 0
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -49,10 +56,10 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
             merged = a[: len(a) - len(rest)] + b[:free] + [(x[0] + y[0], (x[1], y[1])) for x, y in zip(rest, reversed(a[len(a) - len(rest) :]), strict=True)]
         merged.sort(key=lambda x: -x[0])
         low = merged[-1][0] if len(merged) == k else 0
-        if low and len(merged) == k:
-            merged, lift = [(s - low, m) for s, m in merged], low
+        if low:
+            merged = [(s - low, m) for s, m in merged]
         n += 1
-        heapq.heappush(heap, (-(merged[0][0] - (merged[-1][0] if len(merged) == k else 0)), n, merged))
+        heapq.heappush(heap, (-merged[0][0], n, merged))
     out = []
     for _, members in heap[0][2] if heap else []:
         flat, stack = [], [members]
@@ -75,18 +82,25 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def pack_rows(rows: Iterator[tuple[int, bytes]], first_sequence: int, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> Iterator[tuple]:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of (doc_id, ids as bytes)."""
-    sequence, held, docs = first_sequence, [], 0
+    sequence, held, tokens = first_sequence, [], 0
 
     def flush() -> Iterator[tuple]:
-        nonlocal sequence, docs
-        for w in windows([p[2] for p in held], capacity):
+        nonlocal sequence, held, tokens
+        while True:
+            shares = windows([b - a for *_, a, b in held], capacity)
+            largest = max(b - a for *_, a, b in held)
+            if len(shares) * capacity <= SPARE * tokens + capacity or largest <= LEAST:
+                break
+            # pieces of like sizes that do not add up to a window: cut the larger ones in two
+            held = [(*d, x, y) for *d, a, b in held for x, y in (((a, (a + b) // 2), ((a + b) // 2, b)) if 2 * (b - a) > largest else ((a, b),))]
+        for w in shares:
             at = 0
             for i in w:
-                yield (*held[i], sequence, at)
-                at += held[i][2]
+                doc_id, whole, total, tail, a, b = held[i]
+                yield (doc_id, whole + a, b - a, zlib.crc32(tail[4 * a : 4 * b]), total, sequence, at)
+                at += b - a
             sequence += 1
-        held.clear()
-        docs = 0
+        held, tokens = [], 0
 
     for doc_id, ids in rows:
         total = len(ids) // 4
@@ -96,10 +110,10 @@ def pack_rows(rows: Iterator[tuple[int, bytes]], first_sequence: int, capacity:
             sequence += 1
         if rest := total - whole:
             parts = -(-rest // piece)
-            cuts = [whole + rest * i // parts for i in range(parts + 1)]
-            held += [(doc_id, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), total) for a, b in zip(cuts, cuts[1:], strict=False)]
-            docs += 1
-        if docs >= group:
+            cuts, tail = [rest * i // parts for i in range(parts + 1)], ids[4 * whole :]
+            held += [(doc_id, whole, total, tail, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+            tokens += rest
+        if tokens >= group:
             yield from flush()
     if held:
         yield from flush()

@@ -231,7 +231,7 @@ def test_packing_round_trip(spark, texts):
     docs = make(spark, texts)
     path = public_path("byte_bpe_50k.json")
     enc = Tokenizer.from_file(path)  # never the encoder's own
-    rows = packing.pack(docs, path, group=16).collect()
+    rows = packing.pack(docs, path, group=4096).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -252,6 +252,20 @@ def test_packing_round_trip(spark, texts):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_little_padding_whatever_the_length():
+    for size in (5, 37, 700, 1500):
+        rows = [(i, b"\x01\0\0\0" * size) for i in range(200_000 // size)]
+        out = list(packing.pack_rows(iter(rows), 0))
+        assert sum(r[2] for r in out) == size * len(rows)
+        assert len({r[5] for r in out}) * 1024 <= 1.03 * size * len(rows) + 1024
+
+
+def test_packing_rows_with_equal_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id bigint, text string")
+    rows = packing.pack(docs, public_path("byte_bpe_50k.json")).collect()
+    assert sorted((r["doc_id"] or 0, r["start"], r["length"]) for r in rows) == [(0, 0, 2), (1, 0, 3), (1, 0, 3), (2, 0, 1)]
+
+
 def test_differencing():
     assert sorted(sum(x) for x in ([[8, 7, 6, 5, 4][i] for i in w] for w in packing.differencing([8, 7, 6, 5, 4], 2))) == [14, 16]
     rng = random.Random(1)
