@@ -5,8 +5,9 @@ the start. A leaf of that tree holds a list of groups, each with a leader: the f
 then, in rounds, that of the forms no leader has taken, until none has `min_docs` documents in reach. A form joins the
 leader it agrees with most, in `similar` of all places at least; the places that differ are further variable fields. Other
 forms are templates of their own. A template that recurs in `min_docs` documents or more is dropped from all documents
-but the first that has it (least id); there its first line stays. A line of `long_tokens` tokens or more, and in no such
-template, is dropped likewise if its very form (digits masked) recurs in `exact_docs` documents.
+but the first that has it (least id, then least hash of the text); there its first line stays. A line of `long_tokens`
+tokens or more, and in no such template, is dropped likewise if its very form (digits masked) recurs in `exact_docs`
+documents.
 
 What is in reach is bounded without pairs: two forms that agree that far have one of `n_differ + 1` runs of places in
 common, so a form reaches no more documents than the groups that share a run with it hold. A round ends when every leaf
@@ -15,9 +16,10 @@ has its next leader; forms that share no run with others need none.
 Lines are counted by 64-bit hashes; a form's text is only read in leaves that enough documents reach. Hot lines shrink
 to one row a task before any shuffle by template; joins on a hot form are split by adaptive execution.
 
-Defined results: null text has no lines and stays null; lines with fewer than `min_tokens` tokens stay; rows equal in
-id and text count as one document; a document whose lines all go keeps its row with empty text; an empty table gives an
-empty result.
+Defined results: null text has no lines and stays null; a line without a fixed token (blank, or numbers only) is no
+template and stays; a document is an id and a text, so rows equal in both count as one and keep or lose the same lines,
+and rows with a null id (which comes first) or with equal ids but other texts count each; a document whose lines all go
+keeps its row with empty text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from ripplework.session import materialize, table
 DEPTH = 2
 SIMILAR = 0.7
 MIN_DOCS = 8
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 #: From so many tokens on a form counts as a passage, dropped when it recurs as it stands in so many documents.
 LONG_TOKENS = 10
 EXACT_DOCS = 2
@@ -41,16 +43,20 @@ FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def _forms(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, long_tokens: int = LONG_TOKENS) -> DataFrame:
-    """(doc, key, pos, leaf, form, long, masked) of every line that counts."""
+    """(doc, pos, leaf, form, long, masked) of every line with a fixed token; a document is its id and its text's hash."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"))
+    rows = docs.select(doc.alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     line = F.col("line")
     odd = line.rlike(r"[0-9\t\x0b-\r]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
     clean = F.when(odd, F.array_join(words(F.regexp_replace(line, FIELD, "<*>")), " ")).otherwise(line)  # words one space apart
-    rows = rows.select("doc", "key", "pos", clean.alias("masked")).withColumn("tokens", F.split("masked", " "))
-    rows = rows.where((F.size("tokens") >= min_tokens) & (F.col("masked") != ""))
-    leaf = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(depth)])
-    return rows.select("doc", "key", "pos", leaf.alias("leaf"), F.xxhash64("masked").alias("form"), (F.size("tokens") >= long_tokens).alias("long"), "masked")
+    rows = rows.select("doc", "pos", clean.alias("masked"))
+    blank = lambda c, x: F.replace(c, F.lit(x), F.lit(""))
+    rows = rows.withColumn("tokens", F.length("masked") - F.length(blank(F.col("masked"), " ")) + 1)
+    fixed = F.when(F.col("masked").contains("<*>"), blank(blank(F.col("masked"), "<*>"), " ") != "").otherwise(F.col("masked") != "")
+    rows = rows.where((F.col("tokens") >= min_tokens) & fixed)
+    leaf = F.xxhash64("tokens", F.substring_index("masked", " ", depth))
+    return rows.select("doc", "pos", leaf.alias("leaf"), F.xxhash64("masked").alias("form"), (F.col("tokens") >= long_tokens).alias("long"), "masked")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -82,6 +88,7 @@ def leaders(forms: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_
         near = materialize(pool.join(reach, ["leaf", "form"]), "reach")  # forms without a run in common are out
         able = near.where(F.col("lead") & (F.col("docs") + F.col("others") >= min_docs))
         lead = able.groupBy("leaf").agg(F.max(F.struct("held", "docs", "form", "masked")).alias("m")).select("leaf", F.col("m.form").alias("leader"), F.col("m.masked").alias("pattern"))
+        lead = materialize(lead, "lead")  # written, so that the join by leaf stands on plain shuffles, which are split
         like = _agree(F.col("masked"), F.col("pattern")) >= similar * F.size(F.split("pattern", " "))
         met = materialize(near.drop("others", "held").join(lead, "leaf").withColumn("like", like), "met")
         if not met.take(1):
@@ -95,16 +102,17 @@ def leaders(forms: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS, exact_docs: int = EXACT_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(templates, drops): (leaf, template, pattern, docs) that recur, and (doc, key, dropped positions)."""
-    lines = materialize(_forms(docs, id_col, text_col, depth, min_tokens, long_tokens).drop("masked"), "lines")
+    """(templates, drops): (leaf, template, pattern, docs) that recur, and (doc (id, key), dropped positions)."""
+    lines = materialize(_forms(docs, id_col, text_col, depth, min_tokens, long_tokens), "lines")
     per_form = lines.groupBy("leaf", "form", "long", "doc").agg(F.lit(1).alias("one")).groupBy("leaf", "form", "long").agg(F.count("*").alias("docs"))
     busy = lines.groupBy("leaf", "doc").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", F.lit(True).alias("busy"))
+    busy = materialize(busy, "busy")
     per_form = per_form.join(busy, "leaf", "left").withColumn("exact", F.col("long") & (F.col("docs") >= exact_docs))
     per_form = materialize(per_form.where("exact or busy").drop("long"), "counts")
-    texts = _forms(docs, id_col, text_col, depth, min_tokens).select("leaf", "form", "masked")
+    texts = lines.select("leaf", "form", "masked")
     text_of = lambda some: texts.join(some, "leaf", "left_semi").groupBy("leaf", "form").agg(F.min("masked").alias("masked"))
     tree = per_form.where("busy")
-    forms = materialize(tree.select("leaf", "form", "docs").join(text_of(tree.select("leaf").distinct()), ["leaf", "form"]), "forms")
+    forms = materialize(tree.select("leaf", "form", "docs").join(text_of(busy), ["leaf", "form"]), "forms")
     lead = leaders(forms, depth, similar, min_docs)
     general = forms.select("leaf", "form", "masked", F.col("form").alias("template"), F.col("masked").alias("pattern"))
     if lead is not None:
@@ -114,11 +122,11 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         general = forms.join(best, ["leaf", "form"], "left").select("leaf", "form", "masked", F.coalesce("m.leader", "form").alias("template"), F.coalesce("m.pattern", "masked").alias("pattern"))
     general = materialize(general, "templates")
     groups = per_form.join(general.select("leaf", "form", "template"), ["leaf", "form"], "left").select("leaf", "form", "exact", F.coalesce("template", "form").alias("template"))
-    hits = materialize(lines.drop("long").join(groups, ["leaf", "form"]), "hits")
+    hits = materialize(lines.drop("long", "masked").join(materialize(groups, "groups"), ["leaf", "form"]), "hits")
 
     def first(name: str, least: int, rows: DataFrame) -> DataFrame:
-        by_doc = rows.groupBy("leaf", name, "doc").agg(F.min(F.struct("key", "pos")).alias("at"))
-        return by_doc.groupBy("leaf", name).agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "at")).alias("first")).where(F.col("n_docs") >= least)
+        by_doc = rows.groupBy("leaf", name, "doc").agg(F.min("pos").alias("pos"))
+        return by_doc.groupBy("leaf", name).agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first")).where(F.col("n_docs") >= least)
 
     known = materialize(first("template", min_docs, hits), "recurring")
     single = materialize(first("form", exact_docs, hits.where("exact").join(known, ["leaf", "template"], "left_anti")), "repeats")
@@ -126,19 +134,19 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     templates = general.join(known, ["leaf", "template"]).groupBy("leaf", "template").agg(F.min(field).alias("pattern"), F.max("n_docs").alias("docs"))
     named = texts.join(single, ["leaf", "form"], "left_semi").groupBy("leaf", "form").agg(F.min("masked").alias("pattern"))
     templates = templates.union(single.join(named, ["leaf", "form"]).select("leaf", "form", "pattern", F.col("n_docs").alias("docs")))
-    bad = hits.join(known.select("leaf", "template", "first"), ["leaf", "template"]).select("doc", "key", "pos", "first")
-    bad = bad.union(hits.join(single.select("leaf", "form", "first"), ["leaf", "form"]).select("doc", "key", "pos", "first"))
-    gone = bad.where(~((F.col("doc") == F.col("first.doc")) & (F.col("key") == F.col("first.at.key")) & (F.col("pos") == F.col("first.at.pos"))))
-    drops = gone.groupBy("doc", "key").agg(F.collect_set("pos").alias("dropped"))  # at most the lines of one document
+    bad = hits.join(known.select("leaf", "template", "first"), ["leaf", "template"]).select("doc", "pos", "first")
+    bad = bad.union(hits.join(single.select("leaf", "form", "first"), ["leaf", "form"]).select("doc", "pos", "first"))
+    gone = bad.where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
+    drops = gone.groupBy("doc").agg(F.collect_set("pos").alias("dropped"))  # at most the lines of one document
     return templates, drops
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
     """The documents without lines of recurring templates, all columns kept; `length_col`, if given, is set anew."""
     _, drops = recurring(docs, id_col, text_col, **options)
-    drops = drops.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("dropped").alias("__dropped"))
+    drops = drops.select(F.col("doc.id").alias("__doc"), F.col("doc.key").alias("__key"), F.col("dropped").alias("__dropped"))
     rows = docs.withColumn("__line_key", F.xxhash64(text_col))
-    rows = rows.join(drops, (F.col(id_col) == F.col("__doc")) & (F.col("__line_key") == F.col("__key")), "left")
+    rows = rows.join(drops, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__line_key") == F.col("__key")), "left")
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__dropped", i)), "\n")
     text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(left)
     n = F.coalesce(F.size("__dropped"), F.lit(0))
