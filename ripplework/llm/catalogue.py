@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from ripplework.llm.fingerprints import op5_fingerprints
 from ripplework.llm.html_text import op6_html_text
 from ripplework.llm.jaccard import OP9_SQL, op9_jaccard_join
@@ -17,7 +16,7 @@ from ripplework.llm.urls import OP4_SQL, op4_url_filter
 
 def queries() -> dict:
     ops = (op1_quality_rules, op2_packing, op3_token_files, op4_url_filter, op5_fingerprints, op6_html_text, op7_mixing, op7_training_order, op8_secret_scan, op9_jaccard_join, op10_line_dedup)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
