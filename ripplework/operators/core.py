@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplework.functions import text as T
-from ripplework.session import materialize
 
 
 def rate(flag: Column) -> Column:
@@ -50,10 +50,19 @@ def first_wins(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), pos).alias("__r")).select("__r.*")
 
 
-def cross_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every row of a stated query set against every candidate; the larger side stays where it is and the query set,
-    which the caller states, is broadcast in the size Spark's own threshold allows (J07, J08)."""
-    return right.crossJoin(left)
+def cross_pairs(left: DataFrame, right: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Every row of a stated query set against every candidate.
+
+    The query set is counted: up to `rows` it is broadcast, beyond that it is dealt into blocks of about that size, and a
+    candidate goes to every block.
+    """
+    n = left.count()
+    if n <= rows:
+        return right.crossJoin(F.broadcast(left))
+    blocks = -(-n // rows)
+    q = left.withColumn("__block", F.pmod(F.xxhash64(*left.columns), F.lit(blocks)).cast("int"))
+    c = right.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return c.join(q, "__block").drop("__block")
 
 
 def record_pairs(df: DataFrame, i: str = "i", directed: bool = False, include_self: bool = False) -> DataFrame:
@@ -75,18 +84,19 @@ def average_rank(x: str, *by: str) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(x)) + (F.count("*").over(W.partitionBy(*by, x)) - 1) / F.lit(2.0)
 
 
-def auc(scores: DataFrame, query: str, score: str, positive: str) -> DataFrame:
-    """One-vs-rest ROC AUC of each query from average ranks."""
-    r = scores.withColumn("__r", average_rank(score, query))
-    p, n = F.count_if(F.col(positive)), F.count_if(~F.col(positive))
-    return r.groupBy(query).agg(((F.sum(F.when(F.col(positive), F.col("__r"))) - p * (p + 1) / F.lit(2.0)) / F.nullif((p * n).cast("double"), F.lit(0.0))).alias("auc"))
-
+def auc_recall(scores: DataFrame, query: str, score: str, candidate: str, positive: str) -> DataFrame:
+    """(query, auc, recall): one-vs-rest ROC AUC from average ranks, and the share of positives among the top n, n their number.
 
-def recall_at_class_size(scores: DataFrame, query: str, score: str, candidate: str, positive: str) -> DataFrame:
-    """Share of positives among the top n, n the number of positives."""
-    n = F.count_if(F.col(positive)).over(W.partitionBy(query))
-    k = F.row_number().over(W.partitionBy(query).orderBy(F.col(score).desc(), F.col(candidate).desc()))
-    return scores.withColumn("__n", n).withColumn("__k", k).where("__k <= __n").groupBy(query).agg(F.avg(F.col(positive).cast("double")).alias("recall"))
+    Ranks from both ends come from one sort of each query's candidates (X07, X08).
+    """
+    by = W.partitionBy(query)
+    r = scores.select(query, score, F.col(positive).alias("__y"), F.row_number().over(by.orderBy(score, candidate)).alias("__i"))
+    tied = F.count("*").over(W.partitionBy(query, score))
+    r = r.select(query, "__y", "__i", (F.rank().over(by.orderBy(score)) + (tied - 1) / F.lit(2.0)).alias("__r"), F.count("*").over(by).alias("__n"), F.count_if("__y").over(by).alias("__p"))
+    p, n = F.max("__p"), F.max("__n")
+    area = (F.sum(F.when(F.col("__y"), F.col("__r"))) - p * (p + 1) / F.lit(2.0)) / F.nullif((p * (n - p)).cast("double"), F.lit(0.0))
+    top = F.avg(F.when(F.col("__n") - F.col("__i") < F.col("__p"), F.col("__y").cast("double")))
+    return r.groupBy(query).agg(area.alias("auc"), top.alias("recall"))
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -158,14 +168,25 @@ def prefix_sum(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (),
     return df.withColumn("__l", inside).join(starts, [*by, "__cell"]).withColumn(out, F.col("__l") + F.col("__s")).drop("__cell", "__l", "__s")
 
 
+def _cut(rows: DataFrame, by: tuple[str, ...], length: int, *carry: str) -> DataFrame:
+    """(by, chunk_index, token_ids, carry's lo and hi): arrays `__tok` that start at `__at` of a stream, cut every `length`.
+
+    A piece of each chunk a row reaches is dealt out, not a row for each token.
+    """
+    first, last = F.floor(F.col("__at") / length), F.floor((F.col("__at") + F.size("__tok") - 1) / length)
+    pieces = rows.select(*by, *carry, "__at", "__tok", F.explode(F.sequence(first, last)).alias("chunk_index"))
+    begin = F.greatest(F.col("chunk_index") * length, F.col("__at"))
+    take = F.slice("__tok", (begin - F.col("__at") + 1).cast("int"), ((F.col("chunk_index") + 1) * length - begin).cast("int"))
+    packed = pieces.select(*by, "chunk_index", *carry, begin.alias("__o"), take.alias("__t")).groupBy(*by, "chunk_index")
+    packed = packed.agg(F.array_sort(F.collect_list(F.struct("__o", "__t"))).alias("__r"), *[f(c).alias(f"{c}_{n}") for c in carry for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    return packed.withColumn("token_ids", F.flatten(F.transform("__r", lambda r: r["__t"]))).drop("__r")
+
+
 def pack_chunks(docs: DataFrame, order: str, tokens: str, length: int, by: tuple[str, ...] = (), eos: str | None = None) -> DataFrame:
     """(by, chunk_index, token_ids): documents' tokens joined by `eos`, cut every `length`; a shorter tail is dropped."""
-    d = docs.withColumn("__tok", F.concat(tokens, F.array(F.lit(eos))) if eos is not None else F.col(tokens)).withColumn("__n", F.size("__tok").cast("bigint"))
-    d = prefix_sum(d, order, "__n", by, out="__at")
-    rows = d.select(*by, "__at", F.posexplode("__tok").alias("__p", "__t")).withColumn("__o", F.col("__at") + F.col("__p"))
-    rows = rows.withColumn("chunk_index", F.floor(F.col("__o") / length))
-    packed = rows.groupBy(*by, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("__o", "__t"))).alias("__r"))
-    return packed.where(F.size("__r") == length).select(*by, "chunk_index", F.transform("__r", lambda r: r["__t"]).alias("token_ids"))
+    d = docs.withColumn("__tok", F.concat(tokens, F.array(F.lit(eos))) if eos is not None else F.col(tokens))
+    d = prefix_sum(d.withColumn("__n", F.size("__tok").cast("bigint")), order, "__n", by, out="__at").where("__n > 0")
+    return _cut(d, by, length).where(F.size("token_ids") == length).select(*by, "chunk_index", "token_ids")
 
 
 def hash_order(seed, *parts: Column) -> Column:
@@ -201,13 +222,30 @@ def resume(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def effective_rank(df: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, trace, effective_rank): exp of the entropy of the Gram spectrum.
 
-    The d x d second-moment matrix has the Gram matrix's non-zero eigenvalues and is summed in parts, so no task holds a
-    group; its d^2 entries are what the last step sees.
+    The d x d second-moment matrix has the Gram matrix's non-zero eigenvalues. Outer products are summed where the vectors
+    are read, so d^2 entries a task and group are what is shuffled, and what the last step sees of a group.
     """
-    import numpy as np
+    kind = df.schema[group].dataType.simpleString()
 
-    v = df.select(group, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"), F.col(vector).cast("array<double>").alias("v"))
-    rows = v.select(group, "i", F.posexplode(F.transform("v", lambda y: y)).alias("j", "y"), "x").groupBy(group, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    def outer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for g, m in sums.items():
+                i, j = np.indices(m.shape)
+                yield pd.DataFrame({group: [g] * m.size, "i": i.ravel(), "j": j.ravel(), "s": m.ravel()})
+
+        for f in frames:
+            for g, v in f.groupby(group, dropna=False)[vector]:
+                x = np.stack(list(v)).astype(float)
+                sums[g] = sums.get(g, 0) + x.T @ x
+            if sum(m.size for m in sums.values()) > 8_000_000:
+                yield from rows()
+                sums.clear()
+        yield from rows()
+
+    rows = df.select(group, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
+    rows = rows.mapInPandas(outer, f"`{group}` {kind}, i int, j int, s double").groupBy(group, "i", "j").agg(F.sum("s").alias("s"))
 
     def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="i", columns="j", values="s").to_numpy()
@@ -215,25 +253,38 @@ def effective_rank(df: DataFrame, group: str, vector: str) -> DataFrame:
         p = lam[lam > 0] / lam.sum() if lam.sum() > 0 else np.array([])
         return pd.DataFrame({group: [pdf[group].iloc[0]], "trace": [float(lam.sum())], "effective_rank": [float(np.exp(-(p * np.log(p)).sum())) if len(p) else 0.0]})
 
-    kind = df.schema[group].dataType.simpleString()
     return rows.groupBy(group).applyInPandas(spectrum, f"`{group}` {kind}, trace double, effective_rank double")
 
 
+def _poisson(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """len(keys) x draws weights, Poisson(1) of a hash of key, draw and seed."""
+    h = keys.astype(np.int64).view(np.uint64)[:, None] + (np.arange(draws, dtype=np.uint64) + np.uint64(seed << 32) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = (h ^ (h >> np.uint64(31))) / 2.0**64
+    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(10)])
+    return np.searchsorted(cuts, u, side="right").astype(float)
+
+
 def cluster_bootstrap(matrix: DataFrame, row: str, col: str, value: str, draws: int = 200, seed: int = 0) -> DataFrame:
     """(mean, lo, hi): two-way cluster bootstrap of a matrix mean, rows and columns drawn anew, 95 % interval.
 
-    Draw counts are deterministic: row r's count in draw b is how often a hashed slot of b falls on it.
+    A row's (and a column's) count in a draw is Poisson(1) of a hash of its key and the draw, so that no ids need be
+    numbered or joined: each task sums its cells for all draws at once and hands on `draws` rows. Null cells are left out.
     """
 
-    def weights(key: str, name: str) -> DataFrame:
-        ids = matrix.select(key).distinct().withColumn("__i", F.row_number().over(W.orderBy(key)) - 1)
-        n = ids.agg(F.count("*").alias("__n"))
-        slots = n.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"), "__n").select("b", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("s"), "__n")
-        drawn = slots.withColumn("__i", F.pmod(F.xxhash64("b", "s", F.lit(seed), F.lit(name)), F.col("__n")).cast("int")).groupBy("b", "__i").agg(F.count("*").alias(name))
-        return drawn.join(ids, "__i").select("b", key, name)
-
-    j = matrix.join(weights(row, "wr"), row).join(weights(col, "wc"), [col, "b"])
-    means = j.groupBy("b").agg((F.sum(F.col(value) * F.col("wr") * F.col("wc")) / F.sum(F.col("wr") * F.col("wc"))).alias("m"))
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top, below = np.zeros(draws), np.zeros(draws)
+        for f in frames:
+            for at in range(0, len(f), 4096):
+                r, c, v = (f[x].to_numpy()[at : at + 4096] for x in ("r", "c", "v"))
+                w = _poisson(r, draws, seed) * _poisson(c, draws, seed + 1)
+                top, below = top + v @ w, below + w.sum(0)
+        yield pd.DataFrame({"b": np.arange(draws), "top": top, "below": below})
+
+    cells = matrix.select(F.xxhash64(row).alias("r"), F.xxhash64(col).alias("c"), F.col(value).cast("double").alias("v")).where("v is not null")
+    drawn = cells.mapInPandas(sums, "b int, top double, below double").groupBy("b").agg(F.sum("top").alias("top"), F.sum("below").alias("below"))
+    means = drawn.where("below > 0").select((F.col("top") / F.col("below")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.agg(F.avg("m").alias("mean"), F.get(q, F.lit(0)).alias("lo"), F.get(q, F.lit(1)).alias("hi"))
 
@@ -276,14 +327,8 @@ def retokenise(docs: DataFrame, order: str, tokens: str, source: str, convert: C
     """
     d = docs.select(order, source, F.concat(convert(F.col(tokens)), F.array(F.lit(eos))).alias("__tok"))
     d = prefix_sum(d.withColumn("__n", F.size("__tok").cast("bigint")), order, "__n", out="__at")
-    first, last = F.floor(F.col("__at") / length), F.floor((F.col("__at") + F.col("__n") - 1) / length)
-    # a piece of each chunk a document reaches, not a row for each token
-    pieces = d.select(source, "__at", "__tok", F.explode(F.sequence(first, last)).alias("chunk_index"))
-    begin = F.greatest(F.col("chunk_index") * length, F.col("__at"))
-    take = F.slice("__tok", (begin - F.col("__at") + 1).cast("int"), ((F.col("chunk_index") + 1) * length - begin).cast("int"))
-    packed = pieces.select("chunk_index", source, begin.alias("__o"), take.alias("__t")).groupBy("chunk_index").agg(F.array_sort(F.collect_list(F.struct("__o", "__t"))).alias("__r"), F.min(source).alias("__lo"), F.max(source).alias("__hi"))
-    out = packed.select("chunk_index", F.flatten(F.transform("__r", lambda r: r["__t"])).alias("token_ids"), F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise("mixed").alias("label"))
-    return out.where(F.size("token_ids") == length)
+    out = _cut(d, (), length, source).where(F.size("token_ids") == length)
+    return out.select("chunk_index", "token_ids", F.when(F.col(f"{source}_lo") == F.col(f"{source}_hi"), F.col(f"{source}_lo")).otherwise("mixed").alias("label"))
 
 
 def t_test_p(df: DataFrame, r: str, n: str, out: str = "p_value") -> DataFrame:
@@ -327,8 +372,3 @@ def _beta_p(r: float, n: float) -> float | None:
 def shards(docs: DataFrame, order: str, n_tokens: str, budget: int) -> DataFrame:
     """Adds `shard`: rows go to shard floor(tokens before / budget)."""
     return prefix_sum(docs, order, n_tokens, out="__b").withColumn("shard", F.floor(F.col("__b") / budget)).drop("__b")
-
-
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """Stage-level reuse: a written table."""
-    return materialize(df, name)

@@ -11,16 +11,16 @@ from ripplework.plans.registry import query
 from ripplework.plans.texts import DUCK_TOKENS, tokens
 from ripplework.session import table
 
-DIM, N_QUERIES = 64, 50
+DIM = 64
 _E = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
-_SCORES = f"(SELECT q.vec_id AS q, c.vec_id AS c, q.label AS ql, c.label AS cl, list_dot_product(q.e, c.e) AS s, list_dot_product(q.e, c.e) / (greatest(sqrt(list_dot_product(q.e, q.e)), 1e-12) * greatest(sqrt(list_dot_product(c.e, c.e)), 1e-12)) AS cos FROM {_E} q JOIN {_E} c ON q.vec_id < {N_QUERIES} AND q.vec_id <> c.vec_id)"
+_SCORES = f"(SELECT q.vec_id AS q, c.vec_id AS c, q.label AS ql, c.label AS cl, list_dot_product(q.e, c.e) AS s, list_dot_product(q.e, c.e) / (greatest(sqrt(list_dot_product(q.e, q.e)), 1e-12) * greatest(sqrt(list_dot_product(c.e, c.e)), 1e-12)) AS cos FROM {_E} q JOIN {_E} c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)"
 
 
-def scores(spark, d, n=N_QUERIES):
-    """A stated query set against all candidates; norms are taken before the pairs are made."""
+def scores(spark, d):
+    """A stated query set, the ids divisible by 20, against all candidates; norms are taken before the pairs are made."""
     e = table(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("e"))
     e = e.withColumn("n", V.norm(F.col("e")))
-    q = e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("e").alias("qe"), F.col("n").alias("qn"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("e").alias("qe"), F.col("n").alias("qn"))
     c = e.select(F.col("vec_id").alias("c"), F.col("label").alias("cl"), F.col("e").alias("ce"), F.col("n").alias("cn"))
     pairs = O.cross_pairs(q, c).where("q <> c").withColumn("s", V.dot_wide(F.col("qe"), F.col("ce"), DIM))
     return pairs.select("q", "c", "ql", "cl", "s", V.cosine_of(F.col("s"), F.col("qn"), F.col("cn")).alias("cos"), (F.col("ql") == F.col("cl")).alias("pos"))
@@ -32,9 +32,7 @@ a AS (SELECT q, (sum(r) FILTER (pos) - max(p) * (max(p) + 1) / 2.0) / nullif(max
 SELECT round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std, round(avg(rec), 6) AS recall_mean, round(stddev_pop(rec), 6) AS recall_std FROM a""")
 def ident_auc_recall(spark, d):
     """X07, X08, T14."""
-    s = scores(spark, d)
-    j = O.auc(s, "q", "s", "pos").join(O.recall_at_class_size(s, "q", "s", "c", "pos"), "q", "left")
-    return j.agg(*[F.round(f(c), 6).alias(n) for f, c, n in ((F.avg, "auc", "auc_mean"), (F.stddev_pop, "auc", "auc_std"), (F.avg, "recall", "recall_mean"), (F.stddev_pop, "recall", "recall_std"))])
+    return O.auc_recall(scores(spark, d), "q", "s", "c", "pos").agg(*[F.round(f(c), 6).alias(n) for f, c, n in ((F.avg, "auc", "auc_mean"), (F.stddev_pop, "auc", "auc_std"), (F.avg, "recall", "recall_mean"), (F.stddev_pop, "recall", "recall_std"))])
 
 
 @query(f"SELECT q, c, rank, round(s, 6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c DESC) AS rank FROM {_SCORES}) WHERE rank <= 4")
@@ -163,7 +161,7 @@ def effective_rank(spark, d):
 @query()
 def cluster_bootstrap(spark, d):
     """M08."""
-    return O.cluster_bootstrap(scores(spark, d, 20), "q", "c", "cos")
+    return O.cluster_bootstrap(scores(spark, d), "q", "c", "cos")
 
 
 @query("SELECT a.vec_id || ':' || b.vec_id AS pair FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id ORDER BY md5('5:' || a.vec_id || ':' || b.vec_id), 1 LIMIT 100")

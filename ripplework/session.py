@@ -31,16 +31,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where that is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`; on one machine (tests), one of our own where that is unset."""
     d = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not d:
-        d = os.path.join(tempfile.gettempdir(), f"ripplework-{os.getpid()}")  # one machine: tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        d = os.path.join(tempfile.gettempdir(), f"ripplework-{os.getpid()}")
     return d.rstrip("/")
 
 
+#: Tables written by materialize() in this process, oldest first.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ripplework/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written() -> int:
+    """A mark for discard()."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the tables written after the mark but for the last `keep`; nothing may read them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN[since : len(_WRITTEN) - keep]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del _WRITTEN[since : len(_WRITTEN) - keep]
