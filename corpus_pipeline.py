@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ripplework.llm import jaccard, lines, mixing, packing, quality
 from ripplework.llm.tokens import public_path
-from ripplework.session import materialize, table
+from ripplework.session import discard, materialize, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, from the table of documents."""
+    """All stages in turn, from the table of documents. What a stage wrote on its way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = written()
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, mark)
     return STAGES[-1][1](spark, docs, sf_dir)
