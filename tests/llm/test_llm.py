@@ -128,29 +128,64 @@ def test_rules_find_the_junk(spark):
     assert quality.keep(docs, labels.limit(0)).count() == 400 and quality.keep(docs.limit(0), labels).count() == 0
 
 
+#: The added rules as Python reads them.
+MORE = [(r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1), (r"(?:ghp|gho|ghs|github_pat|xox[abp]|sk_live)[_-][A-Za-z0-9_-]+", 20), (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30)]
+
+
 def brute_spans(t):
     out = []
-    for k, (kind, p, g, least) in enumerate(secrets.BASE_RULES):
-        p = p.replace("[0-9a-f]{24,}", "[0-9a-f]+")
-        out += [(m.start(), k, kind, m.end()) for m in re.finditer(p.replace("(?i:", "(?i:"), t or "", re.A) if len(m[g]) >= least]
+    base = [(p.replace("[0-9a-f]{24,}", "[0-9a-f]+"), g, least) for _, p, g, least in secrets.BASE_RULES]
+    for k, (p, g, least) in enumerate(base + [(p, 0, least) for p, least in MORE]):
+        out += [(m.start(), k, secrets.RULES[k][0], m.end()) for m in re.finditer(p, t or "", re.A) if len(m[g]) >= least]
     return sorted(out)
 
 
+def scanned(spark, docs):
+    ledger = secrets.new_ledger(spark)
+    return secrets.findings(secrets.update_ledger(docs, ledger, "doc_id"), ledger).collect()
+
+
 def test_secret_spans(spark):
     texts = [None, "", "é😀 password: hunter22 x", "secret:token : abcdefgh", 'API_KEY="abc" apikey = "Abc+/=_.-9"', "AKIA" + "A1" * 10 + " AKIASHORT", "deadbeef" * 4 + " x " + "0" * 23, "token=AKIA" + "Z" * 16, "passwd=abcdef" * 2, "password=abcdefgh"] * 2
-    got = {r["path"]: [(x["start"], x["ord"], x["kind"], x["end"]) for x in r["found"] if x["ord"] < 3] for r in secrets.findings(make(spark, texts), path_col="doc_id").collect()}
+    rng = random.Random(4)
+    bits = ["token", "api_key", "PASSWORD", '"', "=", ":", " ", "a1b2c3d4e5f60718293a4b5c", "AKIA", "ABCDEFGH01234567", "abc", "😀", "\n", "eyJab", ".", "cd-_" * 8, "ghp_", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "xoxb-"]
+    texts += ["".join(rng.choices(bits, k=rng.choice((5, 30, 400)))) for _ in range(300)]
+    texts += ["x" * 3 + "0123456789abcdef01234567 " * 3000 + "secret=abcdef"]  # more matches than one run holds
+    got = {r["path"]: [tuple(x[c] for c in ("start", "ord", "kind", "end")) for x in r["found"]] for r in scanned(spark, make(spark, texts))}
     assert got == {i: brute_spans(t) for i, t in enumerate(texts)}
+    assert len(got[len(texts) - 1]) == 3001
+    assert scanned(spark, make(spark, texts).limit(0)) == []
+
+
+@pytest.mark.parametrize("piece", ["0123456789abcdef01234567 ", "eyJ", "secret  ", "-----BEGIN AAA ", "token=abcdef ", "AKIA"])
+def test_secrets_of_long_hostile_texts(spark, piece):
+    import time
+
+    docs = make(spark, [piece * (1_000_000 // len(piece))])
+    scanned(spark, docs)
+    t = time.time()
+    scanned(spark, docs)
+    assert time.time() - t < 10
 
 
 def test_ledger_is_incremental(spark):
-    docs = make(spark, ["password=abcdefgh", "plain"])
-    paths, ledger = secrets.update_ledger(docs, None, "doc_id")
-    assert ledger.count() == 2
-    more = make(spark, ["password=abcdefgh", "plain", "token: zyxwvuts"])
-    _, after = secrets.update_ledger(more, ledger, "doc_id")
-    assert after.count() == 3
-    f = {r["path"]: len(r["found"]) for r in secrets.findings(more, ledger, "doc_id").collect()}
-    assert f == {0: 1, 1: 0, 2: 1}
+    ledger = secrets.new_ledger(spark)
+    count = lambda: secrets.read_ledger(spark, ledger).count()
+    assert count() == 0
+    secrets.update_ledger(make(spark, ["password=abcdefgh", "plain", "plain"]), ledger, "doc_id")
+    assert count() == 2
+    more = make(spark, ["password=abcdefgh", "plain", "token: zyxwvuts", None, None])
+    paths = secrets.update_ledger(more, ledger, "doc_id")
+    assert count() == 4
+    assert sorted((r["path"], len(r["found"])) for r in secrets.findings(paths, ledger).collect()) == [(0, 1), (1, 0), (2, 1), (3, 0), (4, 0)]
+    secrets.update_ledger(more, ledger, "doc_id")
+    assert count() == 4
+    few = secrets.RULES[:2]  # other rules have seen nothing
+    assert secrets.rules_version(few) != secrets.rules_version()
+    paths = secrets.update_ledger(more, ledger, "doc_id", rules=few)
+    assert count() == 8
+    twice = secrets.update_ledger(make(spark, ["token: zyxwvuts"] * 2).select(F.lit(None).cast("long").alias("doc_id"), "text"), ledger, "doc_id")
+    assert [len(r["found"]) for r in secrets.findings(twice, ledger).collect()] == [1, 1]
 
 
 def test_mix(spark, texts):
