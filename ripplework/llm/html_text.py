@@ -1,18 +1,25 @@
 """HTML extraction by layout-aware rendering.
 
 A tree builder turns a page into open, close and text events: end tags that may be left out are implied, void and raw
-elements are known, stray end tags are ignored. A renderer applies visibility rules and writes all visible text: blocks
-on lines of their own with blank lines where margins stand, list items with bullets or numbers, table cells in aligned
-columns, preformatted text as it is. Both keep explicit stacks, so depth is bounded by memory only.
+elements are known, stray end tags are ignored. A renderer applies visibility rules (the hidden attribute, style
+attributes, and rules of style elements whose selectors name one element by tag, class and id) and writes all visible
+text: blocks on lines of their own with blank lines where margins stand, list items with bullets or numbers, table cells
+in aligned columns over column and row spans, preformatted text as it is.
 
-Defined results: null or empty html gives empty text; text without tags is itself, white space collapsed; repeated rows
-are rendered row by row; an empty table gives an empty result.
+A page is read forward once, and open elements are found by name, so the time is linear in the page. Layout, never text,
+is bounded for that: indents stop growing at 32 levels, a column is padded to 80 places at most, and tables deeper than
+16 in one another or wider than 250 columns are written without alignment.
+
+Defined results: null or empty html gives empty text; text without tags is itself, white space collapsed; a tag or comment
+that never ends hides what follows, as in a browser; repeated rows, null and equal ids are rendered row by row; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +48,16 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 SCOPES = frozenset("table td th".split())
-TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*$)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
+MARKUP = re.compile(r"<(?=[A-Za-z!?]|/[^\s])")
+NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+#: Up to the tag's end: a quote counts behind an equals sign only. Nothing is ever tried again.
+INSIDE = re.compile(r"""(?>[^>=]+|=\s*(?:"[^"]*"|'[^']*'|))*+""")
+COMMENT_END = re.compile(r"--!?>")
+#: Rules for some media or conditions only are passed over.
+RULE = re.compile(r"@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\}?)?|([^{}@]*+)\{([^{}]*+)\}")
+SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+MAX_INDENT, MAX_PAD, MAX_DEPTH, MAX_COLUMNS = 32, 80, 16, 250
 ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.S)
 INTEGER = re.compile(r"\s*(-?\d{1,9})")
 
@@ -54,35 +70,84 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def unseen(a: dict[str, str]) -> bool:
-    """Not rendered, by the hidden attribute or its own style, of which the last declaration counts. aria-hidden is rendered."""
-    if "hidden" in a:
-        return True
-    style: dict[str, tuple[bool, str]] = {}
-    for x in a.get("style", "").split(";"):
+Decls = dict[str, tuple[bool, str]]
+
+
+def declarations(text: str) -> Decls:
+    """(important, value) of display and visibility; of equally important declarations the last counts."""
+    out: Decls = {}
+    for x in text.split(";"):
         name, _, value = x.partition(":")
         name, value = name.strip().lower(), value.strip().lower()
-        plain = value.removesuffix("important").rstrip().removesuffix("!").rstrip() if value.endswith("important") else value
-        if plain != value or not style.get(name, (False,))[0]:
-            style[name] = (plain != value, plain)
-    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+        if name in ("display", "visibility"):
+            plain = value.removesuffix("important").rstrip().removesuffix("!").rstrip() if value.endswith("important") else value
+            if plain != value or not out.get(name, (False,))[0]:
+                out[name] = (plain != value, plain)
+    return out
+
+
+class Styles:
+    """Rules of style elements on display and visibility, by the id, class or tag they name."""
+
+    def __init__(self, sheets: list[str]):
+        self.by: dict[str, dict[tuple[str, frozenset[str]], tuple[tuple, Decls]]] = {}
+        n = 0
+        for sheet in sheets:
+            for m in RULE.finditer(re.sub(r"/\*(?:[^*]|\*(?!/))*+(?:\*/|$)", " ", sheet)):
+                said = declarations(m[2] or "")
+                for one in m[1].rsplit(";", 1)[-1].split(",") if said else ():
+                    got = SELECTOR.fullmatch(one.strip())
+                    if got is None or not one.strip():
+                        continue
+                    tag, names = (got[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", got[2] or ""))
+                    n += 1
+                    weight = (sum(x[0] == "#" for x in names), sum(x[0] == "." for x in names), tag != "*", n)
+                    same = self.by.setdefault(max(names, default=tag), {})
+                    before = same.get((tag, names), (weight, {}))[1]
+                    same[tag, names] = weight, before | {k: v for k, v in said.items() if v[0] or not before.get(k, v)[0]}
+
+    def of(self, tag: str, named: dict[str, str]) -> tuple[bool, bool | None]:
+        """(not rendered, visible or None where the parent decides) of an element."""
+        best: dict[str, tuple] = {"display": ((False, -1), "none")} if "hidden" in named else {}
+
+        def say(said: Decls, weight: tuple) -> None:
+            for what, (important, value) in said.items():
+                if what not in best or (important, *weight) >= best[what][0]:
+                    best[what] = ((important, *weight), value)
+
+        if self.by:
+            own = {"." + c for c in named.get("class", "").split()} | ({"#" + named["id"].strip()} if "id" in named else set())
+            for key in (*own, tag, "*"):
+                for (of_tag, names), (weight, said) in self.by.get(key, {}).items():
+                    if of_tag in (tag, "*") and names <= own:
+                        say(said, (0, *weight))
+        if "style" in named:
+            say(declarations(named["style"]), (1,))
+        seen = best.get("visibility", ((), None))[1]
+        return best.get("display", ((), ""))[1] == "none", None if seen in (None, "inherit") else seen not in ("hidden", "collapse")
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("open", tag, attributes), ("close", tag, "") and ("text", text, ""), properly nested."""
     stack: list[str] = []
+    places: dict[str, list[int]] = {}  # where each name stands on the stack
     at = 0
 
-    def close(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> Iterator[tuple[str, str, str]]:
-        last = None
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i] in tags:
-                last = i
-            elif stack[i] in stop:
-                break
-        if last is not None:
+    def pop() -> tuple[str, str, str]:
+        tag = stack.pop()
+        places[tag].pop()
+        return "close", tag, ""
+
+    def close(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str], nearest: bool = False) -> Iterator[tuple[str, str, str]]:
+        """Ends all elements from the outermost (or nearest) of `tags` on that no `stop` stands over."""
+        if not any(places.get(t) for t in tags):
+            return
+        wall = max((places[s][-1] for s in stop if s not in tags and places.get(s)), default=-1)
+        ends = [places[t][-1 if nearest else bisect_right(places[t], wall)] for t in tags if places.get(t) and places[t][-1] > wall]
+        if ends:
+            last = min(ends)
             while len(stack) > last:
-                yield "close", stack.pop(), ""
+                yield pop()
 
     def text(raw: str) -> Iterator[tuple[str, str, str]]:
         words = html.unescape(raw)
@@ -90,18 +155,26 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             yield from close({"head"}, frozenset())
         yield "text", words, ""
 
-    while True:
-        m = TAG.search(page, at)
-        if m is None:
-            break
-        if m.start() > at:
-            yield from text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    while (m := MARKUP.search(page, at)) is not None:
+        begin = m.start()
+        if begin > at:
+            yield from text(page[at:begin])
+        named = NAME.match(page, begin)
+        if named is None:  # a comment, a declaration or what is read as one
+            if page.startswith("<!--", begin):
+                end = COMMENT_END.search(page, begin + 2)
+                at = end.end() if end else len(page)
+            else:
+                at = page.find(">", begin) + 1 or len(page)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            yield from close({tag}, SCOPES - {tag} if tag not in BLOCK or tag in ("li", "p") else frozenset() if tag == "table" else SCOPES - {"td", "th"})
+        inside = INSIDE.match(page, named.end())
+        at = inside.end() + 1
+        if at > len(page):  # never ends
+            at = len(page)
+            break
+        tag, attrs = named[1].lower(), inside[0]
+        if page[begin + 1] == "/":
+            yield from close({tag}, SCOPES - {tag} if tag not in BLOCK or tag in ("li", "p") else frozenset() if tag == "table" else SCOPES - {"td", "th"}, nearest=True)
             if tag == "br":
                 yield "open", "br", ""
                 yield "close", "br", ""
@@ -114,22 +187,23 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             yield from close({"p"}, BLOCK - {"p"})
         if tag in IMPLIED:
             yield from close(*IMPLIED[tag])
-        yield "open", tag, m[3] or ""
-        if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCK:
+        yield "open", tag, attrs
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             yield "close", tag, ""
         elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            end = RAW_END[tag].search(page, at)
             stop = end.start() if end else len(page)
             if stop > at:
                 yield "text", html.unescape(page[at:stop]) if tag in ("textarea", "title") else page[at:stop], ""
             yield "close", tag, ""
             at = page.find(">", stop) + 1 if end and page.find(">", stop) >= 0 else len(page)
         else:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(tag)
     if at < len(page):
         yield from text(page[at:])
     while stack:
-        yield "close", stack.pop(), ""
+        yield pop()
 
 
 class _Flow:
@@ -166,26 +240,86 @@ class _Flow:
         return "\n".join(self.lines).strip("\n")
 
 
+class _Table:
+    """Cells by row and first column; columns that a cell of an earlier row spans are left free."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
+        self.busy: dict[int, int] = {}  # the last row in which a column is taken from above
+        self.span = (1, 1)
+
+    def row(self) -> None:
+        self.rows.append([])
+
+    def cell(self, named: dict[str, str]) -> None:
+        if not self.rows:
+            self.row()
+
+        def number(name: str, most: int) -> int:
+            m = INTEGER.match(named.get(name, ""))
+            return min(max(1, int(m[1])), most) if m else 1
+
+        self.span = (number("colspan", MAX_COLUMNS), number("rowspan", 65_534))
+
+    def put(self, text: str) -> None:
+        row, (wide, high) = self.rows[-1], self.span
+        at = row[-1][0] + row[-1][1] if row else 0
+        if at < MAX_COLUMNS:
+            while at < MAX_COLUMNS and self.busy.get(at, -1) >= len(self.rows) - 1:
+                at += 1
+            if high > 1:
+                self.busy.update(dict.fromkeys(range(at, at + wide), len(self.rows) + high - 2))
+        row.append((at, wide, text.split("\n")))
+
+    def lines(self) -> Iterator[str]:
+        rows = [r for r in self.rows if any(c != [""] for _, _, c in r)]
+        columns = sorted({at for r in rows for at, _, _ in r})
+        aligned = not columns or columns[-1] < MAX_COLUMNS
+        widths = dict.fromkeys(columns, 0)
+        for r in rows if aligned else ():
+            for at, wide, cell in r:
+                if wide == 1:
+                    widths[at] = max(widths[at], min(MAX_PAD, max(map(len, cell))))
+        begin, x = {}, 0
+        for c in columns:
+            begin[c], x = x, x + widths[c] + 2
+        for r in rows:
+            for i in range(max(len(c) for _, _, c in r)):
+                line: list[str] = []
+                x = 0
+                for at, _, cell in r:
+                    if i < len(cell) and cell[i]:
+                        gap = max(begin[at] - x, 2 if x else 0) if aligned else (2 if x else 0)
+                        line.append(" " * gap + cell[i])
+                        x += gap + len(cell[i])
+                yield "".join(line)
+
+
 def render(page: str | None) -> str:
     """All visible text of a page."""
-    flows, hidden, pre, lists, tables = [_Flow()], 0, 0, [], []
-    marks: list[bool] = []
-    drawn, selects = 0, []
-    for kind, what, attrs in events(page or ""):
+    parts = list(events(page or ""))
+    styles = Styles([parts[i + 1][1] for i, e in enumerate(parts[:-1]) if e[:2] == ("open", "style") and parts[i + 1][0] == "text"])
+    flows, gone, pre, lists, tables = [_Flow()], 0, 0, [], []
+    marks: list[tuple[bool, bool]] = []  # not rendered; what was visible around
+    shown, drawn, selects = True, 0, []
+    for kind, what, attrs in parts:
         flow = flows[-1]
         if kind == "text":
-            if not hidden:
+            if not gone and shown:
                 flow.write(what, pre > 0)
             continue
         if kind == "open":
             named = attributes(attrs) if attrs else {}
-            gone = what in UNSEEN or what == "input" or drawn > 0 and what in UNDRAWN or unseen(named)
-            marks.append(gone)
-            if gone or hidden:
-                hidden += gone
+            none, visible = styles.of(what, named) if named or styles.by else (False, None)
+            none = none or what in UNSEEN or what == "input" or drawn > 0 and what in UNDRAWN or what == "dialog" and "open" not in named
+            marks.append((none, shown))
+            if visible is not None:
+                shown = visible
+            if none or gone:
+                gone += none
                 continue
             if what == "br":
-                flow.end(0, bool(flow.now))
+                flow.end(0, shown)
             elif what in BLOCK:
                 flow.end(2 if what in MARGIN and not lists else 1)
             if what == "pre":
@@ -193,21 +327,23 @@ def render(page: str | None) -> str:
             elif what in ("ul", "ol", "menu"):
                 start = INTEGER.match(named.get("start", ""))
                 lists.append([what, int(start[1]) if start else 1])
-                flow.indent = "  " * (len(lists) - 1)
+                flow.indent = "  " * min(len(lists) - 1, MAX_INDENT)
             elif what == "li":
                 if lists and lists[-1][0] == "ol":
-                    flow.now.append(f"{lists[-1][1]}. ")
+                    if shown:
+                        flow.now.append(f"{lists[-1][1]}. ")
                     lists[-1][1] += 1
-                else:
+                elif shown:
                     flow.now.append("- ")
             elif what == "table":
-                tables.append([])
-            elif what == "tr" and tables:
-                tables[-1].append([])
-            elif what in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
+                tables.append(_Table() if len(tables) < MAX_DEPTH else None)
+            elif what == "tr" and tables and tables[-1]:
+                tables[-1].row()
+            elif what in ("td", "th") and tables and tables[-1]:
+                tables[-1].cell(named)
                 flows.append(_Flow())
+            elif what in ("td", "th") and tables and flow.now:
+                flow.now.append("  ")
             elif what in ("svg", "math"):
                 drawn += 1
             elif what == "text" and drawn:
@@ -219,25 +355,23 @@ def render(page: str | None) -> str:
             elif what == "option" and selects:
                 selects[-1][1].append([("disabled" in named), "selected" in named, ""])
                 flows.append(_Flow())
-            elif what == "hr":
+            elif what == "hr" and shown:
                 flow.now.append("---")
                 flow.end(2)
             continue
-        gone = marks.pop()
-        if gone or hidden:
-            hidden -= gone
+        none, around = marks.pop()
+        was, shown = shown, around
+        if none or gone:
+            gone -= none
             continue
-        if what in ("td", "th") and tables and len(flows) > 1:
-            tables[-1][-1].append(flows.pop().text())
+        if what in ("td", "th") and tables and tables[-1] and len(flows) > 1:
+            tables[-1].put(flows.pop().text())
         elif what == "table" and tables:
-            rows = [r for r in tables.pop() if any(r)]
-            cells = [[c.split("\n") for c in r] for r in rows]
-            widths = [max((len(x) for r in cells if len(r) > j for x in r[j]), default=0) for j in range(max(map(len, cells), default=0))]
+            done = tables.pop()
             flow.end(2)
-            for r in cells:
-                for i in range(max(map(len, r))):
-                    flow.now = ["  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(r, widths, strict=False))]
-                    flow.end(1, True)
+            for line in done.lines() if done else ():
+                flow.now = [line]
+                flow.end(1, True)
             flow.end(2)
         elif what == "option" and selects:
             selects[-1][1][-1][2] = flows.pop().text()
@@ -245,8 +379,8 @@ def render(page: str | None) -> str:
             every, options = selects.pop()
             flows.pop()
             # a list box shows all options; else the last one selected shows, or the first that can be
-            shown = options if every else [x for x in options if x[1]][-1:] or [x for x in options if not x[0]][:1] or options[:1]
-            for x in shown:
+            some = options if every else [x for x in options if x[1]][-1:] or [x for x in options if not x[0]][:1] or options[:1]
+            for x in some if was else ():
                 if every:
                     flows[-1].end(1)
                 flows[-1].write(x[2], False)
@@ -262,7 +396,7 @@ def render(page: str | None) -> str:
             pre -= 1
         elif what in ("ul", "ol", "menu") and lists:
             lists.pop()
-            flow.indent = "  " * max(0, len(lists) - 1)
+            flow.indent = "  " * min(max(0, len(lists) - 1), MAX_INDENT)
             flow.gap = 1 if lists else 2
     while len(flows) > 1:
         inner = flows.pop().text()

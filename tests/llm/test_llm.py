@@ -454,6 +454,83 @@ def test_html_loses_no_visible_text():
     assert r("<select multiple><option>a<option>b</select>c") == "a\nb\nc" and r("<ol data-start=7><li>q</ol>") == "1. q"
 
 
+def test_html_visibility_and_spans():
+    r = html_text.render
+    assert r("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>") == "r  1\n   2"
+    assert r("<table><tr><th colspan=2>head line long<th>z<tr><td>a<td>b<td>c</table>") == "head line long  z\na  b  c"
+    assert r("a<br><br>b") == "a\n\nb" and r("<p title=it's>a<p b=\"x>y\">c") == "a\n\nc"
+    assert r("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</div>x") == "yes\n\nx"
+    sheet = "<style>/* p{display:none} */ .x{display:none} p#q , b.z{visibility:hidden} @media print{p{display:none}} i{display:none} i.y{display:inline}</style>"
+    assert r(sheet + "<p class='a x'>no<p id=q>no<b style='visibility:visible'>yes</b><p>t<b class=z>no</b><i>no</i><i class=y>u</i>") == "yes\n\ntu"
+    assert r("<dialog>no</dialog><dialog open>a</dialog>") == "a" and r("<p hidden style='display:block'>a") == "a"
+    assert r("<table>" * 30 + "<tr><td>a<td>b" + "</table>" * 30).split() == ["a", "b"]
+
+
+@pytest.mark.parametrize("page", ["<a ", "<a x='", '<a x="y ', "<div><b>", "<!--", "<script>", "<ul><li>x", "<", "<td rowspan=9 colspan=9>x", "<tr><td rowspan=60000>x", "<table><tr><td>", "</p>", "&amp", "<style>.a{display:none}</style><p class=a>"])
+def test_html_of_long_hostile_pages(page):
+    import time
+
+    some = "<i><table>" + page * (500_000 // len(page)) + "</i></div></p>" * 1000
+    t = time.time()
+    html_text.render(some)
+    assert time.time() - t < 8
+
+
+def brute_page(rng, depth=0):
+    """A random page as (html, blocks of visible words): blocks are what a margin or a line parts."""
+    out, lines = [], [[]]
+    for _ in range(rng.randint(1, 4)):
+        word = "w" + str(rng.randrange(1000))
+        kind = rng.choice(["text", "inline", "p", "div", "hidden", "invisible", "comment", "script", "br", "entity"]) if depth < 4 else "text"
+        inner, blocks = brute_page(rng, depth + 1) if kind in ("inline", "div", "hidden", "invisible") else ("", [[]])
+        if kind == "text":
+            out.append(f" {word} ")
+            lines[-1].append(word)
+        elif kind == "entity":
+            out.append(f" {word}&amp;&#65; ")
+            lines[-1].append(word + "&A")
+        elif kind == "br":
+            out.append("<br>")
+            lines.append([])
+        elif kind == "p":
+            out.append(f"<p>{word}" + rng.choice(["</p>", "<p></p>"]))
+            lines += [[word], []]
+        elif kind == "comment":
+            out.append(f"<!-- {word} > -->")
+        elif kind == "script":
+            out.append(f"<script>if (a < b) '{word}'</script>")
+        elif kind == "inline":
+            tag = rng.choice(["b", "span", "em"])
+            out.append(f"<{tag} title='a > b'>{inner}</{tag}>")
+            lines[-1] += blocks[0]
+            lines += blocks[1:]
+        elif kind == "div":
+            out.append(f"<div>{inner}</div>")
+            lines += [*blocks, []]
+        elif kind == "hidden":
+            out.append(f"<div {rng.choice(['hidden', 'style=display:none', 'class=gone'])}>{inner}</div>")
+        else:
+            out.append(f"<span style='visibility:hidden'>{re.sub('<(?:p|div)', '<span', inner).replace('</p>', '</span>').replace('</div>', '</span>')}</span>")
+    return "".join(out), lines
+
+
+def test_html_equals_a_known_tree(spark):
+    """Random pages rendered beside the tree they were written from: every visible word, in order, on its own line."""
+    rng = random.Random(12)
+    pages, true = [], []
+    while len(pages) < 400:
+        page, blocks = brute_page(rng)
+        if "visibility" in page:
+            continue  # line breaks inside are the layout's own matter; test_html_visibility_and_spans has them
+        pages.append("<style>.gone{display:none}</style>" + page)
+        true.append([" ".join(b) for b in blocks if b])
+    rows = [(i // 2, p, "x", "y") for i, p in enumerate(pages)] + [(None, None, "x", "y"), (None, "", "x", "y")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, id string")
+    got = html_text.extract(df).collect()
+    assert Counter((r["page_id"], "\n".join(x for x in r["text"].split("\n") if x)) for r in got) == Counter([(i // 2, "\n".join(x)) for i, x in enumerate(true)] + [(None, "")] * 2)
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     own = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(12))
