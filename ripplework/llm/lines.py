@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.llm.common import words
+from ripplework.llm.common import SPACE
 from ripplework.session import materialize, table
 
 DEPTH = 2
@@ -39,22 +39,24 @@ MIN_TOKENS = 1
 #: From so many tokens on a form counts as a passage, dropped when it recurs as it stands in so many documents.
 LONG_TOKENS = 10
 EXACT_DOCS = 2
-FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+#: A word with a digit, from its start on; a word is read once.
+FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def _forms(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """(doc, pos, leaf, form, long, masked) of every line with a fixed token; a document is its id and its text's hash."""
     text = F.col(text_col)
     doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"))
-    rows = docs.select(doc.alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    rows = docs.select(doc.alias("doc"), text.alias("text")).select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.col("line")
     odd = line.rlike(r"[0-9\t\x0b-\r]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
-    clean = F.when(odd, F.array_join(words(F.regexp_replace(line, FIELD, "<*>")), " ")).otherwise(line)  # words one space apart
+    clean = F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, FIELD, "<*>"), SPACE, " "))).otherwise(line)  # words one space apart
     rows = rows.select("doc", "pos", clean.alias("masked"))
     blank = lambda c, x: F.replace(c, F.lit(x), F.lit(""))
     rows = rows.withColumn("tokens", F.length("masked") - F.length(blank(F.col("masked"), " ")) + 1)
     fixed = F.when(F.col("masked").contains("<*>"), blank(blank(F.col("masked"), "<*>"), " ") != "").otherwise(F.col("masked") != "")
-    rows = rows.where((F.col("tokens") >= min_tokens) & fixed)
+    # A filter on a deterministic column would move below the projections and take copies of `clean` along.
+    rows = rows.withColumn("__ok", (F.col("tokens") >= min_tokens) & fixed & (F.monotonically_increasing_id() >= 0)).where("__ok")
     leaf = F.xxhash64("tokens", F.substring_index("masked", " ", depth))
     return rows.select("doc", "pos", leaf.alias("leaf"), F.xxhash64("masked").alias("form"), (F.col("tokens") >= long_tokens).alias("long"), "masked")
 
