@@ -415,26 +415,57 @@ def test_link_edges(spark):
 
     def address(url):
         u = urlsplit(url)
-        return "//" + re.sub(r"^(?:www|m)\.", "", u.netloc.lower()) + re.sub(r"(?:/|\.html?)$", "", u.path)
+        q = "&".join(x for x in u.query.split("&") if x and not re.match(r"(?i)(?:utm_[a-z]+|gclid|fbclid|msclkid|mc_cid|mc_eid|ref)(?:=|$)", x))
+        return "//" + re.sub(r"^(?:www|m)\.", "", u.netloc.lower()) + re.sub(r"(?:/|\.html?)$", "", u.path and urlsplit(urljoin(url, u.path)).path) + ("?" + q if q else "")
 
     rng = random.Random(8)
-    targets = ["/de/x", "//www.Host.net/de/x", "x.html", "../up/y/", "./z?q=1", "?p=2", "http://b.com/de/./k/../l", "HTTPS://c.org/es/#t", "/go?u=http://d.com/", "mailto:a@b.c", "../../../top", "sub/page"]
+    targets = ["/de/x", "//www.Host.net/de/x", "x.html", "../up/y/", "./z?q=1", "?p=2", "http://b.com/de/./k/../l", "HTTPS://c.org/es/#t", "/go?u=http://d.com/", "mailto:a@b.c", "../../../top", "sub/page", "#t", "?utm_source=x&amp;k=v&REF=1", "/i?id=1&utm=2"]
     forms = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel='canonical'/>", "<link data-href=/no href={} rel=canonical >", '<meta http-equiv="refresh" content="0;url={}">', "<meta content='5; URL={}' http-equiv=Refresh>", '<link rel="next" href="{}">', '<meta name="url" content="0;url={}">', '<link title="a > b" rel="x canonical" href="{}">']
     rows, true = [], set()
     for i in range(150):
-        url = f"http://www.p{i}.org" + rng.choice(["", "/", "/a/b", "/a/b/", "/a/b.html?x#y"])
-        page = "<head>" + "\n".join(rng.choice(forms).format(rng.choice(targets)) for _ in range(rng.randint(0, 4)))
+        url = f"http://www.p{i}.org" + rng.choice(["", "/", "/a/b", "/a/b/", "/a/b.html?x#y", "/a?utm_id=1&id=2&gclid"])
+        page = "<head><!-- <link rel=canonical href=/no> --><script>'<link rel=canonical href=/no>'</script>" + "\n".join(rng.choice(forms).format(rng.choice(targets)) for _ in range(rng.randint(0, 4)))
         rows.append((url, page))
         links = Links()
         links.found = []
         links.feed(page)
-        true |= {(url, address(url))} | {(address(url), address(urljoin(x, urlsplit(x).path))) for t in links.found if urlsplit(x := urljoin(url, t)).netloc}
+        true |= {(url, address(url))} | {(address(url), address(x)) for t in links.found if t and urlsplit(x := urljoin(url, t)).netloc}
     got = {tuple(r) for r in urls.redirect_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
     assert got == true
     rows = [(0, "http://a.net/1", '<meta content="0;url=/x" http-equiv=refresh><link rel=canonical href="//b.net/y"><link rel=canonical href="//k.com/de/1">'), (1, "http://k.com/de/1", None)]
     assert [r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("id").collect()] == ["block", "block"]
 
 
+def test_queries_tell_addresses_apart(spark):
+    rows = [(0, "http://a.net/item?id=1", '<link rel=canonical href="http://k.com/de/1">'), (1, "http://a.net/item?id=2", None), (2, "https://www.a.net/item/?utm_source=x&id=1#y", None), (None, "http://a.net/item?id=1&ref=z", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("__url", F.lit("clash"))
+    judged = {(0, "block"), (1, "allow"), (2, "block"), (None, "block")}  # though the target is no page of the table
+    assert {(r["id"], r["verdict"]) for r in urls.judge(df).collect()} == judged
+    known = df.union(spark.createDataFrame([(9, "http://k.com/de/1", None, "", "")], df.schema))
+    assert {(r["id"], r["verdict"]) for r in urls.judge(known).collect()} == {*judged, (9, "block")}
+    assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_url_twin_follows_links(spark, tmp_path):
+    """The DuckDB twin on pages with chains of canonical links."""
+    import duckdb
+
+    rng = random.Random(11)
+    hosts = ["a.net", "www.b.org", "m.k.com", "example.org", "x.example.org"]
+    rows = []
+    for i in range(300):
+        url = f"http://{rng.choice(hosts)}/{rng.choice(['es', 'en', 'de', 'fr', 'q'])}/{rng.randrange(20)}{rng.choice(['', '/', '.html', '?id=1', '?ref=2'])}"
+        to = rng.choice([f"http://{rng.choice(hosts)}/de/{rng.randrange(20)}", f"/q/{rng.randrange(20)}", f"//{rng.choice(hosts)}/q/{rng.randrange(20)}?id=1&amp;ref=3"])
+        rows.append((i, url, f'<link rel="canonical" href="{to}">' if rng.random() < 0.3 else None))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.op4_url_filter(spark, str(tmp_path)).collect())
+    assert got == sorted(c.sql(f"SELECT page_id, host, path, rule, verdict FROM ({urls.OP4_SQL})").fetchall())
+    assert {x[4] for x in got} == {"allow", "block"}
+
+
 def test_html():
     r = html_text.render
     assert r(None) == r("") == "" and r("a  b\n c") == "a b c"
