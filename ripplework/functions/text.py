@@ -62,33 +62,31 @@ def last_choice(c: Column) -> Column:
     return F.upper(F.coalesce(marked, alone, F.lit("")))
 
 
+# How answers are written, and the names of the forms.
+LETTER_ONLY = r"(?i)^[\s\[\(]*([ABCD])[\s\]\)\.,:;!?]*$"
+LABELLED_LETTER = r"(?i)\b(?:final\s+answer|answer|result|option|choice)\s*(?:is\s*)?[:\-]?\s*[\[\(]?\s*([ABCD])\b"
+VERBAL_LETTER = r"(?i)\b(?:the\s+)?(?:correct\s+)?answer\s+is\s+([ABCD])\b"
+STANDALONE_LETTER = r"(?i)\b([ABCD])\b"
+RESULT_LABEL = r"(?i)^\s*result\s*[:\-]"
+ANSWER_LABEL = r"(?i)^\s*(?:final\s+answer|answer)\s*(?:is\s*)?[:\-]"
+
+
 def first_choice(c: Column) -> Column:
-    """The first choice letter: whole answer, labelled within 160 characters, spoken, or alone within 80."""
+    """The first choice letter: whole answer, labelled or spoken within 160 characters, or alone within 80."""
     t = strip(c)
     got = lambda x, p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
-    return F.upper(
-        F.coalesce(
-            got(t, r"(?i)^\(?([ABCD])\)?[.):]?$"),
-            got(F.substring(t, 1, 160), r"(?i)\b(?:answer|result)\s*(?:is)?\s*[:=]?\s*\(?([ABCD])\b"),
-            got(F.substring(t, 1, 160), r"(?i)\b(?:option|choice)\s+\(?([ABCD])\b"),
-            got(F.substring(t, 1, 80), r"\b([ABCD])\b"),
-            F.lit(""),
-        )
-    )
+    near = F.substring(t, 1, 160)
+    return F.upper(F.coalesce(got(t, LETTER_ONLY), got(near, LABELLED_LETTER), got(near, VERBAL_LETTER), got(F.substring(t, 1, 80), STANDALONE_LETTER), F.lit("")))
 
 
 def answer_format(c: Column) -> Column:
-    """empty, hash, result, answer, letter, verbal or other, by the first rule that fits (C11)."""
+    """The form of an answer, by the first rule that fits; null is empty (C11)."""
     t = strip(F.coalesce(c, F.lit("")))
-    return (
-        F.when(t == "", "empty")
-        .when(t.contains("###"), "hash")
-        .when(t.rlike(r"(?i)^result\s*:"), "result")
-        .when(t.rlike(r"(?i)^answer\s*:"), "answer")
-        .when(t.rlike(r"(?i)^\(?[ABCD]\)?[.):]?$"), "letter")
-        .when(t.rlike(r"(?i)\b(?:answer|option|choice)\b.*\b[ABCD]\b"), "verbal")
-        .otherwise("other")
-    )
+    rules = ((t == "", "empty"), (t.contains("###"), "gsm8k_hash"), (t.rlike(RESULT_LABEL), "result_label"), (t.rlike(ANSWER_LABEL), "answer_label"), (t.rlike(LETTER_ONLY), "letter_only"), (F.substring(t, 1, 160).rlike(VERBAL_LETTER), "verbal_answer"))
+    out = None
+    for fits, name in rules:
+        out = F.when(fits, name) if out is None else out.when(fits, name)
+    return out.otherwise("other")
 
 
 #: End-of-sequence markers of common chat templates.
@@ -219,26 +217,25 @@ def parse_channels(spec: str) -> list[str]:
     return [x for x in ("rh", "gh") if x in want]
 
 
-def mask_spans(text: str, patterns: list[str]) -> tuple[str, list[str]]:
-    """Protected spans, merged, replaced by [[KEEP_0000]] placeholders."""
-    import re
-
-    found = sorted(m.span() for p in patterns for m in re.finditer(p, text) if m.end() > m.start())
-    merged: list[list[int]] = []
-    for a, b in found:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    out, at = [], 0
-    for i, (a, b) in enumerate(merged):
-        out += [text[at:a], f"[[KEEP_{i:04d}]]"]
-        at = b
-    return "".join(out) + text[at:], [text[a:b] for a, b in merged]
-
-
-def unmask_spans(text: str, kept: list[str]) -> str:
-    """The inverse of mask_spans."""
-    for i, x in enumerate(kept):
-        text = text.replace(f"[[KEEP_{i:04d}]]", x)
-    return text
+PLACEHOLDER = r"\[\[KEEP_[0-9]{4,}\]\]"
+
+
+def mask_spans(c: Column, patterns: list[str]) -> Column:
+    """(masked, kept): what the patterns protect, replaced by [[KEEP_0000]] and so on.
+
+    One pass of all patterns: the leftmost match counts, of those at one place that of the first pattern; matches that
+    touch are one span. A placeholder that the text holds already is protected like any other span. Null stays null.
+    """
+    every = "(?:" + "|".join([PLACEHOLDER, *(f"(?:{p})" for p in patterns)]) + ")+"
+    kept, gaps = F.regexp_extract_all(c, F.lit(every), F.lit(0)), F.split(c, every, -1)
+    name = lambda i: F.concat(F.lit("[[KEEP_"), F.when(i < 10_000, F.lpad(i.cast("string"), 4, "0")).otherwise(i.cast("string")), F.lit("]]"))
+    masked = F.array_join(F.transform(gaps, lambda g, i: F.when(i < F.size(kept), F.concat(g, name(i))).otherwise(g)), "")
+    return F.struct(masked.alias("masked"), kept.alias("kept"))
+
+
+def unmask_spans(masked: Column, kept: Column) -> Column:
+    """The inverse of mask_spans, wherever the placeholders now stand; one without a span stays."""
+    marks, gaps = F.regexp_extract_all(masked, F.lit(PLACEHOLDER), F.lit(0)), F.split(masked, PLACEHOLDER, -1)
+    number = lambda m: F.regexp_extract(m, "([0-9]+)", 1).try_cast("int")
+    back = lambda i: F.coalesce(F.try_element_at(kept, number(F.get(marks, i)) + 1), F.get(marks, i))
+    return F.array_join(F.transform(gaps, lambda g, i: F.when(i < F.size(marks), F.concat(g, back(i))).otherwise(g)), "")

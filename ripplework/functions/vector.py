@@ -155,3 +155,8 @@ def pad(a: Column, n: int, value) -> Column:
 def close(a: Column, b: Column, rel: float = 1e-6, tol: float = 1e-9) -> Column:
     """Equal within a relative or absolute tolerance."""
     return F.abs(a - b) <= F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(tol))
+
+
+def linear_factor(delta_dot: Column, input_dot: Column, bias: Column) -> Column:
+    """A linear module's product: deltas' dot times inputs' dot, and the deltas' once more where there is a bias."""
+    return delta_dot * input_dot + F.when(bias, delta_dot).otherwise(F.lit(0.0))

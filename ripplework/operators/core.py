@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplework.functions import text as T
+from ripplework.session import materialize
 
 
 def rate(flag: Column) -> Column:
@@ -84,6 +85,13 @@ def average_rank(x: str, *by: str) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(x)) + (F.count("*").over(W.partitionBy(*by, x)) - 1) / F.lit(2.0)
 
 
+def with_average_rank(df: DataFrame, x: str, by: tuple[str, ...], out: str) -> DataFrame:
+    """Adds the average rank of x in its group from counts of values: no task sorts a whole group."""
+    n = prefix_sum(df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__c")), x, "__c", by, out="__b")
+    n = n.select(*by, x, (F.col("__b") + (F.col("__c") + 1) / F.lit(2.0)).alias(out))
+    return df.join(n, [*by, x], "left")
+
+
 def auc_recall(scores: DataFrame, query: str, score: str, candidate: str, positive: str) -> DataFrame:
     """(query, auc, recall): one-vs-rest ROC AUC from average ranks, and the share of positives among the top n, n their number.
 
@@ -120,14 +128,37 @@ def distribution(x: Column) -> list[Column]:
     return [F.avg(x).alias("mean"), *[F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))], F.max(x).alias("max")]
 
 
-def rolling_mad(df: DataFrame, series: str, x: str, y: str, window: int = 9, n_sigma: float = 3.0) -> DataFrame:
-    """Adds med, mad and outlier: centred rolling median, and whether a point is n sigma off it."""
+def floor_percentile(df: DataFrame, by: str, x: str, q: float, out: str) -> DataFrame:
+    """(by, out): the value at place floor(q (n - 1)) of each sorted group, from counts of values."""
+    c = df.where(F.col(x).isNotNull()).groupBy(by, x).agg(F.count("*").alias("__c"))
+    n = c.groupBy(by).agg(F.sum("__c").alias("__n")).withColumnRenamed(by, "__g")
+    c = prefix_sum(c, x, "__c", (by,), out="__b").join(n, F.col(by).eqNullSafe(F.col("__g")))
+    place = F.floor(F.lit(q) * (F.col("__n") - 1))
+    return c.where((F.col("__b") <= place) & (place < F.col("__b") + F.col("__c"))).select(by, F.col(x).alias(out))
+
+
+def _with_halo(df: DataFrame, series: str, x: str, halo: int, rows: int) -> DataFrame:
+    """Adds __cell and __own: runs of `rows` rows of each series, each with copies of `halo` rows from either side."""
+    one = df.withColumn("__one", F.lit(1).cast("bigint"))
+    at = prefix_sum(one, x, "__one", (series,), out="__i").drop("__one")
+    cell, place = F.floor(F.col("__i") / rows), F.col("__i") % rows
+    cells = F.array(cell, F.when((place < halo) & (cell > 0), cell - 1), F.when(place >= rows - halo, cell + 1))
+    at = at.withColumn("__home", cell).withColumn("__cell", F.explode(F.array_compact(cells)))
+    return at.withColumn("__own", F.col("__cell") == F.col("__home")).drop("__i", "__home")
+
+
+def rolling_mad(df: DataFrame, series: str, x: str, y: str, window: int = 9, n_sigma: float = 3.0, rows: int = 50_000) -> DataFrame:
+    """Adds med, mad and outlier: centred rolling median, and whether a point is n sigma off it.
+
+    Series are cut into runs of `rows` rows that overlap by two half windows, so a long one is dealt to many tasks.
+    """
     h = window // 2
-    w = W.partitionBy(series).orderBy(x).rowsBetween(-h, h)
+    df = _with_halo(df, series, x, 2 * h, max(rows, 4 * h + 1))
+    w = W.partitionBy(series, "__cell").orderBy(x).rowsBetween(-h, h)
     df = df.withColumn("med", F.percentile(y, F.lit(0.5)).over(w)).withColumn("__d", F.abs(F.col(y) - F.col("med")))
     df = df.withColumn("mad", F.percentile("__d", F.lit(0.5)).over(w))
     sigma = F.col("mad") * 1.4826
-    return df.withColumn("outlier", (sigma > 1e-8) & (F.col("__d") > n_sigma * sigma)).drop("__d")
+    return df.where("__own").withColumn("outlier", (sigma > 1e-8) & (F.col("__d") > n_sigma * sigma)).drop("__d", "__own", "__cell")
 
 
 def interpolate(df: DataFrame, series: str, x: str, y: str) -> DataFrame:
@@ -142,15 +173,50 @@ def interpolate(df: DataFrame, series: str, x: str, y: str) -> DataFrame:
     return df.withColumn(y, F.coalesce(F.col(y), line, F.col("__p.v"), F.col("__n.v"))).drop("__i", "__p", "__n")
 
 
-def ema(df: DataFrame, series: str, x: str, y: str, alpha: float, out: str = "ema") -> DataFrame:
-    """y0 = x0, yt = alpha xt + (1 - alpha) yt-1 (W07); a fold over each series, which must fit a task."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` double"
+def recurrence(df: DataFrame, series: str, x: str, u: str, decay: float, out: str, start: str | None = None, cells: int = 64) -> DataFrame:
+    """Adds r_t = decay r_t-1 + u_t along x in each series, from 0 or from the column `start` (one value a series).
+
+    Two phases, as in prefix_sum: ordered ranges are folded one by one, then the ranges' ends are, a row for each range,
+    and each range's rows take decay^k of what came in. Null u counts as 0; equal x are taken in any order.
+    """
+    q = [i / cells for i in range(1, cells)]
+    cuts = sorted(set(df.agg(F.percentile_approx(x, F.array(*map(F.lit, q)), 10_000)).first()[0] or []))
+    cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(x))) if cuts else F.lit(0)
+    df = df.withColumn("__cell", cell).withColumn("__k", F.lit(0).cast("bigint")).withColumn("__r", F.lit(0.0))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(x, kind="stable")
-        return pdf.assign(**{out: pdf[y].astype(float).ewm(alpha=alpha, adjust=False).mean()})
+        v, r, got = pdf[u].astype(float).fillna(0.0).to_numpy(), 0.0, np.empty(len(pdf))
+        for i, y in enumerate(v):
+            r = decay * r + y
+            got[i] = r
+        return pdf.assign(__k=np.arange(1, len(pdf) + 1), __r=got)
+
+    done = materialize(df.groupBy(series, "__cell").applyInPandas(fold, df.schema), "recurrence")
+    first = F.min(start).cast("double") if start else F.lit(0.0)
+    ends = done.groupBy(series, "__cell").agg(F.max("__k").alias("n"), F.max_by("__r", "__k").alias("r"), first.alias("s"))
+    carry = lambda a, e: F.struct((F.pow(F.lit(decay), e["n"]) * a["v"] + e["r"]).alias("v"), F.concat(a["out"], F.array(F.struct(e["__cell"].alias("__cell"), a["v"].alias("__v")))).alias("out"))
+    zero = F.struct(F.coalesce("s", F.lit(0.0)).alias("v"), F.array().cast("array<struct<__cell:int,__v:double>>").alias("out"))
+    into = ends.groupBy(series).agg(F.array_sort(F.collect_list(F.struct("__cell", "n", "r"))).alias("e"), F.min("s").alias("s"))  # `cells` entries
+    into = into.select(F.col(series).alias("__s"), F.inline(F.aggregate("e", zero, carry)["out"])).withColumnRenamed("__cell", "__c")
+    out_rows = done.join(into, done[series].eqNullSafe(into["__s"]) & (done["__cell"] == into["__c"]))
+    return out_rows.withColumn(out, F.col("__r") + F.pow(F.lit(decay), F.col("__k")) * F.col("__v")).drop("__cell", "__k", "__r", "__s", "__c", "__v")
+
 
-    return df.groupBy(series).applyInPandas(fold, schema)
+def ema(df: DataFrame, series: str, x: str, y: str, alpha: float, out: str = "ema") -> DataFrame:
+    """y0 = x0, yt = alpha xt + (1 - alpha) yt-1, whatever the length of a series."""
+    first = df.groupBy(series).agg(F.min_by(y, x).cast("double").alias("__y0")).withColumnRenamed(series, "__g")
+    rows = df.join(first, df[series].eqNullSafe(first["__g"])).drop("__g").withColumn("__u", F.col(y).cast("double") * F.lit(alpha))
+    return recurrence(rows, series, x, "__u", 1 - alpha, out, "__y0").drop("__u", "__y0")
+
+
+def decayed_mean(df: DataFrame, series: str, x: str, y: str, decay: float, out: str) -> DataFrame:
+    """Adds the mean of all earlier y, each weighted decay^(steps back); the first row of a series has none."""
+    rows = recurrence(df.withColumn("__one", F.lit(1.0)), series, x, y, decay, "__sum")
+    rows = recurrence(rows, series, x, "__one", decay, "__all").withColumn("__v", F.col(y).cast("double"))
+    # what came before: the sums less this row's own part; the decay they share cancels
+    before = (F.col("__sum") - F.coalesce("__v", F.lit(0.0))) / F.nullif(F.col("__all") - 1, F.lit(0.0))
+    return rows.withColumn(out, before).drop("__one", "__sum", "__all", "__v")
 
 
 def prefix_sum(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), buckets: int = 64, out: str = "before") -> DataFrame:
@@ -182,6 +248,21 @@ def _cut(rows: DataFrame, by: tuple[str, ...], length: int, *carry: str) -> Data
     return packed.withColumn("token_ids", F.flatten(F.transform("__r", lambda r: r["__t"]))).drop("__r")
 
 
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds places from 0 in order of a key of any type: ranges are dealt to tasks and counted, then numbered inside."""
+    rows = materialize(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
+    n = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    n = n.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__b"))  # a row for each range
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(key)) - 1
+    return rows.withColumn("__i", inside).join(F.broadcast(n), "__part").withColumn(out, F.col("__b") + F.col("__i")).drop("__part", "__i", "__b")
+
+
+def top_support(counts: DataFrame, task: str, token: str, n: str, k: int) -> DataFrame:
+    """The k most frequent tokens of each task, ties by token."""
+    w = W.partitionBy(task).orderBy(F.col(n).desc(), token)
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def pack_chunks(docs: DataFrame, order: str, tokens: str, length: int, by: tuple[str, ...] = (), eos: str | None = None) -> DataFrame:
     """(by, chunk_index, token_ids): documents' tokens joined by `eos`, cut every `length`; a shorter tail is dropped."""
     d = docs.withColumn("__tok", F.concat(tokens, F.array(F.lit(eos))) if eos is not None else F.col(tokens))
@@ -189,6 +270,20 @@ def pack_chunks(docs: DataFrame, order: str, tokens: str, length: int, by: tuple
     return _cut(d, by, length).where(F.size("token_ids") == length).select(*by, "chunk_index", "token_ids")
 
 
+def approximate_score(one: DataFrame, other: DataFrame, group: str, index: str, value: str) -> DataFrame:
+    """(a, b, score): for pairs of groups, the dot of their summed first vectors times that of their summed second ones.
+
+    Both are sparse rows (group, index, value), summed before they meet.
+    """
+
+    def dots(v: DataFrame, out: str) -> DataFrame:
+        v = v.groupBy(group, index).agg(F.sum(value).alias("x"))
+        l, r = (v.select(F.col(group).alias(n), index, F.col("x").alias("x" + n)) for n in "ab")
+        return l.join(r, index).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias(out))
+
+    return dots(one, "__h").join(dots(other, "__e"), ["a", "b"]).select("a", "b", (F.col("__h") * F.col("__e")).alias("score"))
+
+
 def hash_order(seed, *parts: Column) -> Column:
     """An order that looks random, is the same everywhere and in SQL: md5 of seed and key."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))

@@ -52,16 +52,17 @@ def subarray_position(spark, d):
     return t.select("conv_id", "turn", T.subarray_end(F.col("w"), F.slice("w", 3, 2)).alias("after"))
 
 
-@query("SELECT doc_id, md5(text) AS restored FROM documents")
-def protected_spans(spark, d):
-    """Addresses, numbers and e-mails are masked and put back; what comes back is the text."""
+_SPANS = r"(?:\[\[KEEP_[0-9]{4,}\]\]|(?:https?://\S+)|(?:\S+@\S+)|(?:\d[\d,.]*))+"
 
-    @F.pandas_udf("string")
-    def there_and_back(texts):
-        spans = [r"https?://\S+", r"\S+@\S+", r"\d[\d,.]*"]
-        return texts.map(lambda x: None if x is None else T.unmask_spans(*T.mask_spans(x, spans)))
 
-    return table(spark, d, "documents").select("doc_id", F.md5(there_and_back("text")).alias("restored"))
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '[[KEEP_0000]] 5 ' || text ELSE text END AS text FROM documents),
+p AS (SELECT doc_id, text, regexp_extract_all(text, '{_SPANS}') AS kept, regexp_split_to_array(text, '{_SPANS}') AS gaps FROM t)
+SELECT doc_id, len(kept) AS spans, md5(array_to_string(list_transform(gaps, lambda g, i: g || CASE WHEN i <= len(kept) THEN '[[KEEP_' || lpad((i - 1)::VARCHAR, 4, '0') || ']]' ELSE '' END), '')) AS masked, md5(text) AS restored FROM p""")
+def protected_spans(spark, d):
+    """Addresses, e-mails, numbers and placeholders that were there are masked, and put back."""
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("[[KEEP_0000]] 5 "), "text")).otherwise(F.col("text"))
+    m = table(spark, d, "documents").select("doc_id", T.mask_spans(text, [r"https?://\S+", r"\S+@\S+", r"\d[\d,.]*"]).alias("m"))
+    return m.select("doc_id", F.size("m.kept").cast("bigint").alias("spans"), F.md5("m.masked").alias("masked"), F.md5(T.unmask_spans(F.col("m.masked"), F.col("m.kept"))).alias("restored"))
 
 
 @query(f"""WITH w AS (SELECT label AS id, p, avg(x) AS w FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM {_E}) GROUP BY 1, 2),
@@ -85,21 +86,19 @@ def fixed_force(spark, d):
     return e.join(first, ["user_id", "event_type"]).select("event_id", F.round(F.col("p") * F.col("value"), 6).alias("r"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 0.0 WHEN 'click' THEN 1e30 WHEN 'view' THEN -1e30 ELSE value END AS x FROM events")
+@query("WITH r AS (SELECT event_id, exp(value * user_id) AS a, exp(value * (user_id % 7)) AS b FROM events) SELECT event_id, CASE WHEN isnan(a - b) THEN 0.0 WHEN a - b > 1e30 THEN 1e30 WHEN a - b < -1e30 THEN -1e30 ELSE round(sign(a - b) * ln(1 + abs(a - b)), 6) END AS x FROM r")
 def finite_values(spark, d):
-    """Event types stand for the kinds of numbers that are none."""
-    x = F.col("value")
-    for kind, v in (("error", "nan"), ("click", "inf"), ("view", "-inf")):
-        x = F.when(F.col("event_type") == kind, F.lit(float(v))).otherwise(x)
-    return table(spark, d, "events").select("event_id", V.replace_infinite(x).alias("x"))
+    """Differences of exponentials, of which many overflow and some are infinite on both sides."""
+    x = F.exp(F.col("value") * F.col("user_id")) - F.exp(F.col("value") * (F.col("user_id") % 7))
+    big = V.replace_infinite(x)
+    return table(spark, d, "events").select("event_id", F.when(F.abs(big) < 1e30, F.round(F.signum(big) * F.log1p(F.abs(big)), 6)).otherwise(big).alias("x"))
 
 
 @query("SELECT l_orderkey AS pair, round(sum(l_discount * l_quantity + CASE WHEN l_returnflag = 'R' THEN l_discount ELSE 0 END), 6) AS product FROM lineitem GROUP BY 1")
 def linear_factors(spark, d):
     """modules' products of deltas and of inputs, with the delta once more where there is a bias."""
     x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair"))
-    bias = F.when(F.col("l_returnflag") == "R", F.col("l_discount")).otherwise(0.0)
-    return x.agg(F.round(F.sum(F.col("l_discount") * F.col("l_quantity") + bias), 6).alias("product"))
+    return x.agg(F.round(F.sum(V.linear_factor(F.col("l_discount"), F.col("l_quantity"), F.col("l_returnflag") == "R")), 6).alias("product"))
 
 
 @query(f"""WITH t AS (SELECT q, c FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY s DESC, c DESC) AS k FROM {_SCORES}) WHERE k = 1)
@@ -112,6 +111,17 @@ def memory_prompt(spark, d):
     return j.select("q", "memory", F.md5(F.concat(F.lit("Example: "), "m", F.lit("\nQuestion: "), "n")).alias("prompt"))
 
 
+@query(f"""WITH t AS (SELECT q, c, ql, cl FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c DESC) AS k FROM {_SCORES}) WHERE k = 1)
+SELECT count(*) AS n, round(avg((ql = cl)::INT), 6) AS accuracy, round(avg((q % 3 = c % 3)::INT), 6) AS same_source, round(avg((ql = cl)::INT) FILTER (q % 3 = c % 3), 6) AS accuracy_same, round(avg((ql = cl)::INT) FILTER (q % 3 <> c % 3), 6) AS accuracy_other FROM t""")
+def memory_summary(spark, d):
+    """The example's label is the answer; how many match, by whether query and example share a source (id mod 3)."""
+    best = O.top_k(scores(spark, d), "q", "s", "c", 1)
+    reply, gold = F.concat(F.lit("so #### "), F.col("cl")), F.concat(F.col("ql"), F.lit(".0"))
+    right = T.same_answer(T.numeric_answer(reply, True), gold).cast("double")
+    same = F.col("q") % 3 == F.col("c") % 3
+    return best.agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(same.cast("double")), 6).alias("same_source"), F.round(F.avg(F.when(same, right)), 6).alias("accuracy_same"), F.round(F.avg(F.when(~same, right)), 6).alias("accuracy_other"))
+
+
 @query("SELECT user_id, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def gzip_tsv_round_trip(spark, d):
     """Tab-separated, compressed, read with coercion."""
@@ -121,33 +131,6 @@ def gzip_tsv_round_trip(spark, d):
     return back.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("SELECT r_regionkey::BIGINT AS region, count(*) AS nations, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
-def json_document(spark, d):
-    """Documents with a list of records, one a region, read and unnested."""
-    path = _path(spark, "json")
-    row = F.struct(F.col("n_nationkey").cast("bigint").alias("index"), F.col("n_name").alias("name"))
-    table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("region")).agg(F.collect_list(row).alias("records")).write.json(path)
-    back = io.read_jsonl(spark, path, "region bigint, records array<struct<index: bigint, name: string>>", strict=True)
-    names = F.transform(F.array_sort("records"), lambda r: r["name"])
-    return back.select("region", F.size("records").cast("bigint").alias("nations"), F.array_join(names, ",").alias("names"))
-
-
-@query("SELECT 0::BIGINT AS changed, true AS refused")
-def manifest_guard(spark, d):
-    """A manifest equals itself read again, and an existing output is refused."""
-    from pyspark.errors import AnalysisException
-
-    path = _path(spark, "manifest")
-    io.write_jsonl(table(spark, d, "nation"), path)
-    try:
-        io.write_jsonl(table(spark, d, "nation"), path)
-        refused = False
-    except AnalysisException:
-        refused = True
-    changed = io.manifest_diff(io.manifest(spark, path), io.manifest(spark, path))
-    return changed.agg(F.count("*").alias("changed")).withColumn("refused", F.lit(refused))
-
-
 @query()
 def regression_band(spark, d):
     """A bootstrap band of value on user over the fitted grid; rows-only, since draws come from a hash."""

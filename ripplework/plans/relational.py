@@ -33,7 +33,7 @@ _RANKS = f"(SELECT layer, rank() OVER (PARTITION BY layer ORDER BY e) + (count(*
 def spearman_layers(spark, d):
     """X02, W02."""
     x = pair_layers(spark, d).select("layer", F.round("e", 3).alias("e"), F.round("a", 3).alias("a"))
-    r = x.select("layer", O.average_rank("e", "layer").alias("x"), O.average_rank("a", "layer").alias("y"))
+    r = O.with_average_rank(O.with_average_rank(x, "e", ("layer",), "x"), "a", ("layer",), "y")
     return r.groupBy("layer").agg(F.round(O.safe_corr(F.col("x"), F.col("y")), 6).alias("spearman"))
 
 
@@ -193,8 +193,9 @@ def job_grid(spark, d):
     """J11."""
     r, n = table(spark, d, "region"), table(spark, d, "nation")
     prio = table(spark, d, "orders").select(F.col("o_orderpriority").alias("prio")).distinct()
-    g = r.join(n, r["r_regionkey"] == n["n_regionkey"]).select("r_name", "n_name").crossJoin(prio)  # a grid of names, few by nature
-    return g.withColumn("job", F.row_number().over(W.orderBy("r_name", "n_name", "prio")) - 1)
+    g = O.cross_pairs(prio, r.join(n, r["r_regionkey"] == n["n_regionkey"]).select("r_name", "n_name"))
+    job = O.numbered(g.withColumn("key", F.struct("r_name", "n_name", "prio")), "key", "job")
+    return job.select("r_name", "n_name", "prio", F.col("job").cast("bigint").alias("job"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -260,14 +261,12 @@ def jsonl_round_trip(spark, d):
     return back.groupBy("conv_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), "|")).alias("h"))
 
 
-@query("SELECT series, x, round(sum(o.y * power(0.5, s.i - o.i)) / sum(power(0.5, s.i - o.i)), 6) AS history FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM " + _S + ") s JOIN (SELECT series, x AS ox, y, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM " + _S + ") o USING (series) WHERE o.i < s.i AND o.i >= s.i - 32 GROUP BY 1, 2")
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) AS i FROM {_S}),
+r(series, i, x, a, w, y) AS (SELECT series, i, x, 0.0::DOUBLE, 0.0::DOUBLE, y FROM s WHERE i = 1 UNION ALL SELECT s.series, s.i, s.x, 0.5::DOUBLE * (r.a + r.y), 0.5::DOUBLE * (r.w + 1), s.y FROM r JOIN s ON s.series = r.series AND s.i = r.i + 1)
+SELECT series, x, round(a / w, 6) AS history FROM r WHERE i > 1""")
 def decayed_history(spark, d):
-    """Weights halve with each step back; 32 steps back a weight is under the rounding."""
-    w = W.partitionBy("series").orderBy("x")
-    h = F.collect_list("y").over(w.rowsBetween(-32, -1))
-    x = series(spark, d).withColumn("h", h)
-    top = F.aggregate("h", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, y: F.struct((a["s"] * 0.5 + y * 0.5).alias("s"), (a["w"] * 0.5 + 0.5).alias("w")))
-    return x.where(F.size("h") > 0).select("series", "x", F.round(top["s"] / top["w"], 6).alias("history"))
+    """The mean of all that came before, weights halved with each step back."""
+    return O.decayed_mean(series(spark, d), "series", "x", "y", 0.5, "history").where("history is not null").select("series", "x", F.round("history", 6).alias("history"))
 
 
 @query(f"SELECT series, round(q1 - 0.05 * (q2 - q1), 6) AS lo, round(q2 + 0.05 * (q2 - q1), 6) AS hi FROM (SELECT series, quantile_cont(y, 0.01) AS q1, quantile_cont(y, 0.99) AS q2 FROM {_S} GROUP BY 1)")

@@ -46,7 +46,7 @@ def first_text(spark, d):
     return x.select("page_id", T.first_text(F.col("t"), F.col("b")).alias("first"), T.assemble(F.col("t"), F.col("b")).alias("whole"))
 
 
-DUCK_ANSWERS = """(SELECT o_orderkey AS k, o_orderpriority AS subject, o_totalprice AS v, substr('ABCD', (o_orderkey % 4 + 1)::INT, 1) AS target, CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN '#### ' || substr('ABCD', (o_orderkey % 4 + 1)::INT, 1) WHEN 2 THEN 'Result: B' WHEN 3 THEN 'Answer: C' WHEN 4 THEN '(D).' WHEN 5 THEN 'The answer is option B' WHEN 6 THEN 'Surely A, maybe C' WHEN 7 THEN 'b' ELSE 'no idea' END AS r, CASE o_orderkey % 5 WHEN 0 THEN 'so #### ' || (o_orderkey % 7) || '.50' WHEN 1 THEN 'it is 1,2' || (o_orderkey % 10) || '0 dollars' WHEN 2 THEN 'none' WHEN 3 THEN '3 then #### -0' ELSE '$5. and 12.' || (o_orderkey % 3) || '00' END AS m FROM orders)"""
+DUCK_ANSWERS = """(SELECT o_orderkey AS k, o_orderpriority AS subject, o_totalprice AS v, substr('ABCD', (o_orderkey % 4 + 1)::INT, 1) AS target, CASE o_orderkey % 19 WHEN 0 THEN '' WHEN 1 THEN '#### ' || substr('ABCD', (o_orderkey % 4 + 1)::INT, 1) WHEN 2 THEN 'Result: B' WHEN 3 THEN 'Answer: C' WHEN 4 THEN '(D).' WHEN 5 THEN 'The answer is option B' WHEN 6 THEN 'Surely A, maybe C' WHEN 7 THEN 'b' WHEN 8 THEN 'b!' WHEN 9 THEN 'Final answer - c' WHEN 10 THEN ' [B] ' WHEN 11 THEN '((d)).' WHEN 12 THEN 'result- [A' WHEN 13 THEN 'the correct answer is d' WHEN 14 THEN repeat('x ', 82) || 'answer: A' WHEN 15 THEN repeat('x ', 41) || 'B' WHEN 16 THEN 'Answer is: e' WHEN 17 THEN 'Choice C or option A' ELSE 'no idea' END AS r, CASE o_orderkey % 5 WHEN 0 THEN 'so #### ' || (o_orderkey % 7) || '.50' WHEN 1 THEN 'it is 1,2' || (o_orderkey % 10) || '0 dollars' WHEN 2 THEN 'none' WHEN 3 THEN '3 then #### -0' ELSE '$5. and 12.' || (o_orderkey % 3) || '00' END AS m FROM orders)"""
 
 
 def answers(spark, d):
@@ -54,14 +54,15 @@ def answers(spark, d):
     k = F.col("o_orderkey")
     pick = lambda n, *xs: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (k % n + 1).cast("int"))
     letter = pick(4, "A", "B", "C", "D")
-    r = pick(9, "", F.concat(F.lit("#### "), letter), "Result: B", "Answer: C", "(D).", "The answer is option B", "Surely A, maybe C", "b", "no idea")
+    more = ("b!", "Final answer - c", " [B] ", "((d)).", "result- [A", "the correct answer is d", "x " * 82 + "answer: A", "x " * 41 + "B", "Answer is: e", "Choice C or option A")
+    r = pick(19, "", F.concat(F.lit("#### "), letter), "Result: B", "Answer: C", "(D).", "The answer is option B", "Surely A, maybe C", "b", *more, "no idea")
     m = pick(5, F.concat(F.lit("so #### "), k % 7, F.lit(".50")), F.concat(F.lit("it is 1,2"), k % 10, F.lit("0 dollars")), "none", "3 then #### -0", F.concat(F.lit("$5. and 12."), k % 3, F.lit("00")))
     return table(spark, d, "orders").select(k.alias("k"), F.col("o_orderpriority").alias("subject"), F.col("o_totalprice").alias("v"), letter.alias("target"), r.alias("r"), m.alias("m"))
 
 
-DUCK_FORMAT = r"CASE WHEN r = '' THEN 'empty' WHEN contains(r, '###') THEN 'hash' WHEN regexp_matches(r, '(?i)^result\s*:') THEN 'result' WHEN regexp_matches(r, '(?i)^answer\s*:') THEN 'answer' WHEN regexp_matches(r, '(?i)^\(?[ABCD]\)?[.):]?$') THEN 'letter' WHEN regexp_matches(r, '(?i)\b(?:answer|option|choice)\b.*\b[ABCD]\b') THEN 'verbal' ELSE 'other' END"
+DUCK_FORMAT = r"CASE WHEN trim(r) = '' THEN 'empty' WHEN contains(r, '###') THEN 'gsm8k_hash' WHEN regexp_matches(trim(r), '(?i)^\s*result\s*[:\-]') THEN 'result_label' WHEN regexp_matches(trim(r), '(?i)^\s*(?:final\s+answer|answer)\s*(?:is\s*)?[:\-]') THEN 'answer_label' WHEN regexp_matches(trim(r), '(?i)^[\s\[\(]*([ABCD])[\s\]\)\.,:;!?]*$') THEN 'letter_only' WHEN regexp_matches(trim(r)[1:160], '(?i)\b(?:the\s+)?(?:correct\s+)?answer\s+is\s+([ABCD])\b') THEN 'verbal_answer' ELSE 'other' END"
 DUCK_LAST = r"upper(coalesce(regexp_extract_all(r, '(?i)####\s*([ABCD])\b', 1)[-1], regexp_extract_all(r, '(?i)\b([ABCD])\b', 1)[-1], ''))"
-DUCK_FIRST = r"upper(coalesce(nullif(regexp_extract(r, '(?i)^\(?([ABCD])\)?[.):]?$', 1), ''), nullif(regexp_extract(r, '(?i)\b(?:answer|result)\s*(?:is)?\s*[:=]?\s*\(?([ABCD])\b', 1), ''), nullif(regexp_extract(r, '(?i)\b(?:option|choice)\s+\(?([ABCD])\b', 1), ''), nullif(regexp_extract(r, '\b([ABCD])\b', 1), ''), ''))"
+DUCK_FIRST = r"upper(coalesce(nullif(regexp_extract(trim(r), '(?i)^[\s\[\(]*([ABCD])[\s\]\)\.,:;!?]*$', 1), ''), nullif(regexp_extract(trim(r)[1:160], '(?i)\b(?:final\s+answer|answer|result|option|choice)\s*(?:is\s*)?[:\-]?\s*[\[\(]?\s*([ABCD])\b', 1), ''), nullif(regexp_extract(trim(r)[1:160], '(?i)\b(?:the\s+)?(?:correct\s+)?answer\s+is\s+([ABCD])\b', 1), ''), nullif(regexp_extract(trim(r)[1:80], '(?i)\b([ABCD])\b', 1), ''), ''))"
 
 
 @query(f"SELECT k, {DUCK_LAST} AS last, {DUCK_FIRST} AS first, {DUCK_FORMAT} AS fmt FROM {DUCK_ANSWERS}")
@@ -82,12 +83,18 @@ def numeric_answer(spark, d):
     return answers(spark, d).select("k", T.numeric_answer(c, True).alias("strict"), T.numeric_answer(c, False).alias("relaxed"), T.solution(c).alias("solution"))
 
 
-@query("SELECT k, CASE k % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS same FROM (SELECT o_orderkey AS k FROM orders)")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), p AS (SELECT k, c,
+  CASE k % 5 WHEN 0 THEN '$' || (1000 + c % 3) || '.' WHEN 1 THEN (c % 4) || '/' || (c % 3) WHEN 2 THEN (c % 5) || '%' WHEN 3 THEN 'Paris ' ELSE (c % 2) || ',000.50' END AS a,
+  CASE k % 5 WHEN 0 THEN '1,00' || (k % 3) || '.0' WHEN 1 THEN (k % 4) || '/2' WHEN 2 THEN '' || (k % 3) ELSE CASE WHEN c % 2 = 0 THEN ' pARIS' ELSE '1000.5' END END AS b FROM o),
+v AS (SELECT k, a, b, list_transform([a, b], lambda x: try_cast(regexp_replace(regexp_replace(trim(split_part(x, '/', 1)), '[,$%]', '', 'g'), '\.+$', '') AS DOUBLE)) AS n, list_transform([a, b], lambda x: CASE WHEN contains(x, '/') THEN try_cast(split_part(x, '/', 2) AS DOUBLE) ELSE 1.0 END) AS d FROM p)
+SELECT k, coalesce(CASE WHEN d[1] <> 0 AND d[2] <> 0 THEN n[1] * d[2] = n[2] * d[1] END, lower(trim(a)) = lower(trim(b)), false) AS same FROM v""")
 def answers_match(spark, d):
-    """C16 on forms of equal value, and one that differs."""
-    k = F.col("k")
-    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % 4 + 1).cast("int"))
-    return answers(spark, d).select("k", T.same_answer(pick("1,200", "$3.50", "1/2", "abc"), pick("1200.", "7/2", "50/100", "7")).alias("same"))
+    """Amounts, fractions (over zero too), percentages and words, made from keys so that some agree."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    a = F.when(k % 5 == 0, cat("$", 1000 + c % 3, ".")).when(k % 5 == 1, cat(c % 4, "/", c % 3)).when(k % 5 == 2, cat(c % 5, "%")).when(k % 5 == 3, "Paris ").otherwise(cat(c % 2, ",000.50"))
+    b = F.when(k % 5 == 0, cat("1,00", k % 3, ".0")).when(k % 5 == 1, cat(k % 4, "/2")).when(k % 5 == 2, cat(k % 3)).when(c % 2 == 0, " pARIS").otherwise("1000.5")
+    return table(spark, d, "orders").select(k.alias("k"), T.same_answer(a, b).alias("same"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE trim(text) END AS t FROM (SELECT conv_id, turn, 'Yes ' || (turn % 7) AS text FROM conversations)")
@@ -140,8 +147,8 @@ def length_percentiles(spark, d):
     """A15, A16, X10."""
     n = F.col("n_chars").cast("double")
     cols = [F.round(c, 6).alias(a) for c, a in zip(O.distribution(n), ("mean", "median", "p90", "p95", "p99", "max"), strict=True)]
-    floor = F.element_at(F.array_sort(F.collect_list("n_chars")), (F.floor(F.lit(0.95).cast("double") * (F.count("*") - 1)) + 1).cast("int"))
-    return table(spark, d, "documents").groupBy("source").agg(*cols, floor.alias("p95_floor"))
+    x = table(spark, d, "documents").select("source", "n_chars")
+    return x.groupBy("source").agg(*cols).join(O.floor_percentile(x, "source", "n_chars", 0.95, "p95_floor"), "source")
 
 
 _PACK = f"WITH t AS (SELECT doc_id, lang, unnest(list_append({DUCK_TOKENS}, '<eos>')) AS tok, generate_subscripts(list_append({DUCK_TOKENS}, '<eos>'), 1) AS p FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, p) - 1 AS o FROM t)"
@@ -213,12 +220,12 @@ def token_specificity(spark, d):
     return top_sets(spark, d).join(two, "tok").select("lang", "tok", F.round(F.col("n") / (F.lit(1.0) + other), 6).alias("specificity"))
 
 
-_RUN = f"(SELECT k, subject, {DUCK_FORMAT} AS fmt, {DUCK_FIRST} = target AS relaxed, trim(r) = target AS strict, {DUCK_FORMAT} = 'letter' AS canonical FROM {DUCK_ANSWERS})"
+_RUN = f"(SELECT k, subject, {DUCK_FORMAT} AS fmt, {DUCK_FIRST} = target AS relaxed, trim(r) = target AS strict, {DUCK_FORMAT} = 'letter_only' AS canonical FROM {DUCK_ANSWERS})"
 
 
 def run_of(spark, d):
     a = answers(spark, d).withColumn("fmt", T.answer_format(F.col("r")))
-    return a.select("k", "subject", "fmt", (T.first_choice(F.col("r")) == F.col("target")).alias("relaxed"), (T.strip(F.col("r")) == F.col("target")).alias("strict"), (F.col("fmt") == "letter").alias("canonical"))
+    return a.select("k", "subject", "fmt", (T.first_choice(F.col("r")) == F.col("target")).alias("relaxed"), (T.strip(F.col("r")) == F.col("target")).alias("strict"), (F.col("fmt") == "letter_only").alias("canonical"))
 
 
 @query(f"SELECT count(*) AS n, round(avg(relaxed::INT), 6) AS relaxed, round(avg(strict::INT), 6) AS strict, round(avg(canonical::INT), 6) AS canonical, count(*) FILTER (relaxed AND NOT canonical) AS correct_noncanonical, round(avg((relaxed AND NOT strict)::INT), 6) AS lost FROM {_RUN}")
@@ -241,18 +248,19 @@ def format_transitions(spark, d):
     return j.groupBy(F.concat_ws(" -> ", "fmt", "fmt2").alias("change")).agg(F.count("*").alias("n"), F.count_if(F.col("canonical") & ~F.col("canonical2")).alias("lost_canonical"), F.count_if(F.col("relaxed") & ~F.col("relaxed2")).alias("lost_answer"))
 
 
-@query(f"SELECT coalesce(subject, 'all') AS subject, count(*) AS n, round(avg(relaxed::INT), 6) AS exact, round(avg((fmt = 'hash')::INT), 6) AS hash FROM {_RUN} GROUP BY GROUPING SETS ((subject), ())")
+@query(f"SELECT coalesce(subject, 'all') AS subject, count(*) AS n, round(avg(relaxed::INT), 6) AS exact, round(avg((fmt = 'gsm8k_hash')::INT), 6) AS hash FROM {_RUN} GROUP BY GROUPING SETS ((subject), ())")
 def behavior_by_subject(spark, d):
     """A03, A04."""
-    r = run_of(spark, d).rollup("subject").agg(F.count("*").alias("n"), F.round(O.rate(F.col("relaxed")), 6).alias("exact"), F.round(O.rate(F.col("fmt") == "hash"), 6).alias("hash"))
+    r = run_of(spark, d).rollup("subject").agg(F.count("*").alias("n"), F.round(O.rate(F.col("relaxed")), 6).alias("exact"), F.round(O.rate(F.col("fmt") == "gsm8k_hash"), 6).alias("hash"))
     return r.withColumn("subject", F.coalesce("subject", F.lit("all")))
 
 
-@query(f"SELECT subject, round(avg(relaxed::INT), 6) AS accuracy, md5(string_agg(k::VARCHAR, ',' ORDER BY k) FILTER (NOT relaxed)) AS wrong FROM {_RUN} GROUP BY subject")
+@query(f"SELECT r.subject, accuracy, k, row_number() OVER (PARTITION BY r.subject ORDER BY k) - 1 AS place FROM {_RUN} r JOIN (SELECT subject, round(avg(relaxed::INT), 6) AS accuracy FROM {_RUN} GROUP BY 1) a ON a.subject = r.subject WHERE NOT relaxed")
 def wrong_indices(spark, d):
-    """A06."""
-    w = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("relaxed"), F.col("k")))), lambda x: x.cast("string")), ",")
-    return run_of(spark, d).groupBy("subject").agg(F.round(O.rate(F.col("relaxed")), 6).alias("accuracy"), F.md5(w).alias("wrong"))
+    """The ordered list of wrong indices is rows with their places, so no task holds a subject."""
+    x = run_of(spark, d).select("subject", "k", "relaxed")
+    wrong = O.prefix_sum(x.where("not relaxed").withColumn("one", F.lit(1).cast("bigint")), "k", "one", ("subject",), out="place")
+    return wrong.join(x.groupBy("subject").agg(F.round(O.rate(F.col("relaxed")), 6).alias("accuracy")), "subject").select("subject", "accuracy", "k", "place")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -318,7 +326,8 @@ def subset_split(spark, d):
 @query("SELECT doc_id, row_number() OVER (ORDER BY r, source) - 1 AS pos FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)")
 def round_robin(spark, d):
     """The place is (round - 1) x sources + place among those still in, counted without a global window."""
-    x = table(spark, d, "documents").withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("doc_id")))
+    x = table(spark, d, "documents").select("doc_id", "source", F.lit(1).cast("bigint").alias("one"))
+    x = O.prefix_sum(x, "doc_id", "one", ("source",), out="r").drop("one")
     per = x.groupBy("r").agg(F.count("*").alias("n"))
     per = O.prefix_sum(per, "r", "n")
     inside = F.row_number().over(W.partitionBy("r").orderBy("source")) - 1

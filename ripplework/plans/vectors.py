@@ -193,16 +193,20 @@ def score_decomposition(spark, d):
     return out.select("a", "b", *[F.round(x, 6).alias(n) for x, n in (("c", "change"), ("h", "hidden"), ("e", "error"))])
 
 
-@query(f"WITH s AS (SELECT doc_id, tok, n FROM {_TOK}), g AS (SELECT doc_id % 10 AS g, tok, sum(n) AS n FROM s GROUP BY 1, 2) SELECT a.g AS a, b.g AS b, sum(a.n * b.n)::BIGINT AS approx FROM g a JOIN g b USING (tok) WHERE a.g < b.g GROUP BY 1, 2")
+@query(f"""WITH g AS (SELECT doc_id % 10 AS g, tok, sum(n) AS n FROM {_TOK} GROUP BY 1, 2), h AS (SELECT a.g AS a, b.g AS b, sum(a.n * b.n) AS s FROM g a JOIN g b USING (tok) WHERE a.g < b.g GROUP BY 1, 2),
+e AS (SELECT vec_id % 10 AS g, p, sum(x) AS x FROM (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM {_E}) GROUP BY 1, 2), f AS (SELECT a.g AS a, b.g AS b, sum(a.x * b.x) AS s FROM e a JOIN e b USING (p) WHERE a.g < b.g GROUP BY 1, 2)
+SELECT a, b, round(h.s * f.s / 1e6, 4) AS approx FROM h JOIN f USING (a, b)""")
 def approx_score(spark, d):
-    """Representations are summed by group before the product."""
-    t = table(spark, d, "documents").select((F.col("doc_id") % 10).alias("g"), F.explode(tokens()).alias("tok")).groupBy("g", "tok").agg(F.count("*").alias("n"))
-    j = O.prefixed(t, "l_", ("tok",)).join(O.prefixed(t, "r_", ("tok",)), "tok").where("l_g < r_g")
-    return j.groupBy(F.col("l_g").alias("a"), F.col("r_g").alias("b")).agg(F.sum(F.col("l_n") * F.col("r_n")).cast("bigint").alias("approx"))
+    """Two representations, each summed by group, and the product of their groups' dots."""
+    t = table(spark, d, "documents").select((F.col("doc_id") % 10).alias("g"), F.explode(tokens()).alias("i")).groupBy("g", "i").agg(F.count("*").alias("x"))
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 10).alias("g"), F.posexplode(V.doubles(F.col("embedding"))).alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
+    s = O.approximate_score(t, e, "g", "i", "x")
+    return s.where("a < b").select("a", "b", F.round(F.col("score") / 1e6, 4).alias("approx"))
 
 
-@query("SELECT vec_id, ('0x' || substr(md5('9:' || vec_id), 1, 8))::BIGINT % 50 AS candidate FROM embeddings")
+@query("SELECT vec_id, ('0x' || substr(md5('9:' || vec_id), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS candidate FROM embeddings")
 def random_candidate(spark, d):
-    """M06."""
+    """With replacement, among all rows of the table."""
+    e = table(spark, d, "embeddings").select("vec_id")
     h = F.conv(F.substring(O.hash_order(9, F.col("vec_id")), 1, 8), 16, 10).cast("bigint")
-    return table(spark, d, "embeddings").select("vec_id", (h % 50).alias("candidate"))
+    return e.select("vec_id", (h % F.lit(e.count())).alias("candidate"))

@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines of a file, folder or glob, blank lines skipped (S02, S04); strict: a bad line fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    """JSON lines of a file, folder or glob, blank lines skipped (S02, S04); strict: a bad line fails the read.
+
+    A bad line is one that is no JSON object. The error shows the line and its file: a line number would take a count of
+    all lines before it.
+    """
+    if not strict:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    row = F.from_json("value", schema, {"mode": "FAILFAST"})
+    bad = ~F.coalesce(F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull(), F.lit(False))
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("no JSON object in "), "file", F.lit(": "), F.substring("value", 1, 200)))).otherwise(row)
+    return raw.select(checked.alias("row")).select("row.*")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -68,6 +78,134 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
     return up.join(configs, "dir").groupBy("path").agg(F.max_by("config", F.length("dir")).alias("config"))
 
 
+def read_split(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
+    """A dataset folder whose parts are `split=...` folders; with a split, only that folder is read."""
+    df = spark.read.parquet(root)
+    return df if split is None else df.where(F.col("split") == split).drop("split")
+
+
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows of a source in its own order, which is a column."""
+    return df.orderBy(order).limit(n)
+
+
+class Registry:
+    """Named datasets and their aliases; `limit` takes that many rows in the order of a seeded hash."""
+
+    def __init__(self):
+        self.loaders: dict[str, Callable[[], DataFrame]] = {}
+
+    def add(self, load: Callable[[], DataFrame], name: str, *aliases: str) -> None:
+        for x in (name, *aliases):
+            self.loaders[x.strip().lower()] = load
+
+    def load(self, name: str, key: str | None = None, limit: int | None = None, seed: int = 0) -> DataFrame:
+        if name.strip().lower() not in self.loaders:
+            raise ValueError(f"unknown dataset {name}; known: {sorted(self.loaders)}")
+        df = self.loaders[name.strip().lower()]()
+        if limit is None:
+            return df
+        return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(limit)
+
+
+def _scalar(x: str):
+    if x[:1] in "\"'" and x[-1:] == x[:1] and len(x) > 1:
+        return x[1:-1]
+    if x.startswith("[") and x.endswith("]"):
+        return [_scalar(y.strip()) for y in x[1:-1].split(",") if y.strip()]
+    if x.lower() in ("true", "false", "null", "~", ""):
+        return {"true": True, "false": False}.get(x.lower())
+    for kind in (int, float):
+        try:
+            return kind(x)
+        except ValueError:
+            pass
+    return x
+
+
+def parse_yaml(text: str) -> dict:
+    """Nested mappings, lists of scalars, inline lists and scalars: what configuration files use of YAML."""
+    root: dict = {}
+    open_: list[tuple[int, object, object]] = [(-1, root, None)]  # indent, container, and where it hangs
+    for line in text.splitlines():
+        body = line.split(" #")[0].rstrip() if not line.lstrip().startswith("#") else ""
+        if not body.strip() or body.strip() == "---":
+            continue
+        indent, body = len(body) - len(body.lstrip()), body.strip()
+        item = body == "-" or body.startswith("- ")
+        while open_[-1][0] >= indent and not (item and open_[-1][0] == indent and (isinstance(open_[-1][1], list) or open_[-1][1] == {})):
+            open_.pop()
+        _, at, _ = open_[-1]
+        if item:
+            if isinstance(at, dict):
+                holder, key = open_[-1][2]
+                holder[key] = at = []
+                open_[-1] = (indent, at, None)
+            at.append(_scalar(body[1:].strip()))
+            continue
+        key, sep, value = body.partition(":")
+        if not sep or not isinstance(at, dict):
+            raise ValueError(f"not understood: {line}")
+        key, value = str(_scalar(key.strip())), value.strip()
+        at[key] = _scalar(value) if value else {}
+        if not value:
+            open_.append((indent, at[key], (at, key)))
+    return root
+
+
+def read_yaml(spark: SparkSession, path: str) -> dict:
+    """One configuration file as a dict; read through Spark, so from any store."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"one file wanted at {path}")
+    return parse_yaml(rows[0][0])
+
+
+def run_history(history: DataFrame, run: str, keys: list[str]) -> DataFrame:
+    """(step, keys) of a run from a table (run_id, step, key, value) that stands in for a tracking service."""
+    rows = history.where((F.col("run_id") == run) & F.col("key").isin(keys))
+    return rows.groupBy("step").pivot("key", keys).agg(F.max("value"))
+
+
+def read_tensors(spark: SparkSession, path: str, vectors: list[str], ids: list[str]) -> DataFrame:
+    """Tables of vectors, kept as array<float> columns of Parquet (S20); another type or a missing column raises."""
+    df = spark.read.parquet(path)
+    kinds = dict(df.dtypes)
+    if bad := [c for c in vectors if kinds.get(c) not in ("array<float>", "array<double>")] + [c for c in ids if c not in kinds]:
+        raise ValueError(f"columns missing or no vectors: {bad}")
+    return df.select(*ids, *vectors)
+
+
+def save_result(df: DataFrame, path: str, config: dict, csv: bool = False) -> None:
+    """A result as Parquet, on demand as CSV too, with its configuration as JSON beside it."""
+    import json
+
+    df.write.parquet(f"{path}/data")
+    if csv:
+        write_csv([df], f"{path}/csv")
+    df.sparkSession.range(1).select(F.lit(json.dumps(config, sort_keys=True)).alias("value")).coalesce(1).write.text(f"{path}/config")
+
+
+def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small table as a Markdown report; one of more than `most` rows raises."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    show = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x).replace("|", "\\|")
+    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows]) + "\n"
+
+
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """A stage's result, and whether it was there: what is stored and whole is read, else it is made and written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    found = mark.getFileSystem(conf).exists(mark)
+    if not found:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), found
+
+
 def write_jsonl(df: DataFrame, path: str, sort_keys: bool = False, mode: str = "errorifexists") -> None:
     """JSON lines; an existing output is refused unless mode says otherwise."""
     (df.select(*sorted(df.columns)) if sort_keys else df).write.mode(mode).json(path)

@@ -51,10 +51,14 @@ def test_subarray(spark):
     assert list(r) == [3, -1]
 
 
-def test_mask_round_trip():
-    text = "see `x` and $1$ then `y`"
-    masked, kept = T.mask_spans(text, [r"`[^`]*`", r"\$[^$]*\$", r"and \$1"])
-    assert masked.count("KEEP") == 3 and T.unmask_spans(masked, kept) == text
+def test_mask_round_trip(spark):
+    texts = ["see `x` and $1$ then `y`", "", "[[KEEP_0001]] `a``b` [[KEEP_9]]", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    m = df.select("i", T.mask_spans(F.col("t"), [r"`[^`]*`", r"\$[^$]*\$"]).alias("m")).select("i", "m.*", T.unmask_spans(F.col("m.masked"), F.col("m.kept")).alias("back")).orderBy("i").collect()
+    assert [r["back"] for r in m] == texts
+    assert m[0]["masked"] == "see [[KEEP_0000]] and [[KEEP_0001]] then [[KEEP_0002]]" and m[2]["kept"] == ["[[KEEP_0001]]", "`a``b`"]
+    moved = one(spark, T.unmask_spans(F.lit("b [[KEEP_0001]] a [[KEEP_0000]] [[KEEP_0007]]"), F.array(F.lit("x"), F.lit("y"))))
+    assert moved[0] == "b y a x [[KEEP_0007]]"
 
 
 def test_layers_and_channels():
