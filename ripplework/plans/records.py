@@ -286,12 +286,12 @@ def _capitals(texts: pd.Series, languages: pd.Series) -> pd.Series:
 
 
 @query("""WITH p AS (SELECT user_id, event_type, sum(value) AS s, count(value) AS n FROM events GROUP BY 1, 2)
-SELECT user_id, round(sum(s) / sum(n), 6) AS mean, sum(n)::BIGINT AS n, string_agg(event_type || '=' || round(s / n, 3)::DECIMAL(18,3), ',' ORDER BY event_type) AS domains FROM p GROUP BY 1""")
+SELECT user_id, round(sum(s) / sum(n), 10) AS mean, sum(n)::BIGINT AS n, string_agg(event_type || '=' || round(s / n, 3)::DECIMAL(18,3), ',' ORDER BY event_type) AS domains FROM p GROUP BY 1""")
 def domain_accumulator(spark, d):
     """An update's mean and its means by domain."""
     x = R.domain_accumulator(table(spark, d, "events"), "user_id", "event_type", "value")
     by = F.transform(F.map_entries("by_domain"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 3).cast("decimal(18,3)").cast("string")))
-    return x.select("user_id", F.round("mean", 6).alias("mean"), "n", F.array_join(by, ",").alias("domains"))
+    return x.select("user_id", F.round("mean", 10).alias("mean"), "n", F.array_join(by, ",").alias("domains"))
 
 
 @query("SELECT i, j, directed, count(*) AS n FROM (SELECT a.r_regionkey AS i, b.r_regionkey AS j, false AS directed FROM region a JOIN region b ON a.r_regionkey <= b.r_regionkey UNION ALL SELECT a.r_regionkey, b.r_regionkey, true FROM region a JOIN region b ON a.r_regionkey <> b.r_regionkey UNION ALL SELECT a.r_regionkey, b.r_regionkey, true FROM region a CROSS JOIN region b) GROUP BY ALL")
