@@ -3,17 +3,20 @@
 Jaccard distance d = 1 - |x & y| / |x | y| is a metric; two texts link when d <= r = 0.25. Equal shingle sets are one
 point. Points meet in three steps, each of which loses no link:
 
-1. Seeds. All shingles have one global order: by hash, but those in a thousandth of the texts or more last. Linked sets
-   share one of their first n - ceil(0.75 n) + 1 shingles, so they meet in that seed's region. Unrelated texts are all
-   at distance 1, where Voronoi cells cannot tell them apart; seeds stand in for pivots there. Points whose first
-   shingles reach into the frequent ones are a region of their own. In a region, parity bitmaps (one bit for each class
-   of hashes, flipped by each member) bound the symmetric difference from below and rule out most pairs.
+1. Seeds. All shingles have one global order: by hash, but frequent ones last. Linked sets share one of their first
+   n - ceil(0.75 n) + 1 shingles, so they meet in that seed's region. Unrelated texts are all at distance 1, where Voronoi
+   cells cannot tell them apart; seeds stand in for pivots there. In a region of up to `region_sets` points, parity bitmaps
+   (one bit for each class of hashes, flipped by each member) bound the symmetric difference from below and rule out most
+   pairs. Of a larger one a sample of points is compared: if most may be linked to one of them, the region goes on as it
+   is; if not, its points meet again by this seed and a later one, for linked sets share j of their first
+   n - ceil(0.75 n) + j shingles. So neither a family of copies nor a common phrase is compared pair by pair.
 2. Regions that share a possible link are one block. Blocks are joined exactly on whole shingle sets: two pivots, the
    Voronoi cells around them, points within 2r of the border in both cells, cells joined recursively. Sorting by the
    distance to a pivot, a gap over r splits a cell (no pair across it can link); points within r of the pivot are
    linked to it, and only those that could reach a point outside go on. So a tight group of n copies takes n distances.
-3. A block too large for a task is split the same way across tasks: pivots are broadcast (a fixed number for a block),
-   each point finds its cells where it is, and what is left of a cell too large once more goes down a level.
+3. A block too large for a task, in points or in bytes, is split the same way across tasks: pivots are broadcast, those of
+   so many blocks at once as fit a fixed size, each point finds its cells where it is, and what is left of a cell too
+   large once more goes down a level.
 
 Defined results: null or wordless text has no shingles, links with nothing and is its own component; a null id counts
 as the least id; rows equal in id are separate rows; an empty table gives an empty result.
@@ -36,8 +39,14 @@ NUM, DEN = 75, 100
 RADIUS = 1 - NUM / DEN
 FREQUENT = 1000
 HOT_ROWS = 1_000_000
+#: Points of a region that are compared pair by pair; points of a larger one that decide how it goes on; seeds of a key.
+REGION_SETS = 512
+SAMPLE = 48
+DEEPEST = 4
 BLOCK_SETS = 4000
+BLOCK_BYTES = 64_000_000
 PIVOTS = 16
+PIVOT_BYTES = 32_000_000
 LEVELS = 6
 NO_ID = -(2**63)
 _ENTRY = np.dtype([("h", "<u8"), ("fp", "<u8")])
@@ -48,8 +57,17 @@ def fingerprint(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1
+def prefix_length(n: int, shared: int = 1) -> int:
+    """Linked sets of this size share so many of their first shingles."""
+    return min(n, n - -(-NUM * n // DEN) + shared)
+
+
+def ordered(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set in the global order, and how many of it are not frequent."""
+    if not len(hot):
+        return s, len(s)
+    frequent = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+    return np.concatenate([s[~frequent], s[frequent]]), int(len(s) - frequent.sum())
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -207,39 +225,31 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _seeds(docs: DataFrame, frequent, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, entries) of the seeds of each text, packed; bucket -1 holds points whose seeds reach the frequent shingles."""
+    """(bucket, entries) of the seeds of each text, packed; frequent seeds have buckets of their own behind the others."""
 
     def run(batches):
         hashes, hot = WordHashes(), frequent.value
         for some in _gathered(slices(batches), 2048):
-            parts, crowd, seen = [], [], set()
+            parts, seen = [], set()
             for (t,) in some:
                 s = shingles(t, hashes)
                 fp = fingerprint(s)
                 if not len(s) or fp in seen:
                     continue
                 seen.add(fp)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    rare = s[hot[at] != s]
-                else:
-                    rare = s
+                row, rare = ordered(s, hot)
                 k = prefix_length(len(s))
-                if len(rare) < k:
-                    crowd.append(fp)
-                e = np.empty(min(k, len(rare)), _ENTRY)
-                e["h"], e["fp"] = rare[:k], np.uint64(fp + 2**63)
-                parts.append(e)
+                e = np.empty(k, _ENTRY)
+                e["h"], e["fp"] = row[:k], np.uint64(fp + 2**63)
+                parts += [(e[:rare], 0), (e[rare:], buckets)]
             rows = []
-            if parts:
-                e = np.concatenate(parts)
+            for behind in (0, buckets):
+                e = np.concatenate([x for x, at in parts if at == behind] or [np.empty(0, _ENTRY)])
                 where = (mix(e["h"]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 e, where = e[order], where[order]
                 cuts = np.flatnonzero(np.diff(where)) + 1
-                rows = [(int(w), x.tobytes()) for w, x in zip(where[np.concatenate([[0], cuts])] if len(where) else [], np.split(e, cuts), strict=False)]
-            if crowd:
-                rows.append((-1, np.array(crowd, "<i8").tobytes()))
+                rows += [(int(w) + behind, x.tobytes()) for w, x in zip(where[np.concatenate([[0], cuts])] if len(where) else [], np.split(e, cuts), strict=False)]
             if rows:
                 yield _batches(rows, ["bucket", "entries"], [pa.int32(), pa.binary()])
         hashes.clear()
@@ -248,10 +258,15 @@ def _seeds(docs: DataFrame, frequent, buckets: int, id_col: str, text_col: str)
     return docs.select(F.col(text_col)).mapInArrow(run, "bucket int, entries binary")
 
 
-def _regions(seeds: DataFrame) -> DataFrame:
-    """(region, fp) of every seed with two points or more; equal regions of a bucket count once."""
+#: hot and seed together are a seed's place in the global order.
+REGIONS = "region bigint, fp bigint, n int, hot boolean, seed bigint"
+
 
-    def solve(raw: list[bytes]):
+def _regions(seeds: DataFrame, buckets: int) -> DataFrame:
+    """(region, fp, n, hot, seed) of every seed with n points, two or more; of equal regions the one of the first seed stays."""
+    names = [x.split()[0] for x in REGIONS.split(", ")]
+
+    def solve(bucket: int, raw: list[bytes]):
         e = np.concatenate([np.frombuffer(x, _ENTRY) for x in raw])
         e = e[np.lexsort((e["fp"], e["h"]))]
         fresh = np.ones(len(e), bool)
@@ -266,27 +281,108 @@ def _regions(seeds: DataFrame) -> DataFrame:
         fp = e["fp"][keep]
         begin = np.cumsum(counts) - counts
         with np.errstate(over="ignore"):
-            names = mix(np.add.reduceat(mix(fp), begin) + counts.astype(np.uint64))
-        _, first = np.unique(names, return_index=True)
-        take = np.zeros(len(names), bool)
+            region = mix(np.add.reduceat(mix(fp), begin) + counts.astype(np.uint64))
+        _, first = np.unique(region, return_index=True)
+        take = np.zeros(len(region), bool)
         take[first] = True
         row = np.repeat(take, counts)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)[row].view(np.int64)), pa.array((fp[row] - np.uint64(2**63)).view(np.int64))], ["region", "fp"])
+        signed = lambda x: pa.array((x - np.uint64(2**63)).view(np.int64))  # noqa: E731  in the order of the hashes
+        cols = [np.repeat(region, counts)[row].view(np.int64), None, np.repeat(counts, counts)[row].astype(np.int32), np.full(int(row.sum()), bucket >= buckets), None]
+        cols[1], cols[4] = signed(fp[row]), signed(e["h"][keep][row])
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
 
     def run(batches):
         now, raw = None, []
         for b in batches:
             for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if bucket != now and raw:
-                    if (out := solve(raw)) is not None:
+                    if (out := solve(now, raw)) is not None:
                         yield out
                     raw = []
                 now = bucket
                 raw.append(x)
-        if raw and (out := solve(raw)) is not None:
+        if raw and (out := solve(now, raw)) is not None:
             yield out
 
-    return seeds.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "region bigint, fp bigint")
+    rows = seeds.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, REGIONS)
+    return rows.groupBy("region", "fp", "n").agg(F.min(F.struct("hot", "seed")).alias("at")).select("region", "fp", "n", "at.hot", "at.seed")
+
+
+def _coherent(members: DataFrame) -> DataFrame:
+    """(region) of those where most of a sample of (region, fp, n, bits) may be linked to one of the sample."""
+
+    def solve(rows: list[tuple]) -> bool:
+        packed = [(n, int.from_bytes(bits, "little"), 8 * len(bits)) for _, n, bits in rows]
+        return max(sum(possible(*x, *y) for y in packed) for x in packed) * 2 > len(packed)
+
+    def run(batches):
+        now, rows, out = None, [], []
+        for b in batches:
+            for region, *r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if region != now and rows:
+                    out += [(now,)] if solve(rows) else []
+                    rows = []
+                now = region
+                rows.append(r)
+        out += [(now,)] if rows and solve(rows) else []
+        if out:
+            yield _batches(out, ["region"], [pa.int64()])
+
+    return members.select("region", "fp", "n", "bits").repartition("region").sortWithinPartitions("region").mapInArrow(run, "region bigint")
+
+
+def _extended(apart: DataFrame, points: DataFrame, texts: DataFrame, frequent, shared: int) -> DataFrame:
+    """Regions by one more seed, from (region, fp, seed) and (rep, text): `shared` is how many seeds a key now has."""
+
+    def run(batches):
+        hashes, hot = WordHashes(), frequent.value
+        for some in slices(batches):
+            for fp, keys, text in some:
+                s = shingles(text, hashes)
+                if fingerprint(s) != fp:
+                    continue
+                row, rare = ordered(s, hot)
+                place = {int(h): i for i, h in enumerate(row.tolist())}
+                few = -(-NUM * len(s) // DEN) < shared  # linked sets this small may share less: they meet by this key once more
+                row = row[: prefix_length(len(s), shared)]
+                for k in keys:
+                    at = place[k["seed"] + 2**63] + 1
+                    later = row[at:]
+                    if few:
+                        again = mix(np.array([k["region"]], np.int64).view(np.uint64) + np.uint64(shared))
+                        yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array([fp]), pa.array([at > rare]), pa.array([k["seed"]])], ["region", "fp", "hot", "seed"])
+                    if len(later):
+                        region = mix(later * np.uint64(0x9E3779B185EBCA87) + mix(np.array([k["region"]], np.int64).view(np.uint64)))
+                        cols = [region.view(np.int64), np.full(len(later), fp), np.arange(at, at + len(later)) >= rare, (later - np.uint64(2**63)).view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["region", "fp", "hot", "seed"])
+        release()
+
+    keys = apart.groupBy("fp").agg(F.collect_list(F.struct("region", "seed")).alias("keys"))  # at most a prefix's length
+    rows = keys.join(points, "fp").join(texts, "rep").select("fp", "keys", "text").mapInArrow(run, "region bigint, fp bigint, hot boolean, seed bigint")
+    rows = materialize(rows.dropDuplicates(["region", "fp"]), "extended")
+    n = rows.groupBy("region").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    return materialize(rows.join(n, "region").select("region", "fp", "n", "hot", "seed"), "regions")
+
+
+def _block_edges(regions: DataFrame, points: DataFrame, texts: DataFrame, frequent, region_sets: int) -> DataFrame:
+    """(a, b) that connect all points that may be linked, whatever the size of a region."""
+    edges = []
+    for shared in range(2, DEEPEST + 2):
+        edges.append(materialize(_possible_edges(regions.where(F.col("n") <= region_sets).select("region", "fp").join(points, "fp")), "possible"))
+        large = regions.where(F.col("n") > region_sets)
+        hubs = materialize(large.groupBy("region").agg(F.min("fp").alias("hub")), "hubs")
+        if not hubs.take(1):
+            break
+        if shared <= DEEPEST:
+            k = F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("fp", F.lit(17)), "fp"))
+            sample = large.select("region", "fp").withColumn("k", k).where(F.col("k") <= SAMPLE).drop("k")
+            together = materialize(_coherent(sample.join(points, "fp")), "coherent")
+            apart = large.join(together, "region", "left_anti").select("region", "fp", "seed")
+            hubs = hubs.join(together, "region", "left_semi")
+        edges.append(materialize(large.select("region", "fp").join(hubs, "region").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")), "stars"))
+        if shared <= DEEPEST:
+            regions = _extended(apart, points, texts, frequent, shared)
+    return _union(edges)
 
 
 def _possible_edges(members: DataFrame) -> DataFrame:
@@ -348,50 +444,62 @@ def _join_blocks(points: DataFrame) -> DataFrame:
     return points.select("block", "fp", "shingles").repartition("block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint")
 
 
-def _split_large(points: DataFrame, block_sets: int) -> tuple[DataFrame | None, list[DataFrame]]:
-    """Splits blocks of more than `block_sets` points by broadcast pivots until none is left: (small blocks, link edges)."""
+def _split_large(points: DataFrame, block_sets: int, block_bytes: int = BLOCK_BYTES, pivot_bytes: int = PIVOT_BYTES) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Splits blocks of more points or bytes by broadcast pivots until none is left: (small blocks, link edges)."""
     spark = points.sparkSession
     small, edges = [], []
     for level in range(LEVELS):
-        sizes = points.groupBy("block").agg(F.count("*").alias("points"))
-        large = sizes.where(F.col("points") > block_sets).select("block")
+        sizes = points.groupBy("block").agg(F.count("*").alias("points"), F.sum(F.length("shingles")).alias("bytes"))
+        large = materialize(sizes.where((F.col("points") > block_sets) | (F.col("bytes") > block_bytes) & (F.col("points") > 2)), "large")
         small.append(points.join(large, "block", "left_anti"))
-        points = points.join(large, "block", "left_semi")
-        pivots = points.withColumn("k", F.row_number().over(W.partitionBy("block").orderBy(F.xxhash64("fp", F.lit(level))))).where(F.col("k") <= PIVOTS)
-        pivots = pivots.select("block", "fp", "shingles").collect()  # PIVOTS rows for each block over the size
-        if not pivots:
+        if not large.take(1):
             return _union(small), edges
-        by_block: dict = {}
-        for r in pivots:
-            by_block.setdefault(r["block"], []).append((r["fp"], bytes(r["shingles"])))
-        shared = spark.sparkContext.broadcast(by_block)
-
-        def run(batches, shared=shared):
-            for b in batches:
-                out = []
-                rows = list(zip(*[c.to_pylist() for c in b.columns], strict=True))
-                for block in sorted({r[0] for r in rows}):
-                    own = [r for r in rows if r[0] == block]
-                    sets = [np.frombuffer(r[2], "<u8") for r in own]
-                    got = [_metric(*distances(np.frombuffer(s, "<u8"), sets)) for _, s in shared.value[block]]
-                    d, link = np.array([g[0] for g in got]), np.array([g[1] for g in got])
-                    out += [(block, r[1], r[2], d[:, i].tolist(), link[:, i].tolist()) for i, r in enumerate(own)]
-                yield _batches(out, ["block", "fp", "shingles", "d", "link"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.bool_())])
-
-        at = materialize(points.mapInArrow(run, "block bigint, fp bigint, shingles binary, d array<double>, link array<boolean>"), "pivots")
-        names = F.create_map(*[x for b, ps in by_block.items() for x in (F.lit(b).cast("bigint"), F.array(*[F.lit(p[0]).cast("bigint") for p in ps]))])
-        pivot_of = at.select("block", "fp", F.explode(F.arrays_zip(F.element_at(names, F.col("block")).alias("p"), F.col("link").alias("l"))).alias("x"))
+        points = points.join(large.select("block"), "block", "left_semi")
+        k = F.row_number().over(W.partitionBy("block").orderBy(F.xxhash64("fp", F.lit(level))))
+        few = F.greatest(F.lit(2), F.least(F.lit(PIVOTS), F.floor(F.lit(pivot_bytes) / (F.col("bytes") / F.col("points")))))
+        pivots = points.withColumn("k", k).where(F.col("k") <= PIVOTS).join(large, "block").where(F.col("k") <= few)
+        weight = pivots.groupBy("block").agg(F.sum(F.length("shingles")).alias("w"))
+        # a row for each large block, in batches of pivots that together have a bounded size
+        weight = weight.withColumn("batch", F.floor(F.sum("w").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)) / pivot_bytes).cast("int"))
+        pivots = materialize(pivots.join(weight, "block").select("batch", "block", "fp", "shingles"), "pivots")
+        mine = points.join(weight.select("block", "batch"), "block")
+        found = []
+        for (batch,) in sorted(pivots.select("batch").distinct().collect()):  # numbers of batches
+            by_block: dict = {}
+            for r in pivots.where(F.col("batch") == batch).collect():  # at most `pivot_bytes` and one block's
+                by_block.setdefault(r["block"], []).append((r["fp"], bytes(r["shingles"])))
+            shared = spark.sparkContext.broadcast(by_block)
+
+            def run(batches, shared=shared):
+                for b in batches:
+                    out, rows = [], list(zip(*[c.to_pylist() for c in b.columns], strict=True))
+                    by: dict = {}
+                    for r in rows:
+                        by.setdefault(r[0], []).append(r)
+                    for block, own in by.items():
+                        sets = [np.frombuffer(r[2], "<u8") for r in own]
+                        got = [_metric(*distances(np.frombuffer(s, "<u8"), sets)) for _, s in shared.value[block]]
+                        d, link, names = np.array([g[0] for g in got]), np.array([g[1] for g in got]), [f for f, _ in shared.value[block]]
+                        out += [(block, r[1], r[2], names, d[:, i].tolist(), link[:, i].tolist()) for i, r in enumerate(own)]
+                    if out:
+                        yield _batches(out, ["block", "fp", "shingles", "p", "d", "link"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_())])
+
+            schema = "block bigint, fp bigint, shingles binary, p array<bigint>, d array<double>, link array<boolean>"
+            found.append(materialize(mine.where(F.col("batch") == batch).select("block", "fp", "shingles").mapInArrow(run, schema), "pivots"))
+            shared.unpersist()
+        at = _union(found)
+        pivot_of = at.select("fp", F.explode(F.arrays_zip(F.col("p").alias("p"), F.col("link").alias("l"))).alias("x"))
         edges.append(pivot_of.where("x.l and x.p <> fp").select(F.col("fp").alias("a"), F.col("x.p").alias("b")))
         outside = at.select("block", F.posexplode(F.arrays_zip("d", "link"))).where("not col.link").groupBy("block", "pos").agg(F.min("col.d").alias("m"))
-        outside = outside.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("pos", "m"))).alias("m"))  # PIVOTS entries
-        joined = at.join(F.broadcast(outside), "block", "left")  # a row for each block over the size
+        outside = materialize(outside.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("pos", "m"))).alias("m")), "outside")  # PIVOTS entries
+        joined = at.join(outside, "block", "left")
         done = F.exists(F.transform(F.arrays_zip("d", "link"), lambda x, i: x["link"] & F.coalesce(x["d"] < F.try_element_at("m", i) - RADIUS - 1e-9, F.lit(True))), lambda x: x)
         rest = joined.where(~done)
         best = F.array_min("d")
         cells = F.filter(F.transform("d", lambda x, i: F.when(x - best <= 2 * RADIUS + 1e-9, i)), lambda x: x.isNotNull())
         points = materialize(rest.select(F.explode(cells).alias("cell"), "block", "fp", "shingles").select(F.xxhash64("block", "cell", F.lit(level)).alias("block"), "fp", "shingles"), "cells")
-    # Cells that pivots do not split: every two groups of points meet in one task.
-    sizes = points.groupBy("block").agg((F.count("*") / (block_sets // 2)).cast("int").alias("g"))
+    # Cells that pivots do not split: every two groups of points, bounded in number and bytes, meet in one task.
+    sizes = points.groupBy("block").agg((F.greatest(F.count("*") / (block_sets // 2), 2 * F.sum(F.length("shingles")) / F.lit(block_bytes))).cast("int").alias("g"))
     rows = points.join(sizes, "block").withColumn("s", F.pmod(F.xxhash64("fp", F.lit("salt")), F.col("g") + 1))
     rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g").cast("bigint"))))
     small.append(rows.select(F.xxhash64("block", F.least("s", "t"), F.greatest("s", "t")).alias("block"), "fp", "shingles"))
@@ -405,7 +513,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS, region_sets: int = REGION_SETS) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     known = materialize(profile(docs, id_col, text_col), "profile")
@@ -415,17 +523,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = known.where("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least)
     # At most FREQUENT times the mean set; were there more, the most frequent ones go last and the others stay in order.
     common = common.orderBy(F.col("texts").desc(), "shingle").limit(HOT_ROWS).select("shingle").collect()
-    hot = np.sort(np.array([r[0] for r in common], np.int64).view(np.uint64))
+    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in common], np.int64).view(np.uint64)))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seeds = materialize(_seeds(docs, spark.sparkContext.broadcast(hot), buckets, id_col, text_col), "seeds")
-    regions = _regions(seeds).distinct()
-    edges = _possible_edges(regions.join(points, "fp"))
-    crowd = materialize(seeds.where("bucket = -1").mapInArrow(_unpack, "fp bigint").distinct(), "crowd")
-    hub = crowd.agg(F.min("fp").alias("b"))
-    edges = materialize(edges.union(crowd.crossJoin(F.broadcast(hub)).select(F.col("fp").alias("a"), "b")), "possible")  # hub is one row
+    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("rep"), F.col(text_col).alias("text"))
+    regions = materialize(_regions(_seeds(docs, frequent, buckets, id_col, text_col), buckets), "regions")
+    edges = materialize(_block_edges(regions, points, texts, frequent, region_sets), "edges")
     blocks = materialize(components(edges), "blocks")
     chosen = blocks.join(points, blocks["node"] == points["fp"]).select(F.col("component").alias("block"), "fp", "rep")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("rep"), F.col(text_col).alias("text"))
     active = materialize(_sets(texts.join(chosen, "rep").select("block", "fp", "text")).dropDuplicates(["fp"]), "active")
     small, links = _split_large(active, block_sets)
     links = materialize(_union([_join_blocks(small), *links]), "links")
@@ -440,12 +544,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(blank(F.col("doc_id")).alias(id_col), F.col("n").alias("n_shingles"), blank(own).alias("component_id"))
 
 
-def _unpack(batches):
-    for b in batches:
-        if b.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]))], ["fp"])
-
-
 def _sets(rows: DataFrame) -> DataFrame:
     """(block, fp, shingles) from (block, fp, text); rows of another text under the same id are left out."""
 

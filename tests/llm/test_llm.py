@@ -42,9 +42,9 @@ def brute_sets(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("block", [4000, 12])
-def test_jaccard_components(spark, texts, block):
-    """All links of the brute force, also when every block is split by broadcast pivots."""
+@pytest.mark.parametrize(("block", "region"), [(4000, 512), (12, 512), (4000, 3), (12, 2)])
+def test_jaccard_components(spark, texts, block, region):
+    """All links of the brute force, also when every block is split by broadcast pivots and every region extended."""
     sets = [brute_sets(t) for t in texts]
     up = list(range(len(sets)))
 
@@ -58,10 +58,60 @@ def test_jaccard_components(spark, texts, block):
             if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
                 x, y = find(i), find(j)
                 up[max(x, y)] = min(x, y)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(make(spark, texts), block_sets=block).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(make(spark, texts), block_sets=block, region_sets=region).collect()}
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("region", [512, 8])
+def test_unrelated_texts_with_common_phrases(spark, region):
+    """Texts that share phrases and nothing else, small texts among them, and near copies: linked as the brute force does."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    phrases = ["this very common phrase is in all of the texts", "and another one of some words more here"]
+    texts = []
+    for i in range(400):
+        own = [word() for _ in range(rng.choice((2, 3, 20, 40)))]
+        texts.append(" ".join([phrases[0], *own, phrases[1]] if i % 2 else [phrases[i % 4 // 2], *own]))
+        if i % 9 == 0:
+            texts.append(texts[-1] + " " + word())
+    base = "q w e r t y u"
+    texts += [base, *(f"{base} {x}" for x in "asdfghjkl"), base + " a b"]
+    sets = [brute_sets(t) for t in texts]
+    up = jaccard._Union(len(sets))
+    at = defaultdict(list)
+    for i, x in enumerate(sets):
+        for k in x:
+            at[k].append(i)
+    for i, x in enumerate(sets):
+        for j, n in Counter(j for k in x for j in at[k] if j < i).items():
+            if 100 * n >= 75 * (len(x) + len(sets[j]) - n):
+                up.join(i, j)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(make(spark, texts), region_sets=region).collect()}
+    assert got == {i: up.find(i) for i in range(len(texts))}
+    assert len(set(got.values())) < len(texts) - 40
+
+
+def test_many_unrelated_texts_with_one_shingle_in_common(spark):
+    import time
+
+    rng = random.Random(22)
+    texts = ["five words that all share " + " ".join(str(rng.randrange(10**9)) for _ in range(8)) for _ in range(10_000)]
+    t = time.time()
+    got = jaccard.link_components(make(spark, texts)).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == 10_000
+    assert time.time() - t < 60
+
+
+def test_jaccard_odd_rows(spark):
+    rows = [(None, "a b c d e f g h"), (5, "A b c d e f g h"), (5, "x y z"), (7, None), (None, None), (8, "  \n"), (3, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("rep", F.lit(3))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_components(docs).collect())
+    assert got == Counter([(None, 4, None), (5, 4, None), (5, 1, 3), (3, 1, 3), (7, 0, 7), (None, 0, None), (8, 0, 8)])
+    assert jaccard.link_components(docs.limit(0)).count() == 0
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 3, 7, 8]
+
+
 def test_join_block_matches_all_pairs():
     rng = np.random.default_rng(3)
     sets = []
