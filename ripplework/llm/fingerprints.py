@@ -4,7 +4,8 @@ A sketch holds the k least 40-bit hashes of a text's shingles and whether those
 sketch of the whole (of their shingles); two sketches estimate resemblance and containment, one the number of distinct
 shingles. Texts with at most k shingles are compared exactly.
 
-Defined results: null text is empty; two empty texts have likeness 1, an empty and another 0; equal ids are ordered by
+Defined results: null text is empty; two empty texts have likeness 1, an empty and another 0; a text of fewer than five
+words is one shingle, so its likeness to any text of other words is 0; equal ids are ordered by
 their text's hash; the next of the last document is the first; a single document is its own next; an empty table gives
 an empty result.
 """

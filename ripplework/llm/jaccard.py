@@ -331,8 +331,8 @@ def _coherent(members: DataFrame) -> DataFrame:
     return members.select("region", "fp", "n", "bits").repartition("region").sortWithinPartitions("region").mapInArrow(run, "region bigint")
 
 
-def _extended(apart: DataFrame, points: DataFrame, texts: DataFrame, frequent, shared: int) -> DataFrame:
-    """Regions by one more seed, from (region, fp, seed) and (rep, text): `shared` is how many seeds a key now has."""
+def _extended(keys: DataFrame, texts: DataFrame, frequent, shared: int) -> DataFrame:
+    """Regions by one more seed, from (rep, fp, keys (region, seed)) and (rep, text): `shared` is how many seeds a key now has."""
 
     def run(batches):
         hashes, hot = WordHashes(), frequent.value
@@ -357,8 +357,7 @@ def _extended(apart: DataFrame, points: DataFrame, texts: DataFrame, frequent, s
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["region", "fp", "hot", "seed"])
         release()
 
-    keys = apart.groupBy("fp").agg(F.collect_list(F.struct("region", "seed")).alias("keys"))  # at most a prefix's length
-    rows = keys.join(points, "fp").join(texts, "rep").select("fp", "keys", "text").mapInArrow(run, "region bigint, fp bigint, hot boolean, seed bigint")
+    rows = keys.join(texts, "rep").select("fp", "keys", "text").mapInArrow(run, "region bigint, fp bigint, hot boolean, seed bigint")
     rows = materialize(rows.dropDuplicates(["region", "fp"]), "extended")
     n = rows.groupBy("region").agg(F.count("*").cast("int").alias("n")).where("n > 1")
     return materialize(rows.join(n, "region").select("region", "fp", "n", "hot", "seed"), "regions")
@@ -381,7 +380,11 @@ def _block_edges(regions: DataFrame, points: DataFrame, texts: DataFrame, freque
             hubs = hubs.join(together, "region", "left_semi")
         edges.append(materialize(large.select("region", "fp").join(hubs, "region").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")), "stars"))
         if shared <= DEEPEST:
-            regions = _extended(apart, points, texts, frequent, shared)
+            keys = apart.groupBy("fp").agg(F.collect_list(F.struct("region", "seed")).alias("keys"))  # at most a prefix's length
+            keys = materialize(keys.join(points, "fp").select("rep", "fp", "keys"), "apart")
+            if not keys.take(1):  # texts are not moved for nothing
+                break
+            regions = _extended(keys, texts, frequent, shared)
     return _union(edges)
 
 
@@ -530,6 +533,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = materialize(_block_edges(regions, points, texts, frequent, region_sets), "edges")
     blocks = materialize(components(edges), "blocks")
     chosen = blocks.join(points, blocks["node"] == points["fp"]).select(F.col("component").alias("block"), "fp", "rep")
+    chosen = materialize(chosen, "chosen")
     active = materialize(_sets(texts.join(chosen, "rep").select("block", "fp", "text")).dropDuplicates(["fp"]), "active")
     small, links = _split_large(active, block_sets)
     links = materialize(_union([_join_blocks(small), *links]), "links")
