@@ -367,7 +367,7 @@ def _block_edges(regions: DataFrame, points: DataFrame, texts: DataFrame, freque
     """(a, b) that connect all points that may be linked, whatever the size of a region."""
     edges = []
     for shared in range(2, DEEPEST + 2):
-        edges.append(materialize(_possible_edges(regions.where(F.col("n") <= region_sets).select("region", "fp").join(points, "fp")), "possible"))
+        edges.append(materialize(_possible_edges(regions.where(F.col("n") <= region_sets).select("region", "fp").join(points.hint("merge"), "fp")), "possible"))
         large = regions.where(F.col("n") > region_sets)
         hubs = materialize(large.groupBy("region").agg(F.min("fp").alias("hub")), "hubs")
         if not hubs.take(1):
@@ -532,17 +532,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     regions = materialize(_regions(_seeds(docs, frequent, buckets, id_col, text_col), buckets), "regions")
     edges = materialize(_block_edges(regions, points, texts, frequent, region_sets), "edges")
     blocks = materialize(components(edges), "blocks")
-    chosen = blocks.join(points, blocks["node"] == points["fp"]).select(F.col("component").alias("block"), "fp", "rep")
+    chosen = blocks.join(points.hint("merge"), blocks["node"] == points["fp"]).select(F.col("component").alias("block"), "fp", "rep")
     chosen = materialize(chosen, "chosen")
-    active = materialize(_sets(texts.join(chosen, "rep").select("block", "fp", "text")).dropDuplicates(["fp"]), "active")
+    # Merge joins where one side grows with the input: the plan is then the same at every size.
+    active = materialize(_sets(texts.join(chosen.hint("merge"), "rep").select("block", "fp", "text")).dropDuplicates(["fp"]), "active")
     small, links = _split_large(active, block_sets)
     links = materialize(_union([_join_blocks(small), *links]), "links")
     roots = materialize(components(links), "roots")
-    named = roots.join(points, roots["node"] == points["fp"]).select("component", "fp", "rep")
+    named = roots.join(points.hint("merge"), roots["node"] == points["fp"]).select("component", "fp", "rep")
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = named.join(ids, "component").select("fp", "component_id")
-    per_set = points.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "fp").join(per_set, "fp", "left")
+    per_set = points.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.select("doc_id", "n", "fp").join(per_set.hint("merge"), "fp", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     blank = lambda c: F.when(c != NO_ID, c)
     return out.select(blank(F.col("doc_id")).alias(id_col), F.col("n").alias("n_shingles"), blank(own).alias("component_id"))
