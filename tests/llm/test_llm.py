@@ -178,6 +178,93 @@ def test_rules_find_the_junk(spark):
     assert quality.keep(docs, labels.limit(0)).count() == 400 and quality.keep(docs.limit(0), labels).count() == 0
 
 
+def brute_statistics(t):
+    """The statistics that rules are learned from, by the base counts' brute force."""
+    n, chars, symbols, dup, repeat = brute_base(t)
+    t = t or ""
+    w, ls = re.findall(r"[^\x20\x09-\x0d]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+    of = lambda p: len(re.findall(p, t))
+    return {"n_words": n, "word_length": chars / max(n, 1), "symbols": symbols / max(n, 1), "dup_lines": dup / max(len(ls), 1), "repeat_words": repeat / max(n, 1), "upper": of("[A-Z]") / max(chars, 1), "digits": of("[0-9]") / max(chars, 1), "bangs": of("[!?]") / max(n, 1), "distinct_words": len(set(w)) / max(n, 1), "line_words": max(n, 1) / max(len(ls), 1)}
+
+
+def brute_rules(rows, cuts):
+    """Sequential covering in plain Python over (statistics, bad, held out)."""
+    import math
+
+    fits = lambda rule, x: all((x[c.statistic] > c.threshold) == c.above for c in rule)
+    rules = []
+    while len(rules) < quality.MAX_RULES:
+        left = [r for r in rows if not any(fits(x, r[0]) for x in rules)]
+        rule = ()
+        while len(rule) < quality.MAX_CONDITIONS:
+            grow = [(x, bad) for x, bad, held in left if not held and fits(rule, x)]
+            p0 = sum(bad for _, bad in grow)
+            best = (0.0, None)
+            for s in quality.STATISTICS:
+                for cut in cuts[s]:
+                    for above in (True, False):
+                        hit = [bad for x, bad in grow if (x[s] > cut) == above]
+                        p = sum(hit)
+                        if p >= quality.MIN_COVER:
+                            g = p * (math.log2(p / len(hit)) - math.log2(p0 / len(grow)))
+                            if g > best[0] + 1e-9:
+                                best = (g, quality.Condition(s, above, float(cut)))
+            if p0 == len(grow) or best[1] is None:
+                break
+            rule = (*rule, best[1])
+        if not rule:
+            break
+        seen = []
+        for k in range(1, len(rule) + 1):
+            hit = [bad for x, bad, held in left if held and fits(rule[:k], x)]
+            seen.append((sum(hit), len(hit)))
+        k = max(range(1, len(rule) + 1), key=lambda k: ((2 * seen[k - 1][0] - seen[k - 1][1]) / max(1, seen[k - 1][1]), -k))
+        p, n = seen[k - 1]
+        if p < quality.MIN_COVER or p < quality.MIN_PRECISION * n:
+            break
+        rules.append(rule[:k])
+    return rules
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """Documents of several kinds of junk, some of them labelled, some labels wrong."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    kinds = [lambda w: " ".join(w), lambda w: " ".join(w), lambda w: " ".join(x.upper() + "!" for x in w), lambda w: " # ".join(w), lambda w: "\n".join(str(rng.randrange(10**6)) + x for x in w), lambda w: " ".join(w[:5] * 8)]
+    kind = [rng.randrange(len(kinds)) for _ in range(600)]
+    texts = [kinds[k]([word() for _ in range(rng.randint(8, 60))]) for k in kind] + [None, "", "short", "a\nb"]
+    labels = [(i, int((kind[i] < 2) ^ (rng.random() < 0.02)), 0) for i in range(0, 600, 2)] + [(1, None, 0), (None, 1, 0), (9999, 0, 0)]
+    return make(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), texts, {i: q for i, q, _ in labels if i is not None and i < 600 and q is not None}
+
+
+def test_verdicts_equal_brute_force(spark, judged):
+    """The rules are those of a plain sequential covering, and each text's verdict follows from its own statistics."""
+    docs, labels, texts, quality_of = judged
+    sample = quality.labelled_sample(docs, labels)
+    fold = {r["__id"]: r["f"] for r in docs.select(F.col("doc_id").alias("__id"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).alias("f")).collect()}
+    base = lambda t: (lambda n, _c, _s, _d, rep: n < 10 or 100 * rep > 20 * n)(*brute_base(t))
+    rows = [(brute_statistics(texts[i]), q == 0, fold[i] == 0) for i, q in quality_of.items() if not base(texts[i])]
+    assert sample.count() == len(rows)
+    levels = [i / quality.BINS for i in range(1, quality.BINS)]
+    got = sample.agg(*[F.percentile_approx(x, F.array(*map(F.lit, levels)), 2000).alias(x) for x in quality.STATISTICS]).first()
+    cuts = {x: sorted(set(got[x])) for x in quality.STATISTICS}
+    for x in quality.STATISTICS:  # the cuts are ranks of the sorted values
+        v = sorted(r[0][x] for r in rows)
+        assert all(any(abs(c - y) < 1e-12 for y in v) for c in cuts[x])
+    rules = quality.fit(sample)
+    assert rules == brute_rules(rows, cuts) and len(rules) > 1
+    out = {r["id"]: r for r in quality.judge(docs, labels).collect()}
+    for i, t in enumerate(texts):
+        x = brute_statistics(t)
+        bad = base(t)
+        first = next((k for k, r in enumerate(rules) if all((x[c.statistic] > c.threshold) == c.above for c in r)), None)
+        assert (out[i]["base_failed"], out[i]["kept"]) == (bad, not bad and first is None)
+        assert (out[i]["rule"] or "").split(":")[0] == ("" if first is None else str(first + 1))
+    kept = quality.keep(docs, labels)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(len(texts)) if out[i]["kept"]] and kept.columns == docs.columns
+
+
 #: The added rules as Python reads them.
 MORE = [(r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1), (r"(?:ghp|gho|ghs|github_pat|xox[abp]|sk_live)[_-][A-Za-z0-9_-]+", 20), (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30)]
 
@@ -738,6 +825,70 @@ def test_short_lines_and_null_ids(spark):
     assert sum(r["__n_dropped"] for r in out if r["doc_id"] is None) == 9  # the first of all has a null id
 
 
+def test_null_and_equal_ids(spark):
+    """Token files, fingerprints and mixing with null and equal ids, ties and repeated rows."""
+    rows = [(None, "b c", "en", "s", 3), (1, "d e f", "en", "s", 5), (1, "a", "en", None, 1), (1, "a", "en", None, 1), (2, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("start", F.lit(1)).withColumn("key", F.lit("x")).withColumn("id", F.lit(9))
+    files = token_files.read(token_files.write(docs, public_path("word_bpe_49k.json"))).orderBy("start").collect()
+    assert [r["doc_id"] for r in files] == [None, 1, 1, 1, 2] and [r["start"] for r in files] == list(np.cumsum([0] + [r["n_tokens"] for r in files[:-1]]))
+    assert sorted(r["n_tokens"] for r in files) == [1, 2, 2, 3, 4]
+    prints = fingerprints.fingerprint_with_next(docs).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in prints) == Counter((i, len(t or "")) for i, t, *_ in rows)
+    mix = mixing.mix(docs).collect()
+    assert Counter((r["id"], r["size"]) for r in mix) == Counter({(None, 2): 1, (1, 3): 1, (1, 1): 2, (2, 0): 1})
+    assert mixing.schedule(docs.limit(0)).count() == 0
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_pipeline_stages_equal_brute_force(spark, judged, tmp_path):
+    """Each stage beside a plain version of it, on what the stage before kept."""
+    import corpus_pipeline
+
+    docs, labels, texts, _ = judged
+    rng = random.Random(31)
+    passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    texts = [t if t is None else t + "\n" + passage if i % 50 == 0 else t for i, t in enumerate(texts)] + [texts[0], texts[1], texts[6] or "", None]
+    make(spark, texts, ["a", None, "b"]).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = (before.collect(), now.collect())
+        assert name == "packed_sequences" or tuple(now.columns) == corpus_pipeline.COLUMNS
+    was, left = kept["quality_rules"]
+    verdict = {r["id"] for r in quality.judge(spark.createDataFrame(was, DOCS.split(", id")[0]), labels).where("kept").collect()}
+    assert {r["doc_id"] for r in left} == verdict
+    was, left = kept["line_dedup"]
+    gone = brute_line_dedup([(r["doc_id"], r["text"]) for r in was])
+    true = {i: "\n".join(x for j, x in enumerate(t.split("\n")) if j not in set(v)) for (i, t), v in gone.items()}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left} == {i: (t, len(t)) for i, t in true.items() if t.strip() or not gone[i, next(r["text"] for r in was if r["doc_id"] == i)]}
+    assert sum(passage in r["text"] for r in left) == 1
+    was, left = kept["near_duplicates"]
+    sets, up = {r["doc_id"]: brute_sets(r["text"]) for r in was}, {}
+    for i in sorted(sets):
+        up[i] = next((up[j] for j in sorted(up) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])), i)
+    assert {r["doc_id"] for r in left} >= {i for i in up if up[i] == i} and len(left) < len(was)
+    was, left = kept["source_mix"]
+    rows = spark.createDataFrame(was, DOCS.split(", id")[0])
+    order = [i for _, i, _, words, n in brute_order(mixing.mix(rows).collect()) if 2 * words >= n]
+    assert Counter(r["doc_id"] for r in left) == Counter(order)
+    was, left = kept["packed_sequences"]
+    fresh, ids = Tokenizer.from_file(public_path("byte_bpe_50k.json")), Counter()
+    for r in was:
+        ids[r["doc_id"]] += len(fresh.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in left:
+        got[r["doc_id"]] += r["length"]
+    assert got == ids
+    empty = {n: spark.createDataFrame([], x) for n, x in (("documents", DOCS.split(", id")[0]), ("labels", "doc_id long, quality int, toxic int"))}
+    for n, x in empty.items():
+        x.write.parquet(f"{tmp_path}/none/{n}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
