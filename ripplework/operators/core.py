@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -161,16 +162,38 @@ def rolling_mad(df: DataFrame, series: str, x: str, y: str, window: int = 9, n_s
     return df.where("__own").withColumn("outlier", (sigma > 1e-8) & (F.col("__d") > n_sigma * sigma)).drop("__d", "__own", "__cell")
 
 
-def interpolate(df: DataFrame, series: str, x: str, y: str) -> DataFrame:
-    """Nulls of y filled on the line between their neighbours by row; ends take the nearest."""
-    w = W.partitionBy(series).orderBy(x)
-    df = df.withColumn("__i", F.row_number().over(w))
-    back, on = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    at = F.when(F.col(y).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(y).alias("v")))
-    df = df.withColumn("__p", F.last(at, True).over(back)).withColumn("__n", F.first(at, True).over(on))
+def _joined(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where null meets null; the other side's keys go."""
+    named = other.withColumnsRenamed({k: "__j_" + k for k in keys})
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(named["__j_" + k]) for k in keys])
+    return df.join(named, on).drop(*["__j_" + k for k in keys])
+
+
+def _cell(df: DataFrame, order: str, cells: int) -> Column:
+    """Which of some ordered ranges of about equal numbers of rows a row falls into; null falls into the first."""
+    q = [i / cells for i in range(1, cells)]
+    cuts = sorted(set(df.agg(F.percentile_approx(order, F.array(*map(F.lit, q)), 10_000)).first()[0] or []))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+
+
+def interpolate(df: DataFrame, series: str, x: str, y: str, cells: int = 64) -> DataFrame:
+    """Nulls of y filled on the line between their neighbours by row; ends take the nearest.
+
+    Neighbours are looked for inside ordered ranges first, then among the ranges' ends, a row for each range.
+    """
+    df = prefix_sum(df.withColumn("__one", F.lit(1).cast("bigint")), x, "__one", (series,), out="__i").drop("__one")
+    df = df.withColumn("__cell", _cell(df, x, cells))
+    at, has = F.struct(F.col("__i").alias("i"), F.col(y).alias("v")), F.col(y).isNotNull()
+    ends = df.groupBy(series, "__cell").agg(F.max_by(at, F.when(has, F.col("__i"))).alias("l"), F.min_by(at, F.when(has, F.col("__i"))).alias("f"))
+    w = W.partitionBy(series).orderBy("__cell")
+    ends = ends.select(series, "__cell", F.last("l", True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("__l"), F.first("f", True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("__f"))
+    inside = W.partitionBy(series, "__cell").orderBy(x)
+    mark = F.when(has, at)
+    df = df.withColumn("__p", F.last(mark, True).over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.first(mark, True).over(inside.rowsBetween(0, W.unboundedFollowing)))
+    df = _joined(df, ends, [series, "__cell"]).withColumn("__p", F.coalesce("__p", "__l")).withColumn("__n", F.coalesce("__n", "__f"))
     gap = F.col("__n.i") - F.col("__p.i")
     line = F.when(gap > 0, F.col("__p.v") + (F.col("__n.v") - F.col("__p.v")) * (F.col("__i") - F.col("__p.i")) / gap).otherwise(F.col("__p.v"))
-    return df.withColumn(y, F.coalesce(F.col(y), line, F.col("__p.v"), F.col("__n.v"))).drop("__i", "__p", "__n")
+    return df.withColumn(y, F.coalesce(F.col(y), line, F.col("__p.v"), F.col("__n.v"))).drop("__i", "__p", "__n", "__l", "__f", "__cell")
 
 
 def recurrence(df: DataFrame, series: str, x: str, u: str, decay: float, out: str, start: str | None = None, cells: int = 64) -> DataFrame:
@@ -179,10 +202,7 @@ def recurrence(df: DataFrame, series: str, x: str, u: str, decay: float, out: st
     Two phases, as in prefix_sum: ordered ranges are folded one by one, then the ranges' ends are, a row for each range,
     and each range's rows take decay^k of what came in. Null u counts as 0; equal x are taken in any order.
     """
-    q = [i / cells for i in range(1, cells)]
-    cuts = sorted(set(df.agg(F.percentile_approx(x, F.array(*map(F.lit, q)), 10_000)).first()[0] or []))
-    cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(x))) if cuts else F.lit(0)
-    df = df.withColumn("__cell", cell).withColumn("__k", F.lit(0).cast("bigint")).withColumn("__r", F.lit(0.0))
+    df = df.withColumn("__cell", _cell(df, x, cells)).withColumn("__k", F.lit(0).cast("bigint")).withColumn("__r", F.lit(0.0))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(x, kind="stable")
@@ -194,13 +214,13 @@ def recurrence(df: DataFrame, series: str, x: str, u: str, decay: float, out: st
 
     done = materialize(df.groupBy(series, "__cell").applyInPandas(fold, df.schema), "recurrence")
     first = F.min(start).cast("double") if start else F.lit(0.0)
-    ends = done.groupBy(series, "__cell").agg(F.max("__k").alias("n"), F.max_by("__r", "__k").alias("r"), first.alias("s"))
-    carry = lambda a, e: F.struct((F.pow(F.lit(decay), e["n"]) * a["v"] + e["r"]).alias("v"), F.concat(a["out"], F.array(F.struct(e["__cell"].alias("__cell"), a["v"].alias("__v")))).alias("out"))
-    zero = F.struct(F.coalesce("s", F.lit(0.0)).alias("v"), F.array().cast("array<struct<__cell:int,__v:double>>").alias("out"))
-    into = ends.groupBy(series).agg(F.array_sort(F.collect_list(F.struct("__cell", "n", "r"))).alias("e"), F.min("s").alias("s"))  # `cells` entries
-    into = into.select(F.col(series).alias("__s"), F.inline(F.aggregate("e", zero, carry)["out"])).withColumnRenamed("__cell", "__c")
-    out_rows = done.join(into, done[series].eqNullSafe(into["__s"]) & (done["__cell"] == into["__c"]))
-    return out_rows.withColumn(out, F.col("__r") + F.pow(F.lit(decay), F.col("__k")) * F.col("__v")).drop("__cell", "__k", "__r", "__s", "__c", "__v")
+    ends = done.groupBy(series, "__cell").agg(F.max("__k").alias("__en"), F.max_by("__r", "__k").alias("__er"), first.alias("__es"))
+    carry = lambda a, e: F.struct((F.pow(F.lit(decay), e["__en"]) * a["v"] + e["__er"]).alias("v"), F.concat(a["out"], F.array(F.struct(e["__cell"].alias("__cell"), a["v"].alias("__v")))).alias("out"))
+    zero = F.struct(F.coalesce("__es", F.lit(0.0)).alias("v"), F.array().cast("array<struct<__cell:int,__v:double>>").alias("out"))
+    into = ends.groupBy(series).agg(F.array_sort(F.collect_list(F.struct("__cell", "__en", "__er"))).alias("__e"), F.min("__es").alias("__es"))  # `cells` entries
+    into = into.select(series, F.inline(F.aggregate("__e", zero, carry)["out"]))
+    rows = _joined(done, into, [series, "__cell"])
+    return rows.withColumn(out, F.col("__r") + F.pow(F.lit(decay), F.col("__k")) * F.col("__v")).drop("__cell", "__k", "__r", "__v")
 
 
 def ema(df: DataFrame, series: str, x: str, y: str, alpha: float, out: str = "ema") -> DataFrame:
@@ -224,14 +244,11 @@ def prefix_sum(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (),
 
     No task sees more than one range; the ranges' totals are one row for each range and group (W11).
     """
-    q = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.agg(F.percentile_approx(order, F.array(*map(F.lit, q)), 10_000)).first()[0] or []))
-    cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    df = df.withColumn("__cell", cell)
+    df = df.withColumn("__cell", _cell(df, order, buckets))
     totals = df.groupBy(*by, "__cell").agg(F.sum(value).alias("__t"))
     starts = totals.withColumn("__s", F.sum("__t").over(W.partitionBy(*by).orderBy("__cell")) - F.col("__t")).drop("__t")
     inside = F.sum(value).over(W.partitionBy(*by, "__cell").orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(value)
-    return df.withColumn("__l", inside).join(starts, [*by, "__cell"]).withColumn(out, F.col("__l") + F.col("__s")).drop("__cell", "__l", "__s")
+    return _joined(df.withColumn("__l", inside), starts, [*by, "__cell"]).withColumn(out, F.col("__l") + F.col("__s")).drop("__cell", "__l", "__s")
 
 
 def _cut(rows: DataFrame, by: tuple[str, ...], length: int, *carry: str) -> DataFrame:

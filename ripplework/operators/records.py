@@ -240,3 +240,16 @@ def domain_accumulator(df: DataFrame, key: str, domain: str, value: str) -> Data
     part = df.groupBy(key, domain).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     by = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(domain), F.try_divide(F.col("s"), F.col("n")).alias("m")))))
     return part.groupBy(key).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), F.sum("n").alias("n"), by.alias("by_domain"))
+
+
+def model_outputs(df: DataFrame, model, schema: str) -> DataFrame:
+    """What a model makes of batches of rows: the boundary for forward passes, generation and gradients.
+
+    `model` takes and gives pandas frames and is sent to the executors; load weights inside it, once for each worker.
+    """
+
+    def run(frames):
+        for f in frames:
+            yield model(f)
+
+    return df.mapInPandas(run, schema)

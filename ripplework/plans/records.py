@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -310,3 +311,26 @@ def choice_prompts(spark, d):
     answer = F.when(k % 2 == 0, (k % 4).cast("string")).otherwise(F.concat(F.lit(" "), F.lower(letter)))
     p = T.choice_prompt(F.concat(F.lit("What is "), "p_name", F.lit("?")), [F.col("p_brand"), F.col("p_type")])
     return table(spark, d, "part").select("p_partkey", p.alias("prompt"), T.choice_letter(answer).alias("letter"))
+
+
+def _toy_model(f: pd.DataFrame) -> pd.DataFrame:
+    """A stand-in model: the first four entries are logits; greedy letter, and the squared norm of the exact gradient."""
+    z = np.stack(list(f["embedding"]))[:, :4].astype(float)
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    g = np.eye(4)[f["label"].to_numpy() % 4] - p
+    return pd.DataFrame({"vec_id": f["vec_id"], "letter": [("ABCD")[i] for i in z.argmax(1)], "g2": (g * g).sum(1).round(6)})
+
+
+@query("""WITH z AS (SELECT vec_id, label % 4 + 1 AS y, embedding[1:4]::DOUBLE[] AS z FROM embeddings), p AS (SELECT vec_id, y, z, list_transform(z, lambda x: exp(x) / list_sum(list_transform(z, lambda w: exp(w)))) AS p FROM z)
+SELECT vec_id, substr('ABCD', list_position(z, list_max(z))::INT, 1) AS letter, round(1 - 2 * p[y] + list_dot_product(p, p), 6) AS g2 FROM p""")
+def model_hook(spark, d):
+    """A model on batches of rows, here one that any engine can follow."""
+    return R.model_outputs(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), _toy_model, "vec_id bigint, letter string, g2 double")
+
+
+@query("SELECT coalesce(lang, 'all') AS lang, coalesce(part, -1)::INT AS part, count(*) AS n FROM (SELECT lang, doc_id % 3 AS part FROM documents) GROUP BY CUBE (lang, part)")
+def cube_counts(spark, d):
+    """All groupings of two keys at once."""
+    x = table(spark, d, "documents").select("lang", (F.col("doc_id") % 3).cast("int").alias("part")).cube("lang", "part").agg(F.count("*").alias("n"))
+    return x.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("part", F.lit(-1)).alias("part"), "n")

@@ -86,7 +86,7 @@ def numeric_answer(spark, d):
 @query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), p AS (SELECT k, c,
   CASE k % 5 WHEN 0 THEN '$' || (1000 + c % 3) || '.' WHEN 1 THEN (c % 4) || '/' || (c % 3) WHEN 2 THEN (c % 5) || '%' WHEN 3 THEN 'Paris ' ELSE (c % 2) || ',000.50' END AS a,
   CASE k % 5 WHEN 0 THEN '1,00' || (k % 3) || '.0' WHEN 1 THEN (k % 4) || '/2' WHEN 2 THEN '' || (k % 3) ELSE CASE WHEN c % 2 = 0 THEN ' pARIS' ELSE '1000.5' END END AS b FROM o),
-v AS (SELECT k, a, b, list_transform([a, b], lambda x: try_cast(regexp_replace(regexp_replace(trim(split_part(x, '/', 1)), '[,$%]', '', 'g'), '\.+$', '') AS DOUBLE)) AS n, list_transform([a, b], lambda x: CASE WHEN contains(x, '/') THEN try_cast(split_part(x, '/', 2) AS DOUBLE) ELSE 1.0 END) AS d FROM p)
+v AS (SELECT k, a, b, list_transform([a, b], lambda x: try_cast(regexp_replace(regexp_replace(trim(split_part(x, '/', 1)), '[,$%]', '', 'g'), '\\.+$', '') AS DOUBLE)) AS n, list_transform([a, b], lambda x: CASE WHEN contains(x, '/') THEN try_cast(split_part(x, '/', 2) AS DOUBLE) ELSE 1.0 END) AS d FROM p)
 SELECT k, coalesce(CASE WHEN d[1] <> 0 AND d[2] <> 0 THEN n[1] * d[2] = n[2] * d[1] END, lower(trim(a)) = lower(trim(b)), false) AS same FROM v""")
 def answers_match(spark, d):
     """Amounts, fractions (over zero too), percentages and words, made from keys so that some agree."""
@@ -351,7 +351,7 @@ def shard_interleave(spark, d):
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'role,numbers' WHEN turn % 5 = 3 THEN 'numbers' ELSE '' END AS errors FROM conversations")
 def translated_records(spark, d):
-    """A passthrough translation and one with faults; roles and numbers must survive."""
+    """A passthrough translation and one with faults; roles and numbers must survive."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.lower("role").alias("role"), F.concat(F.lit("Take 1,200 and 3.50, turn "), "turn").alias("text"))
     t = c.withColumn("new_text", F.when(F.col("turn") % 5 >= 3, F.regexp_replace("text", "3.50", "4")).otherwise(F.col("text"))).withColumn("new_role", F.when(F.col("turn") % 5 == 4, "other").otherwise(F.col("role")))
     bad = F.array(F.when(F.col("role") != F.col("new_role"), "role"), F.when(T.numbers(F.col("text")) != T.numbers(F.col("new_text")), "numbers"))

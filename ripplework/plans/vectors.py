@@ -84,7 +84,7 @@ def hh_layer_summary(spark, d):
 
 @query(f"SELECT l, la = lb AS same, count(*) AS n, round(avg(cos), 6) AS mean FROM {_PAIRS} GROUP BY 1, 2")
 def pair_scope(spark, d):
-    """F13, F14."""
+    """F13, F14, P04, J08."""
     return layer_pairs(spark, d).groupBy("l", (F.col("a_label") == F.col("b_label")).alias("same")).agg(F.count("*").alias("n"), F.round(F.avg("cos"), 6).alias("mean"))
 
 
@@ -210,3 +210,18 @@ def random_candidate(spark, d):
     e = table(spark, d, "embeddings").select("vec_id")
     h = F.conv(F.substring(O.hash_order(9, F.col("vec_id")), 1, 8), 16, 10).cast("bigint")
     return e.select("vec_id", (h % F.lit(e.count())).alias("candidate"))
+
+
+@query(f"""WITH z AS (SELECT vec_id, label, e, list_transform(e, lambda x, i: x + CASE WHEN i - 1 = vec_id % 64 THEN 1e-4 ELSE 0 END) AS up, list_transform(e, lambda x, i: x - CASE WHEN i - 1 = vec_id % 64 THEN 1e-4 ELSE 0 END) AS down FROM {_E}),
+l AS (SELECT vec_id, label, ((up[label + 1] - ln(list_sum(list_transform(up, lambda x: exp(x))))) - (down[label + 1] - ln(list_sum(list_transform(down, lambda x: exp(x)))))) / 2e-4 AS slope FROM z)
+SELECT vec_id, round(slope, 4) AS slope, true AS force_ok, true AS mass_ok FROM l""")
+def closed_forms(spark, d):
+    """The force is the slope of the log probability, by a difference in one logit; a force on allowed ids adds up to nothing."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("z"))
+    at, step = F.col("vec_id") % 64, 1e-4
+    logp = lambda z: F.get(z, F.col("label")) - V.log_sum_exp(z)
+    moved = lambda by: F.transform("z", lambda x, i: F.when(i == at, x + by).otherwise(x))
+    slope = (logp(moved(step)) - logp(moved(-step))) / F.lit(2 * step)
+    p = V.softmax(F.col("z"))
+    e = e.select("vec_id", slope.alias("slope"), F.get(V.force(p, F.col("label")), at.cast("int")).alias("g"), V.total(V.mass_force(p, F.array(*map(F.lit, (1, 5, 9, 13))))).alias("m"))
+    return e.select("vec_id", F.round("slope", 4).alias("slope"), (F.abs(F.col("slope") - F.col("g")) < 1e-6).alias("force_ok"), (F.abs("m") < 1e-9).alias("mass_ok"))
