@@ -228,13 +228,13 @@ def brute_rules(rows, cuts):
 
 @pytest.fixture(scope="module")
 def judged(spark):
-    """Documents of several kinds of junk, some of them labelled, some labels wrong."""
+    """Documents of several kinds of junk, some of them labelled."""
     rng = random.Random(15)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
-    kinds = [lambda w: " ".join(w), lambda w: " ".join(w), lambda w: " ".join(x.upper() + "!" for x in w), lambda w: " # ".join(w), lambda w: "\n".join(str(rng.randrange(10**6)) + x for x in w), lambda w: " ".join(w[:5] * 8)]
+    kinds = [lambda w: " ".join(w), lambda w: " ".join(w), lambda w: " ".join(x.upper() for x in w), lambda w: " # ".join(w), lambda w: "\n".join(str(rng.randrange(10**6)) + x for x in w), lambda w: " ".join(w[:5] * 8)]
     kind = [rng.randrange(len(kinds)) for _ in range(600)]
     texts = [kinds[k]([word() for _ in range(rng.randint(8, 60))]) for k in kind] + [None, "", "short", "a\nb"]
-    labels = [(i, int((kind[i] < 2) ^ (rng.random() < 0.02)), 0) for i in range(0, 600, 2)] + [(1, None, 0), (None, 1, 0), (9999, 0, 0)]
+    labels = [(i, int(kind[i] < 2), 0) for i in range(0, 600, 2)] + [(1, None, 0), (None, 1, 0), (9999, 0, 0)]
     return make(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), texts, {i: q for i, q, _ in labels if i is not None and i < 600 and q is not None}
 
 
@@ -844,10 +844,11 @@ def test_pipeline_stages_equal_brute_force(spark, judged, tmp_path):
     """Each stage beside a plain version of it, on what the stage before kept."""
     import corpus_pipeline
 
-    docs, labels, texts, _ = judged
-    rng = random.Random(31)
+    _, labels, texts, _ = judged
+    texts, rng = [*texts[:160], *texts[-4:]], random.Random(31)
     passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
-    texts = [t if t is None else t + "\n" + passage if i % 50 == 0 else t for i, t in enumerate(texts)] + [texts[0], texts[1], texts[6] or "", None]
+    texts = [t if t is None else t + "\n" + passage if i % 50 == 0 else t for i, t in enumerate(texts)] + [texts[0], texts[1], None]
+    texts += [f"{t} once {'more' * i}" for i, t in enumerate(texts[1:40]) if t and "\n" not in t and len(t.split()) > 30]  # near copies
     make(spark, texts, ["a", None, "b"]).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
