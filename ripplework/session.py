@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-#: Tables written by materialize() in this process, oldest first.
-_WRITTEN: list[str] = []
+class _Written(threading.local):
+    """Tables written by materialize() in this thread, oldest first: another thread's are not ours to delete."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,19 +56,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ripplework/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> int:
     """A mark for discard()."""
-    return len(_WRITTEN)
+    return len(_WRITTEN.paths)
 
 
 def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
     """Deletes the tables written after the mark but for the last `keep`; nothing may read them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN[since : len(_WRITTEN) - keep]:
+    gone = slice(since, max(since, len(_WRITTEN.paths) - keep))
+    for path in _WRITTEN.paths[gone]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-    del _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN.paths[gone]

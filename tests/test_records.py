@@ -99,3 +99,16 @@ def test_yaml():
     assert io.parse_yaml(text) == {"a": 1, "b": ["x", 2.5], "c": {"d": "q: r", "e": [True], "f": [1, "no"]}, "g": None}
     with pytest.raises(ValueError, match="not understood"):
         io.parse_yaml("a: 1\nnothing\n")
+
+
+def test_discard_keeps_the_last(spark):
+    from ripplework import session
+
+    mark = session.written()
+    some = [session.materialize(spark.range(i + 1), "kept") for i in range(3)]
+    session.discard(spark, mark)
+    assert some[2].count() == 3 and session.written() == mark + 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        some[0].count()
+    session.discard(spark, session.written())
+    assert some[2].count() == 3
