@@ -32,7 +32,7 @@ PIECE = 256
 #: Tokens of remainders that are shared out together, whatever number of documents they come from.
 GROUP = 64 * CAPACITY
 #: A group whose windows hold less than 1 / SPARE of what they could is cut finer, down to pieces of LEAST tokens.
-SPARE = 1.04
+SPARE = 1.02
 LEAST = 16
 END_ID = 0
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
