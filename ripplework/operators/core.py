@@ -88,7 +88,8 @@ def average_rank(x: str, *by: str) -> Column:
 
 def with_average_rank(df: DataFrame, x: str, by: tuple[str, ...], out: str) -> DataFrame:
     """Adds the average rank of x in its group from counts of values: no task sorts a whole group."""
-    n = prefix_sum(df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__c")), x, "__c", by, out="__b")
+    counts = materialize(df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__c")), "values")
+    n = prefix_sum(counts, x, "__c", by, out="__b")
     n = n.select(*by, x, (F.col("__b") + (F.col("__c") + 1) / F.lit(2.0)).alias(out))
     return df.join(n, [*by, x], "left")
 

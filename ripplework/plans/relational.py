@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ripplework.functions import vector as V
 from ripplework.operators import core as O
 from ripplework.plans.registry import query
-from ripplework.session import table
+from ripplework.session import materialize, table
 
 _L = "(SELECT l_orderkey AS pair, l_linenumber AS layer, sum(l_extendedprice) / 1000 AS e, sum(l_quantity * (1 - l_discount)) - 25 AS a FROM lineitem GROUP BY 1, 2)"
 
@@ -32,7 +32,7 @@ _RANKS = f"(SELECT layer, rank() OVER (PARTITION BY layer ORDER BY e) + (count(*
 @query(f"SELECT layer, round(corr(x, y), 6) AS spearman FROM {_RANKS} GROUP BY layer")
 def spearman_layers(spark, d):
     """X02, W02."""
-    x = pair_layers(spark, d).select("layer", F.round("e", 3).alias("e"), F.round("a", 3).alias("a"))
+    x = materialize(pair_layers(spark, d).select("layer", F.round("e", 3).alias("e"), F.round("a", 3).alias("a")), "layers")
     r = O.with_average_rank(O.with_average_rank(x, "e", ("layer",), "x"), "a", ("layer",), "y")
     return r.groupBy("layer").agg(F.round(O.safe_corr(F.col("x"), F.col("y")), 6).alias("spearman"))
 
