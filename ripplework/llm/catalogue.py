@@ -11,15 +11,16 @@ from ripplework.llm.mixing import OP7_SQL, op7_mixing, op7_training_order
 from ripplework.llm.packing import op2_packing
 from ripplework.llm.quality import op1_quality_rules
 from ripplework.llm.secrets import op8_secret_scan
+from ripplework.llm.suffixes import OP11_SQL, op11_repeated_substrings
 from ripplework.llm.token_files import op3_token_files
 from ripplework.llm.urls import OP4_SQL, op4_url_filter
 from ripplework.llm.whitening import op12_embedding_whitening
 
 
 def queries() -> dict:
-    ops = (op1_quality_rules, op2_packing, op3_token_files, op4_url_filter, op5_fingerprints, op6_html_text, op7_mixing, op7_training_order, op8_secret_scan, op9_jaccard_join, op10_line_dedup, op12_embedding_whitening, op13_source_divergence)
+    ops = (op1_quality_rules, op2_packing, op3_token_files, op4_url_filter, op5_fingerprints, op6_html_text, op7_mixing, op7_training_order, op8_secret_scan, op9_jaccard_join, op10_line_dedup, op11_repeated_substrings, op12_embedding_whitening, op13_source_divergence)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op7_mixing": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op4_url_filter": OP4_SQL, "op7_mixing": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op11_repeated_substrings": OP11_SQL, "op13_source_divergence": OP13_SQL}
