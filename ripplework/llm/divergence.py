@@ -116,8 +116,9 @@ def vocabulary(counts: DataFrame, min_docs: int, chunk: int) -> DataFrame:
     """(lang, term, tf, lang_n, lang_v, chunk, at): the kept terms of each language, dealt into chunks and numbered in them."""
     kept = counts.groupBy("lang", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(F.col("df") >= min_docs).drop("df")
     kept = materialize(kept, "kept-terms")
-    langs = kept.groupBy("lang").agg(F.sum("tf").alias("lang_n"), F.count("*").alias("lang_v"))
+    langs = materialize(kept.groupBy("lang").agg(F.sum("tf").alias("lang_n"), F.count("*").alias("lang_v")), "languages")
     dealt = kept.join(langs, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("lang_v") / chunk)).cast("int"))
+    dealt = dealt.repartition("lang", "chunk")  # a language is dealt by its chunks, not sorted in one task
     return materialize(dealt.withColumn("at", F.row_number().over(W.partitionBy("lang", "chunk").orderBy("term")) - 1), "vocabulary")
 
 
