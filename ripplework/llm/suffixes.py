@@ -2,7 +2,7 @@
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same text or another one.
 
-Parsing. A window of 16 bytes whose rolling hash is 0 modulo length / 10 is a trigger; triggers cut a text into phrases,
+Parsing. A window of 16 bytes whose rolling hash is 0 modulo length / 8 is a trigger; triggers cut a text into phrases,
 each from one trigger to the end of the next, so that equal text is cut alike wherever it stands. A string that starts d
 bytes before its first trigger is the last d bytes of a phrase, followed by a suffix of the parse: its place in the order
 of all suffixes of the corpus is (place of that phrase suffix among those of the dictionary, place of the parse suffix).
@@ -23,8 +23,8 @@ block. Nothing is sampled or dropped. Buckets grow in number with the input, a t
 
 Defined results: null text is empty; texts shorter than `length` lose nothing; matches never cross texts; strings are
 compared on the input, not on what is left; equal rows and equal or null ids are rows of their own, and equal texts of at
-least `length` bytes all lose everything; an empty table gives an empty result. Half strings and contexts are told apart by
-128-bit hashes, then by their bytes.
+least `length` bytes all lose everything; an empty table gives an empty result. Half strings are told apart by
+a 64-bit hash, what stands before and after them by its bytes, strings inside long phrases by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ class Segment:
         n, w = len(self.near), min(TRIGGER, length // 4)
         self.one = Rolling(self.near, 0, block + 2 * length)
         at = np.arange(max(0, n - w + 1))
-        hit = at[self.one(at, at + w) % np.uint64(max(2, length // 10)) == 0]
+        hit = at[self.one(at, at + w) % np.uint64(max(2, length // 8)) == 0]
         first = int(np.searchsorted(ends, base, "right"))
         stops = np.minimum(ends[first : int(np.searchsorted(ends, base + n, "left")) + 1] - base, n)
         text = np.searchsorted(stops, hit, "right")
@@ -147,7 +147,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame
 
         def out():
             b = b"".join(texts)
-            return _rows([(ids, which, np.cumsum([len(t) for t in texts]), len(b), zstandard.ZstdCompressor(level=3).compress(b))], "ids which ends size load", [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.binary()])
+            return _rows([(ids, which, np.cumsum([len(t) for t in texts]), len(b), zstandard.ZstdCompressor(level=6).compress(b))], "ids which ends size load", [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.binary()])
 
         for some in slices(batches):
             for i, text in some:
@@ -253,9 +253,9 @@ def _ragged(start: np.ndarray, count: np.ndarray, step: int = 1) -> np.ndarray:
     return np.repeat(start - step * offset, count) + step * np.arange(int(count.sum()))
 
 
-def contexts(joined: DataFrame, asked_buckets: int, buckets: int, length: int, block: int) -> DataFrame:
-    """What is left of the parse, as rows of three kinds: 0 contexts and 1 digests of strings, each by bucket, and 2 where in
-    the segment they stand, which stays with the block."""
+def contexts(joined: DataFrame, asked_buckets: int, buckets: int, length: int, block: int, places: bool) -> DataFrame:
+    """What is left of the parse, as rows of three kinds: 0 contexts and 1 digests of strings, each by bucket, or, with
+    `places`, 2 where in the segment they stand, which the block needs."""
 
     def distinct(columns: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(a position of each distinct row, which row each position has, summed weights), rows ordered by the first column."""
@@ -289,14 +289,14 @@ def contexts(joined: DataFrame, asked_buckets: int, buckets: int, length: int, b
                 # contexts
                 c = np.flatnonzero(live[:k] & ~hot[:k])
                 t, lo, hi, end = s.t[c], s.lo[c], s.hi[c], np.minimum(s.t[c] + length, s.stop[c])
-                half = [s.keys[c], two(t, t + s.half)]
-                where = (half[1] % np.uint64(buckets)).astype(np.int64)
+                half = two(t, t + s.half)
+                where = (half % np.uint64(buckets)).astype(np.int64)
                 whole = [f(lo, end) + ((t - lo) * 65_536 + (t - hi)).astype(np.uint64) * _DEEP for f in (s.one, two)]
-                pick, of, weight = distinct([where, *half, *whole], weights[s.text[c]])
+                pick, of, weight = distinct([where, half, *whole], weights[s.text[c]])
                 size_l, size_r, low = t - lo, end - t - s.half, t - hi
-                for at, stop in _runs(where[pick]):
+                for at, stop in [] if places else _runs(where[pick]):
                     p = pick[at:stop]
-                    load = _pack(half[0][p], half[1][p], whole[0][p], whole[1][p], weight[at:stop], size_l[p].astype("<u2"), size_r[p].astype("<u2"), low[p].astype("<u2"), s.near[_ragged(t[p] - 1, size_l[p], -1)], s.near[_ragged(t[p] + s.half, size_r[p])])
+                    load = _pack(half[p], weight[at:stop], size_l[p].astype("<u2"), size_r[p].astype("<u2"), low[p].astype("<u2"), s.near[_ragged(t[p] - 1, size_l[p], -1)], s.near[_ragged(t[p] + s.half, size_r[p])])
                     rows.append((0, int(where[p[0]]), row["block"], seg, load))
                 mine = [t, lo, hi, of, where[pick]]
                 # strings one by one: those inside long phrases, and those at hot half strings
@@ -306,12 +306,14 @@ def contexts(joined: DataFrame, asked_buckets: int, buckets: int, length: int, b
                 digest = [s.one(starts, starts + length), two(starts, starts + length)]
                 where = (digest[1] % np.uint64(buckets)).astype(np.int64)
                 pick, of, weight = distinct([where, *digest], weight)
-                for at, stop in _runs(where[pick]):
+                for at, stop in [] if places else _runs(where[pick]):
                     p = pick[at:stop]
                     rows.append((1, int(where[p[0]]), row["block"], seg, _pack(digest[0][p], digest[1][p], weight[at:stop])))
                 mine += [starts, of, where[pick]]
-                rows.append((2, -1, row["block"], seg, _pack(*[m.astype("<i4") for m in mine])))
-                yield _rows(rows, "kind bucket block seg load", [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()])
+                if places:
+                    rows.append((2, -1, row["block"], seg, _pack(*[m.astype("<i4") for m in mine])))
+                if rows:
+                    yield _rows(rows, "kind bucket block seg load", [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()])
         release()
 
     return joined.mapInArrow(run, SHIPPED)
@@ -347,7 +349,7 @@ def _sorted_with_common(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray |
 
 
 def corpus_order(half: np.ndarray, phrases: np.ndarray, size_l: np.ndarray, after: np.ndarray, size_r: np.ndarray, low: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
-    """For each distinct context of a bucket, which of its strings repeat: row by d, the bytes before the trigger, from `low`.
+    """For each context of a bucket, which of its strings repeat: row by d, the bytes before the trigger, from `low`.
 
     The suffix array of the dictionary orders phrases by their reversed bytes, that of the parse orders what follows the
     triggers; common lengths of neighbours give, for each d, the class of the phrase suffix of d bytes and of the parse
@@ -378,29 +380,21 @@ def compare(shipped: DataFrame, length: int) -> DataFrame:
             out = []
             mine = [r for r in rows if r[0] == 0]
             if mine:
-                parts = [_unpack(r[4], "<u8", "<u8", "<u8", "<u8", "<u4", "<u2", "<u2", "<u2", "u1", "u1") for r in mine]
-                sizes = [len(p[4]) for p in parts]
-                h1, h2, w1, w2, weight, size_l, size_r, low, flat_l, flat_r = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts = [_unpack(r[4], "<u8", "<u4", "<u2", "<u2", "<u2", "u1", "u1") for r in mine]
+                sizes = [len(p[0]) for p in parts]
+                name, weight, size_l, size_r, low, flat_l, flat_r = (np.concatenate(x) for x in zip(*parts, strict=True))
                 del parts
-                size_l, size_r = size_l.astype(np.int64), size_r.astype(np.int64)
-                by = np.lexsort([w2, w1, h2, h1])
-                new = np.ones(len(by), bool)
-                new[1:] = np.logical_or.reduce([c[by][1:] != c[by][:-1] for c in (h1, h2, w1, w2)])
-                which = np.empty(len(by), np.int64)
-                which[by] = np.cumsum(new) - 1
-                pick = by[new]
-                group = np.ones(len(pick), bool)
-                group[1:] = (h1[pick][1:] != h1[pick][:-1]) | (h2[pick][1:] != h2[pick][:-1])
 
                 def padded(flat, size, width):
-                    m = np.zeros((len(pick), width), np.uint8)
-                    m[np.arange(width) < size[pick][:, None]] = flat[_ragged((np.cumsum(size) - size)[pick], size[pick])]  # noqa: B023
+                    m = np.zeros((len(size), width), np.uint8)
+                    m[np.arange(width) < size[:, None]] = flat
                     return m
 
-                said = corpus_order(np.cumsum(group), padded(flat_l, size_l, length // 2), size_l[pick], padded(flat_r, size_r, length - length // 2), size_r[pick], low[pick].astype(np.int64), np.bincount(which, weight), length)
+                size_l, size_r, low = (x.astype(np.int64) for x in (size_l, size_r, low))
+                said = corpus_order(np.unique(name, return_inverse=True)[1], padded(flat_l, size_l, length // 2), size_l, padded(flat_r, size_r, length - length // 2), size_r, low, weight, length)
                 at = 0
                 for r, k in zip(mine, sizes, strict=True):
-                    part = said[which[at : at + k]]
+                    part = said[at : at + k]
                     at += k
                     if part.any():
                         out.append((0, bucket, r[2], r[3], _pack(np.packbits(part.ravel()))))
@@ -455,16 +449,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     written = materialize(blocks(docs, id_col, text_col, block), "blocks")
     size = written.agg(F.sum("size")).first()[0] or 0
-    first = max(wide, size * 14 // length // KEYS)  # about 14 keys in the bytes of a string
+    first = max(wide, size * 12 // length // KEYS)  # about 12 keys in the bytes of a string
     asked = ask(written, first, length, block).repartition(first, "bucket").sortWithinPartitions("bucket")
     answers = materialize(answer(asked, hot), "answers")
     left = answers.agg(F.sum("n")).first()[0] or 0
     second = max(wide, left // CONTEXTS)
     told = answers.groupBy("block").agg(F.collect_list(F.struct("seg", "bucket", "live", "hot")).alias("answers"))
-    joined = written.select("block", "which", "ends", "size", "load").join(told, "block")
-    shipped = materialize(contexts(joined, first, second, length, block), "contexts")
-    dealt = shipped.where("kind < 2").repartition(second, "bucket").sortWithinPartitions("bucket", "kind", "block", "seg")
-    said = compare(dealt, length).union(shipped.where("kind = 2"))
+    written = written.where("block is not null")  # as an inner join asks too: the plan shuffles the blocks once for all three
+    joined = written.join(told, "block")
+    shipped = contexts(joined, first, second, length, block, False)
+    dealt = shipped.repartition(second, "bucket").sortWithinPartitions("bucket", "kind", "block", "seg")
+    said = compare(dealt, length).union(contexts(joined, first, second, length, block, True))
     said = said.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "seg", "load")).alias("said"))
     half = length // 2
 
@@ -496,7 +491,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         release()
 
     types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    return written.join(said, "block", "left").select("ids", "which", "ends", "size", "load", "said").mapInArrow(run, "id bigint, n_bytes bigint, kept binary, spans array<struct<start: bigint, end: bigint>>")
+    return written.join(said, "block", "left").mapInArrow(run, "id bigint, n_bytes bigint, kept binary, spans array<struct<start: bigint, end: bigint>>")
 
 
 def op11_repeated_substrings(spark, sf_dir: str) -> DataFrame:
