@@ -94,19 +94,32 @@ def with_average_rank(df: DataFrame, x: str, by: tuple[str, ...], out: str) -> D
     return df.join(n, [*by, x], "left")
 
 
-def auc_recall(scores: DataFrame, query: str, score: str, candidate: str, positive: str) -> DataFrame:
+def auc_recall(scores: DataFrame, query: str, score: str, candidate: str, positive: str, cells: int = 64) -> DataFrame:
     """(query, auc, recall): one-vs-rest ROC AUC from average ranks, and the share of positives among the top n, n their number.
 
-    Ranks from both ends come from one sort of each query's candidates (X07, X08).
+    Candidates and positives are counted by query and score; ranges of the score, shared by all queries, are summed, and a
+    score's place is what lies in lower ranges and what lies below it in its own, so no task sorts a query's candidates.
+    Recall takes all scores above the one where the n-th place falls; of that one it takes the last candidates (X07, X08).
     """
-    by = W.partitionBy(query)
-    r = scores.select(query, score, F.col(positive).alias("__y"), F.row_number().over(by.orderBy(score, candidate)).alias("__i"))
-    tied = F.count("*").over(W.partitionBy(query, score))
-    r = r.select(query, "__y", "__i", (F.rank().over(by.orderBy(score)) + (tied - 1) / F.lit(2.0)).alias("__r"), F.count("*").over(by).alias("__n"), F.count_if("__y").over(by).alias("__p"))
-    p, n = F.max("__p"), F.max("__n")
-    area = (F.sum(F.when(F.col("__y"), F.col("__r"))) - p * (p + 1) / F.lit(2.0)) / F.nullif((p * (n - p)).cast("double"), F.lit(0.0))
-    top = F.avg(F.when(F.col("__n") - F.col("__i") < F.col("__p"), F.col("__y").cast("double")))
-    return r.groupBy(query).agg(area.alias("auc"), top.alias("recall"))
+    y = F.col(positive)
+    tied = materialize(scores.groupBy(query, score).agg(F.count("*").alias("__n"), F.count_if(y).alias("__p")), "scores")
+    tied = tied.withColumn("__cell", _cell(tied, score, cells))
+    totals = tied.groupBy(query, "__cell").agg(F.sum("__n").alias("__cn"), F.sum("__p").alias("__cp"))
+    every, ahead = W.partitionBy(query), W.partitionBy(query).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select(query, "__cell", F.coalesce(F.sum("__cn").over(ahead), F.lit(0)).alias("__low"), F.sum("__cn").over(every).alias("__all"), F.sum("__cp").over(every).alias("__pos"))
+    inside = F.sum("__n").over(W.partitionBy(query, "__cell").orderBy(score).rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    r = _joined(tied.withColumn("__in", inside), totals, [query, "__cell"]).withColumn("__below", F.col("__low") + F.col("__in"))
+    r = r.withColumn("__above", F.col("__all") - F.col("__below") - F.col("__n"))
+    p, n = F.max("__pos"), F.max("__all")
+    area = (F.sum(F.col("__p") * (F.col("__below") + (F.col("__n") + 1) / F.lit(2.0))) - p * (p + 1) / F.lit(2.0)) / F.nullif((p * (n - p)).cast("double"), F.lit(0.0))
+    whole = F.coalesce(F.sum(F.when(F.col("__above") + F.col("__n") <= F.col("__pos"), F.col("__p"))), F.lit(0))
+    out = r.groupBy(query).agg(area.alias("auc"), whole.alias("__whole"), F.max("__pos").alias("__pos"))
+    edge = r.where("__above < __pos and __above + __n > __pos").select(F.col(query).alias("__q"), F.col(score).alias("__s"), (F.col("__pos") - F.col("__above")).alias("__take"))
+    part = scores.join(edge, scores[query].eqNullSafe(edge["__q"]) & scores[score].eqNullSafe(edge["__s"]))
+    part = part.withColumn("__i", F.row_number().over(W.partitionBy(query).orderBy(F.col(candidate).desc()))).where("__i <= __take")
+    part = part.groupBy(F.col(query).alias("__q")).agg(F.count_if(y).alias("__part"))
+    out = out.join(part, out[query].eqNullSafe(part["__q"]), "left")
+    return out.select(query, "auc", ((F.col("__whole") + F.coalesce("__part", F.lit(0))) / F.nullif(F.col("__pos"), F.lit(0))).alias("recall"))
 
 
 def safe_corr(x: Column, y: Column) -> Column:

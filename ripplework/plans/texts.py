@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplework.functions import text as T
 from ripplework.operators import core as O
+from ripplework.operators import nested
 from ripplework.plans.registry import query
 from ripplework.session import table
 
@@ -134,6 +135,26 @@ def contamination_exact(spark, d):
     return O.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "contaminated")
 
 
+_NESTED = "(SELECT conv_id, turn, unnest(list_concat([role], string_split(text, chr(10)), [text, role])) AS leaf FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, leaf FROM {_NESTED} WHERE leaf IS NOT NULL")
+def string_leaves(spark, d):
+    """The strings of records nested in objects and arrays, with escapes."""
+    part = F.struct(F.split("text", "\n").alias("lines"), F.array(F.struct(F.col("text"), F.col("turn"), F.array(F.array("role")).alias("by"))).alias("whole"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", F.col("conv_id").alias("number"), part.alias("content"))).alias("body"))
+    return nested.string_leaves(c, F.col("body"), "conv_id", "turn").select("conv_id", "turn", "leaf")
+
+
+@query(f"SELECT doc_id, {DUCK_PRINT} IN (SELECT {DUCK_PRINT} FROM (SELECT text FROM benchmark UNION ALL SELECT leaf FROM {_NESTED})) AS contaminated FROM documents")
+def contamination_leaves(spark, d):
+    """Documents whose normalised text is any string of the downstream records, however deep."""
+    row = F.to_json(F.struct(F.array(F.struct(F.struct("text").alias("question"))).alias("data")))
+    items = nested.string_leaves(table(spark, d, "benchmark").select(row.alias("body")), F.col("body"))
+    leaves = items.select(F.col("leaf").alias("text")).union(string_leaves(spark, d).select("leaf"))
+    return O.contamination(table(spark, d, "documents"), leaves).select("doc_id", "contaminated")
+
+
 @query("SELECT lang, count(*) AS docs, sum(len(t))::BIGINT AS tokens, round(avg(len(t)), 6) AS mean_tokens, round(median(len(t)), 6) AS median_tokens, round(sum(len(t)) / (sum(sum(len(t))) OVER ()), 6) AS share, count(*) FILTER (len(t) < 50) AS short FROM (SELECT lang, " + DUCK_TOKENS + " AS t FROM documents) GROUP BY lang")
 def domain_stats(spark, d):
     """A14, F05."""
@@ -173,7 +194,7 @@ def chunk_doc_ids(spark, d):
 
 @query(f"SELECT doc_id, (b // 20000)::BIGINT AS shard, b < 5000 AS probe FROM (SELECT doc_id, sum(len({DUCK_TOKENS})) OVER (ORDER BY doc_id) - len({DUCK_TOKENS}) AS b FROM documents)")
 def shard_assignment(spark, d):
-    """K05, W12."""
+    """The first documents up to a token budget, and blocks of tokens after them."""
     x = table(spark, d, "documents").select("doc_id", F.size(tokens()).cast("bigint").alias("n"))
     x = O.prefix_sum(x, "doc_id", "n")
     return x.select("doc_id", F.floor(F.col("before") / 20000).alias("shard"), (F.col("before") < 5000).alias("probe"))
@@ -336,7 +357,7 @@ def round_robin(spark, d):
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def json_props(spark, d):
-    """C20, C21."""
+    """C20."""
     return table(spark, d, "events").select("event_id", T.json_object(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), "k int")["k"].alias("k"))
 
 

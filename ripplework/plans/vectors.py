@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplework.functions import vector as V
 from ripplework.operators import core as O
+from ripplework.operators import sparse
 from ripplework.plans.registry import query
 from ripplework.plans.texts import DUCK_TOKENS, tokens
 from ripplework.session import table
@@ -146,10 +147,30 @@ _TOK = f"(SELECT doc_id, tok, count(*) AS n FROM (SELECT doc_id, unnest({DUCK_TO
 
 @query(f"SELECT a.doc_id AS q, b.doc_id AS c, sum(a.n * b.n)::BIGINT AS s FROM {_TOK} a JOIN {_TOK} b USING (tok) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2")
 def sparse_aligned_score(spark, d):
-    """Counts stand for the sparse representation; the ids divisible by 20 against all."""
-    t = table(spark, d, "documents").select("doc_id", F.explode(tokens()).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
-    j = t.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), "tok", F.col("n").alias("a")).join(t.select(F.col("doc_id").alias("c"), "tok", F.col("n").alias("b")), "tok").where("q <> c")
-    return j.groupBy("q", "c").agg(F.sum(F.col("a") * F.col("b")).cast("bigint").alias("s"))
+    """Token counts of two documents multiplied and added; the ids divisible by 20 against all."""
+    t = table(spark, d, "documents").select("doc_id", F.explode(tokens()).alias("tok")).groupBy("doc_id", "tok").agg(F.array(F.count("*").cast("double")).alias("n"))
+    return sparse.tile_scores(t, "doc_id", "tok", "n", F.col("r") % 20 == 0, zeros=False).select("q", "c", F.col("score").cast("bigint").alias("s"))
+
+
+#: Positions of the twin: the hidden vector of a token, its own error 1 - p, and -p at the token before it.
+_POSITIONS = f"""WITH t AS (SELECT doc_id, unnest({DUCK_TOKENS}) AS tok, generate_subscripts({DUCK_TOKENS}, 1) AS i FROM documents),
+p AS (SELECT doc_id, i, tok, lag(tok) OVER (PARTITION BY doc_id ORDER BY i) AS before, embedding::DOUBLE[] AS h FROM t JOIN embeddings ON vec_id = (31 * doc_id + i) % (SELECT count(*) FROM embeddings)),
+e AS (SELECT doc_id, tok AS v, 1 - 1.0::DOUBLE / (2 + i % 3) AS e, h FROM p UNION ALL SELECT doc_id, before, -1.0::DOUBLE / (2 + i % 3), h FROM p WHERE before IS NOT NULL),
+r AS (SELECT doc_id, v, [sum(e * h[1]), sum(e * h[2]), sum(e * h[3]), sum(e * h[4])] AS r FROM e GROUP BY 1, 2)"""
+
+
+@query(_POSITIONS + " SELECT a.doc_id AS q, b.doc_id AS c, round(coalesce(sum(list_dot_product(x.r, y.r)), 0), 4) AS score FROM (SELECT DISTINCT doc_id FROM r WHERE doc_id % 20 = 0) a JOIN (SELECT DISTINCT doc_id FROM r) b ON a.doc_id <> b.doc_id LEFT JOIN (r x JOIN r y ON x.v = y.v) ON x.doc_id = a.doc_id AND y.doc_id = b.doc_id GROUP BY 1, 2")
+def outer_product_scores(spark, d):
+    """Sums over the vocabulary of <R_i(v), R_j(v)>, R(v) adding up error times hidden vector over the positions of a document."""
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("h"))
+    n = e.count()
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.arrays_zip(tokens().alias("tok"), F.concat(F.array(F.lit(None).cast("string")), tokens()).alias("before"))).alias("i", "z"))
+    t = t.select("doc_id", "i", F.col("z.tok").alias("tok"), F.col("z.before").alias("before")).where("tok is not null")
+    p = F.lit(1.0) / (F.lit(2) + (F.col("i") + 1) % 3)
+    entry = lambda v, x: F.struct(v.alias("index"), x.alias("value"))
+    t = t.select("doc_id", ((31 * F.col("doc_id") + F.col("i") + 1) % n).alias("vec_id"), F.filter(F.array(entry(F.col("tok"), 1 - p), entry(F.col("before"), -p)), lambda x: x["index"].isNotNull()).alias("e"))
+    r = sparse.outer_products(t.join(e, "vec_id"), "doc_id", "e", "h", 4)
+    return sparse.tile_scores(r, "doc_id", "index", "vector", F.col("r") % 20 == 0).select("q", "c", F.round("score", 4).alias("score"))
 
 
 @query()
