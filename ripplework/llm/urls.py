@@ -8,15 +8,21 @@ A url that no rule fits takes the decision of its class: allow if a member is ex
 blocked, else allow.
 
 Defined results: a null url or one without `://` has empty host and path, fits no rule, has no aliases and is allowed;
-repeated urls and equal or null ids get a row each; all links of a page count, relative ones resolved against its url, but
-those in comments, scripts and styles and those over 8,192 characters; null html has no links; an empty table gives an
-empty result.
+repeated urls and equal or null ids get a row each; all links of a page count, of any length, with character references
+decoded as in attributes, relative ones resolved against the page's first `<base>` or else its url, but not those in comments,
+scripts and styles; a base without an authority is not used; null html has no links; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+from html import unescape
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ripplework.llm.graph import components
 from ripplework.session import materialize, table
@@ -28,30 +34,72 @@ MIRRORS = r"^(?:www|m)\."
 #: Parameters that say where a visitor came from, not what is shown.
 TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|msclkid|mc_cid|mc_eid|ref)"
 UNREAD = r"""(?is)<!--.*?(?:-->|$)|<(script|style|textarea|noscript|template)[\s/>].*?(?:</\1|$)"""
-LONGEST_LINK = 8192
-TAGS = r"""(?i)<(?:link|meta)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+TAGS = r"""(?i)<(?:link|meta|base)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 CANONICAL = r"""(?i)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|'(?:[^']*\s)?canonical[\s']|canonical[\s/>])"""
 REFRESH = r"""(?i)[\s"'/]http-equiv\s*=\s*["']?\s*refresh[\s"'/>]"""
 REFRESH_URL = r"""(?is)[\s;,]\s*url\s*=\s*["']?\s*([^"'\s]+)"""
 
 
+_REFERENCE = re.compile(r"&(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;?)(=?)")
+
+
+def decoded(value: str) -> str:
+    """An attribute's value with its character references decoded: a name without a semicolon stays before `=` or a letter."""
+
+    def one(m: re.Match) -> str:
+        name, after = m.groups()
+        if name[0] == "#":
+            return unescape("&" + name) + after
+        return html5[name] + after if name in html5 and (name[-1] == ";" or not after) else m.group(0)
+
+    return _REFERENCE.sub(one, value)
+
+
+def without_dots(path: str) -> str:
+    """A path without its `.` and `..`; what comes first is never dropped."""
+    kept: list[str] = []
+    for part in path.split("/"):
+        if part == "..":
+            del kept[max(1, len(kept) - 1) :]
+        elif part != ".":
+            kept.append(part)
+    return "/".join(kept)
+
+
+@F.pandas_udf(StringType())
+def _decode(value: pd.Series) -> pd.Series:
+    return value.map(decoded, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _undot(path: pd.Series) -> pd.Series:
+    return path.map(without_dots, na_action="ignore")
+
+
 def _attribute(tag: Column, name: str) -> Column:
     """An attribute's value, in any of its three spellings; empty if there is none."""
     at = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
     return F.concat(*[F.regexp_extract(tag, at, i) for i in (1, 2, 3)])
 
 
-def resolve(target: Column, host: Column, path: Column, query: Column) -> Column:
-    """A link of the page at host, path and query as an address with `://`; empty for schemes without an authority."""
+def resolve(target: Column, host: Column, path: Column, query: Column) -> tuple[Column, Column, Column]:
+    """(address without dots removed, its path, its query) of a link of the page at host, path and query."""
     cut = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)  # only the path is merged
     asked = F.regexp_extract(target, r"(?s)^[^?#]*(\?[^#]*)", 1)
     asked = F.when((cut == "") & (asked == "") & (query != ""), F.concat(F.lit("?"), query)).otherwise(asked)
     merged = F.when(cut == "", path).when(cut.startswith("/"), cut).otherwise(F.concat(F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", "")), cut))
     whole = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), cut).when(target.startswith("//"), F.concat(F.lit("link:"), cut)).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit("")).otherwise(F.concat(F.lit("link://"), host, merged))
     parts = F.regexp_extract(whole, r"(?s)^[^/]*//[^/]*(.*)$", 1)
-    kept = F.aggregate(F.split(parts, "/"), F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
-    whole = F.when(parts.contains("/."), F.concat(F.regexp_extract(whole, r"(?s)^([^/]*//[^/]*)", 1), F.array_join(kept, "/"))).otherwise(whole)
-    return F.when(whole == "", whole).otherwise(F.concat(whole, asked))
+    return whole, parts, asked
+
+
+def _resolved(df: DataFrame, target: str, host: str, path: str, query: str, out: str) -> DataFrame:
+    """Adds what a link means on a page at host, path and query: an address with `://`, or empty for schemes without an authority."""
+    whole, parts, asked = resolve(F.col(target), F.col(host), F.col(path), F.col(query))
+    df = df.withColumns({"__whole": whole, "__parts": parts, "__asked": asked})
+    df = df.withColumn("__plain", _undot(F.when(F.col("__parts").contains("/."), F.col("__parts"))))
+    whole = F.coalesce(F.concat(F.regexp_extract("__whole", r"(?s)^([^/]*//[^/]*)", 1), "__plain"), "__whole")
+    return df.withColumn(out, F.when(whole == "", whole).otherwise(F.concat(whole, "__asked"))).drop("__whole", "__parts", "__asked", "__plain")
 
 
 def _rest(url: Column) -> Column:
@@ -86,11 +134,18 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     html = F.coalesce(F.col(html_col), F.lit(""))
     own = parse(pages.select(F.col(url_col).alias("__u"), html.alias("__html")).where(F.col("__html").rlike(r"(?i)canonical|http-equiv")), "__u").where("__host <> ''")
     own = own.withColumn("a", _address()).withColumns({"__from": F.col("__host"), "__at": F.col("__path"), "__ask": F.col("__query")})
-    tags = own.select("a", "__from", "__at", "__ask", F.explode(F.regexp_extract_all(F.regexp_replace("__html", UNREAD, " "), F.lit(TAGS), F.lit(0))).alias("__tag"))
+    own = own.withColumn("__tags", F.regexp_extract_all(F.regexp_replace("__html", UNREAD, " "), F.lit(TAGS), F.lit(0))).drop("__html", "__u", "__url")
+    own = own.withColumn("__base", F.get(F.filter(F.transform(F.filter("__tags", lambda t: t.rlike(r"(?i)^<base")), lambda t: F.trim(_attribute(t, "href"))), lambda x: x != ""), F.lit(0)))
+    own = own.withColumn("__base", _decode("__base"))
+    own = parse(_resolved(own, "__base", "__from", "__at", "__ask", "__to"), "__to")
+    own = own.withColumn("__has", F.coalesce(F.col("__host") != "", F.lit(False)))
+    own = own.withColumns({k: F.when(F.col("__has"), F.col(v)).otherwise(F.col(k)) for k, v in (("__from", "__host"), ("__at", "__path"), ("__ask", "__query"))})
+    tags = own.select("a", "__from", "__at", "__ask", F.explode("__tags").alias("__tag"))
     tag = F.col("__tag")
-    target = F.when(tag.rlike(r"(?i)^<link"), F.when(tag.rlike(CANONICAL), _attribute(tag, "href"))).when(tag.rlike(REFRESH), F.regexp_extract(F.concat(F.lit(" "), _attribute(tag, "content")), REFRESH_URL, 1))
-    linked = tags.withColumn("__target", F.trim(F.regexp_replace(target, r"(?i)&(?:amp|#38|#x26);", "&"))).where(F.length("__target").between(1, LONGEST_LINK))
-    linked = linked.withColumn("__link", resolve(F.col("__target"), F.col("__from"), F.col("__at"), F.col("__ask")))
+    target = F.when(tag.rlike(r"(?i)^<link"), F.when(tag.rlike(CANONICAL), _attribute(tag, "href"))).when(tag.rlike(r"(?i)^<meta") & tag.rlike(REFRESH), _attribute(tag, "content"))
+    linked = tags.select("a", "__from", "__at", "__ask", tag.rlike(r"(?i)^<meta").alias("__meta"), target.alias("__target")).where("__target <> ''").withColumn("__target", _decode("__target"))
+    linked = linked.withColumn("__target", F.trim(F.when(F.col("__meta"), F.regexp_extract(F.concat(F.lit(" "), "__target"), REFRESH_URL, 1)).otherwise(F.col("__target")))).where("__target <> ''")
+    linked = _resolved(linked, "__target", "__from", "__at", "__ask", "__link")
     return parse(linked, "__link").where("__host <> ''").select("a", _address().alias("b"), F.col("__host").alias("host"), F.col("__path").alias("path")).distinct()
 
 
