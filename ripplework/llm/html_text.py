@@ -6,9 +6,10 @@ attributes, and rules of style elements whose selectors name one element by tag,
 text: blocks on lines of their own with blank lines where margins stand, list items with bullets or numbers, table cells
 in aligned columns over column and row spans, preformatted text as it is.
 
-A page is read forward once, and open elements are found by name, so the time is linear in the page. Layout, never text,
-is bounded for that: indents stop growing at 32 levels, a column is padded to 80 places at most, and tables deeper than
-16 in one another or wider than 250 columns are written without alignment.
+A page is read forward once, open elements are found by name and style rules by the name that the fewest rules share, so the
+time is linear in the page (only where many rules share all their names with one another does an element meet rules it does not
+fit). Layout, never text, is bounded for that by `Layout`: indents stop growing at 32 levels, a column is padded to 80 places
+at most, and tables deeper than 16 in one another or wider than 250 columns are written without alignment.
 
 Defined results: null or empty html gives empty text; text without tags is itself, white space collapsed; a tag or comment
 that never ends hides what follows, as in a browser; repeated rows, null and equal ids are rendered row by row; an empty
@@ -18,9 +19,13 @@ table gives an empty result.
 from __future__ import annotations
 
 import html
+import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,7 +62,6 @@ COMMENT_END = re.compile(r"--!?>")
 #: Rules for some media or conditions only are passed over.
 RULE = re.compile(r"@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\}?)?|([^{}@]*+)\{([^{}]*+)\}")
 SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
-MAX_INDENT, MAX_PAD, MAX_DEPTH, MAX_COLUMNS = 32, 80, 16, 250
 ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.S)
 INTEGER = re.compile(r"\s*(-?\d{1,9})")
 
@@ -70,6 +74,16 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+class Layout(NamedTuple):
+    """Bounds of the layout, which keep a page's output in proportion to the page; none drops text. `math.inf` lifts one."""
+
+    indent: float = 32
+    pad: float = 80
+    depth: float = 16
+    columns: float = 250
+
+
+LAYOUT = Layout()
 Decls = dict[str, tuple[bool, str]]
 
 
@@ -87,10 +101,14 @@ def declarations(text: str) -> Decls:
 
 
 class Styles:
-    """Rules of style elements on display and visibility, by the id, class or tag they name."""
+    """Rules of style elements on display and visibility.
+
+    A rule is held by its tag and names, and listed under the name that the fewest rules share. An element looks up either
+    all sets of its names that are as large as some rule's, or the rules listed under its names, whichever are fewer.
+    """
 
     def __init__(self, sheets: list[str]):
-        self.by: dict[str, dict[tuple[str, frozenset[str]], tuple[tuple, Decls]]] = {}
+        self.rules: dict[tuple[str, frozenset[str]], tuple[tuple, Decls]] = {}
         n = 0
         for sheet in sheets:
             for m in RULE.finditer(re.sub(r"/\*(?:[^*]|\*(?!/))*+(?:\*/|$)", " ", sheet)):
@@ -102,9 +120,24 @@ class Styles:
                     tag, names = (got[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", got[2] or ""))
                     n += 1
                     weight = (sum(x[0] == "#" for x in names), sum(x[0] == "." for x in names), tag != "*", n)
-                    same = self.by.setdefault(max(names, default=tag), {})
-                    before = same.get((tag, names), (weight, {}))[1]
-                    same[tag, names] = weight, before | {k: v for k, v in said.items() if v[0] or not before.get(k, v)[0]}
+                    before = self.rules.get((tag, names), (weight, {}))[1]
+                    self.rules[tag, names] = weight, before | {k: v for k, v in said.items() if v[0] or not before.get(k, v)[0]}
+        shared = Counter(x for _, names in self.rules for x in names)
+        self.sizes = sorted({len(names) for _, names in self.rules})
+        self.by: dict[str, list[frozenset[str]]] = {}
+        for names in {names for _, names in self.rules}:
+            if names:
+                self.by.setdefault(min(names, key=lambda x: (shared[x], x)), []).append(names)
+
+    def sets(self, own: set[str]) -> Iterator[frozenset[str]]:
+        """The sets of names that rules might ask for and an element with these has."""
+        if sum(math.comb(len(own), k) for k in self.sizes) <= sum(len(self.by.get(x, ())) for x in own):
+            for k in self.sizes:
+                yield from map(frozenset, combinations(own, k))
+        else:
+            yield frozenset()
+            for x in own:
+                yield from (names for names in self.by.get(x, ()) if names <= own)
 
     def of(self, tag: str, named: dict[str, str]) -> tuple[bool, bool | None]:
         """(not rendered, visible or None where the parent decides) of an element."""
@@ -115,11 +148,12 @@ class Styles:
                 if what not in best or (important, *weight) >= best[what][0]:
                     best[what] = ((important, *weight), value)
 
-        if self.by:
+        if self.rules:
             own = {"." + c for c in named.get("class", "").split()} | ({"#" + named["id"].strip()} if "id" in named else set())
-            for key in (*own, tag, "*"):
-                for (of_tag, names), (weight, said) in self.by.get(key, {}).items():
-                    if of_tag in (tag, "*") and names <= own:
+            for names in self.sets(own):
+                for of_tag in (tag, "*"):
+                    if (of_tag, names) in self.rules:
+                        weight, said = self.rules[of_tag, names]
                         say(said, (0, *weight))
         if "style" in named:
             say(declarations(named["style"]), (1,))
@@ -243,7 +277,8 @@ class _Flow:
 class _Table:
     """Cells by row and first column; columns that a cell of an earlier row spans are left free."""
 
-    def __init__(self):
+    def __init__(self, layout: Layout):
+        self.layout = layout
         self.rows: list[list[tuple[int, int, list[str]]]] = []
         self.busy: dict[int, int] = {}  # the last row in which a column is taken from above
         self.span = (1, 1)
@@ -255,17 +290,17 @@ class _Table:
         if not self.rows:
             self.row()
 
-        def number(name: str, most: int) -> int:
+        def number(name: str, most: float) -> int:
             m = INTEGER.match(named.get(name, ""))
-            return min(max(1, int(m[1])), most) if m else 1
+            return int(min(max(1, int(m[1])), most)) if m else 1
 
-        self.span = (number("colspan", MAX_COLUMNS), number("rowspan", 65_534))
+        self.span = (number("colspan", self.layout.columns), number("rowspan", 65_534))
 
     def put(self, text: str) -> None:
         row, (wide, high) = self.rows[-1], self.span
         at = row[-1][0] + row[-1][1] if row else 0
-        if at < MAX_COLUMNS:
-            while at < MAX_COLUMNS and self.busy.get(at, -1) >= len(self.rows) - 1:
+        if at < self.layout.columns:
+            while at < self.layout.columns and self.busy.get(at, -1) >= len(self.rows) - 1:
                 at += 1
             if high > 1:
                 self.busy.update(dict.fromkeys(range(at, at + wide), len(self.rows) + high - 2))
@@ -274,12 +309,12 @@ class _Table:
     def lines(self) -> Iterator[str]:
         rows = [r for r in self.rows if any(c != [""] for _, _, c in r)]
         columns = sorted({at for r in rows for at, _, _ in r})
-        aligned = not columns or columns[-1] < MAX_COLUMNS
+        aligned = not columns or columns[-1] < self.layout.columns
         widths = dict.fromkeys(columns, 0)
         for r in rows if aligned else ():
             for at, wide, cell in r:
                 if wide == 1:
-                    widths[at] = max(widths[at], min(MAX_PAD, max(map(len, cell))))
+                    widths[at] = max(widths[at], min(self.layout.pad, max(map(len, cell))))
         begin, x = {}, 0
         for c in columns:
             begin[c], x = x, x + widths[c] + 2
@@ -295,7 +330,7 @@ class _Table:
                 yield "".join(line)
 
 
-def render(page: str | None) -> str:
+def render(page: str | None, layout: Layout = LAYOUT) -> str:
     """All visible text of a page."""
     parts = list(events(page or ""))
     styles = Styles([parts[i + 1][1] for i, e in enumerate(parts[:-1]) if e[:2] == ("open", "style") and parts[i + 1][0] == "text"])
@@ -327,7 +362,7 @@ def render(page: str | None) -> str:
             elif what in ("ul", "ol", "menu"):
                 start = INTEGER.match(named.get("start", ""))
                 lists.append([what, int(start[1]) if start else 1])
-                flow.indent = "  " * min(len(lists) - 1, MAX_INDENT)
+                flow.indent = "  " * int(min(len(lists) - 1, layout.indent))
             elif what == "li":
                 if lists and lists[-1][0] == "ol":
                     if shown:
@@ -336,7 +371,7 @@ def render(page: str | None) -> str:
                 elif shown:
                     flow.now.append("- ")
             elif what == "table":
-                tables.append(_Table() if len(tables) < MAX_DEPTH else None)
+                tables.append(_Table(layout) if len(tables) < layout.depth else None)
             elif what == "tr" and tables and tables[-1]:
                 tables[-1].row()
             elif what in ("td", "th") and tables and tables[-1]:
@@ -396,7 +431,7 @@ def render(page: str | None) -> str:
             pre -= 1
         elif what in ("ul", "ol", "menu") and lists:
             lists.pop()
-            flow.indent = "  " * min(max(0, len(lists) - 1), MAX_INDENT)
+            flow.indent = "  " * int(min(max(0, len(lists) - 1), layout.indent))
             flow.gap = 1 if lists else 2
     while len(flows) > 1:
         inner = flows.pop().text()
@@ -404,12 +439,12 @@ def render(page: str | None) -> str:
     return flows[0].text()
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", layout: Layout = LAYOUT) -> DataFrame:
     """(id, text) of every page."""
 
     def run(batches):
         for some in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([render(x) for _, x in some], pa.string())], [id_col, "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([render(x, layout) for _, x in some], pa.string())], [id_col, "text"])
         release()
 
     rows = pages.select(F.col(id_col).cast("bigint").alias(id_col), F.col(html_col))
