@@ -8,12 +8,13 @@ import uuid
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
+from ripplework.functions import text as T
 from ripplework.operators import core as O
 from ripplework.plans.registry import query
-from ripplework.plans.texts import DUCK_TOKENS, tokens
+from ripplework.plans.texts import DUCK_PRINT, DUCK_TOKENS, tokens
 from ripplework.plans.vectors import _E
 from ripplework.session import shared_dir, table
-from ripplework.sources import io
+from ripplework.sources import history, io
 from ripplework.streaming import streams
 
 
@@ -167,11 +168,12 @@ def key_value_files(spark, d):
     return v.select(at("NAME").alias("name"), at("KEY").alias("key"), at("ODD").alias("odd"), F.size("values").alias("entries"))
 
 
-@query("SELECT event_id AS step, round(max(value) FILTER (k = 'value'), 6) AS value, max(v2) AS user FROM (SELECT event_id, 'value' AS k, value, user_id::DOUBLE AS v2 FROM events WHERE event_type = 'click') GROUP BY 1")
+@query("SELECT event_type AS run_id, event_id AS step, round(value, 6) AS value, user_id::DOUBLE AS user FROM events WHERE event_type IN ('click', 'error')")
 def run_history(spark, d):
-    """A run's metrics from a long table (run, step, key, value), wide by step."""
-    e = table(spark, d, "events").select(F.col("event_type").alias("run_id"), F.col("event_id").alias("step"), F.inline(F.array(F.struct(F.lit("value").alias("key"), F.round("value", 6).alias("value")), F.struct(F.lit("user").alias("key"), F.col("user_id").cast("double").alias("value")), F.struct(F.lit("other").alias("key"), F.lit(1.0).alias("value")))))
-    return io.run_history(e, "click", ["value", "user"])
+    """The wanted metrics of two runs from a service that gives pages of 1,000 steps, pages read in parallel."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("run_id"), F.col("event_id").alias("step"), F.round("value", 6).alias("value"), F.col("user_id").cast("double").alias("user"), F.lit(1.0).alias("other"))
+    path = history.write_pages(e, "run_id", "step", _path(spark, "runs"))
+    return history.read(spark, history.FolderClient(path), ["value", "user"]).where(F.col("run_id").isin("click", "error"))
 
 
 @query(f"SELECT label, count(*) AS n, round(sum(e[1]), 4) AS first, true AS refused FROM {_E} GROUP BY 1")
@@ -252,13 +254,38 @@ def _stream(spark, df, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-@query(f"""WITH t AS (SELECT source, doc_id, unnest({DUCK_TOKENS}) AS tok, generate_subscripts({DUCK_TOKENS}, 1) AS p FROM documents), o AS (SELECT source, tok, row_number() OVER (PARTITION BY source ORDER BY doc_id, p) - 1 AS o FROM t)
-SELECT source, (o // 512)::BIGINT AS chunk_index, md5(string_agg(tok, ' ' ORDER BY o)) AS h FROM o GROUP BY 1, 2 HAVING count(*) = 512""")
+def _arriving(spark, df, order, name, **options):
+    """A stream of a table's rows in two lots, the lower half of `order` first, some files at a time."""
+    path = _path(spark, name)
+    half = df.agg(F.percentile_approx(order, 0.5)).first()[0] or 0
+    for lot in (F.col(order) <= half, F.col(order) > half):
+        df.where(lot).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).options(**options).parquet(path)
+
+
+@query(f"""WITH t AS (SELECT coalesce(source, '') AS source, doc_id // 400 AS lane, doc_id, unnest({DUCK_TOKENS}) AS tok, generate_subscripts({DUCK_TOKENS}, 1) AS p FROM documents), o AS (SELECT source, lane, tok, row_number() OVER (PARTITION BY source, lane ORDER BY doc_id, p) - 1 AS o FROM t)
+SELECT source, lane, (o // 512)::BIGINT AS chunk_index, md5(string_agg(tok, ' ' ORDER BY o)) AS h FROM o GROUP BY 1, 2, 3 HAVING count(*) = 512""")
 def stream_chunks(spark, d):
-    """Token arrays of a stream, joined in order and cut every 512, in one micro-batch."""
-    x = table(spark, d, "documents").select("source", "doc_id", tokens().alias("tok")).where("source is not null")
-    out = _drained(streams.rechunk(_stream(spark, x.coalesce(1), "tokens"), "source", "doc_id", "tok", 512), spark, "chunks")
-    return out.select("source", "chunk_index", F.md5(F.array_join("token_ids", " ")).alias("h"))
+    """Token arrays of a stream, joined in order and cut every 512, over several micro-batches, tasks and lanes of 400 ids."""
+    x = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", tokens().alias("tok"))
+    x = x.repartition(4, "source")  # a lot's rows of a source in one file
+    out = _drained(streams.rechunk(_arriving(spark, x, "doc_id", "tokens", maxFilesPerTrigger=3), "source", "doc_id", "tok", 512, 400), spark, "chunks")
+    return out.select("source", "lane", "chunk_index", F.md5(F.array_join("token_ids", " ")).alias("h"))
+
+
+@query("WITH c AS (SELECT event_type, event_id, sum(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cum FROM events) SELECT event_type AS source, t.t::DOUBLE AS mark, min(event_id) AS at FROM c JOIN (SELECT unnest([100, 1000, 10000]) AS t) t ON cum >= t.t GROUP BY 1, 2")
+def stream_thresholds(spark, d):
+    """The events at which a stream's running sums reach marks."""
+    e = table(spark, d, "events").select("event_type", "event_id", "value").repartition(4, "event_type")
+    return _drained(streams.threshold_events(_arriving(spark, e, "event_id", "sums", maxFilesPerTrigger=3), "event_type", "event_id", "value", [100.0, 1000.0, 10_000.0]), spark, "marks")
+
+
+@query(f"SELECT DISTINCT lang, {DUCK_PRINT} AS h FROM documents WHERE text IS NOT NULL")
+def stream_first_seen(spark, d):
+    """Normalised texts of a stream that were not there before, in the same or an earlier micro-batch."""
+    x = table(spark, d, "documents").select("doc_id", "lang", T.fingerprint(F.col("text")).alias("h")).where("h is not null")
+    x = x.withColumn("key", F.concat_ws(":", "lang", "h"))
+    return _drained(streams.first_seen(_arriving(spark, x, "doc_id", "texts", maxFilesPerTrigger=1), "key").select("lang", "h"), spark, "seen")
 
 
 @query("SELECT 'train' AS event, event_type AS s, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

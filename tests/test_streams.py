@@ -1,8 +1,10 @@
 """Streaming forms give what their batch forms give."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from ripplework.sources import io
+from ripplework.sources import history, io
 from ripplework.streaming import streams
 
 
@@ -25,7 +27,54 @@ def test_thresholds(spark, tmp_path):
 
 def test_rechunk(spark, tmp_path):
     got = sorted(drain(streams.rechunk(source(spark, tmp_path), "s", "o", "w", 4), "chunks"))
-    assert got == [("a", i, [f"t{2 * i}", "x", f"t{2 * i + 1}", "x"]) for i in range(3)]
+    assert got == [("a", 0, i, [f"t{2 * i}", "x", f"t{2 * i + 1}", "x"]) for i in range(3)]
+
+
+def test_state_over_micro_batches(spark, tmp_path):
+    """Open chunks, sums and marks are carried from file to file, lanes apart."""
+    rng, rows = random.Random(6), []
+    for i in range(90):
+        rows.append((rng.choice("ab"), i, rng.choice((0.0, 1.5, None, 4.0)), [f"t{i}.{j}" for j in range(rng.randrange(7))] if i % 8 else None))
+    schema = "s string, o long, v double, w array<string>"
+    for at in range(0, 90, 30):
+        part = rows[at : at + 30]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    make = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = sorted(drain(streams.rechunk(make(), "s", "o", "w", 5, 40), "lanes"))
+    want = []
+    for s in "ab":
+        for lane in range(3):
+            tok = [t for a, o, _, w in sorted(rows, key=lambda r: r[1]) if a == s and o // 40 == lane for t in w or ()]
+            want += [(s, lane, k, tok[5 * k : 5 * k + 5]) for k in range(len(tok) // 5)]
+    assert got == want and len(want) > 10
+    marks, want = [0.5, 20.0, 21.0, 60.0, 900.0], []
+    for s in "ab":
+        total, left = 0.0, list(marks)
+        for a, o, v, _ in sorted(rows, key=lambda r: r[1]):
+            total += (v or 0.0) if a == s else 0.0
+            while a == s and left and total >= left[0]:
+                want.append((s, left.pop(0), o))
+    assert sorted(drain(streams.threshold_events(make(), "s", "o", "v", marks), "sums")) == sorted(want)
+
+
+def test_history_reads_only_the_pages_of_the_runs_asked_for(spark, tmp_path):
+    rows = [(f"run {i % 3}/x", i, i / 2 if i % 5 else None, "no") for i in range(400)]
+    path = history.write_pages(spark.createDataFrame(rows, "run_id string, step long, loss double, note string"), "run_id", "step", f"{tmp_path}/runs", 50)
+
+    class Counting(history.FolderClient):
+        def pages(self, run):
+            with open(f"{tmp_path}/asked", "a") as f:
+                f.write(run + "\n")
+            return super().pages(run)
+
+    df = history.read(spark, Counting(path), ["loss"])
+    assert df.rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, df.collect())) == sorted((r, s, v) for r, s, v, _ in rows if v is not None)
+    (tmp_path / "asked").unlink()
+    one = df.where("run_id = 'run 1/x'").collect()
+    assert sorted(map(tuple, one)) == [(r, s, v) for r, s, v, _ in rows if v is not None and r == "run 1/x"]
+    assert set((tmp_path / "asked").read_text().split("\n")) == {"run 1/x", ""}
 
 
 def test_first_seen(spark, tmp_path):
