@@ -94,7 +94,7 @@ def with_average_rank(df: DataFrame, x: str, by: tuple[str, ...], out: str) -> D
     return df.join(n, [*by, x], "left")
 
 
-def auc_recall(scores: DataFrame, query: str, score: str, candidate: str, positive: str, cells: int = 64) -> DataFrame:
+def auc_recall(scores: DataFrame, query: str, score: str, candidate: str, positive: str, cells: int | None = None) -> DataFrame:
     """(query, auc, recall): one-vs-rest ROC AUC from average ranks, and the share of positives among the top n, n their number.
 
     Candidates and positives are counted by query and score; ranges of the score, shared by all queries, are summed, and a
@@ -183,14 +183,38 @@ def _joined(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(named, on).drop(*["__j_" + k for k in keys])
 
 
-def _cell(df: DataFrame, order: str, cells: int) -> Column:
-    """Which of some ordered ranges of about equal numbers of rows a row falls into; null falls into the first."""
-    q = [i / cells for i in range(1, cells)]
-    cuts = sorted(set(df.agg(F.percentile_approx(order, F.array(*map(F.lit, q)), 10_000)).first()[0] or []))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+#: Rows of an ordered range on average, and the most ranges that are told apart by literals.
+RANGE_ROWS, CELLS = 1_000_000, 256
 
 
-def interpolate(df: DataFrame, series: str, x: str, y: str, cells: int = 64) -> DataFrame:
+def _counted_cell(df: DataFrame, order: str, cells: int | None = None, rows: int = RANGE_ROWS) -> tuple[int, Column]:
+    """(number of rows, which ordered range of about equal numbers of rows a row falls into); null falls into the first.
+
+    As many ranges as the count of rows asks for, CELLS at most; or `cells`.
+    """
+    most = cells or CELLS
+    got = df.agg(F.count("*").alias("n"), F.percentile_approx(order, F.array(*[F.lit(i / most) for i in range(1, most)] or [F.lit(0.5)]), 10_000).alias("q")).first()
+    keep = cells or min(CELLS, max(1, -(-got["n"] // rows)))
+    q = got["q"] or []
+    cuts = sorted({q[i * most // keep - 1] for i in range(1, keep)} if q else ())
+    return got["n"], F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+
+
+def _cell(df: DataFrame, order: str, cells: int | None = None) -> Column:
+    return _counted_cell(df, order, cells)[1]
+
+
+def ranges(df: DataFrame, *order: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows, written, with `__part`: ranges of the order of at most about `rows` rows, numbered in that order.
+
+    Only rows that are equal in all of `order` must share a range, so name columns that tell rows apart.
+    """
+    df = materialize(df, "unordered")
+    parts = max(1, -(-df.count() // rows))
+    return materialize(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id().cast("bigint")), "ranges")
+
+
+def interpolate(df: DataFrame, series: str, x: str, y: str, cells: int | None = None) -> DataFrame:
     """Nulls of y filled on the line between their neighbours by row; ends take the nearest.
 
     Neighbours are looked for inside ordered ranges first, then among the ranges' ends, a row for each range.
@@ -210,7 +234,19 @@ def interpolate(df: DataFrame, series: str, x: str, y: str, cells: int = 64) ->
     return df.withColumn(y, F.coalesce(F.col(y), line, F.col("__p.v"), F.col("__n.v"))).drop("__i", "__p", "__n", "__l", "__f", "__cell")
 
 
-def recurrence(df: DataFrame, series: str, x: str, u: str, decay: float, out: str, start: str | None = None, cells: int = 64) -> DataFrame:
+def _fold(v: np.ndarray, decay: float, width: int = 128) -> np.ndarray:
+    """r_t = decay r_t-1 + v_t: rows of `width` places at once by powers of the decay, then from row to row."""
+    rows = np.concatenate([v, np.zeros(-len(v) % width)]).reshape(-1, width)
+    back = np.arange(width)[:, None] - np.arange(width)
+    r = rows @ np.where(back >= 0, float(decay) ** np.maximum(back, 0), 0.0).T
+    ahead, into = float(decay) ** np.arange(1, width + 1), 0.0
+    for row in r:
+        row += into * ahead
+        into = row[-1]
+    return r.ravel()[: len(v)]
+
+
+def recurrence(df: DataFrame, series: str, x: str, u: str, decay: float, out: str, start: str | None = None, cells: int | None = None) -> DataFrame:
     """Adds r_t = decay r_t-1 + u_t along x in each series, from 0 or from the column `start` (one value a series).
 
     Two phases, as in prefix_sum: ordered ranges are folded one by one, then the ranges' ends are, a row for each range,
@@ -220,11 +256,7 @@ def recurrence(df: DataFrame, series: str, x: str, u: str, decay: float, out: st
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(x, kind="stable")
-        v, r, got = pdf[u].astype(float).fillna(0.0).to_numpy(), 0.0, np.empty(len(pdf))
-        for i, y in enumerate(v):
-            r = decay * r + y
-            got[i] = r
-        return pdf.assign(__k=np.arange(1, len(pdf) + 1), __r=got)
+        return pdf.assign(__k=np.arange(1, len(pdf) + 1), __r=_fold(pdf[u].astype(float).fillna(0.0).to_numpy(), decay))
 
     done = materialize(df.groupBy(series, "__cell").applyInPandas(fold, df.schema), "recurrence")
     first = F.min(start).cast("double") if start else F.lit(0.0)
@@ -253,16 +285,23 @@ def decayed_mean(df: DataFrame, series: str, x: str, y: str, decay: float, out:
     return rows.withColumn(out, before).drop("__one", "__sum", "__all", "__v")
 
 
-def prefix_sum(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), buckets: int = 64, out: str = "before") -> DataFrame:
-    """Adds the sum of `value` over the rows ahead in `order`, in two phases: totals of ordered ranges, then inside them.
+def prefix_sum(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), rows: int = RANGE_ROWS, out: str = "before") -> DataFrame:
+    """Adds the sum of `value` over the rows ahead in `order`: totals of ordered ranges, then inside them.
 
-    No task sees more than one range; the ranges' totals are one row for each range and group (W11).
+    Ranges hold about `rows` rows, so their number grows with the input. Up to CELLS ranges are cut at literals; beyond, rows
+    are dealt into ranges and written, and if the totals (a row for each range and group) are more than `rows` again, they
+    are summed in the same way, level upon level. No task sees more than one range.
     """
-    df = df.withColumn("__cell", _cell(df, order, buckets))
+    n, cell = _counted_cell(df, order, rows=rows)
+    deep = n > CELLS * rows
+    df = ranges(df, order, *by, rows=rows).withColumnRenamed("__part", "__cell") if deep else df.withColumn("__cell", cell)
     totals = df.groupBy(*by, "__cell").agg(F.sum(value).alias("__t"))
-    starts = totals.withColumn("__s", F.sum("__t").over(W.partitionBy(*by).orderBy("__cell")) - F.col("__t")).drop("__t")
+    if deep and rows < (totals := materialize(totals, "totals")).count() < n // 2:
+        starts = prefix_sum(totals.withColumnRenamed("__cell", "__place"), "__place", "__t", by, rows, "__sum").drop("__t").withColumnsRenamed({"__place": "__cell", "__sum": "__s"})
+    else:
+        starts = totals.withColumn("__s", F.sum("__t").over(W.partitionBy(*by).orderBy("__cell")) - F.col("__t")).drop("__t")
     inside = F.sum(value).over(W.partitionBy(*by, "__cell").orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(value)
-    return _joined(df.withColumn("__l", inside), starts, [*by, "__cell"]).withColumn(out, F.col("__l") + F.col("__s")).drop("__cell", "__l", "__s")
+    return _joined(df.withColumn("__l", inside), starts, [*by, "__cell"]).withColumn(out, F.col("__l") + F.coalesce("__s", F.lit(0))).drop("__cell", "__l", "__s")
 
 
 def _cut(rows: DataFrame, by: tuple[str, ...], length: int, *carry: str) -> DataFrame:
@@ -345,41 +384,62 @@ def resume(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return new.join(done.select(key).distinct(), key, "left_anti")
 
 
-def effective_rank(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, trace, effective_rank): exp of the entropy of the Gram spectrum.
+def effective_rank(df: DataFrame, group: str, vector: str, fan: int = 8, rows: int = 4096) -> DataFrame:
+    """(group, trace, lambda_min, lambda_max, effective_rank) of the Gram matrix of each group's vectors.
 
-    The d x d second-moment matrix has the Gram matrix's non-zero eigenvalues. Outer products are summed where the vectors
-    are read, so d^2 entries a task and group are what is shuffled, and what the last step sees of a group.
+    Tall-skinny QR: up to `rows` vectors of a group are reduced where they are read to a triangle of d rows with the same
+    singular values, triangles are reduced `fan` at a time in rounds until a group has one, and its singular values squared
+    are the eigenvalues, without the loss of squaring first. A task holds `fan` triangles of d x d, never a group. With more
+    vectors than entries the least eigenvalue is 0. The effective rank is exp of the entropy of the eigenvalues' shares
+    above 1e-12; 0 for vectors that are all zero. Null vectors are left out.
     """
     kind = df.schema[group].dataType.simpleString()
+    schema = f"`{group}` {kind}, n bigint, d int, node bigint, r array<double>"
+    columns = [group, "n", "d", "node", "r"]
 
-    def outer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
-
-        def rows() -> Iterator[pd.DataFrame]:
-            for g, m in sums.items():
-                i, j = np.indices(m.shape)
-                yield pd.DataFrame({group: [g] * m.size, "i": i.ravel(), "j": j.ravel(), "s": m.ravel()})
+    def triangle(m: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(m, "r") if len(m) > m.shape[1] else m
 
+    def reduce_read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
         for f in frames:
             for g, v in f.groupby(group, dropna=False)[vector]:
                 x = np.stack(list(v)).astype(float)
-                sums[g] = sums.get(g, 0) + x.T @ x
-            if sum(m.size for m in sums.values()) > 8_000_000:
-                yield from rows()
-                sums.clear()
-        yield from rows()
-
-    rows = df.select(group, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
-    rows = rows.mapInPandas(outer, f"`{group}` {kind}, i int, j int, s double").groupBy(group, "i", "j").agg(F.sum("s").alias("s"))
-
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="i", columns="j", values="s").to_numpy()
-        lam = np.clip(np.linalg.eigvalsh(m), 0, None)
-        p = lam[lam > 0] / lam.sum() if lam.sum() > 0 else np.array([])
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "trace": [float(lam.sum())], "effective_rank": [float(np.exp(-(p * np.log(p)).sum())) if len(p) else 0.0]})
-
-    return rows.groupBy(group).applyInPandas(spectrum, f"`{group}` {kind}, trace double, effective_rank double")
+                for at in range(0, len(x), rows):
+                    part = x[at : at + rows]
+                    n, before = held.get(g, (0, part[:0]))
+                    held[g] = n + len(part), triangle(np.concatenate([before, part]))
+            if sum(m.size for _, m in held.values()) > 8_000_000:
+                yield pd.DataFrame([(g, n, m.shape[1], 0, m.ravel()) for g, (n, m) in held.items()], columns=columns)
+                held.clear()
+        yield pd.DataFrame([(g, n, m.shape[1], 0, m.ravel()) for g, (n, m) in held.items()], columns=columns)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = int(pdf["d"].iloc[0])
+        m = triangle(np.concatenate([np.reshape(r, (-1, d)) for r in pdf["r"]]))
+        return pd.DataFrame([(pdf[group].iloc[0], int(pdf["n"].sum()), d, int(pdf["__to"].iloc[0]), m.ravel())], columns=columns)
+
+    read = df.select(group, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
+    level = materialize(read.mapInPandas(reduce_read, schema).withColumn("node", F.monotonically_increasing_id()), "triangles")
+    while True:
+        many = level.groupBy(group).count().agg(F.max("count")).first()[0] or 1
+        if many == 1:
+            break
+        to = F.pmod(F.xxhash64("node"), F.lit(-(-many // fan))) if many > fan else F.lit(0).cast("bigint")
+        level = materialize(level.withColumn("__to", to).groupBy(group, "__to").applyInPandas(merge, schema).withColumn("node", F.monotonically_increasing_id()), "triangles")
+
+    def spectrum(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for g, n, d, r in zip(f[group], f["n"], f["d"], f["r"], strict=True):
+                lam = np.linalg.svd(np.reshape(r, (-1, d)), compute_uv=False) ** 2
+                total = float(lam.sum())
+                p = lam / total if total > 0 else lam[:0]
+                p = p[p > 1e-12]
+                out.append((g, total, float(lam[-1]) if n <= len(lam) else 0.0, float(lam[0]), float(np.exp(-(p * np.log(p)).sum())) if len(p) else 0.0))
+            yield pd.DataFrame(out, columns=[group, "trace", "lambda_min", "lambda_max", "effective_rank"])
+
+    return level.mapInPandas(spectrum, f"`{group}` {kind}, trace double, lambda_min double, lambda_max double, effective_rank double")
 
 
 def _poisson(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:

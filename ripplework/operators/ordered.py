@@ -12,23 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ripplework.operators.core import require
+from ripplework.operators.core import RANGE_ROWS, ranges, require
 from ripplework.session import materialize
 
-#: Rows of a range on average.
-RANGE_ROWS = 1_000_000
-
-
-def ranges(df: DataFrame, *order: str, rows: int = RANGE_ROWS) -> DataFrame:
-    """The rows, written, with `__part`: ranges of the order of at most about `rows` rows, numbered in that order.
-
-    Only rows that are equal in all of `order` must share a range, so name columns that tell rows apart.
-    """
-    df = materialize(df, "unordered")
-    parts = max(1, -(-df.count() // rows))
-    return materialize(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id().cast("bigint")), "ranges")
-
-
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: tuple[str, ...] = (), tie: str | None = None, rows: int = RANGE_ROWS) -> DataFrame:
     """Left rows with `match`, the last right row (a struct) of the same `by` whose `on` is not later; null if none.
 

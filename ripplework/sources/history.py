@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from ripplework.operators.ordered import ranges
+from ripplework.operators.core import ranges
 from ripplework.session import materialize
 
 PAGE = 1000

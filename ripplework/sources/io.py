@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplework.session import materialize, shared_dir
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """JSON lines of a file, folder or glob, blank lines skipped (S02, S04); strict: a bad line fails the read.
@@ -89,6 +93,40 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
+def first_rows_streamed(spark: SparkSession, path: str, schema: str, n: int, files: int = 1, where: Column | None = None) -> tuple[DataFrame, int]:
+    """(the first n rows of a folder of Parquet files in the order in which they were written, files read).
+
+    A stream takes `files` files a micro-batch and is stopped once n rows that pass `where` stand, so what lies beyond is
+    never opened. Rows of a file keep its order.
+    """
+    out = f"{shared_dir(spark)}/ripplework/first-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    names = stream.columns
+    rows = stream.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    done, held, read = threading.Event(), [0], set()
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        if done.is_set():
+            return
+        batch = materialize(batch.withColumn("__epoch", F.lit(epoch)), "micro-batch")
+        read.update(r[0] for r in batch.select("__file").distinct().collect())  # at most `files`
+        kept = batch if where is None else batch.where(where)
+        kept.write.mode("append").parquet(out)
+        held[0] += kept.count()
+        if held[0] >= n:
+            done.set()
+
+    if n > 0:
+        query = rows.writeStream.foreachBatch(take).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        while query.isActive and not done.wait(0.1):
+            pass
+        query.stop() if done.is_set() else query.awaitTermination()
+    if not held[0]:
+        return spark.createDataFrame([], schema), len(read)
+    got = spark.read.schema(f"{schema}, __file string, __row bigint, __epoch int").parquet(out)
+    return got.orderBy("__epoch", "__file", "__row").limit(n).select(*names), len(read)
+
+
 class Registry:
     """Named datasets and their aliases; `limit` takes that many rows in the order of a seeded hash."""
 

@@ -1,6 +1,7 @@
 """Cases with hand-computed results."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -96,6 +97,41 @@ def test_bootstrap_brackets_mean(spark):
     assert b["lo"] < b["mean"] < b["hi"] and b["mean"] == pytest.approx(19, abs=1)
 
 
+@pytest.mark.parametrize("rows", [1, 5, 1_000_000])
+def test_prefix_sum_on_several_levels(spark, rows, monkeypatch):
+    """Ranges of ranges of ranges; a row a range."""
+    monkeypatch.setattr(O, "CELLS", 2)
+    rng = random.Random(rows)
+    table = [(i, rng.choice("ab"), rng.randrange(9)) for i in range(80)]
+    rng.shuffle(table)
+    got = {r["o"]: r["before"] for r in O.prefix_sum(spark.createDataFrame(table, "o int, g string, v int"), "o", "v", ("g",), rows).collect()}
+    assert got == {o: sum(v for p, h, v in table if h == g and p < o) for o, g, _ in table}
+
+
+def test_fold_in_blocks():
+    v, r, want = np.random.default_rng(1).normal(size=1000), 0.0, []
+    for x in v:
+        r = 0.9 * r + x
+        want.append(r)
+    for n in (0, 1, 127, 128, 129, 1000):
+        assert np.allclose(O._fold(v[:n], 0.9), want[:n], rtol=1e-12, atol=1e-12)
+    assert np.allclose(O._fold(v, 0.0), v)
+
+
+@pytest.mark.parametrize("d", [5, 64, 1024])
+def test_spectrum_of_wide_and_many_vectors(spark, d):
+    rng = np.random.default_rng(d)
+    groups = {"many": rng.normal(size=(3 * d if d < 1024 else 1100, d)) * np.linspace(1e-4, 1, d), "few": rng.normal(size=(3, d)), "zero": np.zeros((4, d)), "one": rng.normal(size=(1, d))}
+    df = spark.createDataFrame([(g, x.tolist()) for g, m in groups.items() for x in m] + [("few", None)], "g string, v array<double>").repartition(7)
+    got = {r["g"]: r for r in O.effective_rank(df, "g", "v", fan=2, rows=100).collect()}
+    assert set(got) == set(groups)
+    for g, m in groups.items():
+        lam = np.linalg.svd(m, compute_uv=False) ** 2
+        p = lam[lam > 1e-12 * lam.sum()] / lam.sum() if lam.sum() else lam[:0]
+        want = (lam.sum(), lam[-1] if len(m) <= d else 0.0, lam[0], np.exp(-(p * np.log(p)).sum()) if len(p) else 0.0)
+        assert tuple(got[g])[1:] == pytest.approx(want, rel=1e-8, abs=1e-12)
+
+
 def test_effective_rank(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0])], "g int, v array<double>")
     r = O.effective_rank(df, "g", "v").first()

@@ -81,7 +81,7 @@ def test_null_groups_and_gaps(spark):
     df = spark.createDataFrame([(None, 1, None), (None, 2, 4.0), (None, 3, None), (None, 4, None), (None, 5, 10.0), (None, 6, None), ("a", 1, None)], "s string, x long, y double")
     got = {(r["s"], r["x"]): r["y"] for r in O.interpolate(df, "s", "x", "y", cells=4).collect()}
     assert got == {(None, 1): 4.0, (None, 2): 4.0, (None, 3): 6.0, (None, 4): 8.0, (None, 5): 10.0, (None, 6): 10.0, ("a", 1): None}
-    n = O.prefix_sum(df.withColumn("one", F.lit(1).cast("bigint")), "x", "one", ("s",), buckets=3).collect()
+    n = O.prefix_sum(df.withColumn("one", F.lit(1).cast("bigint")), "x", "one", ("s",), rows=2).collect()
     assert sorted((r["s"] or "", r["x"], r["before"]) for r in n) == [("", i, i - 1) for i in range(1, 7)] + [("a", 1, 0)]
 
 
