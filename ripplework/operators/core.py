@@ -36,7 +36,7 @@ def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def join_equal_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+def join_equal_keys(a: DataFrame, b: DataFrame, key: str | list[str]) -> DataFrame:
     """1:1 join that raises if either side has a key the other lacks."""
     j = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), key, "full_outer")
     return require(j, F.col("__a").isNull() | F.col("__b").isNull(), "key sets differ").drop("__a", "__b")
@@ -143,6 +143,19 @@ def distribution(x: Column) -> list[Column]:
     return [F.avg(x).alias("mean"), *[F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))], F.max(x).alias("max")]
 
 
+def histogram(df: DataFrame, by: str, x: str, bins: int) -> DataFrame:
+    """(by, bin, n): equal-width bins from least to largest value of each group, the last one closed, empty ones with 0 (X11).
+
+    A group of one value has one bin; nulls are not counted, a group of nulls has no bins.
+    """
+    b = df.where(F.col(x).isNotNull()).groupBy(by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi")).withColumnRenamed(by, "__g")
+    place = F.least(F.floor((F.col(x) - F.col("__lo")) / ((F.col("__hi") - F.col("__lo")) / bins)), F.lit(bins - 1).cast("bigint"))
+    place = F.when(F.col("__hi") > F.col("__lo"), place).otherwise(F.lit(0).cast("bigint"))
+    n = df.where(F.col(x).isNotNull()).join(b, df[by].eqNullSafe(b["__g"])).groupBy(F.col(by).alias("__h"), place.alias("__b")).agg(F.count("*").alias("n"))
+    every = b.select(F.col("__g").alias(by), F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("__hi") > F.col("__lo"), F.lit(bins - 1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))).alias("bin"))
+    return every.join(n, every[by].eqNullSafe(n["__h"]) & (F.col("bin") == F.col("__b")), "left").select(by, "bin", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
 def floor_percentile(df: DataFrame, by: str, x: str, q: float, out: str) -> DataFrame:
     """(by, out): the value at place floor(q (n - 1)) of each sorted group, from counts of values."""
     c = df.where(F.col(x).isNotNull()).groupBy(by, x).agg(F.count("*").alias("__c"))
@@ -333,11 +346,19 @@ def top_support(counts: DataFrame, task: str, token: str, n: str, k: int) -> Dat
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def pack_chunks(docs: DataFrame, order: str, tokens: str, length: int, by: tuple[str, ...] = (), eos: str | None = None) -> DataFrame:
-    """(by, chunk_index, token_ids): documents' tokens joined by `eos`, cut every `length`; a shorter tail is dropped."""
+def pack_chunks(docs: DataFrame, order: str, tokens: str, length: int, by: tuple[str, ...] = (), eos: str | None = None, budget: int | None = None) -> DataFrame:
+    """(by, chunk_index, token_ids): documents' tokens joined by `eos`, cut every `length`; a shorter tail is dropped.
+
+    A budget of tokens for each group is cut down to whole chunks; rows beyond it are not cut at all.
+    """
     d = docs.withColumn("__tok", F.concat(tokens, F.array(F.lit(eos))) if eos is not None else F.col(tokens))
     d = prefix_sum(d.withColumn("__n", F.size("__tok").cast("bigint")), order, "__n", by, out="__at").where("__n > 0")
-    return _cut(d, by, length).where(F.size("token_ids") == length).select(*by, "chunk_index", "token_ids")
+    if budget is not None:
+        d = d.where(F.col("__at") < budget // length * length)
+    whole = F.size("token_ids") == length
+    if budget is not None:
+        whole = whole & (F.col("chunk_index") < budget // length)
+    return _cut(d, by, length).where(whole).select(*by, "chunk_index", "token_ids")
 
 
 def approximate_score(one: DataFrame, other: DataFrame, group: str, index: str, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ripplework.plans import inventory, ordered, positions, records, relational, storage, texts, vectors  # noqa: F401  they register their queries
+from ripplework.plans import checks, inventory, ordered, positions, records, relational, storage, texts, vectors  # noqa: F401  they register their queries
 from ripplework.plans.registry import QUERIES, SQL
 
 

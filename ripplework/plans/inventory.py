@@ -45,10 +45,10 @@ def channel_energy(spark, d):
 
 
 @query("""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)
-SELECT conv_id, turn, coalesce(list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = w[3] AND w[i + 2] = w[4])[1] + 2, -1)::INT AS after FROM t WHERE len(w) >= 4""")
+SELECT conv_id, turn, coalesce(list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = w[3] AND w[i + 2] = w[4])[1] + 2, -1)::INT AS after FROM t""")
 def subarray_position(spark, d):
     """Where the third and fourth word of a message first stand together."""
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w")).where(F.size("w") >= 4)
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
     return t.select("conv_id", "turn", T.subarray_end(F.col("w"), F.slice("w", 3, 2)).alias("after"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplework.functions import vector as V
 from ripplework.operators import core as O
+from ripplework.operators import sketches
 from ripplework.plans.registry import query
 from ripplework.session import materialize, table
 
@@ -98,7 +99,7 @@ def rolling_mad(spark, d):
 n AS (SELECT *, max(CASE WHEN y IS NOT NULL THEN i END) OVER (PARTITION BY series ORDER BY i ROWS UNBOUNDED PRECEDING) AS pi, min(CASE WHEN y IS NOT NULL THEN i END) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM i)
 SELECT n.series, n.x, round(coalesce(n.y, CASE WHEN ni > pi THEN p.y + (q.y - p.y) * (n.i - pi) / (ni - pi) END, p.y, q.y), 6) AS y FROM n LEFT JOIN i p ON p.series = n.series AND p.i = pi LEFT JOIN i q ON q.series = n.series AND q.i = ni""")
 def interpolated(spark, d):
-    """W06, F20."""
+    """W06."""
     x = series(spark, d).withColumn("y", F.when(F.col("x") % 5 != 0, F.col("y")))
     return O.interpolate(x, "series", "x", "y").select("series", "x", F.round("y", 6).alias("y"))
 
@@ -118,27 +119,24 @@ def threshold_crossing(spark, d):
     return c.select("series", "x", "cum", F.explode(t).alias("t")).groupBy("series", "t").agg(F.min_by("x", "cum").alias("x"))
 
 
-@query(f"WITH b AS (SELECT series, min(y) AS lo, max(y) AS hi FROM {_S} GROUP BY 1) SELECT series, bin, count(y) AS n FROM (SELECT series, y, least(floor((y - lo) / ((hi - lo) / 10)), 9)::BIGINT AS bin FROM {_S} JOIN b USING (series)) GROUP BY 1, 2")
+@query(f"WITH b AS (SELECT series, min(y) AS lo, max(y) AS hi FROM {_S} GROUP BY 1), g AS (SELECT series, lo, hi, unnest(range(0, CASE WHEN hi > lo THEN 200 ELSE 1 END)) AS bin FROM b) SELECT g.series, g.bin, count(v.y) AS n FROM g LEFT JOIN (SELECT series, y, CASE WHEN hi > lo THEN least(floor((y - lo) / ((hi - lo) / 200)), 199)::BIGINT ELSE 0 END AS bin FROM {_S} JOIN b USING (series)) v ON v.series = g.series AND v.bin = g.bin GROUP BY 1, 2")
 def histogram(spark, d):
-    """X11."""
-    x = series(spark, d)
-    b = x.groupBy("series").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    bin_ = F.least(F.floor((F.col("y") - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / 10, F.lit(0.0))), F.lit(9).cast("bigint"))
-    return x.join(b, "series").groupBy("series", F.coalesce(bin_, F.lit(0).cast("bigint")).alias("bin")).agg(F.count("y").alias("n"))
+    """X11: 200 bins, empty ones too."""
+    return O.histogram(series(spark, d), "series", "y", 200)
 
 
 @query(f"SELECT series, round(arg_min(y, x), 6) AS first, round(arg_max(y, x), 6) AS last, min(x) AS lo, max(x) AS hi, count(y) AS n FROM {_S} GROUP BY 1")
 def first_last(spark, d):
-    """A12, G12."""
+    """A12."""
     return series(spark, d).groupBy("series").agg(F.round(F.min_by("y", "x"), 6).alias("first"), F.round(F.max_by("y", "x"), 6).alias("last"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("y").alias("n"))
 
 
-@query("WITH p AS (SELECT user_id, event_type AS domain, avg(value) FILTER (event_id < 5000) AS b, avg(value) FILTER (event_id >= 5000) AS a FROM events GROUP BY 1, 2) SELECT domain, round(-avg(a - b), 6) AS f_avg, round(avg((a - b < -1)::INT), 6) AS f_ratio FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY domain")
+@query("WITH p AS (SELECT user_id, event_type AS domain, arg_min(value, event_id) AS b, arg_max(value, event_id) AS a FROM events GROUP BY 1, 2) SELECT domain, round(-avg(a - b), 6) AS f_avg, round(avg((a - b < -1)::INT), 6) AS f_ratio FROM p GROUP BY domain")
 def forgetting_scores(spark, d):
-    """J16, A18, V32."""
-    e = table(spark, d, "events")
-    side = lambda c, n: e.where(c).groupBy("user_id", F.col("event_type").alias("domain")).agg(F.avg("value").alias(n))
-    j = side("event_id < 5000", "b").join(side("event_id >= 5000", "a"), ["user_id", "domain"]).withColumn("delta", F.col("a") - F.col("b"))
+    """The first and the last value of each user and domain; a side that lacks an id raises."""
+    e = table(spark, d, "events").withColumn("domain", F.col("event_type"))
+    side = lambda f, n: e.groupBy("user_id", "domain").agg(f("value", "event_id").alias(n))
+    j = O.join_equal_keys(side(F.min_by, "b"), side(F.max_by, "a"), ["user_id", "domain"]).withColumn("delta", F.col("a") - F.col("b"))
     return j.groupBy("domain").agg(F.round(-F.avg("delta"), 6).alias("f_avg"), F.round(O.rate(F.col("delta") < -1), 6).alias("f_ratio"))
 
 
@@ -290,3 +288,13 @@ def json_components(spark, d):
     """Means of a path in JSON."""
     k = F.get_json_object("props", "$.k").try_cast("int")
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).cast("bigint").alias("k"), F.round(F.avg(k), 6).alias("mean"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, count(*) AS rows, count(DISTINCT event_id // 3) AS exact, true AS near, true AS median_near FROM events GROUP BY 1")
+def sketch_rollup(spark, d):
+    """Sketches stored by day and type, rolled up to days; distinct counts within 6 % and medians within 5 % of rank of exact ones."""
+    e = table(spark, d, "events").select(F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("day"), "event_type", F.expr("event_id div 3").alias("u"), "value")
+    up = sketches.rolled_up(materialize(sketches.sketched(e, ["day", "event_type"], "u", "value"), "sketches"), ["day"], (0.5,))
+    rank = F.avg((F.col("value") <= F.col("q50")).cast("double"))
+    exact = e.join(up.select("day", "q50"), "day").groupBy("day").agg(F.count_distinct("u").alias("exact"), rank.alias("rank"))
+    return up.join(exact, "day").select("day", "rows", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= 0.06 * F.col("exact") + 1).alias("near"), (F.abs(F.col("rank") - 0.5) <= 0.05).alias("median_near"))

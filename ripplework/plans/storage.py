@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
@@ -79,17 +80,14 @@ def manifest_guard(spark, d):
     return m.select("sha256", "bytes").crossJoin(F.broadcast(changed)).crossJoin(F.broadcast(lost)).withColumn("refused", F.lit(refused))  # one row each
 
 
-@query("SELECT lang, count(*) AS n, min(doc_id) AS least FROM documents WHERE lang <> 'fr' GROUP BY 1")
+@query("SELECT coalesce(lang, 'none') AS lang, count(*) AS n, min(doc_id) AS least FROM documents GROUP BY 1")
 def split_folders(spark, d):
-    """A dataset folder by split; a split reads its folder alone."""
+    """A dataset folder by split; a split reads its folder alone. The splits are those of the data."""
     path = _path(spark, "splits")
-    table(spark, d, "documents").select("doc_id", F.col("lang").alias("split")).write.partitionBy("split").parquet(path)
-    parts = {s: io.read_split(spark, path, s) for s in ("en", "de", "es")}
-    out = None
-    for s, x in parts.items():
-        got = x.agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).select(F.lit(s).alias("lang"), "n", "least")
-        out = got if out is None else out.union(got)
-    return out
+    table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("split")).write.partitionBy("split").parquet(path)
+    names = [r[0] for r in spark.read.parquet(path).select("split").distinct().collect()]  # a row for each folder
+    parts = [io.read_split(spark, path, s).agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).select(F.lit(s).alias("lang"), "n", "least") for s in names]
+    return reduce(lambda a, b: a.union(b), parts)
 
 
 @query("SELECT 'csv' AS source, count(*) AS n, round(avg(value), 6) AS mean, true AS all_failed FROM events")
@@ -113,6 +111,21 @@ def first_rows(spark, d):
     return io.first_rows(table(spark, d, "documents").select("doc_id"), "doc_id", 25)
 
 
+@query("SELECT event_id FROM events ORDER BY event_id LIMIT 250")
+def streamed_first_rows(spark, d):
+    """The first rows of a stream of files, which ends once they stand."""
+    path, e = _path(spark, "files"), table(spark, d, "events").select("event_id")
+    cuts = e.agg(F.percentile_approx("event_id", F.array(*[F.lit(q / 6) for q in range(1, 6)]))).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = e if low is None else e.where(F.col("event_id") > low)
+        part = part if high is None else part.where(F.col("event_id") <= high)
+        part.coalesce(1).sortWithinPartitions("event_id").write.mode("append").parquet(path)
+    got, files = io.first_rows_streamed(spark, path, "event_id bigint", 250)
+    if files > max(1, len(cuts)) and len(cuts) > 1 and e.count() > 1000:
+        raise RuntimeError("the stream did not stop early")
+    return got
+
+
 @query("SELECT 'chat' AS name, conv_id || ':' || turn AS key FROM (SELECT conv_id, turn FROM conversations ORDER BY md5('3:' || conv_id || ':' || turn), conv_id || ':' || turn LIMIT 12) UNION ALL SELECT 'docs', doc_id::VARCHAR FROM documents")
 def dataset_registry(spark, d):
     """Datasets by name and alias, one of them limited in the order of a seeded hash."""
@@ -123,15 +136,18 @@ def dataset_registry(spark, d):
     return chat.union(r.load("docs").select(F.lit("docs").alias("name"), "key"))
 
 
-@query("SELECT 'bio' AS domain, 2::BIGINT AS min_tokens, 'text' AS col, 0.5::DOUBLE AS share UNION ALL SELECT 'law', 7, 'text', 0.25 UNION ALL SELECT 'new', 9, NULL, NULL")
+@query("SELECT source AS domain, CASE WHEN count(*) FILTER (lang = 'fr') > 0 THEN max(n_chars) ELSE min(n_chars) END AS min_tokens, 'text' AS col, round(count(*) / (SELECT count(*) FROM documents WHERE source IS NOT NULL), 6) AS share FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def layered_specs(spark, d):
-    """Defaults with an override merged key by key, one level down."""
-    base = {"bio": {"min_tokens": 2, "col": "text", "share": 0.5}, "law": {"min_tokens": 3, "col": "text", "share": 0.25}}
-    path = _path(spark, "override")
-    spark.range(1).select(F.lit(json.dumps({"law": {"min_tokens": 7}, "new": {"min_tokens": 9}})).alias("value")).write.text(path)
-    spec = io.layered(base, json.loads(spark.read.text(path, wholetext=True).first()[0]))
-    rows = [spark.range(1).select(F.lit(k).alias("domain"), *[F.lit(v.get(c)).cast(t).alias(c) for c, t in (("min_tokens", "bigint"), ("col", "string"), ("share", "double"))]) for k, v in spec.items()]
-    return rows[0].union(rows[1]).union(rows[2])
+    """A spec for each source from the table, with an override for sources that have French, merged key by key."""
+    x = table(spark, d, "documents").where("source is not null")
+    share = F.round(F.count("*") / F.lit(x.count()), 6)
+    told = x.groupBy("source").agg(F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), share.alias("share"), F.count_if(F.col("lang") == "fr").alias("french"))
+    base, over = _path(spark, "specs"), _path(spark, "override")
+    line = lambda *c: F.to_json(F.struct(F.col("source").alias("domain"), F.struct(*c).alias("spec"))).alias("value")
+    told.select(line(F.col("low").alias("min_tokens"), F.lit("text").alias("col"), "share")).write.text(base)
+    told.where("french > 0").select(line(F.col("high").alias("min_tokens"))).write.text(over)
+    specs = [{v["domain"]: v["spec"] for v in (json.loads(r[0]) for r in spark.read.text(p).collect())} for p in (base, over)]  # a row for each source
+    return spark.createDataFrame([(k, v["min_tokens"], v["col"], v["share"]) for k, v in io.layered(*specs).items()], "domain string, min_tokens bigint, col string, share double")
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars >= 100 AND lang IN ('en', 'de') AND source IS NOT NULL")
@@ -161,8 +177,8 @@ def key_value_files(spark, d):
     """KEY=VALUE lines, split at the first sign; other lines are left out."""
     path = _path(spark, "commands")
     lines = F.concat(F.lit("NAME="), "r_name", F.lit("\nno sign here\nKEY="), F.col("r_regionkey").cast("string"), F.lit("\nODD=a=b"))
-    for r in range(5):  # a file for each of the five regions
-        _texts(table(spark, d, "region").where(F.col("r_regionkey") == r), f"{path}/{r}", lines.alias("value"))
+    files = table(spark, d, "region").select(F.col("r_regionkey").alias("of"), lines.alias("value"))
+    files.repartition("of").write.partitionBy("of").text(path)  # a file for each region
     v = io.key_values(spark, f"{path}/*")
     at = lambda k: F.col("values")[k]
     return v.select(at("NAME").alias("name"), at("KEY").alias("key"), at("ODD").alias("odd"), F.size("values").alias("entries"))

@@ -338,7 +338,7 @@ def prompt_completion(spark, d):
 
 @query("SELECT conv_id, CASE WHEN r <= 20 THEN 'probe' ELSE 'train' END AS part FROM (SELECT conv_id, row_number() OVER (ORDER BY md5('3:' || conv_id), conv_id) AS r FROM (SELECT DISTINCT conv_id FROM conversations))")
 def subset_split(spark, d):
-    """T06, T08, U06."""
+    """T06."""
     ids = table(spark, d, "conversations").select("conv_id").distinct()
     probe = O.shuffle_take(ids, "conv_id", 20, 3).withColumn("part", F.lit("probe"))
     return ids.join(probe, "conv_id", "left").select("conv_id", F.coalesce("part", F.lit("train")).alias("part"))
