@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ripplework.functions import text as T
 from ripplework.operators.core import prefix_sum, require
 
 
@@ -77,3 +81,61 @@ def attempted(df: DataFrame, attempt: Column, out: str, why: str) -> tuple[DataF
     """
     tried = df.withColumn(out, attempt)
     return tried.where(F.col(out).isNotNull()), tried.where(F.col(out).isNull()).drop(out).withColumn("__why", F.lit(why))
+
+
+#: The language each task is converted to, and what its records are then called.
+CONVERSIONS = {"mbpp": ("English", "unchanged"), "gsm8k": ("Chinese", "translated"), "dolly_qa": ("French", "translated")}
+_ANNOTATION = r"<<[^>]+>>"
+
+
+def converted(records: DataFrame, done: DataFrame | None = None, translator=None) -> DataFrame:
+    """(example_id, task, target_language, translation_status, messages) of records (example_id, task, messages).
+
+    The task tells the language; an unknown task raises. Records whose id is in `done` are passed over, so a run that broke
+    off goes on where it stopped. `translator` takes batches (texts, languages); without one texts stay as they are. Each
+    message is translated on its own and messages come back in their order; unchanged tasks do not reach the translator.
+    """
+    rows = records.select("example_id", "task", "messages")
+    if done is not None:
+        rows = rows.join(done.select("example_id").distinct(), "example_id", "left_anti")
+    known = reduce(lambda c, t: c.when(F.col("task") == t, F.struct(*[F.lit(v).alias(n) for v, n in zip(CONVERSIONS[t], ("language", "status"), strict=True)])), CONVERSIONS, F)
+    rows = require(rows.withColumn("__to", known), F.col("__to").isNull(), "unsupported task")
+    rows = rows.withColumns({"target_language": F.col("__to.language"), "translation_status": F.col("__to.status")}).drop("__to")
+    if translator is not None:
+        own = F.col("translation_status") == "translated"
+        each = rows.where(own).select("example_id", "task", "target_language", "translation_status", F.posexplode_outer("messages").alias("__i", "__m"))
+        each = each.withColumn("__t", F.pandas_udf(translator, StringType())(F.col("__m.content"), F.col("target_language")))
+        message = F.struct(F.col("__m.role").alias("role"), F.col("__t").alias("content"))
+        some = F.sort_array(F.collect_list(F.when(F.col("__i").isNotNull(), F.struct("__i", message.alias("m")))))  # the messages of one record
+        back = each.groupBy("example_id", "task", "target_language", "translation_status").agg(some.alias("__s"))
+        back = back.select("example_id", "task", "target_language", "translation_status", F.col("__s.m").cast(records.schema["messages"].dataType).alias("messages"))
+        rows = rows.where(~own).select(*back.columns).union(back)
+    return rows.select("example_id", "task", "target_language", "translation_status", "messages")
+
+
+def record_errors(source: DataFrame, output: DataFrame) -> DataFrame:
+    """(example_id, errors) of every record on either side, an array that is empty if all is well.
+
+    Records are (example_id, task, messages). Missing ids and another number of messages end the list; otherwise every
+    message must keep its role and not be blank, tasks called unchanged must be equal, and gsm8k must keep its numbers,
+    `<<...>>` annotations and final answer.
+    """
+    s = source.select("example_id", F.col("task").alias("__task"), F.col("messages").alias("__was"))
+    j = s.join(output.select("example_id", F.col("messages").alias("__is"), F.lit(True).alias("__out")), "example_id", "full")
+    unchanged = F.col("__task").isin([t for t, (_, status) in CONVERSIONS.items() if status == "unchanged"])
+    text = lambda m: F.coalesce(m["content"], F.lit(""))
+    notes = lambda m: F.regexp_extract_all(text(m), F.lit(_ANNOTATION), F.lit(0))
+    differs = lambda f: F.exists(F.arrays_zip("__was", "__is"), lambda z: ~f(z["__was"]).eqNullSafe(f(z["__is"])))
+    maths = F.col("__task") == "gsm8k"
+    said = {
+        "empty message": F.exists("__is", lambda m: F.trim(text(m)) == ""),
+        "role changed": differs(lambda m: m["role"]),
+        "messages changed": unchanged & ~F.col("__was").eqNullSafe(F.col("__is")),
+        "numbers changed": maths & differs(lambda m: T.numbers(text(m))),
+        "annotations changed": maths & differs(notes),
+        "answer changed": maths & differs(lambda m: T.gold_number(text(m))),
+    }
+    inside = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in said.items()]))
+    none = F.array(F.lit("missing source")), F.array(F.lit("missing output")), F.array(F.lit("message count changed"))
+    errors = F.when(F.col("__task").isNull(), none[0]).when(F.col("__out").isNull(), none[1]).when(~F.size("__was").eqNullSafe(F.size("__is")), none[2]).otherwise(inside)
+    return j.select("example_id", errors.alias("errors"))

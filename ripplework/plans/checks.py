@@ -75,3 +75,35 @@ def pack_budget(spark, d):
     x = table(spark, d, "documents").select("doc_id", "lang", tokens().alias("tok"))
     p = O.pack_chunks(x, "doc_id", "tok", 256, ("lang",), "<eos>", budget=10_000)
     return p.select("lang", "chunk_index", F.md5(F.array_join("token_ids", " ")).alias("h"))
+
+
+def _records(spark, d):
+    """Conversations as records of three tasks, with numbers, an annotation and an answer at the end of each message."""
+    c = table(spark, d, "conversations").where("text is not null")
+    body = F.concat("text", F.lit(" 1,200 and 3.50 <<2+3=5>> #### "), F.col("turn").cast("string"))
+    some = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.struct(F.col("role"), body.alias("content")).alias("m")))), lambda x: x["m"])  # one conversation
+    task = F.element_at(F.array(*map(F.lit, checks.CONVERSIONS)), (F.col("conv_id") % 3 + 1).cast("int"))
+    return c.groupBy("conv_id").agg(some.alias("messages")).select(F.col("conv_id").cast("string").alias("example_id"), task.alias("task"), "messages")
+
+
+@query("""SELECT ['English', 'Chinese', 'French'][conv_id % 3 + 1] AS target_language, CASE WHEN conv_id % 3 = 0 THEN 'unchanged' ELSE 'translated' END AS translation_status, count(DISTINCT conv_id) AS records, count(*) AS messages
+FROM conversations WHERE text IS NOT NULL AND conv_id % 5 <> 0 GROUP BY 1, 2""")
+def converted_records(spark, d):
+    """Records by task in its language, those done before passed over."""
+    r = _records(spark, d)
+    done = r.where(F.col("example_id").cast("bigint") % 5 == 0)
+    return checks.converted(r, done).groupBy("target_language", "translation_status").agg(F.count("*").alias("records"), F.sum(F.size("messages")).alias("messages"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1)
+SELECT conv_id::VARCHAR AS example_id, CASE WHEN conv_id % 7 = 0 THEN 'missing output' WHEN conv_id % 7 = 1 THEN 'message count changed' WHEN conv_id % 7 = 2 THEN 'role changed' || CASE WHEN conv_id % 3 = 0 THEN ',messages changed' ELSE '' END
+  WHEN conv_id % 7 = 3 AND conv_id % 3 = 0 THEN 'messages changed' WHEN conv_id % 7 = 3 AND conv_id % 3 = 1 THEN 'numbers changed' ELSE '' END AS errors FROM c""")
+def record_errors(spark, d):
+    """Converted records against their sources, with faults of each kind put in."""
+    r, n = _records(spark, d), F.col("example_id").cast("bigint") % 7
+    made = checks.converted(r).where(n != 0)
+    role = F.transform("messages", lambda m: F.struct(F.lit("other").alias("role"), m["content"].alias("content")))
+    number = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.regexp_replace(m["content"], "1,200 and", "1,300 and").alias("content")))
+    one_less = F.slice("messages", 1, F.size("messages") - 1)
+    made = made.withColumn("messages", F.when(n == 1, one_less).when(n == 2, role).when(n == 3, number).otherwise(F.col("messages")))
+    return checks.record_errors(r, made).select("example_id", F.array_join("errors", ",").alias("errors"))

@@ -372,7 +372,7 @@ def shard_interleave(spark, d):
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'role,numbers' WHEN turn % 5 = 3 THEN 'numbers' ELSE '' END AS errors FROM conversations")
 def translated_records(spark, d):
-    """A passthrough translation and one with faults; roles and numbers must survive."""
+    """A passthrough translation and one with faults; roles and numbers must survive."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.lower("role").alias("role"), F.concat(F.lit("Take 1,200 and 3.50, turn "), "turn").alias("text"))
     t = c.withColumn("new_text", F.when(F.col("turn") % 5 >= 3, F.regexp_replace("text", "3.50", "4")).otherwise(F.col("text"))).withColumn("new_role", F.when(F.col("turn") % 5 == 4, "other").otherwise(F.col("role")))
     bad = F.array(F.when(F.col("role") != F.col("new_role"), "role"), F.when(T.numbers(F.col("text")) != T.numbers(F.col("new_text")), "numbers"))

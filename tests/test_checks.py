@@ -45,3 +45,24 @@ def test_held_out_and_bins(spark):
     assert got == [("a", 1, "held"), ("a", 3, "held"), ("a", 5, "train"), ("a", 7, "train"), ("a", 9, "train"), ("b", 1, "held")]
     h = O.histogram(spark.createDataFrame([("a", 0.0), ("a", 10.0), ("a", 9.9), ("a", None), ("b", 3.0), ("b", 3.0), ("c", None)], "g string, x double"), "g", "x", 5)
     assert sorted(map(tuple, h.collect())) == [("a", 0, 1), ("a", 1, 0), ("a", 2, 0), ("a", 3, 0), ("a", 4, 2), ("b", 0, 2)]
+
+
+def test_conversion_resumes_and_keeps_what_it_must(spark):
+    """Chinese for the mathematics, French for answers, code as it is; done records are passed over."""
+    kind = "example_id string, task string, messages array<struct<role:string,content:string>>"
+    talk = lambda *c: [("user" if i % 2 == 0 else "assistant", x) for i, x in enumerate(c)]
+    rows = [("1", "mbpp", talk("code", "x = 1")), ("2", "gsm8k", talk("2 and 3?", "<<2+3=5>> #### 5")), ("3", "dolly_qa", talk("why", "so", "and")), ("4", "gsm8k", talk("old"))]
+    df, done = spark.createDataFrame(rows, kind), spark.createDataFrame([("4",)], "example_id string")
+
+    def mark(texts, languages):
+        return languages.str[:2] + ":" + texts
+
+    got = {r["example_id"]: (r["target_language"], r["translation_status"], [m["content"] for m in r["messages"]], [m["role"] for m in r["messages"]]) for r in checks.converted(df, done, mark).collect()}
+    assert got == {"1": ("English", "unchanged", ["code", "x = 1"], ["user", "assistant"]), "2": ("Chinese", "translated", ["Ch:2 and 3?", "Ch:<<2+3=5>> #### 5"], ["user", "assistant"]), "3": ("French", "translated", ["Fr:why", "Fr:so", "Fr:and"], ["user", "assistant", "user"])}
+    with pytest.raises(Exception, match="unsupported task"):
+        checks.converted(spark.createDataFrame([("1", "other", talk("x"))], kind)).collect()
+    bad = [("1", "mbpp", talk("code", "x = 2")), ("2", "gsm8k", [("user", "2 and 4?"), ("user", "<<2+3=6>> #### 6")]), ("3", "dolly_qa", talk("pourquoi", " ", "et")), ("9", "mbpp", talk("new"))]
+    errors = {r["example_id"]: r["errors"] for r in checks.record_errors(df, spark.createDataFrame(bad, kind)).collect()}
+    assert errors == {"1": ["messages changed"], "2": ["role changed", "numbers changed", "annotations changed", "answer changed"], "3": ["empty message"], "4": ["missing output"], "9": ["missing source"]}
+    short = checks.record_errors(df, df.withColumn("messages", F.slice("messages", 1, 1))).collect()
+    assert {r["example_id"]: r["errors"] for r in short} == {"1": ["message count changed"], "2": ["message count changed"], "3": ["message count changed"], "4": []}
