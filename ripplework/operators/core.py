@@ -52,16 +52,22 @@ def first_wins(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), pos).alias("__r")).select("__r.*")
 
 
-def cross_pairs(left: DataFrame, right: DataFrame, rows: int = 20_000) -> DataFrame:
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: eight for a number, and what arrays and texts hold."""
+    of = lambda c, kind: 16 + 8 * F.coalesce(F.size(c), F.lit(0)) if kind.startswith("array") else 16 + F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8 if not kind.startswith(("struct", "map")) else 64)
+    return reduce(lambda x, y: x + y, [of(F.col(f"`{c}`"), kind) for c, kind in df.dtypes])
+
+
+def cross_pairs(left: DataFrame, right: DataFrame, rows: int = 20_000, most_bytes: int = 64 << 20) -> DataFrame:
     """Every row of a stated query set against every candidate.
 
-    The query set is counted: up to `rows` it is broadcast, beyond that it is dealt into blocks of about that size, and a
-    candidate goes to every block.
+    The query set is counted and measured: up to `rows` rows and `most_bytes` it is broadcast, beyond that it is dealt into
+    blocks of about that size, and a candidate goes to every block.
     """
-    n = left.count()
-    if n <= rows:
+    got = left.agg(F.count("*").alias("n"), F.sum(_row_bytes(left)).alias("b")).first()
+    blocks = max(-(-got["n"] // rows), -(-int(got["b"] or 0) // most_bytes))
+    if blocks <= 1:
         return right.crossJoin(F.broadcast(left))
-    blocks = -(-n // rows)
     q = left.withColumn("__block", F.pmod(F.xxhash64(*left.columns), F.lit(blocks)).cast("int"))
     c = right.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return c.join(q, "__block").drop("__block")

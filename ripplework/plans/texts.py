@@ -9,7 +9,7 @@ from ripplework.functions import text as T
 from ripplework.operators import core as O
 from ripplework.operators import nested
 from ripplework.plans.registry import query
-from ripplework.session import table
+from ripplework.session import materialize, table
 
 DUCK_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 DUCK_PRINT = r"sha1(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))"
@@ -262,7 +262,7 @@ _TRIAL = f"(SELECT k + 1 AS k, fmt AS fmt2, canonical AS canonical2, relaxed AS
 @query(f"SELECT fmt || ' -> ' || fmt2 AS change, count(*) AS n, count(*) FILTER (canonical AND NOT canonical2) AS lost_canonical, count(*) FILTER (relaxed AND NOT relaxed2) AS lost_answer FROM {_RUN} JOIN {_TRIAL} USING (k) GROUP BY 1")
 def format_transitions(spark, d):
     """A02, J01."""
-    a = run_of(spark, d)
+    a = materialize(run_of(spark, d), "run")  # read four times
     b = a.select((F.col("k") + 1).alias("k"), F.col("fmt").alias("fmt2"), F.col("canonical").alias("canonical2"), F.col("relaxed").alias("relaxed2"))
     both = a.join(b.select("k"), "k", "left_semi")
     j = O.join_equal_keys(both, b.join(a.select("k"), "k", "left_semi"), "k")

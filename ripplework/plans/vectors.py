@@ -101,13 +101,40 @@ def hh_centered(spark, d):
 
 @query(f"SELECT a.i AS a, b.i AS b, round(max(list_dot_product(a.h, b.h)) FILTER (l = 7) * max(list_dot_product(a.h, b.h)) FILTER (l = 0), 6) AS ch1, round(sum(list_dot_product(a.h, b.h)) FILTER (l > 0 AND l < 7) * max(list_dot_product(a.h, b.h)) FILTER (l = 0), 6) AS ch2 FROM {_LAYERS} a JOIN {_LAYERS} b USING (l) WHERE a.i % 20 = 0 AND a.i <> b.i GROUP BY 1, 2")
 def ch1_ch2_pairs(spark, d):
-    """Layer 0 stands for the force, layer 7 for the last hidden state, the others for the streams between."""
+    """Layer 0 stands for the force, layer 7 for the last hidden state, the others for the streams between."""
     p = layer_pairs(spark, d).groupBy(F.col("a_i").alias("a"), F.col("b_i").alias("b"))
     at = lambda k: F.max(F.when(F.col("l") == k, F.col("dot")))
     mid = F.sum(F.when((F.col("l") > 0) & (F.col("l") < 7), F.col("dot")))
     return p.agg(F.round(at(7) * at(0), 6).alias("ch1"), F.round(mid * at(0), 6).alias("ch2"))
 
 
+_STREAMS = f"""WITH s AS (SELECT vec_id AS i, l, e[l * 8 + 1 : l * 8 + 8] AS h FROM {_E}, (SELECT unnest(range(0, 8)) AS l)),
+n AS (SELECT *, sqrt(list_dot_product(h, h) / 8 + 1e-6) AS r FROM s),
+v AS (SELECT i, l, h, [h[1] / r, h[2] / r, h[3] / r, h[4] / r, h[5] / r, h[6] / r, h[7] / r, h[8] / r] AS u FROM n),
+g AS (SELECT i, [sum(u[1]), sum(u[2]), sum(u[3]), sum(u[4]), sum(u[5]), sum(u[6]), sum(u[7]), sum(u[8])] AS t FROM v WHERE l BETWEEN 1 AND 6 GROUP BY 1),
+p AS (SELECT a.i AS a, b.i AS b, max(list_dot_product(a.h, b.h)) FILTER (a.l = 0) AS z, sum(list_dot_product(a.u, b.u)) FILTER (a.l BETWEEN 1 AND 6) AS every, sum(list_dot_product(a.u, b.u)) FILTER (a.l IN (1, 3, 5)) AS one, sum(list_dot_product(a.h, b.h)) FILTER (a.l BETWEEN 1 AND 6) AS raw FROM v a JOIN v b USING (l) WHERE a.i % 20 = 0 AND a.i <> b.i GROUP BY 1, 2)"""
+
+
+@query(_STREAMS + " SELECT a, b, round(z * every, 5) AS ch2, round(z, 5) AS gwwg, round(z * one, 5) AS singleh, round(z * raw, 5) AS wo_rms, round(z * list_dot_product(x.t, y.t), 5) AS aggh FROM p JOIN g x ON x.i = a JOIN g y ON y.i = b")
+def ch2_variants(spark, d):
+    """The alignment of the read-out (layer 0 stands for it) times the overlap of streams, in its five forms: all streams after
+    RMS normalisation, none, the odd ones alone (attention), all as they are, and the streams summed first.
+
+    Each form is one vector a record, made before the pairs are.
+    """
+    e = table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("e"))
+    stream = lambda k: F.slice("e", 8 * k + 1, 8)
+    whole = lambda of: F.flatten(F.array(*of))
+    rms = {k: V.rms_norm(stream(k), 1e-6) for k in range(1, 7)}
+    added = F.array(*[sum((F.get(rms[k], F.lit(j)) for k in range(2, 7)), F.get(rms[1], F.lit(j))) for j in range(8)])
+    x = e.select(F.col("vec_id").alias("i"), stream(0).alias("z"), whole(rms.values()).alias("every"), whole(rms[k] for k in (1, 3, 5)).alias("one"), F.slice("e", 9, 48).alias("raw"), added.alias("agg"))
+    p = O.cross_pairs(O.prefixed(x.where("i % 20 = 0"), "a_"), O.prefixed(x, "b_")).where("a_i <> b_i")
+    dot = lambda c, width: V.dot_wide(F.col("a_" + c), F.col("b_" + c), width)
+    z = dot("z", 8)
+    forms = {"ch2": z * dot("every", 48), "gwwg": z, "singleh": z * dot("one", 24), "wo_rms": z * dot("raw", 48), "aggh": z * dot("agg", 8)}
+    return p.select(F.col("a_i").alias("a"), F.col("b_i").alias("b"), *[F.round(c, 5).alias(n) for n, c in forms.items()])
+
+
 @query(f"SELECT la AS subject, count(*) AS pairs, round(avg(m), 6) AS mean, round(coalesce(stddev_samp(m), 0), 6) AS std, round(coalesce(stddev_samp(m), 0) / sqrt(count(*)), 6) AS stderr FROM (SELECT la, a, avg(dot) AS m FROM {_PAIRS} GROUP BY 1, 2) GROUP BY 1")
 def seq_score_subject(spark, d):
     """A08, X09."""
