@@ -580,8 +580,3 @@ def _beta_p(r: float, n: float) -> float | None:
         return h
 
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
-
-
-def shards(docs: DataFrame, order: str, n_tokens: str, budget: int) -> DataFrame:
-    """Adds `shard`: rows go to shard floor(tokens before / budget)."""
-    return prefix_sum(docs, order, n_tokens, out="__b").withColumn("shard", F.floor(F.col("__b") / budget)).drop("__b")

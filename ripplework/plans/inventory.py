@@ -44,10 +44,10 @@ def channel_energy(spark, d):
     return e.select("vec_id", *[F.round(V.dot(h, h), 6).alias(c) for c, h in half.items()])
 
 
-@query("""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)
-SELECT conv_id, turn, coalesce(list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = w[3] AND w[i + 2] = w[4])[1] + 2, -1)::INT AS after FROM t""")
+@query("""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w, string_split(text, ' ')[3:4] AS n FROM conversations)
+SELECT conv_id, turn, coalesce(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(n)] = n)[1] + len(n), -1)::INT AS after FROM t""")
 def subarray_position(spark, d):
-    """Where the third and fourth word of a message first stand together."""
+    """Where the third and fourth word of a message first stand together (the third alone if there is no fourth)."""
     t = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
     return t.select("conv_id", "turn", T.subarray_end(F.col("w"), F.slice("w", 3, 2)).alias("after"))
 
