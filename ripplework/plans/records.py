@@ -208,7 +208,7 @@ def target_counts(spark, d):
     return x.select("label", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
 
 
-@query("SELECT r_regionkey AS region, 5::BIGINT AS n FROM region")
+@query("SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
 def sized_groups(spark, d):
     """Every region has five nations, or the query fails."""
     return R.sized_groups(table(spark, d, "nation").select(F.col("n_regionkey").alias("region")), "region", 5)
