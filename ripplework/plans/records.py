@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ripplework.functions import text as T
+from ripplework.functions import vector as V
 from ripplework.operators import core as O
 from ripplework.operators import records as R
 from ripplework.plans.registry import query
@@ -291,8 +292,8 @@ SELECT user_id, round(sum(s) / sum(n), 10) AS mean, sum(n)::BIGINT AS n, string_
 def domain_accumulator(spark, d):
     """An update's mean and its means by domain."""
     x = R.domain_accumulator(table(spark, d, "events"), "user_id", "event_type", "value")
-    by = F.transform(F.map_entries("by_domain"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 3).cast("decimal(18,3)").cast("string")))
-    return x.select("user_id", F.round("mean", 10).alias("mean"), "n", F.array_join(by, ",").alias("domains"))
+    by = F.transform(F.map_entries("by_domain"), lambda e: F.concat(e["key"], F.lit("="), V.rounded(e["value"], 3).cast("decimal(18,3)").cast("string")))
+    return x.select("user_id", V.rounded(F.col("mean"), 10).alias("mean"), "n", F.array_join(by, ",").alias("domains"))
 
 
 @query("SELECT i, j, directed, count(*) AS n FROM (SELECT a.r_regionkey AS i, b.r_regionkey AS j, false AS directed FROM region a JOIN region b ON a.r_regionkey <= b.r_regionkey UNION ALL SELECT a.r_regionkey, b.r_regionkey, true FROM region a JOIN region b ON a.r_regionkey <> b.r_regionkey UNION ALL SELECT a.r_regionkey, b.r_regionkey, true FROM region a CROSS JOIN region b) GROUP BY ALL")

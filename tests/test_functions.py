@@ -165,3 +165,17 @@ def test_bootstrap_line(spark):
     power = spark.createDataFrame([("g", i, float(i), 5.0 * i**1.5) for i in range(1, 50)] + [("g", 0, 0.0, 0.0)], "g string, k bigint, x double, y double")
     (r,) = O.bootstrap_line(power, "g", "k", "x", "y", [4.0], log=True).collect()
     assert abs(r["fit"] - 40) < 1e-9 and abs(r["lo"] - 40) < 1e-9
+
+
+def test_rounded_as_twins_do(spark):
+    """Quotients a bit off a half: 37.5915 scaled is 37591.5, though the double lies below it; 64.9425 lies above, its product below."""
+    import duckdb
+
+    rng = random.Random(4)
+    xs = [x / n for n in (2, 4, 8, 10, 20, 40, 64, 128) for x in (rng.randrange(-(10**6), 10**6) / 100 for _ in range(200))]
+    xs += [0.3046875, 39 / 128, -37.5915, 0.0, -0.0005]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(V.rounded(F.col("x"), 3)).collect()]
+    want = [r[0] for r in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 3)", [xs]).fetchall()]
+    assert got == want
+    by_digits = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(F.round("x", 3)).collect()]
+    assert by_digits != want
