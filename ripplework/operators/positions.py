@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplework.functions import vector as V
-from ripplework.operators.core import cross_pairs, prefixed
+from ripplework.operators import tiles
 
 #: Fixed value: the label of a position that is not scored.
 IGNORED = -100
@@ -109,16 +109,12 @@ def vocabulary(*frames: DataFrame, tokens: str = "tok") -> DataFrame:
 
 
 def observation_baselines(updates: DataFrame, observations: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    """(key, dot/cosine/centred mean, sum, max) of each observation over all update tokens."""
-
-    def side(df: DataFrame, p: str, *keep: str) -> DataFrame:
-        v = V.doubles(F.col(vector))
-        return prefixed(df.select(*keep, v.alias("v"), V.centred(v).alias("c")).withColumn("n", V.norm(F.col("v"))).withColumn("cn", V.norm(F.col("c"))), p)
-
-    p = cross_pairs(side(updates, "u_"), side(observations, "o_", key))
-    dot = V.dot_wide(F.col("u_v"), F.col("o_v"), width)
-    p = p.select(F.col("o_" + key).alias(key), dot.alias("dot"), V.cosine_of(dot, F.col("u_n"), F.col("o_n")).alias("cosine"), V.cosine_of(V.dot_wide(F.col("u_c"), F.col("o_c"), width), F.col("u_cn"), F.col("o_cn")).alias("centred"))
-    return p.groupBy(key).agg(*[f(c).alias(f"{c}_{n}") for c in ("dot", "cosine", "centred") for f, n in ((F.avg, "mean"), (F.sum, "sum"), (F.max, "max"))])
+    """(key, dot/cosine/centred mean, sum, max) of each observation over all update tokens, by tiles (V06); keys are whole numbers."""
+    side = lambda df: tiles.records(df, key, F.concat(V.doubles(F.col(vector)), V.centred(F.col(vector))), 2 * width)
+    parts = tiles.baselines(side(updates), side(observations), width).groupBy(F.col("id").alias(key))
+    sums = parts.agg(*[f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("dot", "cosine", "centred") for f, n in ((F.sum, "n"), (F.sum, "s"), (F.max, "m"))])
+    total = lambda c: F.when(F.col(c + "_n") > 0, F.col(c + "_s"))
+    return sums.select(key, *[x.alias(f"{c}_{n}") for c in ("dot", "cosine", "centred") for x, n in ((total(c) / F.col(c + "_n"), "mean"), (total(c), "sum"), (F.col(c + "_m"), "max"))])
 
 
 def pooled(df: DataFrame, sequence: str, pos: str, mask: str, vector: str, how: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ripplework.functions import vector as V
 from ripplework.operators import core as O
 from ripplework.plans.registry import query
 from ripplework.plans.relational import _L, pair_layers
-from ripplework.plans.vectors import _E, _SCORES, scores
+from ripplework.plans.vectors import _E, _SCORES, nearest
 from ripplework.session import shared_dir, table
 from ripplework.sources import io
 
@@ -105,7 +105,7 @@ def linear_factors(spark, d):
 SELECT q, c AS memory, md5('Example: ' || m.text || chr(10) || 'Question: ' || n.text) AS prompt FROM t JOIN documents m ON m.doc_id = c JOIN documents n ON n.doc_id = q""")
 def memory_prompt(spark, d):
     """The best candidate of each query becomes the example of its prompt."""
-    best = O.top_k(scores(spark, d), "q", "s", "c", 1).select("q", F.col("c").alias("memory"))
+    best = nearest(spark, d, "s", 1).select("q", F.col("c").alias("memory"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     j = best.join(docs.toDF("memory", "m"), "memory").join(docs.toDF("q", "n"), "q")
     return j.select("q", "memory", F.md5(F.concat(F.lit("Example: "), "m", F.lit("\nQuestion: "), "n")).alias("prompt"))
@@ -115,7 +115,7 @@ def memory_prompt(spark, d):
 SELECT count(*) AS n, round(avg((ql = cl)::INT), 6) AS accuracy, round(avg((q % 3 = c % 3)::INT), 6) AS same_source, round(avg((ql = cl)::INT) FILTER (q % 3 = c % 3), 6) AS accuracy_same, round(avg((ql = cl)::INT) FILTER (q % 3 <> c % 3), 6) AS accuracy_other FROM t""")
 def memory_summary(spark, d):
     """The example's label is the answer; how many match, by whether query and example share a source (id mod 3)."""
-    best = O.top_k(scores(spark, d), "q", "s", "c", 1)
+    best = nearest(spark, d, "s", 1)
     reply, gold = F.concat(F.lit("so #### "), F.col("cl")), F.concat(F.col("ql"), F.lit(".0"))
     right = T.same_answer(T.numeric_answer(reply, True), gold).cast("double")
     same = F.col("q") % 3 == F.col("c") % 3
