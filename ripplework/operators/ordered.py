@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ripplework.operators.core import RANGE_ROWS, ranges, require
+from ripplework.operators.core import RANGE_ROWS, prefix_sum, ranges, require
 from ripplework.session import materialize
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: tuple[str, ...] = (), tie: str | None = None, rows: int = RANGE_ROWS) -> DataFrame:
@@ -59,6 +59,26 @@ def interval_join(left: DataFrame, right: DataFrame, at: str, low: str, high: st
     return j.where((F.col(f"match.{low}") <= F.col(at)) & (F.col(at) <= F.col(f"match.{high}"))).select(*left.columns, "match")
 
 
+def interval_sums(points: DataFrame, spans: DataFrame, at: str, value: str, low: str, high: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """Spans with `n` and `total`, the number and sum of the points with low <= at <= high, for whole-number places.
+
+    Running sums over the distinct places are looked up at both ends, so the work grows with points and spans, not with the
+    pairs of them. Sums are of decimals, so they keep six
+    places however long the order. Spans without a point and with nulls do not come out.
+    """
+    exact = F.coalesce(F.sum(F.col(value).cast("decimal(28,10)")), F.lit(0).cast("decimal(28,10)")).cast("decimal(28,10)")
+    own = points.where(F.col(at).isNotNull()).groupBy(F.col(at).cast("bigint").alias("__at")).agg(F.count("*").alias("__n"), F.count(value).alias("__k"), exact.alias("__v"))
+    sums = own
+    for c, out in (("__n", "n"), ("__k", "k"), ("__v", "v")):
+        sums = materialize(prefix_sum(sums, "__at", c, rows=rows, out="__b").withColumn(out, F.col("__b") + F.col(c)).drop("__b"), "sums")
+    sums = materialize(sums.select("__at", "n", "k", "v"), "sums")
+    x = spans.where(f"`{low}` <= `{high}`").withColumn("__high", F.col(high).cast("bigint")).withColumn("__low", F.col(low).cast("bigint") - 1)
+    for end in ("__high", "__low"):
+        x = asof_join(x.withColumnRenamed(end, "__at"), sums, "__at", rows=rows).drop("__at").withColumnRenamed("match", "_" + end)
+    part = lambda c: F.coalesce(F.col(f"___high.{c}"), F.lit(0)) - F.coalesce(F.col(f"___low.{c}"), F.lit(0))
+    return x.select(*spans.columns, part("n").alias("n"), F.when(part("k") > 0, part("v").cast("double")).alias("total")).where("n > 0")
+
+
 # Shards by budget. A shard takes rows in order until the next one would exceed the budget; a row larger than the budget
 # gets a shard of its own. Where a cut falls depends on the one before it, so the cuts are a chain. What a range does to
 # the chain is a table: for the tokens still open when it begins (the first cut is the first row whose running sum exceeds

@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ripplework.operators import ordered
 
@@ -70,3 +72,55 @@ def test_intervals(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
     none = spark.createDataFrame([], "j int, g string, low double, high double")
     assert ordered.interval_join(spark.createDataFrame(points, "i int, g string, x double"), none, "x", "low", "high", ("g",)).count() == 0
+
+
+def test_interval_sums(spark):
+    rng = random.Random(9)
+    points = [(rng.randrange(200), rng.choice((None, rng.randrange(-999, 999) / 100))) for _ in range(500)] + [(None, 1.0)]
+    spans = [(j, low, low + rng.randrange(-2, 40)) for j, low in enumerate(rng.randrange(-20, 220) for _ in range(80))] + [(900, None, 3), (901, 5, None)]
+    want = {}
+    for j, low, high in spans:
+        mine = [v for t, v in points if None not in (t, low, high) and low <= t <= high]
+        if mine:
+            some = [v for v in mine if v is not None]
+            want[j] = (len(mine), round(sum(some), 4) + 0.0 if some else None)
+    for rows in (30, 1_000_000):
+        got = ordered.interval_sums(spark.createDataFrame(points, "t bigint, v double"), spark.createDataFrame(spans, "j int, low bigint, high bigint"), "t", "v", "low", "high", rows=rows)
+        assert {r["j"]: (r["n"], None if r["total"] is None else round(r["total"], 4) + 0.0) for r in got.collect()} == want
+
+
+def test_events_near_errors_joins_no_pairs(spark):
+    """Each event met each error around it before: a join on bins; now only running sums are joined, at the ends of spans."""
+    from ripplework.plans.catalogue import queries
+
+    plan = queries()["events_near_errors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bin" not in plan and "__level" not in plan
+
+
+def test_interpolate_by_running_windows(spark):
+    """A frame up to the last row was gone through again for each row: quadratic in the rows of a range."""
+    from ripplework.operators import core
+
+    rng = random.Random(3)
+    rows = [(s, i, None if rng.random() < 0.6 or (s, i // 20) in ((1, 0), (2, 9)) else float(rng.randrange(99))) for s in range(4) for i in range(200) if s < 3 or i < 5]
+    for cells in (1, 7):
+        df = core.interpolate(spark.createDataFrame(rows, "s int, x bigint, y double"), "s", "x", "y", cells)
+        assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+        got = {(r["s"], r["x"]): r["y"] for r in df.collect()}
+        for s in range(4):
+            known = [(i, y) for t, i, y in rows if t == s and y is not None]
+            for t, i, _ in rows:
+                if t == s:
+                    want = float(np.interp(i, *zip(*known, strict=True))) if known else None
+                    assert got[s, i] == (None if want is None else pytest.approx(want))
+
+
+def test_answer_offset_works_its_place_out_once(spark):
+    """The place behind the marker stood in the fold over tokens, so it was worked out again for each token."""
+    from ripplework.operators import positions
+
+    df = spark.createDataFrame([(1, ["so ", "## ", "####", " 4", "2"]), (2, ["none"]), (3, ["Ans", "wer: ", "7"]), (4, ["####"]), (5, [])], "i int, t array<string>")
+    out = df.select("i", positions.answer_offset(F.col("t"), ["####", "Answer:"]).alias("at"))
+    assert {r["i"]: r["at"] for r in out.collect()} == {1: 3, 2: None, 3: 2, 4: None, 5: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("array_join(") == 1
