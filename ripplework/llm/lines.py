@@ -10,8 +10,8 @@ tokens or more, and in no such template, is dropped likewise if its very form (d
 documents.
 
 What is in reach is bounded without pairs: two forms that agree that far have one of `n_differ + 1` runs of places in
-common, so a form reaches no more documents than the groups that share a run with it hold. A round ends when every leaf
-has its next leader; forms that share no run with others need none.
+common, so a form reaches no more documents than the groups that share a run with it hold. A round of jobs finds all the
+next leaders of a leaf whose order cannot matter (see `leaders`); forms that share no run with others need none.
 
 Lines are counted by 64-bit hashes; a form's text is only read in leaves that enough documents reach. Hot lines shrink
 to one row a task before any shuffle by template; joins on a hot form are split by adaptive execution.
@@ -27,6 +27,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplework.llm.common import SPACE
@@ -39,6 +40,8 @@ MIN_TOKENS = 1
 #: From so many tokens on a form counts as a passage, dropped when it recurs as it stands in so many documents.
 LONG_TOKENS = 10
 EXACT_DOCS = 2
+#: Forms of a leaf that a first round tries as leaders.
+TRIED = 32
 #: A word with a digit, from its start on; a word is read once.
 FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
@@ -78,28 +81,45 @@ def _runs(masked: Column, depth: int, similar: float) -> Column:
     return F.flatten(F.transform(F.array(F.split(masked, " ")), of))  # so that a line is split once, not for each run
 
 
-def leaders(forms: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame | None:
-    """(leaf, leader, pattern, round) from (leaf, form, docs, masked); None if no leaf has a group of several forms."""
+def leaders(forms: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, tried: int = TRIED) -> DataFrame | None:
+    """(leaf, leader, pattern, held, led) from (leaf, form, docs, masked), the earlier leader the one with the greater
+    (held, led, leader); None if no leaf has a group of several forms.
+
+    A form's rank (documents its best run holds, its own, its hash) only falls while forms go, so leaders in the order of the
+    rounds are leaders by falling rank. A round therefore tries the `tried` highest of each leaf at once. Who has too few
+    documents alike now never will have more; who has enough leads, unless what one of higher rank may take shares a run
+    with it or the other way round: these wait, since their rank may change. `tried` doubles with each round.
+    """
     several = forms.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
     pool = forms.join(several, "leaf", "left_semi").withColumn("runs", _runs(F.col("masked"), depth, similar)).withColumn("lead", F.lit(True))
-    pool, found, n = materialize(pool, "runs"), [], 0
+    pool, found = materialize(pool, "runs"), []
     while True:
         runs = pool.select("leaf", "form", "docs", F.explode("runs").alias("run"))
         shared = runs.groupBy("leaf", "run").agg(F.sum("docs").alias("held"), F.count("*").alias("n")).where("n > 1").drop("n")
         reach = runs.join(shared, ["leaf", "run"]).groupBy("leaf", "form").agg(F.sum(F.col("held") - F.col("docs")).alias("others"), F.max("held").alias("held"))
         near = materialize(pool.join(reach, ["leaf", "form"]), "reach")  # forms without a run in common are out
         able = near.where(F.col("lead") & (F.col("docs") + F.col("others") >= min_docs))
-        lead = able.groupBy("leaf").agg(F.max(F.struct("held", "docs", "form", "masked")).alias("m")).select("leaf", F.col("m.form").alias("leader"), F.col("m.masked").alias("pattern"))
+        place = F.row_number().over(W.partitionBy("leaf").orderBy(F.desc("held"), F.desc("docs"), F.desc("form")))
+        lead = able.withColumn("place", place).where(F.col("place") <= tried)
+        lead = lead.select("leaf", "place", F.col("form").alias("leader"), F.col("masked").alias("pattern"), "held", F.col("docs").alias("led"), F.col("runs").alias("its_runs"))
         lead = materialize(lead, "lead")  # written, so that the join by leaf stands on plain shuffles, which are split
+        meets = F.arrays_overlap("runs", "its_runs")  # alike forms do
         like = _agree(F.col("masked"), F.col("pattern")) >= similar * F.size(F.split("pattern", " "))
-        met = materialize(near.drop("others", "held").join(lead, "leaf").withColumn("like", like), "met")
+        met = near.select("leaf", "form", "docs", "masked", "runs").join(lead.select("leaf", "place", "pattern", "its_runs"), "leaf").where(meets)
+        met = materialize(met.select("leaf", "place", "form", "docs", like.alias("like")), "met")
         if not met.take(1):
             break
-        held = met.where("like").groupBy("leaf", "leader").agg(F.sum("docs").alias("held"), F.max("pattern").alias("pattern")).where(F.col("held") >= min_docs)
-        found.append(held.select("leaf", "leader", "pattern", F.lit(n).alias("round")))
-        taken = held.select("leaf", F.lit(True).alias("taken"))
-        rest = met.join(taken, "leaf", "left").where("not (like and taken is not null)")
-        pool, n = rest.select("leaf", "form", "docs", "masked", "runs", (F.col("lead") & (F.col("form") != F.col("leader"))).alias("lead")), n + 1
+        good = met.where("like").groupBy("leaf", "place").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).drop("n")
+        good = materialize(met.join(good, ["leaf", "place"], "left_semi"), "good")
+        first = good.groupBy("leaf", "form").agg(F.min("place").alias("meets"), F.min(F.when(F.col("like"), F.col("place"))).alias("takes"))
+        waits = (F.col("takes") < F.col("place")) | (F.col("like") & (F.col("meets") < F.col("place")))
+        leads = good.join(first, ["leaf", "form"]).groupBy("leaf", "place").agg(F.max(F.coalesce(waits, F.lit(False))).alias("waits"))
+        leads = materialize(leads, "leads")
+        found.append(lead.join(leads.where("not waits"), ["leaf", "place"]).select("leaf", "leader", "pattern", "held", "led"))
+        taken = good.where("like").join(leads.where("not waits"), ["leaf", "place"]).select("leaf", "form").distinct()
+        out = lead.join(leads.where("waits"), ["leaf", "place"], "left_anti").select("leaf", F.col("leader").alias("form"), F.lit(True).alias("out"))
+        rest = near.join(lead.select("leaf").distinct(), "leaf", "left_semi").join(taken, ["leaf", "form"], "left_anti").join(out, ["leaf", "form"], "left")
+        pool, tried = rest.select("leaf", "form", "docs", "masked", "runs", (F.col("lead") & F.col("out").isNull()).alias("lead")), min(2 * tried, 1 << 20)
     return reduce(DataFrame.union, found) if found else None
 
 
@@ -120,7 +140,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     if lead is not None:
         same = _agree(F.col("masked"), F.col("pattern"))
         joined = forms.join(lead, "leaf").where(same >= similar * F.size(F.split("pattern", " ")))
-        best = joined.groupBy("leaf", "form").agg(F.max(F.struct(same.alias("same"), -F.col("round"), "leader", "pattern")).alias("m"))
+        best = joined.groupBy("leaf", "form").agg(F.max(F.struct(same.alias("same"), "held", "led", "leader", "pattern")).alias("m"))
         general = forms.join(best, ["leaf", "form"], "left").select("leaf", "form", "masked", F.coalesce("m.leader", "form").alias("template"), F.coalesce("m.pattern", "masked").alias("pattern"))
     general = materialize(general, "templates")
     groups = per_form.join(general.select("leaf", "form", "template"), ["leaf", "form"], "left").select("leaf", "form", "exact", F.coalesce("template", "form").alias("template"))
