@@ -35,6 +35,18 @@ def test_outer_products(spark, queries, candidates, zeros):
         assert got[i, j] == pytest.approx(gram, abs=1e-12)
 
 
+def test_records_are_not_copied_for_the_blocks_they_meet(spark):
+    """Each packed record was shuffled once for each block of the other side."""
+    rng = random.Random(4)
+    rows = [(f"r{i}", w, [float(rng.randrange(1, 5))]) for i in range(40) for w in {rng.choice("abcdefgh") + rng.choice("xy") for _ in range(5)}]
+    got = sparse.tile_scores(spark.createDataFrame(rows, "r string, w string, n array<double>"), "r", "w", "n", F.col("r") < "r2", False, 3, 7)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "Repartition" not in plan and "Generate" not in plan
+    has = {r: {w: n[0] for s, w, n in rows if s == r} for r, _, _ in rows}
+    want = {(q, c): sum(n * has[c].get(w, 0) for w, n in has[q].items()) for q in has for c in has if q < "r2" and q != c}
+    assert {(r["q"], r["c"]): r["score"] for r in got.collect()} == {k: s for k, s in want.items() if s}
+
+
 def test_string_leaves(spark):
     rng = random.Random(2)
 
