@@ -3,8 +3,9 @@
 Jaccard distance d = 1 - |x & y| / |x | y| is a metric; two texts link when d <= r = 0.25. Equal shingle sets are one
 point. Points meet in three steps, each of which loses no link:
 
-1. Seeds. All shingles have one global order: by hash, but frequent ones last. Linked sets share one of their first
-   n - ceil(0.75 n) + 1 shingles, so they meet in that seed's region. Unrelated texts are all at distance 1, where Voronoi
+1. Seeds. All shingles have one global order: by hash, but frequent ones last. Any such order is right; which shingles are
+   frequent is counted in one of 16 texts, so that the region of a seed does not grow with the table. Linked sets share one
+   of their first n - ceil(0.75 n) + 1 shingles, so they meet in that seed's region. Unrelated texts are all at distance 1, where Voronoi
    cells cannot tell them apart; seeds stand in for pivots there. In a region of up to `region_sets` points, parity bitmaps
    (one bit for each class of hashes, flipped by each member) bound the symmetric difference from below and rule out most
    pairs. Of a larger one a sample of points is compared: if most may be linked to one of them, the region goes on as it
@@ -14,6 +15,7 @@ point. Points meet in three steps, each of which loses no link:
    Voronoi cells around them, points within 2r of the border in both cells, cells joined recursively. Sorting by the
    distance to a pivot, a gap over r splits a cell (no pair across it can link); points within r of the pivot are
    linked to it, and only those that could reach a point outside go on. So a tight group of n copies takes n distances.
+   Shingles that two sets of a block share have a bit each, so that a distance is a count of bits.
 3. A block too large for a task, in points or in bytes, is split the same way across tasks: pivots are broadcast, those of
    so many blocks at once as fit a fixed size, each point finds its cells where it is, and what is left of a cell too
    large once more goes down a level.
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ripplework.llm.common import WordHashes, mix, release, shingles, slices, sql_words
+from ripplework.llm.common import mix, release, shingle_sets, slices, sql_words
 from ripplework.llm.graph import components
-from ripplework.session import materialize, table
+from ripplework.session import discard, materialize, table, written
 
 NUM, DEN = 75, 100
 RADIUS = 1 - NUM / DEN
-FREQUENT = 1000
+#: Shingles are counted in one of so many texts; those that so many of these have are frequent, or fewer, the most frequent ones.
+SAMPLED, MET = 16, 4
 HOT_ROWS = 1_000_000
 #: Points of a region that are compared pair by pair; points of a larger one that decide how it goes on; seeds of a key.
 REGION_SETS = 512
@@ -45,8 +48,10 @@ SAMPLE = 48
 DEEPEST = 4
 BLOCK_SETS = 4000
 BLOCK_BYTES = 64_000_000
+BITS_BYTES = 64_000_000
 PIVOTS = 16
 PIVOT_BYTES = 32_000_000
+MOST_COPIES = 2
 LEVELS = 6
 NO_ID = -(2**63)
 _ENTRY = np.dtype([("h", "<u8"), ("fp", "<u8")])
@@ -70,6 +75,15 @@ def ordered(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate([s[~frequent], s[frequent]]), int(len(s) - frequent.sum())
 
 
+def first_seeds(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set's seeds in the global order, and how many of them are not frequent."""
+    k = prefix_length(len(s))
+    row, rare = ordered(s[: 2 * k], hot)
+    if rare < k < len(s):
+        row, rare = ordered(s, hot)
+    return row[:k], min(rare, k)
+
+
 def parity(s: np.ndarray) -> bytes:
     """A bit for each class of hashes, set if an odd number of members fall into it; as many bits as members, up to a power of two."""
     bits = max(64, 1 << max(0, len(s) - 1).bit_length())
@@ -124,50 +138,67 @@ def _metric(both: np.ndarray, union: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return 1 - both / np.maximum(union, 1), DEN * both >= NUM * union
 
 
+def _shared_bits(sets: list[np.ndarray]) -> np.ndarray | None:
+    """A row of bits for each set, one for each shingle that two sets or more have; none if they take more than BITS_BYTES."""
+    known, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[place] > 1
+    width = -(-int((counts > 1).sum()) // 64)
+    if len(sets) * width * 8 > BITS_BYTES:
+        return None
+    column = (np.cumsum(counts > 1) - 1)[place[shared]]
+    cell = np.repeat(np.arange(len(sets)) * width, [len(s) for s in sets])[shared] + (column >> 6)  # ascending, as sets are
+    bits = np.zeros(len(sets) * width, np.uint64)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    if len(first):
+        bits[cell[first]] = np.bitwise_or.reduceat(np.uint64(1) << (column & 63).astype(np.uint64), first)
+    return bits.reshape(len(sets), width)
+
+
 def join_block(sets: list[np.ndarray]) -> list[int]:
-    """The least item number reachable by links from each item."""
-    u = _Union(len(sets))
+    """The least item number reachable by links from each item, from ascending sets."""
+    label = np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bits = _shared_bits(sets) if len(sets) > 2 else None
     eps = 1e-9  # distances are rounded; windows are widened by it, links are whole-number tests
-    todo = [list(range(len(sets)))]
+
+    def linked(p: int, idx: np.ndarray) -> np.ndarray:
+        """Distances of an item to others, after joining it with those it links to."""
+        if bits is None:
+            d, link = _metric(*distances(sets[p], [sets[i] for i in idx]))
+        else:
+            both = np.bitwise_count(bits[idx] & bits[p]).sum(axis=1, dtype=np.int64)
+            both[idx == p] = sizes[p]
+            d, link = _metric(both, sizes[idx] + sizes[p] - both)
+        found = np.unique(label[idx[link]])
+        if len(found) > 1:
+            label[np.isin(label, found)] = found[0]
+        return d
+
+    todo = [label.copy()]
     while todo:
         idx = todo.pop()
-        roots = {u.find(i) for i in idx}
-        if len(idx) < 2 or len(roots) == 1:
+        if len(idx) < 2 or (label[idx] == label[idx[0]]).all():
             continue
         p = idx[len(idx) // 2]
-        d, link = _metric(*distances(sets[p], [sets[i] for i in idx]))
-        for i in np.flatnonzero(link):
-            u.join(p, idx[i])
-        rp = u.find(p)
-        outside = np.array([u.find(i) != rp for i in idx])
+        d = linked(p, idx)
+        outside = label[idx] != label[p]
         if not outside.any():
             continue
         reach = d[outside].min() - RADIUS - eps
-        stay = outside | (d >= reach)
-        stay[idx.index(p)] = False  # compared with all
+        stay = (outside | (d >= reach)) & (idx != p)  # that one is compared with all
         keep = np.flatnonzero(stay)
         keep = keep[np.argsort(d[keep], kind="stable")]
         cuts = np.flatnonzero(np.diff(d[keep]) > RADIUS + eps) + 1
-        groups = [g for g in np.split(keep, cuts) if len(g) > 1]
-        for g in groups:
+        for g in np.split(keep, cuts):
+            own, dp = idx[g], d[g]
             if len(g) < 24:
-                todo.append([idx[i] for i in g])
+                todo.append(own)
                 continue
-            far = int(g[np.argmax(d[g])])
-            own = [idx[i] for i in g]
-            q = idx[far]
-            e, link = _metric(*distances(sets[q], [sets[i] for i in own]))
-            for i in np.flatnonzero(link):
-                u.join(q, own[i])
-            dp = d[g]
-            near_p = np.array([dp[i] - e[i] <= 2 * RADIUS + eps and own[i] != q for i in range(len(own))])
-            near_q = np.array([e[i] - dp[i] <= 2 * RADIUS + eps and own[i] != q for i in range(len(own))])
-            a, b = [own[i] for i in np.flatnonzero(near_p)], [own[i] for i in np.flatnonzero(near_q)]
-            if len(a) + len(b) > 1.3 * len(own):
-                todo.append([i for i in own if i != q])
-            else:
-                todo += [a, b]
-    return [u.find(i) for i in range(len(sets))]
+            q = own[np.argmax(dp)]
+            e = linked(q, own)
+            a, b = (own[(x <= 2 * RADIUS + eps) & (own != q)] for x in (dp - e, e - dp))
+            todo += [own[own != q]] if len(a) + len(b) > 1.3 * len(own) else [a, b]
+    return label.tolist()
 
 
 def _batches(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
@@ -186,76 +217,122 @@ def _gathered(parts, rows: int):
         yield held
 
 
-def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, fp, bits) of every row; and rows (shingle, texts) of shingles that several texts of a task share."""
-    names, types = ["doc_id", "n", "fp", "bits", "shingle", "texts"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+def _packed(e: np.ndarray, where: np.ndarray) -> pa.RecordBatch | None:
+    """(bucket, entries) of entries and their buckets."""
+    if not len(e):
+        return None
+    order = np.argsort(where, kind="stable")
+    e, where = e[order], where[order]
+    cuts = np.flatnonzero(np.diff(where)) + 1
+    rows = [(int(w), x.tobytes()) for w, x in zip(where[np.concatenate([[0], cuts])], np.split(e, cuts), strict=True)]
+    return _batches(rows, ["bucket", "entries"], [pa.int32(), pa.binary()])
+
+
+def _by_bucket(entries: DataFrame, solve, schema: str) -> DataFrame:
+    """What solve(bucket, entries) gives, record batches or None, for the distinct entries of each bucket in order."""
+
+    def whole(bucket: int, raw: list[bytes]):
+        e = np.concatenate([np.frombuffer(x, _ENTRY) for x in raw])
+        e = e[np.lexsort((e["fp"], e["h"]))]
+        fresh = np.ones(len(e), bool)
+        fresh[1:] = (e["h"][1:] != e["h"][:-1]) | (e["fp"][1:] != e["fp"][:-1])
+        e = e[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))
+        return solve(bucket, e, starts, np.diff(np.concatenate([starts, [len(e)]])))
 
     def run(batches):
-        hashes, sets, seen = WordHashes(), [], set()
+        now, raw = None, []
+        for b in batches:
+            for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if bucket != now and raw:
+                    if (out := whole(now, raw)) is not None:
+                        yield out
+                    raw = []
+                now = bucket
+                raw.append(x)
+        if raw and (out := whole(now, raw)) is not None:
+            yield out
 
-        def frequent():
-            if len(sets) < 2:
-                return
-            h, c = np.unique(np.concatenate(sets), return_counts=True)
-            h, c = h[c > 2].view(np.int64), c[c > 2]
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), t) for t in types[:4]] + [pa.array(h), pa.array(c.astype(np.int64))], names)
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
-        for some in slices(batches):
-            out = []
-            for i, t in some:
-                s = shingles(t, hashes)
+
+def frequent_shingles(docs: DataFrame, buckets: int, text_col: str = "text") -> np.ndarray:
+    """Hashes, ascending, of the shingles that MET or more of the different texts picked have; at most HOT_ROWS, the most frequent.
+
+    Only the global order rests on them, and it is right for any: equal shingles have one place in it.
+    """
+
+    def run(batches):
+        seen: set = set()
+        for some in _gathered(slices(batches), 2048):
+            parts = [np.empty(0, _ENTRY)]
+            for s in shingle_sets(t for (t,) in some):
                 fp = fingerprint(s)
-                out.append((NO_ID if i is None else i, len(s), fp, parity(s), None, None))
                 if fp not in seen:
                     seen.add(fp)
-                    sets.append(s)
+                    parts.append(np.empty(len(s), _ENTRY))
+                    parts[-1]["h"], parts[-1]["fp"] = s, np.uint64(fp + 2**63)
+            e = np.concatenate(parts)
+            if (out := _packed(e, (mix(e["h"]) % np.uint64(buckets)).astype(np.int64))) is not None:
+                yield out
+        release()
+
+    def solve(_, e, starts, counts):
+        often = counts >= MET
+        return pa.RecordBatch.from_arrays([pa.array(e["h"][starts[often]].view(np.int64)), pa.array(counts[often].astype(np.int32))], ["shingle", "texts"])
+
+    picked = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(SAMPLED)) == 0).select(F.col(text_col))
+    met = materialize(_by_bucket(picked.mapInArrow(run, "bucket int, entries binary"), solve, "shingle bigint, texts int"), "frequent")
+    least, rows = None, 0
+    for texts, n in sorted(met.groupBy("texts").count().collect(), reverse=True):  # a row for each count
+        rows += n
+        if rows > HOT_ROWS:
+            break
+        least = texts
+    if least is None:
+        return np.empty(0, np.uint64)
+    return np.sort(met.where(F.col("texts") >= least).select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def profile(docs: DataFrame, frequent, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, fp, bits, rare, seeds) of every row; rare (how many seeds are not frequent) and seeds once for equal sets of a task."""
+
+    def run(batches):
+        hot, seen = frequent.value, set()
+        for some in slices(batches):
+            out = []
+            for (i, _), s in zip(some, shingle_sets(t for _, t in some), strict=True):
+                fp, rare, seeds = fingerprint(s), None, None
+                if len(s) and fp not in seen:
+                    seen.add(fp)
+                    row, rare = first_seeds(s, hot)
+                    seeds = row.astype("<u8").tobytes()
+                out.append((NO_ID if i is None else i, len(s), fp, parity(s), rare, seeds))
             if out:
-                yield _batches(out, names, types)
-            if sum(map(len, sets)) > 2_000_000:
-                yield from frequent()
-                sets.clear()
+                yield _batches(out, ["doc_id", "n", "fp", "bits", "rare", "seeds"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()])
+            if len(seen) > 100_000:
                 seen.clear()
-        yield from frequent()
-        sets.clear()
-        hashes.clear()
         release()
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, n bigint, fp bigint, bits binary, shingle bigint, texts bigint")
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "doc_id bigint, n bigint, fp bigint, bits binary, rare int, seeds binary")
 
 
-def _seeds(docs: DataFrame, frequent, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def _seeds(known: DataFrame, buckets: int) -> DataFrame:
     """(bucket, entries) of the seeds of each text, packed; frequent seeds have buckets of their own behind the others."""
 
     def run(batches):
-        hashes, hot = WordHashes(), frequent.value
-        for some in _gathered(slices(batches), 2048):
-            parts, seen = [], set()
-            for (t,) in some:
-                s = shingles(t, hashes)
-                fp = fingerprint(s)
-                if not len(s) or fp in seen:
-                    continue
-                seen.add(fp)
-                row, rare = ordered(s, hot)
-                k = prefix_length(len(s))
-                e = np.empty(k, _ENTRY)
-                e["h"], e["fp"] = row[:k], np.uint64(fp + 2**63)
-                parts += [(e[:rare], 0), (e[rare:], buckets)]
-            rows = []
-            for behind in (0, buckets):
-                e = np.concatenate([x for x, at in parts if at == behind] or [np.empty(0, _ENTRY)])
-                where = (mix(e["h"]) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                e, where = e[order], where[order]
-                cuts = np.flatnonzero(np.diff(where)) + 1
-                rows += [(int(w) + behind, x.tobytes()) for w, x in zip(where[np.concatenate([[0], cuts])] if len(where) else [], np.split(e, cuts), strict=False)]
-            if rows:
-                yield _batches(rows, ["bucket", "entries"], [pa.int32(), pa.binary()])
-        hashes.clear()
+        for some in _gathered(slices(batches), 4096):
+            fp, rare, raw = zip(*some, strict=True)
+            k = np.array([len(x) // 8 for x in raw])
+            e = np.empty(k.sum(), _ENTRY)
+            e["h"], e["fp"] = np.frombuffer(b"".join(raw), "<u8"), np.repeat((np.array(fp, np.int64).view(np.uint64) + np.uint64(2**63)), k)
+            place = np.arange(len(e)) - np.repeat(np.cumsum(k) - k, k)
+            where = (mix(e["h"]) % np.uint64(buckets)).astype(np.int64) + buckets * (place >= np.repeat(np.array(rare), k))
+            if (out := _packed(e, where)) is not None:
+                yield out
         release()
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "bucket int, entries binary")
+    return known.where("seeds is not null").select("fp", "rare", "seeds").mapInArrow(run, "bucket int, entries binary")
 
 
 #: hot and seed together are a seed's place in the global order.
@@ -266,14 +343,7 @@ def _regions(seeds: DataFrame, buckets: int) -> DataFrame:
     """(region, fp, n, hot, seed) of every seed with n points, two or more; of equal regions the one of the first seed stays."""
     names = [x.split()[0] for x in REGIONS.split(", ")]
 
-    def solve(bucket: int, raw: list[bytes]):
-        e = np.concatenate([np.frombuffer(x, _ENTRY) for x in raw])
-        e = e[np.lexsort((e["fp"], e["h"]))]
-        fresh = np.ones(len(e), bool)
-        fresh[1:] = (e["h"][1:] != e["h"][:-1]) | (e["fp"][1:] != e["fp"][:-1])
-        e = e[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))
-        counts = np.diff(np.concatenate([starts, [len(e)]]))
+    def solve(bucket: int, e: np.ndarray, starts: np.ndarray, counts: np.ndarray):
         starts, counts = starts[counts > 1], counts[counts > 1]
         if not len(starts):
             return None
@@ -291,20 +361,7 @@ def _regions(seeds: DataFrame, buckets: int) -> DataFrame:
         cols[1], cols[4] = signed(fp[row]), signed(e["h"][keep][row])
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
 
-    def run(batches):
-        now, raw = None, []
-        for b in batches:
-            for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if bucket != now and raw:
-                    if (out := solve(now, raw)) is not None:
-                        yield out
-                    raw = []
-                now = bucket
-                raw.append(x)
-        if raw and (out := solve(now, raw)) is not None:
-            yield out
-
-    rows = seeds.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, REGIONS)
+    rows = _by_bucket(seeds, solve, REGIONS)
     return rows.groupBy("region", "fp", "n").agg(F.min(F.struct("hot", "seed")).alias("at")).select("region", "fp", "n", "at.hot", "at.seed")
 
 
@@ -335,10 +392,9 @@ def _extended(keys: DataFrame, texts: DataFrame, frequent, shared: int) -> DataF
     """Regions by one more seed, from (rep, fp, keys (region, seed)) and (rep, text): `shared` is how many seeds a key now has."""
 
     def run(batches):
-        hashes, hot = WordHashes(), frequent.value
+        hot = frequent.value
         for some in slices(batches):
-            for fp, keys, text in some:
-                s = shingles(text, hashes)
+            for (fp, keys, _), s in zip(some, shingle_sets(r[2] for r in some), strict=True):
                 if fingerprint(s) != fp:
                     continue
                 row, rare = ordered(s, hot)
@@ -450,13 +506,16 @@ def _join_blocks(points: DataFrame) -> DataFrame:
 def _split_large(points: DataFrame, block_sets: int, block_bytes: int = BLOCK_BYTES, pivot_bytes: int = PIVOT_BYTES) -> tuple[DataFrame | None, list[DataFrame]]:
     """Splits blocks of more points or bytes by broadcast pivots until none is left: (small blocks, link edges)."""
     spark = points.sparkSession
-    small, edges = [], []
+    small, edges, whole = [], [], []
     for level in range(LEVELS):
         sizes = points.groupBy("block").agg(F.count("*").alias("points"), F.sum(F.length("shingles")).alias("bytes"))
         large = materialize(sizes.where((F.col("points") > block_sets) | (F.col("bytes") > block_bytes) & (F.col("points") > 2)), "large")
         small.append(points.join(large, "block", "left_anti"))
         if not large.take(1):
-            return _union(small), edges
+            if not whole:
+                return _union(small), edges
+            points = points.limit(0)
+            break
         points = points.join(large.select("block"), "block", "left_semi")
         k = F.row_number().over(W.partitionBy("block").orderBy(F.xxhash64("fp", F.lit(level))))
         few = F.greatest(F.lit(2), F.least(F.lit(PIVOTS), F.floor(F.lit(pivot_bytes) / (F.col("bytes") / F.col("points")))))
@@ -497,10 +556,17 @@ def _split_large(points: DataFrame, block_sets: int, block_bytes: int = BLOCK_BY
         outside = materialize(outside.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("pos", "m"))).alias("m")), "outside")  # PIVOTS entries
         joined = at.join(outside, "block", "left")
         done = F.exists(F.transform(F.arrays_zip("d", "link"), lambda x, i: x["link"] & F.coalesce(x["d"] < F.try_element_at("m", i) - RADIUS - 1e-9, F.lit(True))), lambda x: x)
-        rest = joined.where(~done)
         best = F.array_min("d")
         cells = F.filter(F.transform("d", lambda x, i: F.when(x - best <= 2 * RADIUS + 1e-9, i)), lambda x: x.isNotNull())
-        points = materialize(rest.select(F.explode(cells).alias("cell"), "block", "fp", "shingles").select(F.xxhash64("block", "cell", F.lit(level)).alias("block"), "fp", "shingles"), "cells")
+        rest = joined.where(~done).select("block", "fp", "shingles", cells.alias("cells"))
+        # Where most points lie in most cells, as in a family around one text, another level would only multiply them.
+        spread = rest.groupBy("block").agg(F.sum(F.size("cells")).alias("in_cells")).join(large, "block").where(F.col("in_cells") > MOST_COPIES * F.col("points"))
+        spread = materialize(spread.select("block"), "spread")
+        if spread.take(1):
+            whole.append(rest.join(spread, "block", "left_semi").select("block", "fp", "shingles"))
+        rest = rest.join(spread, "block", "left_anti").select(F.explode("cells").alias("cell"), "block", "fp", "shingles")
+        points = materialize(rest.select(F.xxhash64("block", "cell", F.lit(level)).alias("block"), "fp", "shingles"), "cells")
+    points = _union([points.select("block", "fp", "shingles"), *whole])
     # Cells that pivots do not split: every two groups of points, bounded in number and bytes, meet in one task.
     sizes = points.groupBy("block").agg((F.greatest(F.count("*") / (block_sets // 2), 2 * F.sum(F.length("shingles")) / F.lit(block_bytes))).cast("int").alias("g"))
     rows = points.join(sizes, "block").withColumn("s", F.pmod(F.xxhash64("fp", F.lit("salt")), F.col("g") + 1))
@@ -519,17 +585,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS, region_sets: int = REGION_SETS) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
-    known = materialize(profile(docs, id_col, text_col), "profile")
-    rows = known.where("fp is not null").select("doc_id", "n", "fp", "bits")
-    points = materialize(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")), "points")
-    least = max(64, points.count() // FREQUENT)
-    common = known.where("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least)
-    # At most FREQUENT times the mean set; were there more, the most frequent ones go last and the others stay in order.
-    common = common.orderBy(F.col("texts").desc(), "shingle").limit(HOT_ROWS).select("shingle").collect()
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in common], np.int64).view(np.uint64)))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, buckets, text_col))
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("rep"), F.col(text_col).alias("text"))
-    regions = materialize(_regions(_seeds(docs, frequent, buckets, id_col, text_col), buckets), "regions")
+    mark = written()
+    known = materialize(profile(docs, frequent, id_col, text_col), "profile")
+    points = materialize(known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")), "points")
+    regions = materialize(_regions(_seeds(known, buckets), buckets), "regions")
+    rows = materialize(known.select("doc_id", "n", "fp"), "rows")
+    discard(spark, mark, written() - mark - 1)  # the profile: its seeds are large
     edges = materialize(_block_edges(regions, points, texts, frequent, region_sets), "edges")
     blocks = materialize(components(edges), "blocks")
     chosen = blocks.join(points.hint("merge"), blocks["node"] == points["fp"]).select(F.col("component").alias("block"), "fp", "rep")
@@ -553,11 +617,9 @@ def _sets(rows: DataFrame) -> DataFrame:
     """(block, fp, shingles) from (block, fp, text); rows of another text under the same id are left out."""
 
     def run(batches):
-        hashes = WordHashes()
         for some in slices(batches):
             out = []
-            for block, fp, text in some:
-                s = shingles(text, hashes)
+            for (block, fp, _), s in zip(some, shingle_sets(r[2] for r in some), strict=True):
                 if fingerprint(s) == fp:
                     out.append((block, fp, s.astype("<u8").tobytes()))
             if out:

@@ -129,6 +129,51 @@ def test_join_block_matches_all_pairs():
     assert jaccard.join_block(sets) == [u.find(i) for i in range(len(sets))]
 
 
+def test_a_family_that_pivots_do_not_split_is_not_multiplied(spark):
+    """Every member lies near the border of every cell, so each level would give each cell all of them."""
+    rng = np.random.default_rng(8)
+    core = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([core[rng.random(200) < keep], rng.integers(0, 2**63, 30, dtype=np.uint64)])) for keep in rng.choice([0.85, 0.99], 300)]
+    sets += [np.append(s[1:], np.uint64(2**63 + i)) for i, s in enumerate(sets[:40])]
+    names = {jaccard.fingerprint(s): i for i, s in enumerate(sets)}
+    points = spark.createDataFrame([(1, f, sets[i].tobytes()) for f, i in names.items()], "block bigint, fp bigint, shingles binary")
+    small, links = jaccard._split_large(points, 80)
+    assert small.count() <= len(sets) * (len(sets) // 40 + 1)
+    u, brute = jaccard._Union(len(sets)), jaccard._Union(len(sets))
+    for r in jaccard._union([jaccard._join_blocks(small), *links]).collect():
+        u.join(names[r["a"]], names[r["b"]])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(np.intersect1d(a, sets[j]))
+            if 100 * n >= 75 * (len(a) + len(sets[j]) - n):
+                brute.join(i, j)
+    assert [u.find(i) for i in range(len(sets))] == [brute.find(i) for i in range(len(sets))]
+
+
+def test_frequent_shingles_are_found_however_texts_are_dealt(spark):
+    """A passage of every fifth text goes last in the order though no task sees it often; a text and its copies count once."""
+    rng = random.Random(31)
+    passage = " ".join(f"passage{k}" for k in range(60))
+    texts = [" ".join([*(str(rng.randrange(10**9)) for _ in range(80)), passage if i % 5 == 0 else ""]) for i in range(1500)]
+    docs = make(spark, [*texts, *["so many copies of this one text"] * 200]).repartition(200)
+    hot = jaccard.frequent_shingles(docs, 32)
+    assert hot.tolist() == next(jaccard.shingle_sets([passage])).tolist()
+    known = jaccard.profile(docs, spark.sparkContext.broadcast(hot))
+    assert jaccard._regions(jaccard._seeds(known, 32), 32).count() == 0
+
+
+def test_sets_of_many_texts_are_those_of_each(texts):
+    rng = random.Random(32)
+    odd = ["a" * n + " b" for n in (1, 7, 8, 9, 15, 16, 17, 40)] + ["a\0 a a\x0bb\x0cc\x1cd", "日本 語 " * 9, "\ud800 x", "A B c D e F", "É é"]
+    mixed = [*texts, *odd, *(" ".join(rng.choice(("ab", "abcdefgh", "abcdefghi", "abcdefghabcdefgh", "abcdefghabcdefghi")) for _ in range(30)) for _ in range(200))]
+    brute = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for t in mixed for w in [(t or "").encode("utf-8", "surrogatepass").lower().split()]]
+    got = list(jaccard.shingle_sets(mixed))
+    assert [len(s) for s in got] == [len(s) for s in brute]
+    assert len(set().union(*brute)) == len(np.unique(np.concatenate(got)))
+    for a, b, x, y in zip(got, got[1:], brute, brute[1:], strict=False):
+        assert len(np.intersect1d(a, b)) == len(x & y)
+
+
 def test_parity_never_rules_out_a_link():
     rng = np.random.default_rng(1)
     for _ in range(300):
