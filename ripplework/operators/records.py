@@ -235,11 +235,29 @@ def translate(df: DataFrame, text: str, language: str, translator=None, out: str
     return df.withColumn(out, F.pandas_udf(translator, "string")(text, language))
 
 
-def domain_accumulator(df: DataFrame, key: str, domain: str, value: str) -> DataFrame:
-    """(key, mean, n, by_domain): an update's summary and its means by domain in one pass over partial sums."""
-    part = df.groupBy(key, domain).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+def domain_accumulator(df: DataFrame, key: str, domain: str, value: str, place: Sequence[str] = (), most: int = 1_000_000) -> DataFrame:
+    """(key, mean, n, by_domain): an update's summary and its means by domain.
+
+    By partial sums, or with a `place` (file, row number) in its order, whatever the tasks: a group of over `most` rows by
+    ranges of `most` rows of the file, whose sums are added in order. The summary adds up domains as they first come.
+    """
+    if place:
+        group = [F.col(key).alias("__k"), F.col(domain).alias("__d")]
+        large = [r.asDict() for r in df.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > most).select("__k", "__d").collect()]  # at most rows / most
+        x = df.select(*group, F.col(value).cast("double").alias("v"), *place, F.lit(None).cast("string").alias("__f"), F.lit(None).cast("bigint").alias("__r"))
+        if large:
+            hit = reduce(Column.__or__, (reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(r[c])) for c in r)) for r in large))
+            x = x.withColumn("__f", F.when(hit, F.col(place[0]))).withColumn("__r", F.when(hit, F.floor(F.col(place[1]) / most)))
+        by = ["__k", "__d", "__f", "__r"]
+        x = x.repartition(*by).sortWithinPartitions(*by, *place).groupBy(*by).agg(F.sum("v").alias("s"), F.count("v").alias("n"), F.min(F.struct(*place)).alias("first"))
+        added = lambda: F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("first", F.coalesce("s", F.lit(0.0)).alias("s")))), lambda r: r["s"]), F.lit(0.0), lambda a, b: a + b)
+        part = x.groupBy(F.col("__k").alias(key), F.col("__d").alias(domain)).agg(added().alias("s"), F.sum("n").alias("n"), F.min("first").alias("first"))
+        total = added()
+    else:
+        part = df.groupBy(key, domain).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+        total = F.sum("s")
     by = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(domain), F.try_divide(F.col("s"), F.col("n")).alias("m")))))
-    return part.groupBy(key).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), F.sum("n").alias("n"), by.alias("by_domain"))
+    return part.groupBy(key).agg(F.try_divide(total, F.sum("n")).alias("mean"), F.sum("n").alias("n"), by.alias("by_domain"))
 
 
 def model_outputs(df: DataFrame, model, schema: str) -> DataFrame:

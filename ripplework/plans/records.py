@@ -11,7 +11,7 @@ from ripplework.functions import vector as V
 from ripplework.operators import core as O
 from ripplework.operators import records as R
 from ripplework.plans.registry import query
-from ripplework.session import table
+from ripplework.session import PLACE, placed, table
 
 _MD5 = "md5(array_to_string(list_transform({0}, lambda z: z.role || ': ' || z.content), chr(10) || '--' || chr(10)))"
 
@@ -291,7 +291,7 @@ def _capitals(texts: pd.Series, languages: pd.Series) -> pd.Series:
 SELECT user_id, round(sum(s) / sum(n), 10) AS mean, sum(n)::BIGINT AS n, string_agg(event_type || '=' || round(s / n, 3)::DECIMAL(18,3), ',' ORDER BY event_type) AS domains FROM p GROUP BY 1""")
 def domain_accumulator(spark, d):
     """An update's mean and its means by domain."""
-    x = R.domain_accumulator(table(spark, d, "events"), "user_id", "event_type", "value")
+    x = R.domain_accumulator(placed(spark, d, "events"), "user_id", "event_type", "value", PLACE)
     by = F.transform(F.map_entries("by_domain"), lambda e: F.concat(e["key"], F.lit("="), V.rounded(e["value"], 3).cast("decimal(18,3)").cast("string")))
     return x.select("user_id", V.rounded(F.col("mean"), 10).alias("mean"), "n", F.array_join(by, ",").alias("domains"))
 
