@@ -141,6 +141,7 @@ def regression_band(spark, d):
 @query()
 def retokenised_chunks(spark, d):
     """Packed words, segment by segment, to packed characters; rows-only, as a hash of each chunk."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "").alias("tok"))
-    chunks = O.retokenise(docs, "doc_id", "tok", "source", lambda w: F.filter(F.split(F.array_join(w, " "), ""), lambda x: x != ""), 1024, "</s>")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")
+    chunks = O.retokenise(docs, "doc_id", words, "source", lambda w: F.filter(F.split(F.array_join(w, " "), ""), lambda x: x != ""), 1024, "</s>")
     return chunks.select("chunk_index", "label", F.md5(F.array_join("token_ids", "")).alias("h"))
